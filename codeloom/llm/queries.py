@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.llm import warc
+from codeloom.llm import packing, warc
 
 QUERIES = {
+    "op9_packing": packing.op9_packing,
     "op8_warc": warc.op8_warc,
 }
 
