@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from codeloom.llm import packing, warc
+from codeloom.llm import language, mtree, packing, quality, toxicity, warc
 
 QUERIES = {
-    "op9_packing": packing.op9_packing,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op6_language": language.op6_language,
+    "op7_topk": mtree.op7_topk,
     "op8_warc": warc.op8_warc,
+    "op9_packing": packing.op9_packing,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_topk": mtree.ORACLE,
+}

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import fresh_path, saved, table
+from codeloom.llm.common import fresh_path, opened, saved, table
 
 CRLF = b"\r\n"
 READ = 1 << 20
@@ -50,17 +50,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return made.compress("\r\n".join(head).encode() + CRLF + CRLF + block + CRLF + CRLF) + made.flush()
 
 
-def opened(uri: str, mode: str):
-    """A binary stream on any store that pyarrow knows by its URI (file, hdfs, s3, gs)."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    if mode == "r":
-        return store.open_input_stream(path)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
-
-
 def members(stream, size: int = READ) -> Iterator[bytes]:
     """The content of one gzip member after another, decompressed as bytes arrive."""
     held = b""
