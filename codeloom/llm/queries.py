@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.llm import language, mtree, packing, quality, toxicity, warc
+from codeloom.llm import decontaminate, language, mtree, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_toxicity": toxicity.op2_toxicity,
     "op6_language": language.op6_language,
     "op7_topk": mtree.op7_topk,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": decontaminate.ORACLE,
     "op7_topk": mtree.ORACLE,
 }
