@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codeloom.llm import decontaminate, language, mtree, packing, quality, toxicity, warc
+from codeloom.llm import decontaminate, language, language_model, mtree, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_lm_scoring": language_model.op3_lm_scoring,
     "op6_language": language.op6_language,
     "op7_topk": mtree.op7_topk,
     "op8_warc": warc.op8_warc,
