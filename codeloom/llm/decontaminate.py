@@ -118,6 +118,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                     F.sha2(F.array_join(got, ","), 256).alias("items_sha256"), ((n > 0) & (n * share >= F.col("n_words"))).alias("contaminated")))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated."""
+    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -394,6 +394,14 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     return rows.join(mapped, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest id of their component; equal rows of one id once.
+    Rows without an id cannot be named by a component and stay."""
+    ids = jaccard_components(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -120,6 +120,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that have a language: those that are not ``und``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def passes(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.predict(x)[0] != "und" for x in texts], dtype=bool)
+
+    return docs.where(F.pandas_udf(passes, "boolean")(F.col("text").cast("string")))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

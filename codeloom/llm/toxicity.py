@@ -179,6 +179,16 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def passes(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.score(x) < threshold for x in texts], dtype=bool)
+
+    return docs.where(F.pandas_udf(passes, "boolean")(F.col("text").cast("string")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
