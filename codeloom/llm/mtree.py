@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import fresh_path, opened, saved, table
 
 #: Vectors of a tree, entries of a page, queries of a block.
-TREE, PAGE, BLOCK = 8_192, 64, 1_024
+TREE, PAGE, BLOCK = 8_192, 256, 1_024
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -55,13 +55,20 @@ def lifted(v: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]])
 
 
+def exact(most: float) -> bool:
+    """Whether inner products of integer vectors with squared norms of at most ``most`` are exact in doubles."""
+    return most < 2.0 ** 52
+
+
 def build(ids: np.ndarray, vectors: np.ndarray, most: float, page: int = PAGE) -> Node:
     """Bulk load: entries go to the nearest of up to ``page`` routing vectors, recursively, until they fit a page."""
     points = lifted(vectors, most)
+    if exact(most):
+        vectors = vectors.astype(np.float64)
 
     def node(rows: np.ndarray, centre: np.ndarray) -> Node:
         if len(rows) <= page:
-            return Node(points[rows], np.linalg.norm(points[rows] - centre, axis=1), ids[rows], vectors[rows])
+            return Node(None, np.linalg.norm(points[rows] - centre, axis=1), ids[rows], vectors[rows])
         seeds = rows[np.linspace(0, len(rows) - 1, min(page, -(-2 * len(rows) // page))).astype(int)]
         heads = np.unique(points[seeds], axis=0)
         near = ((heads * heads).sum(1)[None] - 2 * points[rows] @ heads.T).argmin(1)
@@ -80,6 +87,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, most: float, page: int = PAGE) -
 def search(root: Node, centre: np.ndarray, query_id: int, q: np.ndarray, most: float, k: int, stats: dict | None = None) -> list[tuple[int, int]]:
     """The k best (score, vec_id) of a tree. A bound is loosened by the rounding of its distances, so none is lost."""
     x = np.append(q.astype(np.float64), 0.0)
+    q = x[:-1].copy() if exact(most) else q
     norm = float((x * x).sum()) + most
     slack = 1e-7 * (1.0 + norm ** 0.5)
     best: list[tuple[int, int]] = []  # heap of (score, -vec_id)
@@ -90,13 +98,19 @@ def search(root: Node, centre: np.ndarray, query_id: int, q: np.ndarray, most: f
         bound, _, node, d = heapq.heappop(queue)
         if bound > reach:
             break
-        low = np.abs(d - node.parent) - (0 if node.radius is None else node.radius)
+        low = np.abs(d - node.parent) if node.radius is None else np.abs(d - node.parent) - node.radius
         rows = np.flatnonzero(low <= reach)
         looked += len(rows)
         if node.children is None:
-            for score, i in zip((node.vectors[rows] @ q).tolist(), node.ids[rows].tolist(), strict=True):
+            if not len(rows):
+                continue
+            some = 2 * len(rows) < len(low)
+            scores = (node.vectors[rows] if some else node.vectors) @ q
+            own = rows if some else np.arange(len(low))
+            near = np.flatnonzero(scores >= best[0][0]) if len(best) == k else np.argsort(-scores, kind="stable")
+            for score, i in zip(scores[near].tolist(), node.ids[own[near]].tolist(), strict=True):
                 if i != query_id and (len(best) < k or (score, -i) > best[0]):
-                    (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (score, -i))
+                    (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (int(score), -i))
             if len(best) == k:
                 reach = max(norm - 2.0 * best[0][0], 0.0) ** 0.5 + slack
         else:
