@@ -24,3 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
+
+
+def load() -> None:
+    """Imports every module that registers queries."""
+    from codeloom.plans import projects, tables  # noqa: F401
