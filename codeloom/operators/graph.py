@@ -129,7 +129,7 @@ def reach(edges: DataFrame, roots: DataFrame, key: str = "project_id", depth: in
     return found
 
 
-def walk(files: DataFrame, symbols: DataFrame, imports: DataFrame, entries: DataFrame, key: str = "project_id", imports_of: int = 10, symbols_of: int = 10) -> DataFrame:
+def walk(files: DataFrame, symbols: DataFrame, imports: DataFrame, entries: DataFrame, key: str = "project_id", imports_of: int = 10, symbols_of: int = 10, modules: int = 30) -> DataFrame:
     """Steps of a preorder walk from the entry file: the first exported symbols of each file, then its first local imports.
 
     symbols (key, file_path, name, kind, line, exported); imports (key, from_file, to_file, line); entries (key, entry). A project is one group.
@@ -155,6 +155,10 @@ def walk(files: DataFrame, symbols: DataFrame, imports: DataFrame, entries: Data
 
     kind = files.schema[key].dataType.simpleString()
     steps = rows.groupBy(key).applyInPandas(run, f"{key} {kind}, step int, file string, symbol string, kind string, line int, depth int")
+    # a project without a step shows its first files
+    w = Window.partitionBy(key).orderBy("file_path")
+    rest = files.join(steps.select(key).distinct(), key, "left_anti").withColumn("step", F.row_number().over(w)).where(F.col("step") <= modules)
+    steps = steps.unionByName(rest.select(key, "step", F.col("file_path").alias("file"), X.basename("file_path").alias("symbol"), F.lit("module").alias("kind"), F.lit(1).alias("line"), F.lit(0).alias("depth")))
     return steps.withColumn("phase", X.phase(F.concat_ws(" ", "symbol", "file"), "kind")).withColumn("description", F.concat(F.col("symbol"), F.lit("() - "), "kind", F.lit(" in "), X.basename("file")))
 
 
