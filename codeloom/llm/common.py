@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -51,6 +52,18 @@ def opened(uri: str, mode: str):
     return store.open_output_stream(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Within it, jobs hand texts to Python ``rows`` at a time, so that a worker holds few whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
