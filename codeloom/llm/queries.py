@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from codeloom.llm import decontaminate, jaccard, language, language_model, mtree, packing, quality, toxicity, warc
+from codeloom.llm import decontaminate, jaccard, language, language_model, mtree, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_lm_scoring": language_model.op3_lm_scoring,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op5_sharding": sharding.op5_sharding,
     "op6_language": language.op6_language,
     "op7_topk": mtree.op7_topk,
     "op8_warc": warc.op8_warc,
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE,
     "op4_ngram_jaccard": jaccard.ORACLE,
+    "op5_sharding": sharding.ORACLE,
     "op7_topk": mtree.ORACLE,
 }
