@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.session import cut
 
 #: Extensions tried for an import, in order, first on the path itself and then on its index file.
 EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".py", ".java", ".cpp", ".c", ".h")
@@ -120,11 +121,14 @@ def knowledge_graph(files: DataFrame, symbols: DataFrame, edges: DataFrame, pack
 
 def reach(edges: DataFrame, roots: DataFrame, key: str = "project_id", depth: int = 10) -> DataFrame:
     """Files reached from each project's root with the smallest depth, by rounds of joins: each round meets only what the last one found."""
-    found = roots.select(key, F.col("root").alias("node"), F.lit(0).alias("depth"))
-    front = found
+    front = cut(roots.select(key, F.col("root").alias("node"), F.lit(0).alias("depth")))
+    found = front
+    hops = edges.select(key, F.col("source").alias("node"), "target")
     for d in range(1, depth + 1):
-        step = front.join(edges.select(key, F.col("source").alias("node"), "target"), [key, "node"]).select(key, F.col("target").alias("node"), F.lit(d).alias("depth")).distinct()
-        front = step.join(found.select(key, "node"), [key, "node"], "left_anti")
+        step = front.join(hops, [key, "node"]).select(key, F.col("target").alias("node"), F.lit(d).alias("depth")).distinct()
+        front = cut(step.join(found.select(key, "node"), [key, "node"], "left_anti"))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found
 

@@ -226,7 +226,7 @@ def test_views(files):
     assert "  User ||--o{ Post : posts" in views.mermaid_er(f, rel).first().text
     seq = views.mermaid_sequence(detect.routes(files)).where("project_id = 'shelf'").first().text
     assert seq.startswith("sequenceDiagram\n") and "Client->>Server: GET /health" in seq
-    tree = views.tree_text(views.tree_nodes(files)).where("project_id = 'tiny'").first().text
+    tree = {r.project_id: r.text for r in views.tree_text(views.tree_nodes(files)).collect()}["tiny"]
     assert tree == ".\n├── netlify.toml\n├── package.json\n└── src/\n    └── one.ts"
     nodes = graph.layer_nodes(files)
     text = views.mermaid_layers(nodes, graph.layer_edges(graph.local_edges(resolved(files)))).where("project_id = 'shelf'").first().text
