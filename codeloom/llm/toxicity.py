@@ -136,25 +136,32 @@ def learn(texts: list[str], labels: np.ndarray, shortest: int = 4, longest: int
     if not n1 or not n0:
         return Lexicon(base)
 
-    def terms(text: str) -> set[tuple[str, bool]]:
-        words = set(WORD.findall(fold(text)))
-        return {(x, True) for x in words if len(x) >= shortest} | {(x[:k], False) for x in words for k in range(shortest, min(longest, len(x) - 1) + 1)}
-
-    sets = [terms(t) for t in texts]
-    first = {frozenset(x): k for k, x in reversed(list(enumerate(sets)))}  # copies of a text are no further evidence
-    toxic: Counter = Counter(t for k in first.values() if labels[k] == 1 for t in sets[k])
-    toxic = Counter({t: n for t, n in toxic.items() if n >= max(least, share * n1)})
-    clean: Counter = Counter(t for k in first.values() if labels[k] == 0 for t in sets[k] & toxic.keys())
+    def terms(words: set[str]) -> set[str]:
+        """Whole words (with a mark at their end) and word beginnings."""
+        return {x + "$" for x in words if len(x) >= shortest} | {x[:k] for x in words for k in range(shortest, min(longest, len(x) - 1) + 1)}
+
+    # copies of a text are no further evidence; one text's terms are held at a time
+    seen: set[int] = set()
+    toxic: Counter = Counter()
+    clean: Counter = Counter()
+    for kind, counter in ((1, toxic), (0, clean)):
+        for text, label in zip(texts, labels, strict=True):
+            if label == kind:
+                words = set(WORD.findall(fold(text)))
+                if (key := hash(frozenset(words))) not in seen:
+                    seen.add(key)
+                    counter.update(terms(words) if kind == 1 else terms(words) & toxic.keys())
+        if kind == 1:
+            toxic = Counter({t: n for t, n in toxic.items() if n >= max(least, share * n1)})
     weight = {t: float(np.log((n + 0.5) / (n1 + 1)) - np.log((clean[t] + 0.5) / (n0 + 1))) for t, n in toxic.items()}
     sure = {t: w for t, w in weight.items() if w >= odds}
     found: dict[str, tuple[float, bool]] = {}
-    for term in sorted(sure, key=lambda x: (len(x[0]), x[1], x[0])):
-        if any(term[0][:k] in found and not found[term[0][:k]][1] for k in range(shortest, len(term[0]) + 1)):
+    for term in sorted(sure, key=lambda x: (len(x.rstrip("$")), x)):
+        if any(term[:k] in found and not found[term[:k]][1] for k in range(shortest, len(term) + 1)):
             continue
         # the longest term that nearly all of these texts have says more: a whole word rather than its beginning
-        alike = [t for t in sure if t[0].startswith(term[0]) and toxic[t] >= 0.9 * toxic[term]]
-        best = max(alike, key=lambda t: (len(t[0]), t[1]))
-        found[best[0]] = (sure[best], best[1])
+        best = max((t for t in sure if t.startswith(term) and toxic[t] >= 0.9 * toxic[term]), key=lambda t: (len(t), t))
+        found[best.rstrip("$")] = (sure[best], best.endswith("$"))
     lexicon = Lexicon(base | found)
     x = np.array([lexicon.features(t) for t in texts])
     lexicon.curve = tuple(float(v) for v in logistic(x, (labels == 1).astype(float)))
