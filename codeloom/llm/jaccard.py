@@ -35,7 +35,7 @@ from codeloom.llm.hashing import mix, shingle_set, word_hashes
 
 SIZE, PERCENT = 3, 90
 #: Token counts that are broadcast; classes of a bucket that one task takes together; bits of the filter of candidate classes.
-ORDERED, BUCKET, FILTER_BITS = 500_000, 2_000, 1 << 23
+ORDERED, BUCKET, FILTER_BITS = 6_000_000, 2_000, 1 << 23
 TOGETHER = 2_000_000
 SEEN = 1_000_000
 
@@ -85,9 +85,9 @@ def classes(docs: DataFrame, size: int, percent: int, buckets: int) -> tuple[Dat
         new, rows, low, held = _New(), [], [], 0
 
         def out() -> pd.DataFrame:
-            made = pd.DataFrame(rows, columns=["doc_id", "n", "node"]).assign(bucket=-1, keys=None, counts=None)
-            made["doc_id"] = made.doc_id.astype("Int64")
-            made["node"] = made.node.astype("Int64")
+            # whole numbers beside nulls: never by way of floats
+            whole = lambda k: pd.array([r[k] for r in rows], dtype="Int64")
+            made = pd.DataFrame({"doc_id": whole(0), "n": whole(1), "node": whole(2), "bucket": -1, "keys": None, "counts": None})
             if low:
                 keys, counts = np.unique(np.concatenate(low), return_counts=True)
                 edge = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets))
@@ -98,7 +98,7 @@ def classes(docs: DataFrame, size: int, percent: int, buckets: int) -> tuple[Dat
         for doc_id, tokens in _sets(batches, size):
             n = len(tokens)
             node = class_id(tokens) if n else None
-            rows.append((doc_id, n, node))
+            rows.append((None if doc_id is None or doc_id != doc_id else int(doc_id), n, node))
             if n and new(node):
                 low.append(tokens[:2 * prefix_size(n, percent) + 8])
                 held += len(low[-1])
@@ -136,10 +136,17 @@ def rarity(counts: DataFrame, most: int = ORDERED) -> tuple[np.ndarray, np.ndarr
         least = r["q"]
     if least is None:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8)
-    got = counts.where(step >= least).select("h", step.alias("q")).toPandas()
-    keys = got.h.to_numpy(dtype=np.int64).view(np.uint64)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(batch.h.to_numpy(dtype="<i8").tobytes(), batch.q.to_numpy(dtype="u1").tobytes())], columns=["h", "q"])
+
+    # row by row: the driver never holds them as rows
+    got = counts.where(step >= least).select("h", step.alias("q")).mapInPandas(pack, "h binary, q binary").toLocalIterator()
+    parts = [(np.frombuffer(r["h"], "<u8"), np.frombuffer(r["q"], "u1")) for r in got]
+    keys, q = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
     order = np.argsort(keys)
-    return keys[order], got.q.to_numpy(dtype=np.uint8)[order]
+    return keys[order], q[order]
 
 
 def prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:

@@ -145,6 +145,10 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
     schema = RECORD_SCHEMA + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        # whole numbers beside nulls: never by way of floats
+        return pd.DataFrame({n: pd.array([r[n] for r in rows], dtype="Int64") if n in ("page_id", "refers_to") else pd.Series([r[n] for r in rows]) for n in names})
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch.path:
@@ -154,9 +158,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
                         rows.append(read_record(data))
                         held += len(data) if with_payload else 200
                         if held > 8 << 20:
-                            yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64", "page_id": "Int64"})
+                            yield frame(rows)
                             rows, held = [], 0
-                yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64", "page_id": "Int64"})
+                yield frame(rows)
 
     n = manifest.count()
     return manifest.select("path").repartition(max(1, min(n, 10_000))).mapInPandas(read, schema)
