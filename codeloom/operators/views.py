@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.session import cut
 
 P = "project_id"
 
@@ -85,7 +86,7 @@ def mermaid_flow(steps: DataFrame) -> DataFrame:
 def tree_nodes(files: DataFrame) -> DataFrame:
     """Files and the folders above them: project_id, path, parent_path, name, depth, type, size_kb, language, is_last."""
     parts = F.split("file_path", "/")
-    folders = files.select(P, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).where("path <> ''").distinct()
+    folders = files.where(F.size(parts) > 1).select(P, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).where("path <> ''").distinct()
     every = files.select(P, F.col("file_path").alias("path"), F.lit("file").alias("type"), "size_kb", "language").unionByName(folders.select(P, "path", F.lit("directory").alias("type"), F.lit(None).cast("double").alias("size_kb"), F.lit(None).cast("string").alias("language")))
     every = every.withColumn("parent_path", F.when(F.instr("path", "/") > 0, X.dirname("path")).otherwise("")).withColumn("name", X.basename("path")).withColumn("depth", F.size(F.split("path", "/")) - 1)
     order = [(F.col("type") == "directory"), F.collate("name", "UNICODE")]
@@ -94,7 +95,9 @@ def tree_nodes(files: DataFrame) -> DataFrame:
 
 
 def tree_text(nodes: DataFrame) -> DataFrame:
-    """One drawing a project; the order of a node is the chain of positions above it."""
+    """One drawing a project; the order of a node is the chain of positions above it. The nodes are joined with themselves, so they are
+    written first and windows over them run once."""
+    nodes = cut(nodes)
     up = nodes.select(P, "path", "position", "is_last")
     chain = nodes.withColumn("above", F.transform(F.sequence(F.lit(1), F.col("depth") + 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/")))
     each = chain.select(P, "path", "name", "type", "depth", F.posexplode("above").alias("i", "a")).join(up.select(P, F.col("path").alias("a"), F.col("position").alias("p_"), F.col("is_last").alias("l_")), [P, "a"])
