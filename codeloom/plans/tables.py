@@ -173,9 +173,10 @@ c as (select vec_id, label, cast(embedding as double[]) as v from embeddings),
 s as (select q.vec_id as query_id, c.vec_id as id, c.label, list_cosine_similarity(q.v, c.v) as score from q, c where q.vec_id <> c.vec_id)"""
 
 
-def _hits(spark, sf_dir):
+def _hits(spark, sf_dir, asked="vec_id < 5"):
+    """Scores of the rows that ``asked`` chooses as queries with all other rows; the default is that of _COS."""
     e = t(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.scored(e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), q).where("id <> query_id")
 
 
@@ -191,6 +192,20 @@ def topk_per_label(spark, sf_dir):
     return retrieval.best_per(_hits(spark, sf_dir), "label").select("query_id", "label", "id", F.round("score", 6).alias("score"))
 
 
+#: Queries of the whole job: the rows whose id is divisible by 20, at every table size. No SQL: all pairs are too many for it on whole tables.
+_ASKED = "vec_id % 20 = 0"
+
+
+@query("topk_similar_whole")
+def topk_similar_whole(spark, sf_dir):
+    return retrieval.top_k(_hits(spark, sf_dir, _ASKED), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("topk_per_label_whole")
+def topk_per_label_whole(spark, sf_dir):
+    return retrieval.best_per(_hits(spark, sf_dir, _ASKED), "label").select("query_id", "label", "id", F.round("score", 6).alias("score"))
+
+
 @query("zero_vector_quality", """
 with z as (select count(*) as n, count(*) filter (where len(list_filter(embedding, lambda x: x <> 0)) = 0) as k from embeddings)
 select n as n_vectors, k as n_zero, k * 100.0 / n as zero_percent, case when k * 100.0 / n > 50 then 'error' when k * 100.0 / n > 20 then 'warning' else 'ok' end as status from z""")
@@ -226,8 +241,17 @@ def cell_index(spark, sf_dir):
 
 @query("hit_filter_modes", _COS + """select query_id, count(*) filter (where score > 0.3) as strict, count(*) filter (where score >= 0.3) as inclusive, round(max(greatest(0, 1 - (1 - score))), 6) as best from s group by query_id""")
 def hit_filter_modes(spark, sf_dir):
+    return _modes(_hits(spark, sf_dir))
+
+
+@query("hit_filter_modes_whole")
+def hit_filter_modes_whole(spark, sf_dir):
+    return _modes(_hits(spark, sf_dir, _ASKED))
+
+
+def _modes(hits: DataFrame) -> DataFrame:
     s = F.col("score")
-    return _hits(spark, sf_dir).groupBy("query_id").agg(F.count_if(s > 0.3).alias("strict"), F.count_if(s >= 0.3).alias("inclusive"), F.round(F.max(F.greatest(F.lit(0.0), 1 - (1 - s))), 6).alias("best"))
+    return hits.groupBy("query_id").agg(F.count_if(s > 0.3).alias("strict"), F.count_if(s >= 0.3).alias("inclusive"), F.round(F.max(F.greatest(F.lit(0.0), 1 - (1 - s))), 6).alias("best"))
 
 
 # -- conversations ---------------------------------------------------------------------------------------------------
