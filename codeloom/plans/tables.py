@@ -460,6 +460,18 @@ def incident_edges(spark, sf_dir):
     return relational.incident(e, t(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'"), "c_custkey", "source", "target")
 
 
+@query("incident_edges_whole", """
+with n as (select c_custkey from customer where c_mktsegment = 'MACHINERY'), e as (select distinct o_custkey as source, o_orderkey as target from orders)
+select source, target from e where source in (select c_custkey from n) or target in (select c_custkey from n)""")
+def incident_edges_whole(spark, sf_dir):
+    return relational.incident(_order_edges(spark, sf_dir), t(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'"), "c_custkey", "source", "target")
+
+
+def _order_edges(spark, sf_dir):
+    """An edge from the customer to the order for every order, by their whole keys; an order's key can be a customer's, so paths go on."""
+    return t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target")).distinct()
+
+
 @query("element_match", "select distinct o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
 def element_match(spark, sf_dir):
     rows = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))).alias("o"))
@@ -560,6 +572,15 @@ def recursive_reach(spark, sf_dir):
     return graph.reach(o, roots, depth=6).select("node", "depth")
 
 
+@query("recursive_reach_whole", """
+with recursive e as (select distinct o_custkey as source, o_orderkey as target from orders),
+r as (select cast(30 as bigint) as node, 0 as depth union select e.target, r.depth + 1 from r join e on e.source = r.node where r.depth < 6)
+select node, cast(min(depth) as int) as depth from r group by node""")
+def recursive_reach_whole(spark, sf_dir):
+    roots = spark.createDataFrame([(0, 30)], "project_id int, root long")
+    return graph.reach(_order_edges(spark, sf_dir).withColumn("project_id", F.lit(0)), roots, depth=6).select("node", "depth")
+
+
 @query("cycles", """
 with recursive e as (select distinct o_custkey % 40 as source, (o_custkey % 40 * 3 + 1) % 40 as target from orders),
 r as (select source as root, target as node, 1 as n, cast(source as varchar) as p, source as low from e union all select r.root, e.target, r.n + 1, r.p || ' > ' || r.node, least(r.low, r.node) from r join e on e.source = r.node where r.node <> r.root and r.n < 45)
@@ -570,6 +591,15 @@ def cycles(spark, sf_dir):
     return found.select(F.array_join(F.transform(F.split("cycle", " > "), lambda x: x.cast("int").cast("string")), " > ").alias("cycle"))
 
 
+@query("cycles_whole")
+def cycles_whole(spark, sf_dir):
+    """Cycles that the back edges of a depth-first walk close; all simple cycles of this graph are too many for recursive SQL."""
+    key = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
+    found = graph.cycles(_order_edges(spark, sf_dir).select(F.lit(1).alias("project_id"), key("source").alias("source"), key("target").alias("target")))
+    found = found.select(graph.canonical_cycle("cycle").alias("cycle")).distinct()
+    return found.select(F.array_join(F.transform(F.split("cycle", " > "), lambda x: x.cast("long").cast("string")), " > ").alias("cycle"))
+
+
 @query("library_rollup", r"""
 with w as (select doc_id, source, lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) as lib from documents)
 select lib, count(*) as usage_count, count(distinct doc_id) as n_files, count(distinct source) as n_specifiers, lib in ('the', 'of') as is_dev from w where length(lib) <= 4 group by lib""")

@@ -36,3 +36,13 @@ def test_searches_ask_every_twentieth_row(spark, tables):
     assert {(r.query_id, r["rank"]): (r.id, r.score) for r in run("topk_similar_whole")} == best
     assert {(r.query_id, r.label): r.id for r in run("topk_per_label_whole")} == labels
     assert {r.query_id: (r.strict, r.inclusive, r.best) for r in run("hit_filter_modes_whole")} == modes
+
+
+def test_graphs_of_whole_orders(spark, tables):
+    # 30 > 2001 > 7004 and 30 > 41 > 81 > 30; 40 > 80 > 40; 3 is beside them; every id would be cut or folded by the old filters
+    edges = [(30, 2001), (2001, 7004), (30, 41), (41, 81), (81, 30), (40, 80), (80, 40), (3, 5000), (3, 5000)]
+    at = tables(orders=(edges, "o_custkey long, o_orderkey long"), customer=([(7004, "MACHINERY"), (3, "MACHINERY"), (30, "BUILDING")], "c_custkey long, c_mktsegment string"))
+    run = lambda name: registry.QUERIES[name](spark, at).collect()
+    assert sorted((r.node, r.depth) for r in run("recursive_reach_whole")) == [(30, 0), (41, 1), (81, 2), (2001, 1), (7004, 2)]
+    assert sorted(r.cycle for r in run("cycles_whole")) == ["30 > 41 > 81 > 30", "40 > 80 > 40"]
+    assert sorted((r.source, r.target) for r in run("incident_edges_whole")) == [(3, 5000), (2001, 7004)]
