@@ -318,6 +318,12 @@ def file_refs(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.explode(X.file_references(said)).alias("file_path"))
 
 
+@query("file_refs_whole")
+def file_refs_whole(spark, sf_dir):
+    """File names anywhere in the documents."""
+    return t(spark, sf_dir, "documents").select("doc_id", F.explode(X.file_references("text")).alias("file_path"))
+
+
 @query("answer_cache", """
 with c as (select sha256(text) as k, max(turn) as turn from conversations where role = 'user' group by 1)
 select q.conv_id, q.turn, 'chat_' || sha256(q.text) as cache_key, c.turn >= 3 as from_cache from conversations q join c on c.k = sha256(q.text) where q.role = 'user'""")
@@ -611,6 +617,17 @@ def library_rollup(spark, sf_dir):
     return library_usage(own, "lib", "doc_id", "source", ("the", "of")).withColumnRenamed("name", "lib")
 
 
+@query("library_rollup_whole", r"""
+with w as (select doc_id, source, lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) as lib from documents)
+select lib, count(*) as usage_count, count(distinct doc_id) as n_files, count(distinct source) as n_specifiers, lib in ('the', 'of') as is_dev from w group by lib""")
+def library_rollup_whole(spark, sf_dir):
+    """Every word of the documents, of whatever length."""
+    from codeloom.operators.detect import library_usage
+
+    d = t(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"), F.lit(1))).alias("w"))
+    return library_usage(d.select(F.lower("w").alias("lib"), "doc_id", "source"), "lib", "doc_id", "source", ("the", "of")).withColumnRenamed("name", "lib")
+
+
 @query("concept_index", """
 select lang as concept, string_agg(distinct source, ',' order by source) as technologies, count(distinct source) as n from documents join labels on labels.doc_id = documents.doc_id where quality = 1 group by lang""")
 def concept_index(spark, sf_dir):

@@ -46,3 +46,12 @@ def test_graphs_of_whole_orders(spark, tables):
     assert sorted((r.node, r.depth) for r in run("recursive_reach_whole")) == [(30, 0), (41, 1), (81, 2), (2001, 1), (7004, 2)]
     assert sorted(r.cycle for r in run("cycles_whole")) == ["30 > 41 > 81 > 30", "40 > 80 > 40"]
     assert sorted((r.source, r.target) for r in run("incident_edges_whole")) == [(3, 5000), (2001, 7004)]
+
+
+def test_words_and_references_of_whole_texts(spark, tables):
+    texts = ["Of libraries: the Libraries of a house", "first words, then `lib/a.py` and file:docs/b.md\nat the end src/c/d.ts, `lib/a.py` again", "nothing", None]
+    at = tables(documents=([(i, x, f"s{i % 2}") for i, x in enumerate(texts)], "doc_id long, text string, source string"))
+    run = lambda name: registry.QUERIES[name](spark, at).collect()
+    words = {r.lib: (r.usage_count, r.n_files, r.n_specifiers, r.is_dev) for r in run("library_rollup_whole")}
+    assert words["libraries"] == (2, 1, 1, False) and words["nothing"] == (1, 1, 1, False) and words["the"] == (2, 2, 2, True) and words["house"] == (1, 1, 1, False)
+    assert sorted((r.doc_id, r.file_path) for r in run("file_refs_whole")) == [(1, "docs/b.md"), (1, "lib/a.py"), (1, "src/c/d.ts")]
