@@ -8,7 +8,9 @@ scoring takes several rounds, each over the pairs whose filters it has.
 
 Scoring: a level is found by probing (n-gram, 1), (n-gram, 2), ... until one is missing. The probability of a token after another
 is w_q * c(pair)/c(first) + (1 - w_q) * (c(token) + 0.5)/(N + 0.5 (V + 1)), with counts restored from levels and a weight for each
-level q of the first word, fitted by expectation maximisation on a bounded sample of training documents, each left out of its own counts.
+level q of the first word, fitted by expectation maximisation over all training documents, each token left out of its own counts. What a
+token adds to the fit follows from three levels (first word, pair, token), so one pass through each round's filters counts the tokens of every
+triple of levels, at most ``LEVELS`` ** 3 numbers whatever the corpus, and the maximisation runs over those counts.
 
 The base score needs exact counts: the ``HEAD`` most frequent words are broadcast, all other tokens join the count table
 by fingerprint, summed within their document before.
@@ -26,14 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import held_out_flag, sample_by_hash, saved, small_batches, table
+from codeloom.llm.common import held_out_flag, saved, small_batches, table
 from codeloom.llm.hashing import chained, mix, word_hashes
 
 MOD, HELD = 5, 1
 #: Quantisation base, bits of an entry, hash functions.
 BASE, BITS, PROBES = 1.5, 8, 3
-#: Pair filters broadcast at a time; words with broadcast counts; documents that interpolation weights are fitted on.
-MAX_BYTES, HEAD, FITTED = 256 << 20, 1 << 18, 400
+#: Pair filters broadcast at a time; words with broadcast counts.
+MAX_BYTES, HEAD = 256 << 20, 1 << 18
 #: Tokens counted or scored together.
 TOGETHER = 250_000
 END = np.uint64(0x5851F42D4C957F2D)
@@ -169,42 +171,77 @@ class Filters:
         return found
 
 
+def estimates(first: np.ndarray, pair: np.ndarray, token: np.ndarray, n: int, v: int, less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(c(pair)/c(first), probability of the token alone) from levels; less: taken off each count."""
+    c = np.maximum(RESTORED[pair] - less, 0)
+    ratio = np.minimum(c / np.maximum(RESTORED[first] - less, 1e-9), 1.0) * (RESTORED[first] > less)
+    return ratio, (np.maximum(RESTORED[token] - less, 0) + 0.5) / (n + 0.5 * (v + 1))
+
+
 class Scorer:
-    """Log10 probabilities of tokens from filters, N, V and interpolation weights."""
+    """Levels and log10 probabilities of tokens from filters, N and V."""
 
-    def __init__(self, words: Filters, grams: Filters, n: int, v: int, weights: np.ndarray):
-        self.words, self.grams, self.n, self.v, self.weights = words, grams, n, v, weights
+    def __init__(self, words: Filters, grams: Filters, n: int, v: int):
+        self.words, self.grams, self.n, self.v = words, grams, n, v
 
-    def parts(self, t: np.ndarray, starts: np.ndarray, less: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(level of the first word, c(pair)/c(first), probability of the token alone, whether the pair's filter is here); less: taken off each count."""
+    def levels(self, t: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(level of the first word, of the pair, of the token, whether the pair's filter is here)."""
         before, keys = pairs(t, starts)
         single, back = np.unique(t, return_inverse=True)
-        q = self.words.levels(single)
-        alone = (np.maximum(RESTORED[q] - less, 0) + 0.5) / (self.n + 0.5 * (self.v + 1))
-        first = np.where(before == END, self.words.levels(np.array([END]))[0], q[back][np.maximum(np.arange(len(t)) - 1, 0)])
+        q = self.words.levels(single)[back]
+        first = np.where(before == END, self.words.levels(np.array([END]))[0], q[np.maximum(np.arange(len(t)) - 1, 0)])
         double, twice = np.unique(keys, return_inverse=True)
-        c = np.maximum(RESTORED[self.grams.levels(double)] - less, 0)[twice]
-        return first, np.minimum(c / np.maximum(RESTORED[first] - less, 1e-9), 1.0) * (RESTORED[first] > less), alone[back], self.grams.holds(double)[twice]
+        return first, self.grams.levels(double)[twice], q, self.grams.holds(double)[twice]
 
-    def log10(self, t: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        first, ratio, alone, here = self.parts(t, starts)
-        w = self.weights[first]
+    def log10(self, t: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        first, pair, token, here = self.levels(t, starts)
+        ratio, alone = estimates(first, pair, token, self.n, self.v)
+        w = weights[first]
         return np.where(here, np.log10(w * ratio + (1 - w) * alone), 0.0)
 
 
-def fitted(docs: list[np.ndarray], words: Filters, grams: Filters, n: int, v: int, rounds: int = 20) -> np.ndarray:
-    """Weight of the pair estimate for each level of the first word; the sampled documents are left out of the counts."""
-    weights = np.full(LEVELS, 0.2)
-    if not docs:
-        return weights
-    sizes = np.array([len(x) for x in docs])
-    first, ratio, alone, here = Scorer(words, grams, n, v, weights).parts(np.concatenate(docs), np.cumsum(sizes) - sizes, 1.0)
-    first, ratio, alone = first[here], ratio[here], alone[here]
-    seen = np.bincount(first, minlength=LEVELS)
+def level_counts(docs: DataFrame, sent) -> np.ndarray:
+    """Training tokens of each (first word, pair, token) triple of levels, of the pairs whose filters are sent."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(LEVELS ** 3, dtype=np.int64)
+
+        def add(held: list[np.ndarray]) -> None:
+            size = np.array([len(x) for x in held])
+            first, pair, token, here = sent.value.levels(np.concatenate(held), np.cumsum(size) - size)
+            code, n = np.unique(((first * LEVELS + pair) * LEVELS + token)[here], return_counts=True)
+            found[code] += n
+
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.text[~held_out_flag(batch.doc_id, MOD, HELD)]:
+                held.append(tokens(text))
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    add(held)
+                    held, size = [], 0
+        if held:
+            add(held)
+        code = np.flatnonzero(found)
+        yield pd.DataFrame({"code": code, "n": found[code]})
+
+    with small_batches(docs.sparkSession):
+        got = docs.select("doc_id", "text").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most LEVELS ** 3 rows
+    out = np.zeros(LEVELS ** 3, dtype=np.int64)
+    out[got.code.to_numpy(dtype=np.int64)] = got.n.to_numpy(dtype=np.int64)
+    return out
+
+
+def fitted(counts: np.ndarray, n: int, v: int, rounds: int = 20) -> np.ndarray:
+    """Weight of the pair estimate for each level of the first word, from level_counts; each token is left out of its counts."""
+    code = np.flatnonzero(counts)
+    first, seen = code // LEVELS ** 2, counts[code].astype(np.float64)
+    ratio, alone = estimates(first, code // LEVELS % LEVELS, code % LEVELS, n, v, 1.0)
+    weights, total = np.full(LEVELS, 0.2), np.bincount(first, seen, minlength=LEVELS)
     for _ in range(rounds):
         w = weights[first]
-        share = w * ratio / np.maximum(w * ratio + (1 - w) * alone, 1e-300)
-        weights = (np.bincount(first, share, minlength=LEVELS) + 0.2) / (seen + 1.0)
+        share = seen * w * ratio / np.maximum(w * ratio + (1 - w) * alone, 1e-300)
+        weights = (np.bincount(first, share, minlength=LEVELS) + 0.2) / (total + 1.0)
     return np.clip(weights, 1e-4, 0.9999)
 
 
@@ -227,18 +264,20 @@ def score_documents(docs: DataFrame, max_bytes: int = MAX_BYTES, head: int = HEA
         if rounds[-1] and sum(sizes[x] for x in rounds[-1]) + sizes[k] > max_bytes:
             rounds.append([])
         rounds[-1].append(k)
-    sample = sample_by_hash(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % MOD != HELD, F.lit(True))), "doc_id", FITTED)
-    texts = [tokens(x) for x in sample.toPandas().text]
 
-    def run_with(sent, first: bool):
+    def send(chosen: list[int]):
+        got = grams.where((F.col("kind") == PAIR) & F.col("bucket").isin(chosen)).select("bucket", "bits").toLocalIterator() if chosen else []
+        return spark.sparkContext.broadcast(Scorer(words, Filters(buckets, {r["bucket"]: bytes(r["bits"]) for r in got}), n, v))
+
+    def run_with(sent, weights: np.ndarray, first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scorer, keys, logs = sent.value
+            scorer, (keys, logs) = sent.value, heads.value
 
             def out(rows: pd.DataFrame, held: list[np.ndarray]) -> pd.DataFrame:
                 t = np.concatenate(held)
                 size = np.array([len(x) for x in held])
                 starts = np.cumsum(size) - size
-                made = {"row_": rows.row_.to_numpy(), "score": np.add.reduceat(scorer.log10(t, starts), starts)}
+                made = {"row_": rows.row_.to_numpy(), "score": np.add.reduceat(scorer.log10(t, starts, weights), starts)}
                 if first:
                     at = np.minimum(np.searchsorted(keys, t), max(len(keys) - 1, 0))
                     known = keys[at] == t if len(keys) else np.zeros(len(t), dtype=bool)
@@ -265,19 +304,25 @@ def score_documents(docs: DataFrame, max_bytes: int = MAX_BYTES, head: int = HEA
     numbered = docs.withColumn("row_", F.monotonically_increasing_id())
     if len(rounds) > 1:
         numbered = saved(numbered, "numbered")  # all rounds name a row alike
-    weights, scored, parts = None, None, []
+    heads = spark.sparkContext.broadcast((head_keys, head_log))
+    counted, sent = np.zeros(LEVELS ** 3, dtype=np.int64), None
+    for chosen in rounds:
+        if sent is not None:
+            sent.unpersist()
+        sent = send(chosen)
+        counted += level_counts(docs, sent)
+    weights = fitted(counted, n, v)
+    scored, parts = None, []
     for k, chosen in enumerate(rounds):
-        got = grams.where((F.col("kind") == PAIR) & F.col("bucket").isin(chosen)).select("bucket", "bits").toLocalIterator() if chosen else []
-        here = Filters(buckets, {r["bucket"]: bytes(r["bits"]) for r in got})
-        if weights is None:
-            weights = fitted(texts, words, here, n, v)
-        sent = spark.sparkContext.broadcast((Scorer(words, here, n, v, weights), head_keys, head_log))
+        if len(rounds) > 1:
+            sent.unpersist()
+            sent = send(chosen)
         schema = "row_ long, score double" + (", doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, tail array<long>" if k == 0 else "")
         with small_batches(spark):
-            done = saved(numbered.mapInPandas(run_with(sent, k == 0), schema), "scored")
+            done = saved(numbered.mapInPandas(run_with(sent, weights, k == 0), schema), "scored")
         scored = done if k == 0 else scored
         parts.append(done.select("row_", "score"))
-        sent.unpersist()
+    sent.unpersist()
     tail = (scored.select("row_", F.explode("tail").alias("h")).groupBy("row_", "h").agg(F.count("*").alias("k")).join(counts, "h", "left")
             .groupBy("row_").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("tail_sum"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tail_known")))
     out = scored.drop("tail").join(tail, "row_", "left")

@@ -176,6 +176,50 @@ def test_language_model_counts(spark):
     assert language_model.score_documents(docs(spark, [])).count() == 0
 
 
+def brute_scores(texts, buckets):
+    """Scores by loops over all tokens, with the weights that every training document gives; filters are made from exact counts."""
+    lm = language_model
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % lm.MOD == lm.HELD
+    toks = [lm.tokens(x) for _, x in texts]
+    grams = [lm.pairs(x, np.array([0])) for x in toks]
+    train = [k for k, (i, _) in enumerate(texts) if not held(i)]
+    made = []
+    for parts in ([toks[k] for k in train], [grams[k][1] for k in train]):
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        at = lm.Filters(buckets, {}).bucket(keys)
+        made.append((lm.Filters(buckets, {int(b): lm.bloom(keys[at == b], lm.level(counts[at == b])).tobytes() for b in set(at)}), counts.sum(), len(keys)))
+    (words, n, v), (pair, _, _) = made
+
+    def seen(k, less):
+        first, q, own = (lm.RESTORED[f.levels(x)] for f, x in ((words, grams[k][0]), (pair, grams[k][1]), (words, toks[k])))
+        ratio = [min(max(c - less, 0) / (f - less), 1.0) if f > less else 0.0 for c, f in zip(q, first, strict=True)]
+        return words.levels(grams[k][0]), np.array(ratio), (np.maximum(own - less, 0) + 0.5) / (n + 0.5 * (v + 1)), pair.sizes[pair.bucket(grams[k][1])] > 0
+
+    fit, weights = [seen(k, 1.0) for k in train], np.full(lm.LEVELS, 0.2)
+    for _ in range(20):
+        top, under = np.full(lm.LEVELS, 0.2), np.ones(lm.LEVELS)
+        for first, ratio, alone, here in fit:
+            w = weights[first]
+            np.add.at(top, first[here], (w * ratio / np.maximum(w * ratio + (1 - w) * alone, 1e-300))[here])
+            np.add.at(under, first[here], 1)
+        weights = top / under
+    weights = np.clip(weights, 1e-4, 0.9999)
+    out = []
+    for k in range(len(texts)):
+        first, ratio, alone, here = seen(k, 0.0)
+        out.append(float(np.where(here, np.log10(weights[first] * ratio + (1 - weights[first]) * alone), 0.0).sum()))
+    return out
+
+
+def test_language_model_weights_are_of_all_documents(spark):
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{int(x)}" for x in (rng.zipf(1.5, 12) % 60 if i % 3 else np.arange(12) + i % 7))) for i in range(700)]
+    want = brute_scores(texts, 16)
+    for max_bytes in (256 << 20, 600):  # one round, and several
+        got = {r.doc_id: r.score for r in language_model.score_documents(docs(spark, texts), head=20, buckets=16, max_bytes=max_bytes).collect()}
+        assert [got[i] for i, _ in texts] == pytest.approx(want)
+
+
 def test_bloom_levels():
     keys = np.arange(5_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     q = (np.arange(5_000) % 7 + 1).astype(np.int64)
