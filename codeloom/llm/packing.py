@@ -127,11 +127,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         cut, PIECES + (", ids array<long>" if with_ids else ""))
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, triples: int = 64) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths, each with the number of sequences that use it; every pattern sums to at most capacity.
-
-    triples: how many first lengths are tried, longest first, for a triple that fills a gap exactly.
-    """
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths, each with the number of sequences that use it; every pattern sums to at most capacity."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         if not 0 < length <= capacity:
@@ -145,19 +142,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, triples: int = 64) ->
         ok = (left[a] > 0) & (left[gap - a] > 0) & ((a * 2 != gap) | (left[a] > 1))
         return (int(a[k]), int(gap - a[k])) if a.size and ok[k := int(ok.argmax())] else None
 
+    def triple(gap: int) -> tuple[int, ...] | None:
+        """The triple of available lengths that sums to gap and has the longest first; every first length is tried.
+
+        Lengths as bits, forward and backward, tell at once whether any pair sums to the rest; how often each is there, pair() looks up.
+        """
+        bits = int.from_bytes(np.packbits(left > 0, bitorder="little").tobytes(), "little")
+        back = int.from_bytes(np.packbits(left[::-1] > 0, bitorder="little").tobytes(), "little")
+        for a in (np.flatnonzero(left[1:gap] > 0)[::-1] + 1).tolist():
+            if 3 * a < gap:
+                break
+            if not bits & (back >> (capacity - gap + a)):
+                continue
+            left[a] -= 1
+            rest = pair(gap - a, a)
+            left[a] += 1
+            if rest:
+                return a, *rest
+        return None
+
     def fill(gap: int) -> tuple[int, ...]:
         taken: list[int] = []
         while gap > 0:
             if left[gap] > 0:
                 found: tuple[int, ...] | None = (gap,)
-            elif not (found := pair(gap, gap)):
-                for a in np.flatnonzero(left[1:gap] > 0)[::-1][:triples] + 1:
-                    left[a] -= 1
-                    rest = pair(gap - int(a), int(a))
-                    left[a] += 1
-                    if rest:
-                        found = (int(a), *rest)
-                        break
+            else:
+                found = pair(gap, gap) or triple(gap)
             if found:
                 for x in found:
                     left[x] -= 1

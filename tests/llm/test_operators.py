@@ -116,6 +116,22 @@ def test_packing_plan():
     assert packing.plan({}, 64) == []
 
 
+def test_packing_plan_tries_every_first_length_of_a_triple():
+    counts = dict.fromkeys([600, 160, 165, 175, *range(401, 471)], 1)  # below the gap of 500, 175 is the 71st length
+    assert packing.plan(counts, 1100)[0] == ((600, 175, 165, 160), 1)
+    rng = np.random.default_rng(2)
+    counts = Counter(int(x) for x in rng.integers(1, 260, 2_000))
+    made = packing.plan(counts, 700)
+    assert sum((Counter({k: v * n for k, v in Counter(p).items()}) for p, n in made), Counter()) == counts
+    left = counts.copy()
+    for pattern, n in made:  # where a triple fills the gap after the first length, the pattern is full
+        one = left - Counter(pattern[:1])
+        gap, have = 700 - pattern[0], sorted(one)
+        exact = any(one - Counter((a, b, gap - a - b)) + Counter((a, b, gap - a - b)) == one for a in have for b in have if a >= b >= gap - a - b > 0)
+        assert sum(pattern) == 700 or not exact
+        left -= Counter({k: v * n for k, v in Counter(pattern).items()})
+
+
 def test_encoder_equals_tokenizer():
     e = packing.WordEncoder(packing.vocabulary())
     odd = ["it's I'll 'still ' a_b x²½ İstanbul Σς <|endoftext|>a é é x y z\x1cq \x85 a\x00b", "", "中文 test123 4½", "ŉa 'S we'RE 'll've", "a\x0bb\x0cc\td"]
