@@ -1,5 +1,6 @@
 """Queries over the sample repository: parsing, detection, graphs, chunks, views and the model. They have no SQL form; the tests hold them
-against results worked out by hand."""
+against results worked out by hand. Those that need no source code read whole tables: code_chunks, file_packs, security_findings and
+environment_variables the documents, parse_structure the pages beside the sample."""
 
 from __future__ import annotations
 
@@ -8,6 +9,21 @@ from pyspark.sql import functions as F
 from codeloom.operators import audit, chunking, detect, graph, knowledge, metrics, ml, parsers, views
 from codeloom.plans.registry import query
 from codeloom.plans.sample import sample_files
+from codeloom.sources.repositories import described
+
+
+def table_files(spark, sf_dir, table, project, key, text, ending):
+    """Every row of a table as a file of a file table."""
+    raw = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(project.alias("project_id"), F.concat_ws("", F.lit(f"{table}/"), F.col(key).cast("string"), F.lit(ending)).alias("file_path"), F.coalesce(text, F.lit("")).alias("content"))
+    return described(raw.withColumn("n_bytes", F.octet_length("content").cast("long")))
+
+
+def document_files(spark, sf_dir):
+    return table_files(spark, sf_dir, "documents", F.col("source"), "doc_id", "text", ".md")
+
+
+def page_files(spark, sf_dir):
+    return table_files(spark, sf_dir, "pages", F.lit("pages"), "page_id", "html", ".html")
 
 
 def parts(spark):
@@ -33,7 +49,8 @@ def parse_imports(spark, sf_dir):
 
 @query("parse_structure")
 def parse_structure(spark, sf_dir):
-    return parts(spark)[1].where("table not in ('symbol', 'import')").select("project_id", "file_path", "table", "kind", "name", "line", "detail")
+    parsed = parsers.parse_files(sample_files(spark).unionByName(page_files(spark, sf_dir)))
+    return parsed.where("table not in ('symbol', 'import')").select("project_id", "file_path", "table", "kind", "name", "line", "detail")
 
 
 @query("parser_rollup")
@@ -183,7 +200,7 @@ def db_operations(spark, sf_dir):
 
 @query("environment_variables")
 def environment_variables(spark, sf_dir):
-    return detect.environment(sample_files(spark))
+    return detect.environment(document_files(spark, sf_dir))
 
 
 @query("middleware")
@@ -216,17 +233,17 @@ def external_libraries(spark, sf_dir):
 
 @query("code_chunks")
 def code_chunks(spark, sf_dir):
-    return chunking.chunk_files(sample_files(spark)).withColumn("chunk_hash", chunking.chunk_hash())
+    return chunking.chunk_files(document_files(spark, sf_dir)).withColumn("chunk_hash", chunking.chunk_hash())
 
 
 @query("file_packs")
 def file_packs(spark, sf_dir):
-    return chunking.pack_files(sample_files(spark), "project_id", 200)
+    return chunking.pack_files(document_files(spark, sf_dir), "project_id", 200)
 
 
 @query("security_findings")
 def security_findings(spark, sf_dir):
-    return audit.scan(sample_files(spark), "project_id", "file_path", audit.SECURITY)
+    return audit.scan(document_files(spark, sf_dir), "project_id", "file_path", audit.SECURITY)
 
 
 @query("performance_findings")

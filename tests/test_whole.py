@@ -55,3 +55,14 @@ def test_words_and_references_of_whole_texts(spark, tables):
     words = {r.lib: (r.usage_count, r.n_files, r.n_specifiers, r.is_dev) for r in run("library_rollup_whole")}
     assert words["libraries"] == (2, 1, 1, False) and words["nothing"] == (1, 1, 1, False) and words["the"] == (2, 2, 2, True) and words["house"] == (1, 1, 1, False)
     assert sorted((r.doc_id, r.file_path) for r in run("file_refs_whole")) == [(1, "docs/b.md"), (1, "lib/a.py"), (1, "src/c/d.ts")]
+
+
+def test_project_queries_read_whole_tables(spark, tables):
+    docs = [(1, "plain words", "a"), (2, "port is process.env.PORT here", "a"), (3, "eval(x) and process.env.KEY", "b"), (4, None, "b")]
+    at = tables(documents=(docs, "doc_id long, text string, source string"), pages=([(i, f"<html><body><main id='m{i}'>x</main></body></html>") for i in range(5)], "page_id long, html string"))
+    run = lambda name: registry.QUERIES[name](spark, at).collect()
+    assert {(r.project_id, r.name) for r in run("environment_variables")} == {("a", "PORT"), ("b", "KEY")}
+    assert {r.file_path for r in run("file_packs")} == {f"documents/{i}.md" for i in range(1, 5)}
+    assert {r.file_path for r in run("code_chunks")} >= {f"documents/{i}.md" for i in range(1, 4)}
+    assert {r.file_path for r in run("security_findings")} == {"documents/3.md"}
+    assert {r.file_path for r in run("parse_structure") if r.project_id == "pages"} == {f"pages/{i}.html" for i in range(5)}
