@@ -21,7 +21,7 @@ a doc_id are scored each; a null doc_id is trained on and not held out; columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,12 +137,14 @@ def bloom(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 class Filters:
-    """Bloom filters of some buckets, side by side."""
+    """Bloom filters of some buckets, side by side; ``empty`` are buckets known to have no entry."""
 
-    def __init__(self, buckets: int, parts: dict[int, bytes]):
+    def __init__(self, buckets: int, parts: dict[int, bytes], empty: Iterable[int] = ()):
         self.step = np.uint64(min((1 << 64) // buckets, (1 << 64) - 1))
         self.sizes = np.zeros(buckets, dtype=np.uint64)
         self.at = np.zeros(buckets, dtype=np.uint64)
+        self.known = np.zeros(buckets, dtype=bool)
+        self.known[[*parts, *empty]] = True
         at = 0
         for k in sorted(parts):
             self.sizes[k], self.at[k] = 8 * len(parts[k]), at
@@ -153,8 +155,8 @@ class Filters:
         return np.minimum(keys // self.step, np.uint64(len(self.sizes) - 1)).astype(np.int64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        """Whether the keys' buckets are here."""
-        return self.sizes[self.bucket(keys)] > 0
+        """Whether the keys' buckets are here, or known to be empty."""
+        return self.known[self.bucket(keys)]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         k = self.bucket(keys)
@@ -267,7 +269,8 @@ def score_documents(docs: DataFrame, max_bytes: int = MAX_BYTES, head: int = HEA
 
     def send(chosen: list[int]):
         got = grams.where((F.col("kind") == PAIR) & F.col("bucket").isin(chosen)).select("bucket", "bits").toLocalIterator() if chosen else []
-        return spark.sparkContext.broadcast(Scorer(words, Filters(buckets, {r["bucket"]: bytes(r["bits"]) for r in got}), n, v))
+        empty = set(range(buckets)).difference(sizes) if chosen == rounds[0] else ()  # their tokens belong to the first round
+        return spark.sparkContext.broadcast(Scorer(words, Filters(buckets, {r["bucket"]: bytes(r["bits"]) for r in got}, empty), n, v))
 
     def run_with(sent, weights: np.ndarray, first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -209,21 +209,21 @@ def brute_scores(texts, buckets):
     def seen(k, less):
         first, q, own = (lm.RESTORED[f.levels(x)] for f, x in ((words, grams[k][0]), (pair, grams[k][1]), (words, toks[k])))
         ratio = [min(max(c - less, 0) / (f - less), 1.0) if f > less else 0.0 for c, f in zip(q, first, strict=True)]
-        return words.levels(grams[k][0]), np.array(ratio), (np.maximum(own - less, 0) + 0.5) / (n + 0.5 * (v + 1)), pair.sizes[pair.bucket(grams[k][1])] > 0
+        return words.levels(grams[k][0]), np.array(ratio), (np.maximum(own - less, 0) + 0.5) / (n + 0.5 * (v + 1))
 
     fit, weights = [seen(k, 1.0) for k in train], np.full(lm.LEVELS, 0.2)
     for _ in range(20):
         top, under = np.full(lm.LEVELS, 0.2), np.ones(lm.LEVELS)
-        for first, ratio, alone, here in fit:
+        for first, ratio, alone in fit:
             w = weights[first]
-            np.add.at(top, first[here], (w * ratio / np.maximum(w * ratio + (1 - w) * alone, 1e-300))[here])
-            np.add.at(under, first[here], 1)
+            np.add.at(top, first, w * ratio / np.maximum(w * ratio + (1 - w) * alone, 1e-300))
+            np.add.at(under, first, 1)
         weights = top / under
     weights = np.clip(weights, 1e-4, 0.9999)
     out = []
     for k in range(len(texts)):
-        first, ratio, alone, here = seen(k, 0.0)
-        out.append(float(np.where(here, np.log10(weights[first] * ratio + (1 - weights[first]) * alone), 0.0).sum()))
+        first, ratio, alone = seen(k, 0.0)
+        out.append(float(np.log10(weights[first] * ratio + (1 - weights[first]) * alone).sum()))
     return out
 
 
@@ -236,6 +236,15 @@ def test_language_model_weights_are_of_all_documents(spark):
         assert [got[i] for i, _ in texts] == pytest.approx(want)
 
 
+def test_language_model_scores_tokens_of_empty_buckets(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
+    for texts in ([(i, "a b a" if i % 2 else "b c d e") for i in range(40)], [(i, "only held out") for i in held]):
+        want = brute_scores(texts, 64)
+        for max_bytes in (256 << 20, 8):
+            got = {r.doc_id: r.score for r in language_model.score_documents(docs(spark, texts), head=2, buckets=64, max_bytes=max_bytes).collect()}
+            assert [got[i] for i, _ in texts] == pytest.approx(want) and max(want) < 0
+
+
 def test_bloom_levels():
     keys = np.arange(5_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     q = (np.arange(5_000) % 7 + 1).astype(np.int64)
