@@ -3,33 +3,20 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of our own, which then also becomes the checkpoint folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="codeloom-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return "file://" + _own[app]
+from codeloom.session import own_dir, remove
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/codeloom/{label}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -41,6 +28,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As saved, with a call that deletes the table once nothing reads it any more."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
+
+
 def opened(uri: str, mode: str):
     """A binary stream on any store that pyarrow knows by its URI (file, hdfs, s3, gs)."""
     from pyarrow import fs
@@ -78,6 +72,12 @@ def crc_mod(col, mod: int):
     return F.crc32(col.cast("string").cast("binary")) % mod
 
 
+def with_split(docs: DataFrame, mod: int, held: int) -> DataFrame:
+    """doc_id (as text: whole numbers beside nulls would pass through floats in pandas), held_out, text of every row of docs."""
+    split = F.coalesce(crc_mod(F.col("doc_id").cast("long"), mod) == held, F.lit(False))
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), split.alias("held_out"), F.col("text").cast("string").alias("text"))
+
+
 def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those with the smallest key hash: the same at every partitioning."""
     return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
