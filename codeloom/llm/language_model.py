@@ -41,7 +41,7 @@ MOD, HELD = 5, 1
 #: Quantisation base, bits of an entry, hash functions.
 BASE, BITS, PROBES = 1.5, 8, 3
 #: Bytes of text behind a bucket of counts (at most about as many in packed n-grams); buckets at least.
-BUCKET_TEXT, BUCKETS = 32 << 20, 16
+BUCKET_TEXT, BUCKETS = 16 << 20, 8
 #: Bytes of filters that every worker holds; words with broadcast counts.
 MAX_BYTES, HEAD = 256 << 20, 1 << 18
 #: Tokens counted or scored together.

@@ -42,7 +42,7 @@ def test_unseen_text_scores_below_seen_text(spark, buckets):
 
 def test_buckets_follow_the_bytes_of_texts(spark, monkeypatch):
     monkeypatch.setattr(language_model, "BUCKET_TEXT", 1_000)
-    assert language_model.buckets_for(docs(spark, [(1, None), (2, "")])) == 16
+    assert language_model.buckets_for(docs(spark, [(1, None), (2, "")])) == 8
     assert language_model.buckets_for(docs(spark, [(1, "x" * 33_000)])) == 64
 
 
