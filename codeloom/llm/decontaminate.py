@@ -3,29 +3,29 @@
 A benchmark item gives its windows of ``WINDOW`` consecutive words (an item of fewer, but not none, is one window). The tokens
 of a window are its word shingles of ``SHINGLE`` words. A window occurs only where all of its tokens do, so one necessary
 token suffices as its prefix, and the rarest is taken: all shingles of the benchmark are counted in the whole corpus
-first. Then each document's shingles meet the prefix tokens, the token's place in the window bounds where the window may
-start and end, and the words there are compared with the window's own.
+first. Then each text's shingles meet the prefix tokens, and the token's place in the window bounds where the window may
+start and end. These candidates, numbers alone, are gathered by text (a text is named by 128 bits of hash, so copies share
+theirs), meet their text once, and the words at each are compared with the window's own inside that one row. No row of
+a position carries the text, so work and memory grow in proportion to the text's length.
 
-The benchmark's shingles and windows are broadcast up to ``BROADCAST_ROWS`` rows, counted first; beyond that the join
-is by shuffle on ids and positions alone (split by AQE where a token is hot) and words are joined for candidates only.
-Counts are summed per task before their shuffle. A position or window never makes more than its own candidates, so rows grow
-with the text.
+The benchmark's shingles and windows, and the candidates, are broadcast up to ``BROADCAST_BYTES``, measured first; beyond that the
+joins are by shuffle on hashes (split by AQE where one is hot). Counts are summed per task before their shuffle.
 
 Defined results: a null text has no words; an item without words or with a null id has no window; equal windows of several
-items count for each; rows that repeat a doc_id are judged each by its own text; a null doc_id keeps its row; without items every
-document is clean; columns beside doc_id, text and item_id, text are ignored.
+items count for each; rows that repeat a doc_id are judged each by its own text, also by ``clean``; a null doc_id keeps its row;
+without items every document is clean; columns beside doc_id, text and item_id, text are ignored (``clean`` keeps them).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import lower_ascii, saved, table
 
 WINDOW, SHINGLE = 13, 3
-#: Rows (of about 200 bytes at most) of benchmark shingles or windows that are broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table that is broadcast, at most (as text, which is no less than in memory).
+BROADCAST_BYTES = 32 << 20
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,8 +42,8 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, window (array of words), len_."""
     w = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     length = F.least(F.col("n"), F.lit(window))
-    return (w.select("item_id", "w", length.alias("len_"), F.explode(F.sequence(F.lit(0), F.col("n") - length)).alias("at"))
-            .select("item_id", F.slice("w", F.col("at") + 1, F.col("len_")).alias("window"), "len_").distinct())
+    each = F.transform(F.sequence(F.lit(1), F.col("n") - length + 1), lambda at: F.slice("w", at, length))
+    return w.select("item_id", length.alias("len_"), F.explode(each).alias("window")).distinct()
 
 
 def tokens(win: DataFrame, size: int) -> DataFrame:
@@ -59,69 +59,90 @@ def tokens(win: DataFrame, size: int) -> DataFrame:
     return made
 
 
-def positions(docs: DataFrame, sizes: list[int], carried: list[str]) -> DataFrame:
-    """doc_id, t_ and carried columns with pos_, h, k_ of every shingle of each document."""
+def text_keys(text) -> list:
+    """Two hashes that name a text."""
+    return [F.xxhash64(text).alias("t1_"), F.xxhash64(F.lit(7), text).alias("t2_")]
+
+
+KEY = ["t1_", "t2_"]
+
+
+def positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """KEY, n_ (words of the text) with pos_, h, k_ of every shingle of each text."""
+    texts = docs.select(*text_keys(F.col("text")), words(F.col("text")).alias("w"))
     made = None
     for k in sizes:
         hashes = F.transform("w", lambda _, i: shingle(F.col("w"), i, k))  # noqa: B023  expanded at once
-        own = docs.select("doc_id", "t_", *carried, F.posexplode(hashes).alias("pos_", "h")).withColumn("k_", F.lit(k))
+        own = texts.select(*KEY, F.size("w").alias("n_"), F.posexplode(hashes).alias("pos_", "h")).withColumn("k_", F.lit(k))
         made = own if made is None else made.unionByName(own)
     return made
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A saved table, to be broadcast where it has no more than ``most`` bytes."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, size: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(occurrences: doc_id, t_, start_, len_, window_id; membership: window_id, item_id), both saved."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("t_"), words(F.col("text")).alias("w"))
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, size: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(occurrences: KEY, found (array of start_, len_, window_id) of every text with any; membership: window_id, item_id), both saved."""
     owned = saved(windows(benchmark, window), "item-windows")
     win = saved(owned.select("window", "len_").distinct().withColumn("window_id", F.monotonically_increasing_id()), "windows")
     member = saved(owned.join(win, ["window", "len_"]).select("window_id", "item_id"), "window-items")
     every = tokens(win, size)
     sizes = [r[0] for r in every.select("k_").distinct().orderBy("k_").collect()] or [size]  # at most SHINGLE rows
-    known = small(saved(every.select("k_", "h").distinct(), "shingles"), broadcast_rows)
-    counts = positions(texts, sizes, []).join(known, ["k_", "h"], "left_semi").groupBy("k_", "h").agg(F.count("*").alias("c_"))
-    ranked = every.join(counts, ["k_", "h"], "left")
+    known = small(saved(every.select("k_", "h").distinct(), "shingles"), broadcast_bytes)
+    counts = positions(docs, sizes).select("k_", "h").join(known, ["k_", "h"], "left_semi").groupBy("k_", "h").agg(F.count("*").alias("c_"))
     order = F.struct(F.coalesce("c_", F.lit(0)).alias("c"), F.col("h").alias("h"), F.col("offset_").alias("o"))
-    prefix = saved(ranked.groupBy("window_id", "len_", "k_").agg(F.min(order).alias("p")).join(win.select("window_id", "window"), "window_id")
-                   .select("window_id", "window", "len_", "k_", F.col("p.h").alias("h"), F.col("p.o").alias("offset_")), "prefix")
-    start = (F.col("pos_") - F.col("offset_")).alias("start_")
-    if prefix.count() <= broadcast_rows:
-        found = positions(texts, sizes, ["w"]).join(F.broadcast(prefix), ["k_", "h"])
-    else:
-        near = (positions(texts, sizes, []).join(prefix.select("k_", "h", "window_id", "offset_"), ["k_", "h"])
-                .where("pos_ >= offset_"))
-        found = near.join(texts, [near.doc_id.eqNullSafe(texts.doc_id), near.t_ == texts.t_]).drop(texts.doc_id, texts.t_).join(
-            prefix.select("window_id", "window", "len_"), "window_id")
-    inside = (F.col("pos_") >= F.col("offset_")) & (F.col("pos_") - F.col("offset_") + F.col("len_") <= F.size("w"))
-    same = F.slice("w", F.greatest(F.col("pos_") - F.col("offset_"), F.lit(0)) + 1, F.col("len_")) == F.col("window")
-    return saved(found.where(inside & same).select("doc_id", "t_", start, "len_", "window_id"), "hits"), member
+    prefix = saved(every.join(counts, ["k_", "h"], "left").groupBy("window_id", "len_", "k_").agg(F.min(order).alias("p"))
+                   .select("window_id", "len_", "k_", F.col("p.h").alias("h"), F.col("p.o").alias("offset_")), "prefix")
+    start = F.col("pos_") - F.col("offset_")
+    near = (positions(docs, sizes).join(small(prefix, broadcast_bytes), ["k_", "h"]).where((start >= 0) & (start + F.col("len_") <= F.col("n_")))
+            .groupBy(*KEY, "window_id").agg(F.collect_set(start).alias("starts")))
+    asked = saved(near.join(small(win, broadcast_bytes), "window_id").groupBy(*KEY).agg(F.collect_list(F.struct("window_id", "window", "len_", "starts")).alias("asked")), "candidates")
+    texts = docs.select(*text_keys(F.col("text")), "text").join(small(asked, broadcast_bytes), KEY).select(*KEY, words(F.col("text")).alias("w"), "asked")
+
+    def same(x):
+        got = F.filter(x["starts"], lambda s: F.slice(F.col("w"), s + 1, x["len_"]) == x["window"])
+        return F.transform(got, lambda s: F.struct(s.alias("start_"), x["len_"].alias("len_"), x["window_id"].alias("window_id")))
+
+    found = texts.select(*KEY, F.flatten(F.transform("asked", same)).alias("found")).where(F.size("found") > 0)
+    return saved(found.groupBy(*KEY).agg(F.first("found").alias("found")), "hits"), member
+
+
+def covered(found) -> object:
+    """Positions inside any occurrence: spans in order, each adds what lies beyond those before it."""
+    spans = F.array_sort(F.transform(found, lambda x: F.struct(x["start_"].alias("s"), (x["start_"] + x["len_"]).alias("e"))))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
+    return F.aggregate(spans, none, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["to"], x["s"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")), lambda a: a["n"])
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """KEY, n_hit, items (ids as strings, sorted) of every text in which a window occurs; saved."""
+    found, member = hits(docs, benchmark, window)
+    each = found.select(*KEY, F.explode(F.array_distinct(F.transform("found", lambda x: x["window_id"]))).alias("window_id"))
+    items = each.join(member, "window_id").groupBy(*KEY).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return saved(found.select(*KEY, covered(F.col("found")).alias("n_hit")).join(items, KEY), "judged")
+
+
+def is_bad(n_hit, n_words, share: int):
+    return (n_hit > 0) & (n_hit * share >= n_words)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: hit words are at least 1 in ``share``."""
-    found, member = hits(docs, benchmark, window)
-    each = Window.partitionBy("doc_id", "t_").orderBy("start_", "end_")
-    spans = found.select("doc_id", "t_", "start_", (F.col("start_") + F.col("len_")).alias("end_")).distinct()
-    before = F.coalesce(F.max("end_").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n_hit = spans.withColumn("new_", F.greatest(F.lit(0), F.col("end_") - F.greatest(before, "start_"))).groupBy("doc_id", "t_").agg(F.sum("new_").alias("n_hit"))
-    items = (found.select("doc_id", "t_", "window_id").distinct().join(member, "window_id").groupBy("doc_id", "t_")
-             .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("i_")))
-    hit = n_hit.withColumnRenamed("doc_id", "hit_id").join(items.withColumnRenamed("doc_id", "item_doc").withColumnRenamed("t_", "item_t"), F.expr("hit_id <=> item_doc and t_ = item_t")).select("hit_id", F.col("t_").alias("hit_t"), "n_hit", "i_")
-    all_docs = docs.select("doc_id", F.xxhash64("text").alias("t_"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    n, none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.array().cast("array<string>")
-    got = F.coalesce("i_", none)
-    return (all_docs.join(hit, F.expr("doc_id <=> hit_id and t_ = hit_t"), "left")
-            .select("doc_id", "n_words", n.alias("n_hit"), F.size(got).cast("long").alias("n_items"),
-                    F.sha2(F.array_join(got, ","), 256).alias("items_sha256"), ((n > 0) & (n * share >= F.col("n_words"))).alias("contaminated")))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    own = docs.select("doc_id", *text_keys(F.col("text")), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    n, got = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return own.join(judged(docs, benchmark, window), KEY, "left").select(
+        "doc_id", "n_words", n.alias("n_hit"), F.size(got).cast("long").alias("n_items"), F.sha2(F.array_join(got, ","), 256).alias("items_sha256"), is_bad(n, F.col("n_words"), share).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not contaminated."""
+    found = judged(docs, benchmark, window).select(F.col("t1_").alias("hit1_"), F.col("t2_").alias("hit2_"), "n_hit")
+    first, second = text_keys(docs["text"])
+    words_of = F.size(words(docs["text"]))
+    return docs.join(found, (first == found["hit1_"]) & (second == found["hit2_"]) & is_bad(found["n_hit"], words_of, share), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

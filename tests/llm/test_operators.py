@@ -79,9 +79,11 @@ def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(20))
     texts = [(1, "x " * 10 + item.upper() + " y"), (2, " ".join(f"w{i}" for i in range(12))), (3, None), (4, ""), (5, "z hello, World z"), (6, "w0 " + item + " " + item), (None, item), (6, "clean text")]
     bench = spark.createDataFrame([(7, item, 1), (8, "hello world", 2), (9, "", 3), (None, item, 4), (10, None, 5), (11, item, 6)], "item_id long, text string, t_ int")
-    for rows in (200_000, 0):
-        found, member = decontaminate.hits(docs(spark, texts), bench, broadcast_rows=rows)
-        assert {(r.doc_id, r.start_) for r in found.where("len_ = 13").collect()} >= {(1, 10), (1, 17), (6, 1), (None, 0)}
+    for most in (32 << 20, 0):  # broadcast, and by shuffle
+        found, member = decontaminate.hits(docs(spark, texts), bench, broadcast_bytes=most)
+        starts = {t: {x.start_ for x in r.found if x.len_ == 13} for r in found.collect() for t in [(r.t1_, r.t2_)]}
+        keys = {r.text: (r.t1_, r.t2_) for r in docs(spark, texts).select("text", *decontaminate.text_keys("text")).collect()}
+        assert {1: starts[keys[texts[0][1]]] >= {10, 17}, 6: 1 in starts[keys[texts[5][1]]], None: 0 in starts[keys[item]]} == {1: True, 6: True, None: True}
     got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs(spark, texts), bench).collect()}
     assert got == {(1, 31): (20, 2, True), (2, 12): (0, 0, False), (3, 0): (0, 0, False), (4, 0): (0, 0, False), (5, 4): (2, 1, True), (6, 41): (40, 2, True), (None, 20): (20, 2, True), (6, 2): (0, 0, False)}
     assert decontaminate.decontaminate(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
@@ -164,7 +166,7 @@ def test_mtree_equals_brute_force(spark):
     v = rng.normal(size=(700, 6)).astype("f4")
     v[100:300] = v[100]
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)] + [(900, None, 0), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (950, [float("nan")] * 6, 0), (1000, [1.0, 2.0], 0), (1001, [3.0, 4.0], 0), (1002, [], 0)]
-    q, trees = mtree.index(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_ int"), tree=200)
+    q, trees = mtree.index(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_ int"), tree=200, page=16)
     got = {}
     for r in mtree.top_k(q.where("vec_id % 50 = 0"), trees, 5, block=4).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
