@@ -2,13 +2,13 @@
 
 Three steps. (1) Tasks tokenise whole texts and cut documents of more than ``capacity`` ids into pieces. (2) The
 plan is made on the driver from the histogram of piece lengths, at most ``capacity`` rows whatever the corpus: longest
-first, the gap it leaves is looked up among single lengths, pair sums and triple sums that fill it exactly under the
-counts still available; where none does, the longest that fits goes in (best fit) and the rest of the gap is tried
-again. A pattern is used as often as its counts allow at once, so the plan has rows per pattern, not per document.
+first, the gap it leaves is looked up in an index of single lengths, pair sums and triple sums that fill it exactly under the
+counts still available; where none does, the one of them that leaves the least goes in (best fit) and the rest of the gap is
+tried again. Every length of the histogram is in the index, none is capped. A pattern is used as often as its counts allow at once, so the plan has rows per pattern, not per document.
 (3) Every piece gets its rank within its length, from ranks within (length, bucket) and the buckets' counts, and
 looks up its pattern, sequence and offset by that rank. No task holds all pieces of a length.
 
-Defined results: null text is empty, and an empty document is its end id alone; rows that repeat a doc_id are packed
+Defined results: ids beside nulls stay exact; null text is empty, and an empty document is its end id alone; rows that repeat a doc_id are packed
 each; an empty table gives no rows; columns beside doc_id and text are ignored.
 """
 
@@ -123,72 +123,80 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("i8")] if with_ids else [])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        cut, PIECES + (", ids array<long>" if with_ids else ""))
+    schema = PIECES + (", ids array<long>" if with_ids else "")
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
+        cut, schema.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths, each with the number of sequences that use it; every pattern sums to at most capacity."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        if not 0 < length <= capacity:
-            raise ValueError(f"length {length}")
-        left[length] = n
-    made: list[tuple[tuple[int, ...], int]] = []
-
-    def pair(gap: int, top: int) -> tuple[int, ...] | None:
-        """The pair of available lengths that sums to gap and has the longest first, of at most top."""
-        a = np.arange(min(gap - 1, top), (gap - 1) // 2, -1)
-        ok = (left[a] > 0) & (left[gap - a] > 0) & ((a * 2 != gap) | (left[a] > 1))
-        return (int(a[k]), int(gap - a[k])) if a.size and ok[k := int(ok.argmax())] else None
-
-    def triple(gap: int) -> tuple[int, ...] | None:
-        """The triple of available lengths that sums to gap and has the longest first; every first length is tried.
-
-        Lengths as bits, forward and backward, tell at once whether any pair sums to the rest; how often each is there, pair() looks up.
-        """
-        bits = int.from_bytes(np.packbits(left > 0, bitorder="little").tobytes(), "little")
-        back = int.from_bytes(np.packbits(left[::-1] > 0, bitorder="little").tobytes(), "little")
-        for a in (np.flatnonzero(left[1:gap] > 0)[::-1] + 1).tolist():
-            if 3 * a < gap:
-                break
-            if not bits & (back >> (capacity - gap + a)):
-                continue
-            left[a] -= 1
-            rest = pair(gap - a, a)
-            left[a] += 1
+class Sums:
+    """Index of single lengths, pair sums and triple sums under the counts that are left.
+
+    For every sum it keeps the longest first length at which a pair or triple may still be found. Counts only fall, so what was not
+    found once never comes back: entries move down and each is looked at once, whatever the number of searches.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in counts.items():
+            if not 0 < length <= capacity:
+                raise ValueError(f"length {length}")
+            self.left[length] = n
+        self.first2 = np.maximum(np.arange(capacity + 1) - 1, 0)
+        self.first3 = np.maximum(np.arange(capacity + 1) - 2, 0)
+
+    def _pair(self, total: int, top: int, without: int = 0) -> tuple[int, int] | None:
+        """The pair with the longest first of at most ``top``, one piece of the length ``without`` being used otherwise."""
+        a = np.arange(min(top, total - 1), (total - 1) // 2, -1)
+        b = total - a
+        ok = (self.left[a] > (a == without)) & (self.left[b] > (b == without).astype(np.int64) + (a == b))
+        return (int(a[k]), int(b[k])) if a.size and ok[k := int(ok.argmax())] else None
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        found = self._pair(total, int(self.first2[total])) if self.first2[total] else None
+        self.first2[total] = found[0] if found else 0
+        return found
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        top = int(self.first3[total])
+        a = np.arange(top, -(-total // 3) - 1, -1) if top else np.zeros(0, dtype=np.int64)
+        for x in a[(self.left[a] > 0) & (self.first2[total - a] > 0)].tolist():
+            rest = self.pair(total - x)
+            if rest and (x in rest):
+                rest = self._pair(total - x, total - x - 1, x)
             if rest:
-                return a, *rest
+                self.first3[total] = x
+                return x, *rest
+        self.first3[total] = 0
         return None
 
-    def fill(gap: int) -> tuple[int, ...]:
-        taken: list[int] = []
-        while gap > 0:
-            if left[gap] > 0:
-                found: tuple[int, ...] | None = (gap,)
-            else:
-                found = pair(gap, gap) or triple(gap)
+    def best(self, gap: int) -> tuple[int, ...] | None:
+        """The single length, pair or triple that fills the gap exactly or, where none does, leaves the least of it."""
+        may = np.flatnonzero((self.left[1:gap + 1] > 0) | (self.first2[1:gap + 1] > 0) | (self.first3[1:gap + 1] > 0))[::-1] + 1
+        for total in may.tolist():
+            found = (total,) if self.left[total] > 0 else self.pair(total) or self.triple(total)
             if found:
-                for x in found:
-                    left[x] -= 1
-                return (*taken, *found)
-            fits = np.flatnonzero(left[1:gap] > 0)
-            if not fits.size:
-                break
-            taken.append(x := int(fits[-1]) + 1)
-            left[x] -= 1
-            gap -= x
-        return tuple(taken)
+                return found
+        return None
 
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths, each with the number of sequences that use it; every pattern sums to at most capacity."""
+    sums, made = Sums(counts, capacity), []
+    left = sums.left
     for length in range(capacity, 0, -1):
         while left[length] > 0:
             left[length] -= 1
-            pattern = (length, *fill(capacity - length))
+            pattern, gap = [length], capacity - length
+            while gap > 0 and (found := sums.best(gap)):
+                for x in found:
+                    left[x] -= 1
+                pattern += found
+                gap -= sum(found)
             uses = Counter(pattern)
             more = min(int(left[x]) // n for x, n in uses.items())
             for x, n in uses.items():
                 left[x] -= n * more
-            made.append((pattern, more + 1))
+            made.append((tuple(pattern), more + 1))
     return made
 
 
@@ -208,22 +216,23 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 
 def ranked(cut: DataFrame) -> DataFrame:
-    """cut with rank_ from 0 within its length; the work on one length is spread over buckets."""
+    """cut (with a number of its own for each row, row_) with rank_ from 0 within its length; the work on one length is spread over buckets."""
     buckets = max(8, int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = cut.withColumn("bucket_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    own = cut.withColumn("bucket_", F.pmod(F.xxhash64("row_"), F.lit(buckets)).cast("int"))
     each = own.groupBy("length", "bucket_").agg(F.count("*").alias("n_"))
     before = each.select("length", "bucket_", (F.sum("n_").over(Window.partitionBy("length").orderBy("bucket_")) - F.col("n_")).alias("before_"))
-    local = F.row_number().over(Window.partitionBy("length", "bucket_").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    local = F.row_number().over(Window.partitionBy("length", "bucket_").orderBy("row_")) - 1
     return (own.withColumn("local_", local).join(before, ["length", "bucket_"])
-            .withColumn("rank_", F.col("before_") + F.col("local_")).drop("bucket_", "local_", "before_"))
+            .withColumn("rank_", F.col("before_") + F.col("local_")).drop("bucket_", "local_", "before_", "row_"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset (and ids on demand). Sequences number from 0 without gaps."""
-    cut = saved(pieces(docs, capacity, tokenizer, with_ids), "pieces")
+    cut = saved(pieces(docs, capacity, tokenizer, with_ids).withColumn("row_", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     at = cut.sparkSession.sparkContext.broadcast(slots(plan(counts, capacity)))
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    columns = [f for f in cut.schema if f.name != "row_"]
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns) + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -236,7 +245,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
                 offset[rows] = start[k] + (rank - first[k]) % uses[k] * length
             yield batch.drop(columns="rank_").assign(sequence_id=sequence, offset=offset)
 
-    return ranked(cut).select(*cut.columns, "rank_").mapInPandas(place, out)
+    got = ranked(cut.withColumn("doc_id", F.col("doc_id").cast("string"))).select(*[f.name for f in columns], "rank_").mapInPandas(place, out.replace("doc_id bigint", "doc_id string"))
+    return got.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
