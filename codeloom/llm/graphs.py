@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import saved
+from codeloom.llm.common import written
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -18,18 +18,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     A round links, for every node, its larger neighbours to its smallest (large star), then itself and its smaller neighbours to
     the smallest (small star), until nothing changes: about log² of the nodes at worst, few rounds for groups around one node. Minima are
-    summed per task before their shuffle, and joined back by key, where AQE splits a hot node.
+    summed per task before their shuffle, and joined back by key, where AQE splits a hot node. A round's tables go when the next one's are written.
     """
-    e = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    e, drop = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = _mark(e)
     for _ in range(rounds):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m_")).select("a", F.least("a", "m_").alias("m"))
         large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = saved(large, "large-star")
+        large, drop_large = written(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        e = saved(small.where("a <> b").distinct(), "small-star")
+        drop()
+        e, drop = written(small.where("a <> b").distinct(), "small-star")
+        drop_large()
         after = _mark(e)
         if after == before:
             break

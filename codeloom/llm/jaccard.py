@@ -7,10 +7,12 @@
    first n - ceil(t n) + 1 tokens; at most ``ORDERED`` counts are broadcast, which changes the order but not the result.
 3. The smallest class with a prefix token leads it; the bucket of a leader holds all classes that it leads by any token. Both ends of a
    link have a token in common and so meet in its leader's bucket. No pairs are made.
-4. In its bucket a class walks a prefix tree of the sets before it: edges hold runs of tokens, an overlap counted on the
-   way down is shared by all sets below, and a subtree is left when the tokens that remain on either side, or the sizes
-   below, cannot reach the threshold, or when all below are linked with the class already. Buckets of more than
-   ``BUCKET`` classes are split: each block meets the leader, then those not linked with the leader meet every other block.
+4. In its bucket a class walks a prefix tree of the sets before it, in the same order everywhere with frequent tokens first: edges hold
+   runs of tokens, an overlap counted on the way down is shared by all sets below, and a subtree is left when the tokens that remain
+   on either side, or the sizes below, cannot reach the threshold, or when all below are linked with the class already.
+   Buckets of more than ``BUCKET`` classes are split into blocks, each of which has the leader. Only classes not linked with the leader
+   go on to other blocks, and only to those with which they share a further token: of two sets that link, the first
+   n - ceil(t n) + 1 + ``EXTRA`` tokens share 1 + ``EXTRA``, so one is left when the ``EXTRA`` most frequent of the bucket are set aside.
 5. The links found (a spanning forest of each bucket) give components by alternating stars.
 
 Fingerprints have 64 bits; two different n-grams or sets are taken for one with a probability of about 2^-64 a pair.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import saved, table
@@ -34,8 +36,10 @@ from codeloom.llm.graphs import components
 from codeloom.llm.hashing import mix, shingle_set, word_hashes
 
 SIZE, PERCENT = 3, 90
-#: Token counts that are broadcast; classes of a bucket that one task takes together; bits of the filter of candidate classes.
-ORDERED, BUCKET, FILTER_BITS = 6_000_000, 2_000, 1 << 23
+#: Token counts that are broadcast; classes of a bucket that one task takes together; tokens of the prefix by which hot buckets are split.
+ORDERED, BUCKET, EXTRA = 6_000_000, 1_000, 2
+#: Bits a candidate class has in the filter of them, and bits of the filter at most (64 MB are broadcast).
+CLASS_BITS, FILTER_BITS = 16, 1 << 29
 TOGETHER = 2_000_000
 SEEN = 1_000_000
 
@@ -59,8 +63,8 @@ def needed(n: int, m: int, percent: int = PERCENT) -> int:
 
 def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[object, np.ndarray]]:
     for batch in batches:
-        for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-            yield doc_id, shingle_set(word_hashes(text), size)
+        for row, text in zip(batch.row_ if "row_" in batch else batch.doc_id, batch.text, strict=True):
+            yield row, shingle_set(word_hashes(text), size)
 
 
 class _New:
@@ -79,7 +83,11 @@ class _New:
 
 
 def classes(docs: DataFrame, size: int, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, node of every row of docs; counts: h, c of tokens that several sets have in their candidates for the prefix)."""
+    """(rows: doc_id, t_ (hash of the text), n, node of every row of docs; counts: h, c of tokens that several sets have in their candidates
+    for the prefix)."""
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (b.assign(row_=list(zip(b.doc_id, b.t_, strict=True))) for b in batches)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new, rows, low, held = _New(), [], [], 0
@@ -87,18 +95,18 @@ def classes(docs: DataFrame, size: int, percent: int, buckets: int) -> tuple[Dat
         def out() -> pd.DataFrame:
             # whole numbers beside nulls: never by way of floats
             whole = lambda k: pd.array([r[k] for r in rows], dtype="Int64")
-            made = pd.DataFrame({"doc_id": whole(0), "n": whole(1), "node": whole(2), "bucket": -1, "keys": None, "counts": None})
+            made = pd.DataFrame({"doc_id": [r[0][0] for r in rows], "t_": [r[0][1] for r in rows], "n": whole(1), "node": whole(2), "bucket": -1, "keys": None, "counts": None})
             if low:
                 keys, counts = np.unique(np.concatenate(low), return_counts=True)
                 edge = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets))
                 packed = [(k, a.tobytes(), c.astype("<u4").tobytes()) for k, (a, c) in enumerate(zip(np.split(keys, edge), np.split(counts, edge), strict=True)) if len(a)]
-                made = pd.concat([made, pd.DataFrame({"doc_id": pd.array([None] * len(packed), dtype="Int64"), "n": 0, "node": pd.array([None] * len(packed), dtype="Int64"), "bucket": [p[0] for p in packed], "keys": [p[1] for p in packed], "counts": [p[2] for p in packed]})], ignore_index=True)
+                made = pd.concat([made, pd.DataFrame({"doc_id": None, "t_": 0, "n": 0, "node": pd.array([None] * len(packed), dtype="Int64"), "bucket": [p[0] for p in packed], "keys": [p[1] for p in packed], "counts": [p[2] for p in packed]})], ignore_index=True)
             return made
 
-        for doc_id, tokens in _sets(batches, size):
+        for row, tokens in _sets(named(batches), size):
             n = len(tokens)
             node = class_id(tokens) if n else None
-            rows.append((None if doc_id is None or doc_id != doc_id else int(doc_id), n, node))
+            rows.append((row, n, node))
             if n and new(node):
                 low.append(tokens[:2 * prefix_size(n, percent) + 8])
                 held += len(low[-1])
@@ -118,10 +126,11 @@ def classes(docs: DataFrame, size: int, percent: int, buckets: int) -> tuple[Dat
             c = np.bincount(at, np.concatenate([b for _, b in parts])).astype(np.int64)
             yield pd.DataFrame({"h": keys[c > 1].view(np.int64), "c": c[c > 1]})
 
-    made = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                 .mapInPandas(run, "doc_id long, n long, node long, bucket int, keys binary, counts binary"), "classes")
+    # ids as text: whole numbers beside nulls never by way of floats
+    made = saved(docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("t_"), F.col("text").cast("string").alias("text"))
+                 .mapInPandas(run, "doc_id string, t_ long, n long, node long, bucket int, keys binary, counts binary").withColumn("doc_id", F.col("doc_id").cast("long")), "classes")
     counts = made.where("bucket >= 0").select("bucket", "keys", "counts").repartition(buckets, "bucket").mapInPandas(merge, "h long, c long")
-    return made.where("bucket < 0").select("doc_id", "n", "node"), saved(counts, "token-counts")
+    return made.where("bucket < 0").select("doc_id", "t_", "n", "node"), saved(counts, "token-counts")
 
 
 def rarity(counts: DataFrame, most: int = ORDERED) -> tuple[np.ndarray, np.ndarray]:
@@ -149,61 +158,70 @@ def rarity(counts: DataFrame, most: int = ORDERED) -> tuple[np.ndarray, np.ndarr
     return keys[order], q[order]
 
 
-def prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
-    """node, tokens (array): the prefix of every class, once for each task that meets it; saved."""
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+def frequencies(tokens: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Class of the count of each token, 0 where it is not in the order."""
+    keys, q = order
+    if not len(keys):
+        return np.zeros(len(tokens), dtype=np.uint8)
+    at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
+    return np.where(keys[at] == tokens, q[at], 0).astype(np.uint8)
+
+
+def prefixes(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
+    """node, p (size of its prefix), all_ (its prefix with EXTRA tokens more does not have 1 + EXTRA of every overlap), tokens (the prefix and
+    EXTRA more) of every class, once for each task that meets it; saved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        new, (keys, q), made = _New(), sent.value, []
+        new, made, columns = _New(), [], ["node", "p", "all_", "tokens"]
         for _, tokens in _sets(batches, size):
             if not len(tokens) or not new(node := class_id(tokens)):
                 continue
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-                rank = np.where(keys[at] == tokens, q[at], 0)
-                tokens = tokens[np.argsort(rank, kind="stable")]
-            made.append((node, tokens[:prefix_size(len(tokens), percent)].view(np.int64)))
+            tokens = tokens[np.argsort(frequencies(tokens, order.value), kind="stable")]
+            p = prefix_size(len(tokens), percent)
+            made.append((node, p, len(tokens) - p < EXTRA, tokens[:p + EXTRA].view(np.int64)))
             if len(made) >= 5_000:
-                yield pd.DataFrame(made, columns=["node", "tokens"])
+                yield pd.DataFrame(made, columns=columns)
                 made = []
         if made:
-            yield pd.DataFrame(made, columns=["node", "tokens"])
+            yield pd.DataFrame(made, columns=columns)
 
-    return saved(docs.select("doc_id", "text").mapInPandas(run, "node long, tokens array<long>"), "prefixes")
+    return saved(docs.select("doc_id", "text").mapInPandas(run, "node long, p int, all_ boolean, tokens array<long>"), "prefixes")
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
-    """Bits of the nodes' fingerprints: FILTER_BITS whatever their number; a false hit costs a set that no bucket asks for."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
-        for batch in batches:
-            bits[batch.node.to_numpy(dtype=np.int64).view(np.uint64) % np.uint64(FILTER_BITS)] = True
-        yield pd.DataFrame([(np.packbits(bits).tobytes(),)], columns=["bits"])
-
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in nodes.coalesce(8).mapInPandas(run, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return bits
-
-
-def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, tokens (binary, sorted) of classes that share a prefix token with another."""
+    """A bit for every node's fingerprint, modulo the size, which follows the number of nodes; a false hit costs a set that no bucket asks for."""
+    size = 1 << 15
+    n = nodes.count()
+    while size < min(CLASS_BITS * n, FILTER_BITS):
+        size *= 2
+    at = F.pmod(F.col("node"), F.lit(size)) + 1
+    made = np.zeros(size // 8, dtype=np.uint8)
+    parts = nodes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    for r in parts.toLocalIterator():  # at most FILTER_BITS bits, 4 KiB a row
+        made[(r["k"] - 1) * 4096:r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return made
+
+
+def candidate_sets(docs: DataFrame, nodes: DataFrame, order, size: int) -> DataFrame:
+    """node, tokens (binary, sorted), q (binary, classes of their counts) of classes that share a prefix token with another."""
     sent = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        new, bits, made, held = _New(), np.unpackbits(sent.value).view(bool), [], 0
+        new, bits, made, held = _New(), sent.value, [], 0
         for _, tokens in _sets(batches, size):
-            if len(tokens) and bits[(node := class_id(tokens)) % FILTER_BITS] and new(node):
-                made.append((node, tokens.tobytes()))
+            if not len(tokens):
+                continue
+            at = (node := class_id(tokens)) % (8 * len(bits))
+            if bits[at >> 3] >> (at & 7) & 1 and new(node):
+                made.append((node, tokens.tobytes(), frequencies(tokens, order.value).tobytes()))
                 held += len(tokens)
                 if held >= TOGETHER:
-                    yield pd.DataFrame(made, columns=["node", "tokens"])
+                    yield pd.DataFrame(made, columns=["node", "tokens", "q"])
                     made, held = [], 0
         if made:
-            yield pd.DataFrame(made, columns=["node", "tokens"])
+            yield pd.DataFrame(made, columns=["node", "tokens", "q"])
 
-    sets = docs.select("doc_id", "text").mapInPandas(run, "node long, tokens binary")
+    sets = docs.select("doc_id", "text").mapInPandas(run, "node long, tokens binary, q binary")
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -291,25 +309,25 @@ class Linker:
             level = t.children
 
 
-def link(sets: list[np.ndarray], percent: int, probes: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
-    """(links: a spanning forest as index pairs, root of each set). With probes, whose indices follow, only links between
-    sets and probes are looked for."""
-    everything = sets + (probes or [])
-    flat = np.concatenate(everything)
-    keys, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+def link(sets: list[np.ndarray], classes_: list[np.ndarray], percent: int, hosts: int | None = None) -> tuple[list[tuple[int, int]], list[int]]:
+    """(links: a spanning forest as index pairs, root of each set). Tokens stand in the tree by class of their count, frequent ones first, then by
+    value: paths part late. With ``hosts``, only links between the first ``hosts`` sets and the others are looked for."""
+    flat = np.concatenate(sets)
+    keys, first, at = np.unique(flat, return_index=True, return_inverse=True)
     rank = np.empty(len(keys), dtype=np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(keys))  # shared tokens first: paths part late
-    ranked = [np.sort(x) for x in np.split(rank[at], np.cumsum([len(s) for s in everything])[:-1])]
+    rank[np.lexsort((keys, -np.concatenate(classes_)[first].astype(np.int64)))] = np.arange(len(keys))
+    ranked = [np.sort(x) for x in np.split(rank[at], np.cumsum([len(s) for s in sets])[:-1])]
     made = Linker(len(keys), percent)
-    for s in everything:
+    for s in sets:
         made.member(len(s))
-    for k in sorted(range(len(sets)), key=lambda k: len(sets[k])):
-        if probes is None:
+    inside = len(sets) if hosts is None else hosts
+    for k in sorted(range(inside), key=lambda k: len(sets[k])):
+        if hosts is None:
             made.probe(k, ranked[k])
         made.insert(k, ranked[k])
-    for k in range(len(sets), len(everything)):
+    for k in range(inside, len(sets)):
         made.probe(k, ranked[k])
-    return made.edges, [made.find(k) for k in range(len(everything))]
+    return made.edges, [made.find(k) for k in range(len(sets))]
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -332,7 +350,11 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
         yield last, pd.concat(held) if len(held) > 1 else held[0]
 
 
-def bucket_links(members: DataFrame, sets: DataFrame, percent: int, bucket: int, parts: int) -> DataFrame:
+def _unpacked(g: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [np.frombuffer(x, "<u8") for x in g.tokens], [np.frombuffer(x, "u1") for x in g.q]
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, first: DataFrame, percent: int, bucket: int, parts: int) -> DataFrame:
     """Links a, b found in the buckets of members (leader, node)."""
     sizes = members.groupBy("leader").agg(F.count("*").alias("k"))
     hot = saved(sizes.where(F.col("k") > bucket).select("leader", F.ceil(F.col("k") / bucket).cast("int").alias("blocks")), "hot-buckets")
@@ -340,13 +362,13 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int, bucket: int,
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # the leader is in every block of its bucket
     dealt = many.withColumn("block", F.explode(F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    full = dealt.join(sets, "node").select("leader", "block", "blocks", "node", "tokens")
+    full = dealt.join(sets, "node").select("leader", "block", "blocks", "node", "tokens", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made, apart = [], []
         for (leader, block), g in _groups(batches, ["leader", "block"]):
             nodes = g.node.tolist()
-            edges, roots = link([np.frombuffer(x, "<u8") for x in g.tokens], percent)
+            edges, roots = link(*_unpacked(g), percent)
             made += [(nodes[a], nodes[b], None, None) for a, b in edges]
             if g.blocks.iloc[0] > 1:
                 root = roots[nodes.index(leader)]
@@ -357,56 +379,84 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int, bucket: int,
         yield _edge_rows(made, apart)
 
     found = saved(full.repartition(parts, "leader", "block").sortWithinPartitions("leader", "block")
-                  .select("leader", "block", "blocks", "node", "tokens").mapInPandas(run, "a long, b long, block int, blocks int"), "links")
+                  .select("leader", "block", "blocks", "node", "tokens", "q").mapInPandas(run, "a long, b long, block int, blocks int"), "links")
     links = found.where("block is null").select("a", "b")
     if not hot.count():
         return links
-    probes = (found.where("block is not null").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("block").alias("home"), "blocks")
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
-              .join(sets, "node").select("leader", "block", "node", "tokens", F.lit(True).alias("probe")))
-    hosts = full.where("blocks > 1").select("leader", "block", "node", "tokens", F.lit(False).alias("probe"))
+    apart = found.where("block is not null").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("block").alias("home"), "blocks")
+    visits = further_blocks(dealt.where("blocks > 1").select("leader", "node", "block"), apart, first)
+    probes = visits.join(sets, "node").select("leader", "block", "node", "tokens", "q", F.lit(True).alias("probe"))
+    hosts = (full.where("blocks > 1").join(visits.select("leader", "block").distinct(), ["leader", "block"], "left_semi")
+             .select("leader", "block", "node", "tokens", "q", F.lit(False).alias("probe")))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Ordered by block, its hosts before its probes, which come so many at a time."""
         for _, g in _groups(batches, ["leader", "block"]):
-            if not g.probe.any() or g.probe.all():
-                continue
             own, others = g[~g.probe], g[g.probe]
-            nodes = [*own.node.tolist(), *others.node.tolist()]
-            edges, _ = link([np.frombuffer(x, "<u8") for x in own.tokens], percent, [np.frombuffer(x, "<u8") for x in others.tokens])
-            yield pd.DataFrame([(nodes[a], nodes[b]) for a, b in edges], columns=["a", "b"], dtype="int64")
+            for at in range(0, len(others), bucket):
+                both = pd.concat([own, others.iloc[at:at + bucket]])
+                nodes = both.node.tolist()
+                edges, _ = link(*_unpacked(both), percent, len(own))
+                yield pd.DataFrame([(nodes[a], nodes[b]) for a, b in edges], columns=["a", "b"], dtype="int64")
 
     more = (hosts.unionByName(probes).repartition(parts, "leader", "block").sortWithinPartitions("leader", "block").mapInPandas(meet, "a long, b long"))
     return links.unionByName(saved(more, "more-links"))
 
 
+def further_blocks(dealt: DataFrame, apart: DataFrame, first: DataFrame) -> DataFrame:
+    """leader, node, block: the blocks of its bucket, besides its home, that a class apart from the leader shares a token with, the EXTRA most frequent tokens
+    of the bucket set aside; all other blocks where its set is too small for that."""
+    prefix = first.select("node", "all_", "tokens").dropDuplicates(["node"])
+    each = saved(dealt.join(prefix, "node").select("leader", "node", "block", "all_", F.explode("tokens").alias("h")), "hot-tokens")
+    counts = each.groupBy("leader", "h").agg(F.count_distinct("node").alias("c"))
+    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("c"), "h"))).where(F.col("r") <= EXTRA).select("leader", "h")
+    kept = each.join(F.broadcast(top) if top.count() <= 100_000 else top, ["leader", "h"], "left_anti")
+    asked = apart.join(each.select("leader", "node", "all_").distinct(), ["leader", "node"])
+    shared = (kept.join(asked.where("not all_").select("leader", "node", "home"), ["leader", "node"]).select("leader", "h", "node", "home")
+              .join(kept.select("leader", "h", F.col("block").alias("other")).distinct(), ["leader", "h"]).select("leader", "node", "home", "other"))
+    every = asked.where("all_").select("leader", "node", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # a set too small for the lemma may also be the other side, so classes apart visit the blocks that have one
+    small = each.where("all_").select("leader", F.col("block").alias("other")).distinct()
+    beside = asked.where("not all_").select("leader", "node", "home").join(small, "leader")
+    return saved(shared.unionByName(every).unionByName(beside).where("other <> home").select("leader", "node", F.col("other").alias("block")).distinct(), "visits")
+
+
 def _edge_rows(made: list[tuple], apart: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(made + apart, columns=["a", "b", "block", "blocks"]).astype({"a": "int64", "b": "int64", "block": "Int32", "blocks": "Int32"})
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bucket: int = BUCKET, ordered: int = ORDERED) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def members_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bucket: int = BUCKET, ordered: int = ORDERED) -> DataFrame:
+    """doc_id, t_ (hash of the text), n_shingles, component_id of every row of docs."""
+    spark = docs.sparkSession
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows, counts = classes(docs, size, percent, parts)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = prefixes(docs, rarity(counts, ordered), size, percent)
-    tokens = first.select("node", F.explode("tokens").alias("h"))
+    docs = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = spark.sparkContext.broadcast(rarity(counts, ordered))
+    first = prefixes(docs, order, size, percent)
+    tokens = first.select("node", F.explode(F.slice("tokens", 1, F.col("p"))).alias("h"))
     leaders = tokens.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last_")).where("leader <> last_").drop("last_")
     members = saved(tokens.join(leaders, "h").select("leader", "node").distinct(), "members")
-    sets = saved(candidate_sets(docs, members.select("node").distinct(), size), "sets")
-    roots = components(bucket_links(members, sets, percent, bucket, parts))
+    sets = saved(candidate_sets(docs, members.select("node").distinct(), order, size), "sets")
+    roots = components(bucket_links(members, sets, first, percent, bucket, parts))
     kinds = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = kinds.join(roots, "node", "left")
     whole = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("all_"))
     mapped = joined.join(whole, "root", "left").select("node", F.coalesce("all_", "least").alias("component_id"))
-    return rows.join(mapped, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(mapped, "node", "left").select("doc_id", "t_", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bucket: int = BUCKET, ordered: int = ORDERED) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    return members_of(docs, size, percent, bucket, ordered).drop("t_")
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, that have the smallest id of their component; equal rows of one id once.
-    Rows without an id cannot be named by a component and stay."""
-    ids = jaccard_components(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, with all their columns, that have the smallest id of their component; equal rows of one id once. Where rows repeat
+    a doc_id, each is judged by its own text. Rows without an id cannot be named by a component and stay."""
+    ids = members_of(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_"), F.col("t_").alias("kept_t_")).distinct()
+    named = docs.where(docs["doc_id"].isNotNull())
+    kept = named.join(ids, (named["doc_id"] == ids["kept_id_"]) & (F.xxhash64(named["text"]) == ids["kept_t_"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
