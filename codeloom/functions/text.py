@@ -258,7 +258,12 @@ def retry_delay_ms(attempt: Column | str, base_ms: int = 1000, jitter: Column |
     return F.lit(float(base_ms)) * F.pow(F.lit(2.0), col(attempt) - 1) + (jitter if jitter is not None else F.lit(0.0))
 
 
+#: What a message says of errors that pass, and of those that stay.
+PASSING = r"429|rate limit|timeout|etimedout|econnreset|socket hang up|50[0234]|overloaded"
+STAYING = r"\b40[013]\b|invalid api key|unauthori"
+
+
 def is_retryable(message: Column | str) -> Column:
     """Rate limits, timeouts, dropped connections and server errors; never bad requests or bad keys."""
     m = F.lower(col(message))
-    return m.rlike(r"429|rate limit|timeout|etimedout|econnreset|socket hang up|50[0234]|overloaded") & ~m.rlike(r"\b40[013]\b|invalid api key|unauthori")
+    return m.rlike(PASSING) & ~m.rlike(STAYING)

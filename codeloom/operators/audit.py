@@ -54,16 +54,16 @@ def nested_loops(files: DataFrame, depth: int = 2) -> DataFrame:
     """Files with a loop inside a loop, by indentation of the lines that open one."""
     opens = F.filter(X.lines("content"), lambda s: s.rlike(r"^\s*(?:for|while)\b"))
     indents = F.transform(opens, lambda s: F.length(F.regexp_extract(s, r"^(\s*)", 1)))
-    nested = F.size(F.filter(F.zip_with(indents, F.slice(F.concat(indents, F.array(F.lit(-1))), 2, 1_000_000), lambda a, b: b > a), lambda x: x))
+    nested = F.size(F.filter(F.zip_with(indents, F.slice(F.concat(indents, F.array(F.lit(-1))), F.lit(2), F.greatest(F.size(indents), F.lit(1))), lambda a, b: b > a), lambda x: x))
     return files.select("project_id", "file_path", nested.alias("n_nested")).where(F.col("n_nested") >= depth - 1)
 
 
 def unused_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """Names that an import binds and the rest of the file never says."""
+    """Names that an import binds and no line but its own says."""
     own = imports.select("project_id", F.col("from_file").alias("file_path"), "line", F.explode("specifiers").alias("name")).where("name not in ('*', '')")
     both = own.join(files.select("project_id", "file_path", "content"), ["project_id", "file_path"])
-    n = F.size(F.filter(F.split("content", r"[^\w$]+"), lambda w: w == F.col("name")))
-    return both.where(n <= 1).select("project_id", "file_path", "line", "name")
+    rest = F.array_join(F.filter(X.lines("content"), lambda _, i: i + 1 != F.col("line")), "\n")
+    return both.where(~F.array_contains(F.split(rest, r"[^\w$]+"), F.col("name"))).select("project_id", "file_path", "line", "name")
 
 
 def similar_functions(chunks: DataFrame, least: float = 0.8, size: int = 3) -> DataFrame:

@@ -50,6 +50,13 @@ def pack_chunks(chunks: DataFrame, key: str, order: str, tokens: str, budget: in
     return kept.withColumn("truncated", F.col("running") > budget).withColumn("tokens_used", F.when(F.col("truncated"), F.lit(budget) - F.col("before_")).otherwise(F.col(tokens))).drop("before_", "n_over_")
 
 
+def token_stream(tokens: DataFrame, keys: list[str], order: str, token: str, between: str = "") -> DataFrame:
+    """Every token of a stream with so_far, the text up to it. Text that is sent again with every token grows with the square of a stream's
+    length, as in the protocol; streams are answers of bounded length."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return tokens.withColumn("so_far", F.array_join(F.collect_list(token).over(w), between))
+
+
 def rag_prompts(questions: DataFrame, hits: DataFrame, history: DataFrame | None = None, system: str = "You answer questions about a code base.", context: int = CONTEXT) -> DataFrame:
     """questions (query_id, question); hits (query_id, rank, file_path, language, content, score); history (query_id, line_no, line): query_id,
     prompt, chunk_tokens, history_tokens, with history and chunks within their budgets."""

@@ -23,20 +23,25 @@ def signal_rows(spark, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def matched_signals(files: DataFrame, configs: DataFrame, imports: DataFrame, signals: DataFrame, import_mode: str = "source") -> DataFrame:
     """project_id, rule_no, signal_no, file (the first that shows it). Rules are a literal table of a few hundred rows; file
-    names and directories meet them by equality, contents and extensions as one pass of each file over the table."""
+    names and directories meet them by equality, contents and extensions as one pass of each file over the table's values."""
     signals = F.broadcast(signals)
     of = lambda *kinds: signals.where(F.col("type").isin(*kinds))
     key = [P, "rule_no", "signal_no"]
     content = F.coalesce("content", F.lit(""))
-    inside = files.join(of("pattern", "url"), F.contains(content, F.col("value"))).select(*key, "file_path")
-    path = F.lower("file_path")
-    test_file = F.when(F.col("value") == "test_", X.basename("file_path").startswith("test_") | X.basename("file_path").endswith("_test.py")).otherwise(path.endswith(F.col("value")))
-    by_ext = files.join(of("extension"), test_file).select(*key, "file_path")
+    literals = [(r["rule_no"], r["signal_no"], r["type"], r["value"]) for r in of("pattern", "url", "extension", "docker").select("rule_no", "signal_no", "type", "value").collect()]  # a literal table
+    path, base, compose = F.lower("file_path"), X.basename("file_path"), F.contains("file_path", F.lit("docker-compose"))
+
+    def shows(kind: str, value: str):
+        if kind == "extension":
+            return base.startswith("test_") | base.endswith("_test.py") if value == "test_" else path.endswith(value)
+        return compose & F.contains(content, F.lit(value)) if kind == "docker" else F.contains(content, F.lit(value))
+
+    found = F.array(*[F.when(shows(kind, value), F.struct(F.lit(r).alias("rule_no"), F.lit(s).alias("signal_no"))) for r, s, kind, value in literals])
+    inside = files.select(P, "file_path", F.explode(F.array_compact(found)).alias("s_")).select(P, "s_.rule_no", "s_.signal_no", "file_path") if literals else files.limit(0).select(P, F.lit(0).alias("rule_no"), F.lit(0).alias("signal_no"), "file_path")
     named = files.select(P, "file_path", F.lower(X.basename("file_path")).alias("v_")).join(of("file").withColumn("v_", F.lower("value")), "v_").select(*key, "file_path")
     parts = F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0)))
     pairs = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", F.get(parts, i - 1), F.get(parts, i)))
     dirs = files.select(P, "file_path", F.explode(F.array_distinct(F.concat(parts, F.when(F.size(parts) > 1, pairs).otherwise(F.array().cast("array<string>"))))).alias("value")).join(of("dir"), "value").select(*key, "file_path")
-    docker = files.where(F.contains("file_path", F.lit("docker-compose"))).join(of("docker")).select(*key, "file_path")
     deps = F.map_keys(F.map_concat(F.coalesce("dependencies", F.create_map().cast("map<string,string>")), F.map_filter(F.coalesce("dev_dependencies", F.create_map().cast("map<string,string>")), lambda k, _: ~F.coalesce(F.array_contains(F.map_keys("dependencies"), k), F.lit(False)))))
     value = F.col("value")
     has = (F.when(F.col("file_type") == "requirements.txt", F.exists("d_", lambda d: F.lower(d).startswith(F.lower(value)))).when(F.col("file_type") == "pom.xml", F.contains("raw", value))
@@ -45,7 +50,7 @@ def matched_signals(files: DataFrame, configs: DataFrame, imports: DataFrame, si
     said = F.col("source") if import_mode == "source" else F.concat(F.lit("import "), F.array_join(F.coalesce("specifiers", F.array().cast("array<string>")), ", "), F.lit(" from '"), "source", F.lit("'"))
     by_import = imports.select(P, F.col("from_file").alias("file_path"), said.alias("s_")).join(of("import"), F.contains("s_", value)).select(*key, "file_path")
     every = inside
-    for part in (by_ext, named, dirs, docker, by_dep, by_import):
+    for part in (named, dirs, by_dep, by_import):
         every = every.unionByName(part)
     return every.groupBy(*key).agg(F.min("file_path").alias("file"))
 
@@ -82,7 +87,6 @@ def stacks(tech: DataFrame, table: tuple = STACKS) -> tuple[DataFrame, DataFrame
     """(stacks: project_id, name, match_type, confidence; tech with bonuses of the full ones, at most 1)."""
     spark = tech.sparkSession
     need = F.broadcast(spark.createDataFrame([(s.name, k, r, float(s.bonus), len(s.required), s.at_least or len(s.required)) for k, s in enumerate(table) for r in s.required], "stack string, stack_no int, name string, bonus double, n_required int, least int"))
-    # a bonus only raises confidence, and 0.4 is enough, so earlier stacks can bring a technology of 0.3 to 0.4 in
     have = tech.where("confidence >= 0.4").select(P, "name")
     found = have.join(need, "name").groupBy(P, "stack", "stack_no", "n_required", "least", "bonus").agg(F.count("*").alias("k")).where("k >= least")
     full = found.where("k >= n_required")
@@ -174,68 +178,110 @@ def routes(files: DataFrame, per_family: int = 50, most: int = 100) -> DataFrame
     return first_n(capped, [P], ["fam_no", "file", "line", "k_"], most).drop("fam_no", "k_")
 
 
-#: Database operations by pattern, with the phase where it is not database.
-OPERATIONS = [
-    (r"mongoose\.connect\s*\(", "Connect to MongoDB", None), (r"mongoose\.model\s*\(", "Define Mongoose model", "model"), (r"new\s+mongoose\.Schema\s*\(", "Define Mongoose schema", "model"),
-    *((rf"\.{m}\s*\(", f"Database query: {m}()", None) for m in ("find", "findOne", "findById")), (r"\.create\s*\(", "Database insert: create()", None), (r"\.save\s*\(", "Database save: save()", None),
-    *((rf"\.update{m}\s*\(", f"Database update: update{m}()", None) for m in ("One", "Many")), *((rf"\.delete{m}\s*\(", f"Database delete: delete{m}()", None) for m in ("One", "Many")),
-    *((rf"\.findByIdAnd{m}\s*\(", f"Database: findByIdAnd{m}()", None) for m in ("Update", "Delete")), (r"\.populate\s*\(", "Populate referenced documents", "model"),
-    (r"\.aggregate\s*\(", "MongoDB aggregation pipeline", None), (r"\.exec\s*\(", "Execute Mongoose query", None), (r"\.lean\s*\(", "Return plain JavaScript object", "model"), (r"\.select\s*\(", "Select specific fields", None),
-    (r"\.sort\s*\(", "Sort query results", None), (r"\.limit\s*\(", "Limit query results", None), (r"\.skip\s*\(", "Skip documents (pagination)", None), (r"\.countDocuments\s*\(", "Count documents", None),
-    (r"redis\.(?:get|set|del|hget|hset|lpush|rpush)\s*\(", "Redis operation", None), (r"\.query\s*\(", "SQL query execution", None), (r"\.execute\s*\(", "Execute query", None),
-    (r"prisma\.\w+\.(?:findMany|findUnique|create|update|delete|upsert)\s*\(", "Prisma database operation", None), (r"sequelize\.(?:define|query|sync)\s*\(", "Sequelize database operation", None),
-]
+#: Database operations by pattern, description and phase.
+OPERATIONS = (
+    (r"mongoose\.connect\s*\(", "Connect to MongoDB", "database"),
+    (r"mongoose\.model\s*\(", "Define Mongoose model", "model"),
+    (r"new\s+mongoose\.Schema\s*\(", "Define Mongoose schema", "model"),
+    (r"\.find\s*\(", "Database query: find()", "database"),
+    (r"\.findOne\s*\(", "Database query: findOne()", "database"),
+    (r"\.findById\s*\(", "Database query: findById()", "database"),
+    (r"\.create\s*\(", "Database insert: create()", "database"),
+    (r"\.save\s*\(", "Database save: save()", "database"),
+    (r"\.updateOne\s*\(", "Database update: updateOne()", "database"),
+    (r"\.updateMany\s*\(", "Database update: updateMany()", "database"),
+    (r"\.deleteOne\s*\(", "Database delete: deleteOne()", "database"),
+    (r"\.deleteMany\s*\(", "Database delete: deleteMany()", "database"),
+    (r"\.findByIdAndUpdate\s*\(", "Database: findByIdAndUpdate()", "database"),
+    (r"\.findByIdAndDelete\s*\(", "Database: findByIdAndDelete()", "database"),
+    (r"\.populate\s*\(", "Populate referenced documents", "model"),
+    (r"\.aggregate\s*\(", "MongoDB aggregation pipeline", "database"),
+    (r"\.exec\s*\(", "Execute Mongoose query", "database"),
+    (r"\.lean\s*\(", "Return plain JavaScript object", "model"),
+    (r"\.select\s*\(", "Select specific fields", "database"),
+    (r"\.sort\s*\(", "Sort query results", "database"),
+    (r"\.limit\s*\(", "Limit query results", "database"),
+    (r"\.skip\s*\(", "Skip documents (pagination)", "database"),
+    (r"\.countDocuments\s*\(", "Count documents", "database"),
+    (r"redis\.(?:get|set|del|hget|hset|lpush|rpush)\s*\(", "Redis operation", "database"),
+    (r"\.query\s*\(", "SQL query execution", "database"),
+    (r"\.execute\s*\(", "Execute query", "database"),
+    (r"prisma\.\w+\.(?:findMany|findUnique|create|update|delete|upsert)\s*\(", "Prisma database operation", "database"),
+    (r"sequelize\.(?:define|query|sync)\s*\(", "Sequelize database operation", "database"),
+)
 
 
 def operations(files: DataFrame, most: int = 100) -> DataFrame:
     """project_id, step, phase, description, file, line: the first database operations in order of file, pattern and line."""
     rows = content_lines(files).where(F.col("text").rlike("|".join(p for p, _, _ in OPERATIONS)))
-    each = F.array(*[F.struct(F.lit(k).alias("k"), F.regexp_count("text", F.lit(p)).alias("n"), F.lit(d).alias("description"), F.lit(ph or "database").alias("phase")) for k, (p, d, ph) in enumerate(OPERATIONS)])
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.regexp_count("text", F.lit(p)).alias("n"), F.lit(d).alias("description"), F.lit(ph).alias("phase")) for k, (p, d, ph) in enumerate(OPERATIONS)])
     hit = rows.select(P, F.col("file_path").alias("file"), "line", F.explode(F.filter(each, lambda s: s["n"] > 0)).alias("o")).select(P, "file", "line", "o.k", "o.description", "o.phase", F.explode(F.sequence(F.lit(1), F.col("o.n"))).alias("i"))
     w = Window.partitionBy(P).orderBy("file", "k", "line", "i")
     return hit.withColumn("step", F.row_number().over(w)).where(F.col("step") <= most).drop("k", "i")
 
 
+#: Own patterns of variables: a line of an .env file, process.env by name and by key, a read of the configuration.
+ENV_LINE = r"(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*="
+ENV_NAME, ENV_KEY, ENV_READ = r"\bprocess\.env\.([A-Za-z_]\w*)", r"\bprocess\.env\[\s*['\"]([^'\"]+)['\"]\s*\]", r"\bconfig\.get\(\s*['\"]([\w.]+)['\"]"
+
+
 def environment(files: DataFrame) -> DataFrame:
     """project_id, name, value (masked), source, detected: variables of .env files, process.env and configuration reads, the first of each name."""
-    c = F.col("content")
-    all_of = lambda p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
-    own = files.select(P, "file_path", F.when(X.basename("file_path").startswith(".env"), all_of(r"(?m)^[ \t]*([^#=\s][^=\n]*?)[ \t]*=")).alias("file"), F.concat(all_of(r"process\.env\.(\w+)"), all_of(r"process\.env\[['\"](\w+)['\"]\]")).alias("env"),
-                       F.filter(F.concat(all_of(r"config\.get\s*\(\s*['\"](\w+)['\"]"), all_of(r"env\.(\w+)")), lambda x: ~x.startswith("_")).alias("cfg"))
-    part = lambda name, k, value, how: own.select(P, F.col("file_path").alias("source"), F.posexplode(name).alias("i", "name"), F.lit(k).alias("k"), F.lit(value).alias("value"), F.lit(how).alias("detected"))
-    every = part("file", 0, "***masked***", "file").unionByName(part("env", 1, "***referenced***", "reference")).unionByName(part("cfg", 2, "***referenced***", "reference"))
-    return first_wins(every, [P, "name"], ["source", "k", "i"]).select(P, "name", "value", "source", "detected")
+    all_of = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
+    named = lambda names, k, value, how: F.transform(names, lambda n, i: F.struct(F.lit(k).alias("k"), i.alias("i"), n.alias("name"), F.lit(value).alias("value"), F.lit(how).alias("detected")))
+    lines = F.when(X.basename("file_path").startswith(".env"), all_of(ENV_LINE)).otherwise(F.array().cast("array<string>"))
+    every = F.concat(named(lines, 0, "***masked***", "file"), named(F.concat(all_of(ENV_NAME), all_of(ENV_KEY)), 1, "***referenced***", "reference"), named(all_of(ENV_READ), 2, "***referenced***", "reference"))
+    found = files.where(F.col("content").isNotNull()).select(P, F.col("file_path").alias("source"), F.explode(every).alias("v_")).select(P, "source", "v_.*")
+    return first_wins(found, [P, "name"], ["source", "k", "i"]).select(P, "name", "value", "source", "detected")
+
+
+#: Own patterns of middleware: what is mounted (path of either quotes, name), handlers of three arguments that pass on, hooks of requests, listed classes.
+MOUNTED = r"\b(?:app|router|server)\.use\(\s*(?:'([^']*)'\s*,\s*|\"([^\"]*)\"\s*,\s*)?([A-Za-z_$][\w$.]*)"
+HANDLER = r"\b(?:function\s+|const\s+)([A-Za-z_$][\w$]*)\s*(?:=\s*(?:async\s*)?)?\(\s*(?:req|request)\w*\s*,\s*(?:res|response)\w*\s*,\s*next\b"
+REQUEST_HOOK, LISTED_CLASS = r"@\w+\.((?:before|after|teardown)_request)\b", r"['\"][\w.]*\bmiddleware\.([A-Z]\w*)['\"]"
 
 
 def middleware(files: DataFrame) -> DataFrame:
     """project_id, type, name, path, file."""
-    c = F.col("content")
-    two = lambda p: F.arrays_zip(F.regexp_extract_all(c, F.lit(p), F.lit(2)).alias("n"), F.regexp_extract_all(c, F.lit(p), F.lit(1)).alias("p"))
-    one = lambda p, g=1: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(g)), lambda n: F.struct(n.alias("n"), F.lit("").alias("p")))
-    kinds = [("express_middleware", two(r"(?:app|router)\.use\s*\(\s*(?:['\"]([^'\"]+)['\"],\s*)?(\w+)"), True),
-             ("middleware_function", one(r"(?:const|function)\s+(\w+)\s*(?:=|[=(])\s*(?:async\s*)?\([^)]*\)\s*(?:=>\s*)?\{[^}]*?(?:next|res\.(?:send|json|status))"), False),
-             ("flask_middleware", one(r"(@app\.(?:before_request|after_request|teardown_request))"), False), ("django_middleware", one(r"['\"]\w+\.middleware\.(\w+)['\"]"), False)]
-    out = None
-    for name, got, has_path in kinds:
-        part = files.select(P, F.lit(name).alias("type"), F.explode(got).alias("x"), F.col("file_path").alias("file")).select(P, "type", F.col("x.n").alias("name"), (F.when(F.col("x.p") == "", "/").otherwise(F.col("x.p")) if has_path else F.lit(None).cast("string")).alias("path"), "file")
-        out = part if out is None else out.unionByName(part)
-    return out
+    got = lambda p, g: F.regexp_extract_all("content", F.lit(p), F.lit(g))
+    path = lambda x: F.when(x["a"] != "", x["a"]).when(x["b"] != "", x["b"]).otherwise("/")
+    mounted = F.transform(F.arrays_zip(got(MOUNTED, 3).alias("n"), got(MOUNTED, 1).alias("a"), got(MOUNTED, 2).alias("b")), lambda x: F.struct(F.lit("express_middleware").alias("type"), x["n"].alias("name"), path(x).alias("path")))
+    plain = lambda kind, p: F.transform(got(p, 1), lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name"), F.lit(None).cast("string").alias("path")))
+    every = F.concat(mounted, plain("middleware_function", HANDLER), plain("flask_middleware", REQUEST_HOOK), plain("django_middleware", LISTED_CLASS))
+    return files.where(F.col("content").isNotNull()).select(P, F.explode(every).alias("m_"), F.col("file_path").alias("file")).select(P, "m_.type", "m_.name", "m_.path", "file")
+
+
+#: What a content shows of each mechanism, of guards, and of a password policy.
+AUTH_MARKS = {
+    "jwt": ("jwt.sign", "jwt.verify", "jsonwebtoken"), "passport": ("passport",), "bcrypt": ("bcrypt.hash", "bcrypt.compare"), "session": ("express-session", "session(", "cookie-session"), "api_keys": ("apiKey", "api_key", "X-API-Key"),
+}
+GUARD_MARKS = ("authenticate", "authorize", "isAuthenticated", "isAuthorized")
+POLICY_MARKS = ("uppercase", "lowercase", "minLength", "minlength")
+#: Own patterns: how long a token lives, rounds of a hash, functions that guard, files about it, the least length of a password.
+TOKEN_LIFE, HASH_ROUNDS = r"\bexpiresIn['\"]?\s*:\s*['\"]([^'\"]+)", r"\bbcrypt\.\w+\([^;]*?\b(\d+)\s*\)"
+GUARD_NAME, AUTH_FILE, LEAST_LENGTH = r"\b(?:const|function)\s+(\w*(?i:auth|verif|protect)\w*)", "auth|passport", r"(?i)\bmin(?:imum)?_?(?:length)?['\"]?\s*[:=(]\s*(\d+)"
 
 
 def authentication(files: DataFrame) -> DataFrame:
     """One row a project: mechanism flags, token expiry, hash rounds, middleware names, files, and the last file's password policy."""
     c = F.coalesce("content", F.lit(""))
-    any_of = lambda *xs: F.lit(False) if not xs else F.greatest(*[F.contains(c, F.lit(x)) for x in xs], F.lit(False))
-    jwt = any_of("jwt.sign", "jwt.verify", "jsonwebtoken")
-    guard = any_of("authenticate", "authorize", "isAuthenticated", "isAuthorized")
-    policy = any_of("password") & any_of("uppercase", "lowercase", "minLength", "minlength")
-    rules = F.struct(F.regexp_extract(c, r"(?i)min(?:Length)?\s*[=:>]\s*(\d+)", 1).try_cast("int").alias("min_length"), any_of("uppercase").alias("uppercase"), any_of("lowercase").alias("lowercase"), any_of("digit", "number").alias("digit"), any_of("special", "symbol").alias("special"))
-    own = files.select(P, "file_path", jwt.alias("jwt"), any_of("passport").alias("passport"), any_of("bcrypt.hash", "bcrypt.compare").alias("bcrypt"), any_of("express-session", "session(", "cookie-session").alias("session"), any_of("apiKey", "api_key", "X-API-Key").alias("api_keys"),
-                       F.when(jwt, F.nullif(F.regexp_extract(c, r"expiresIn\s*:\s*['\"]([^'\"]+)['\"]", 1), F.lit(""))).alias("expiry"), F.regexp_extract(c, r"bcrypt\.(?:hash|genSalt)\s*\(\s*(\d+)", 1).try_cast("int").alias("rounds"),
-                       F.when(guard, F.regexp_extract_all(c, F.lit(r"(?:const|function)\s+(\w*(?:auth|Auth|verify|Verify|protect|Protect)\w*)"), F.lit(1))).alias("guards"), F.when(F.col("file_path").rlike("auth|passport"), F.col("file_path")).alias("auth_file"), F.when(policy, rules).alias("policy"))
-    some = lambda n: F.max(n).alias(n)
-    return own.groupBy(P).agg(some("jwt"), some("passport"), some("passport").alias("oauth"), some("bcrypt"), some("session"), some("api_keys"), F.min_by("expiry", F.when(F.col("expiry").isNotNull(), F.col("file_path"))).alias("jwt_expiry"), F.max_by("rounds", F.when(F.col("rounds").isNotNull(), F.col("file_path"))).alias("bcrypt_rounds"),
-                              F.array_sort(F.array_distinct(F.flatten(F.collect_list("guards")))).alias("middleware"), F.array_sort(F.collect_set("auth_file")).alias("files"), F.max_by("policy", F.when(F.col("policy").isNotNull(), F.col("file_path"))).alias("password_policy"))
+    any_of = lambda xs: F.exists(F.array(*map(F.lit, xs)), lambda x: F.contains(c, x))
+    first = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    policy = F.struct(first(LEAST_LENGTH).try_cast("int").alias("min_length"), *[any_of(xs).alias(n) for n, xs in (("uppercase", ("uppercase",)), ("lowercase", ("lowercase",)), ("digit", ("digit", "number")), ("special", ("special", "symbol")))])
+    marks = {n: any_of(xs) for n, xs in AUTH_MARKS.items()}
+    own = files.select(P, "file_path", *[m.alias(n) for n, m in marks.items()], F.when(marks["jwt"], first(TOKEN_LIFE)).alias("expiry"), first(HASH_ROUNDS).try_cast("int").alias("rounds"), F.when(any_of(GUARD_MARKS), F.regexp_extract_all(c, F.lit(GUARD_NAME), F.lit(1))).alias("guards"),
+                       F.when(F.col("file_path").rlike(AUTH_FILE), F.col("file_path")).alias("auth_file"), F.when(F.contains(c, F.lit("password")) & any_of(POLICY_MARKS), policy).alias("policy"))
+    of_file = lambda name, pick: pick(name, F.when(F.col(name).isNotNull(), F.col("file_path")))
+    return own.groupBy(P).agg(*[F.max(n).alias(n) for n in AUTH_MARKS], F.max("passport").alias("oauth"), of_file("expiry", F.min_by).alias("jwt_expiry"), of_file("rounds", F.max_by).alias("bcrypt_rounds"),
+                              F.array_sort(F.array_distinct(F.flatten(F.collect_list("guards")))).alias("middleware"), F.array_sort(F.collect_set("auth_file")).alias("files"), of_file("policy", F.max_by).alias("password_policy"))
+
+
+def route_summary(routes: DataFrame, sample: int = 10) -> DataFrame:
+    """project_id, n_routes, methods (distinct, sorted), key_routes (the first, in order of file and line)."""
+    w = Window.partitionBy(P).orderBy("file", "line", "method", "path")
+    own = routes.withColumn("n_", F.row_number().over(w)).withColumn("text_", F.concat_ws(" ", "method", "path"))
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("n_") <= sample, F.struct("n_", "text_")))), lambda s: s["text_"])
+    return own.groupBy(P).agg(F.count("*").alias("n_routes"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("method", ","))))).alias("methods"), first.alias("key_routes"))
 
 
 def by_path(files: DataFrame, symbols: DataFrame, words: tuple[str, ...], exported_only: bool = False) -> DataFrame:
@@ -288,7 +334,8 @@ DEV_TOOLS = ("vite", "webpack", "eslint", "prettier", "jest", "vitest", "mocha",
 
 def library_usage(rows: DataFrame, name: str, file: str, specifier: str, dev_tools: tuple[str, ...] = DEV_TOOLS) -> DataFrame:
     """name, usage_count, n_files, n_specifiers, is_dev of every library."""
-    return rows.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("usage_count"), F.count_distinct(file).alias("n_files"), F.count_distinct(specifier).alias("n_specifiers")).withColumn("is_dev", F.col("name").isin(*dev_tools))
+    once = rows.groupBy(F.col(name).alias("name"), file, specifier).agg(F.count("*").alias("n_"))  # one row a file before distinct counts expand them
+    return once.groupBy("name").agg(F.sum("n_").alias("usage_count"), F.count_distinct(file).alias("n_files"), F.count_distinct(specifier).alias("n_specifiers")).withColumn("is_dev", F.col("name").isin(*dev_tools))
 
 
 def external_libraries(imports: DataFrame) -> DataFrame:

@@ -91,6 +91,11 @@ def layer_nodes(files: DataFrame, key: str = "project_id") -> DataFrame:
     return own.groupBy(key, "layer").agg(F.initcap(F.first("layer")).alias("label"), F.count("*").alias("file_count"), F.sum("loc").cast("long").alias("total_loc"), F.array_sort(F.collect_list("file_path")).alias("files"))
 
 
+def layers_by_code(nodes: DataFrame, key: str = "project_id") -> DataFrame:
+    """Rows of layer_nodes with their place in a project, most code lines first."""
+    return nodes.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("total_loc"), "layer")))
+
+
 def layer_edges(edges: DataFrame, key: str = "project_id") -> DataFrame:
     """Edges between files as counts between different layers; the layer is a function of the path, so nothing is joined."""
     both = edges.select(key, X.layer("source").alias("source_layer"), X.layer("target").alias("target_layer"), "source", "target").where("source_layer <> target_layer")

@@ -93,3 +93,13 @@ def folder_depth(paths: DataFrame, key: str, path: str = "file_path") -> DataFra
     own = paths.select(key, F.greatest(F.size(parts) - 1, F.lit(0)).alias("depth"), F.explode_outer(F.when(F.size(parts) > 1, F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).alias("folder"))
     return own.groupBy(key).agg(F.max("depth").alias("max_depth"), F.count_distinct("folder").alias("n_folders"))
+
+
+def dashboard(projects: DataFrame, completed: Column, size: str, project: str, technology: str) -> DataFrame:
+    """One row over all: completed ones, their size, projects and technologies."""
+    return projects.agg(F.count_if(F.coalesce(completed, F.lit(False))).alias("completed"), F.sum(size).alias("total_size"), F.count_distinct(project).alias("n_projects"), F.count_distinct(technology).alias("n_technologies"))
+
+
+def difficulty_overview(scores: DataFrame, level: str = "level", score: str = "score") -> DataFrame:
+    """Projects and mean score (one place) of each level."""
+    return scores.groupBy(level).agg(F.count("*").alias("n_projects"), X.round_half_up(F.avg(score), 1).alias("avg_score"))

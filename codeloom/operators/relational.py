@@ -26,6 +26,16 @@ def page(rows: DataFrame, order: list, number: int = 1, limit: int = 10, most: i
     return rows.orderBy(*order).offset((max(1, number) - 1) * limit).limit(limit)
 
 
+def page_count(rows: DataFrame, limit: int = 10) -> DataFrame:
+    """One row: rows, and pages of ``limit`` rows."""
+    return rows.agg(F.count("*").alias("n_rows")).withColumn("n_pages", F.ceil(F.col("n_rows") / F.lit(float(limit))))
+
+
+def counts(rows: DataFrame, by: str, distinct: str) -> DataFrame:
+    """Rows and distinct values of each category."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(distinct).alias("n_distinct"))
+
+
 def owned(rows: DataFrame, owner: str, user: Column) -> DataFrame:
     """Adds access: ok, forbidden (another owner's), or missing where the row has no owner."""
     return rows.withColumn("access", F.when(F.col(owner).isNull(), "missing").when(F.col(owner) == user, "ok").otherwise("forbidden"))
@@ -57,9 +67,9 @@ def incident(edges: DataFrame, nodes: DataFrame, node: str, source: str, target:
 
 
 def or_all(rows: DataFrame, test: Column) -> DataFrame:
-    """Rows that pass the test, or all of them if none does. Whether any does is one counted row, not a window over all."""
-    any_ = rows.agg(F.coalesce(F.max(test.cast("int")), F.lit(0)).alias("any_")).first()["any_"]
-    return rows.where(test) if any_ else rows
+    """Rows that pass the test, or all of them if none does. Whether any does is one row, a subquery of the plan, not a window over all."""
+    any_ = rows.agg(F.coalesce(F.max(F.coalesce(test, F.lit(False)).cast("int")), F.lit(0)).alias("any_")).scalar()
+    return rows.where(F.coalesce(test, F.lit(False)) | (any_ == 0))
 
 
 def ordered_union(parts: list[DataFrame], key: str, order: str) -> DataFrame:

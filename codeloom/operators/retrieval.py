@@ -1,30 +1,109 @@
 """Vector retrieval: exact k nearest by cosine, per-file ranking, cells of an inverted index, re-ranking, caches.
 
-Query vectors are a small side whose size is checked before it is broadcast; where it is larger, queries are dealt to blocks and chunks
-meet one block at a time through an equi-join on the block, so neither side is ever in one task.
+A stated set of queries meets all chunks in blocks: at most ``QUERY_ROWS`` queries are sent to the tasks at once, a task multiplies them with
+one Arrow batch of chunks and keeps what the operator asks for (the k best, the best of a label, counts), so no row is made for a pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.vectors import cosine, dot, doubles, norm
+from codeloom.functions.vectors import doubles
 
-#: Query rows that one block holds and that may be broadcast.
+#: Query rows that one block holds, about, and that may be broadcast.
 QUERY_ROWS = 4_096
 
 
+def unit(vectors: list, width: int) -> np.ndarray:
+    """Vectors of ``width`` numbers scaled to length 1; others, and those without a length, are zero."""
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        if v is not None and len(v) == width:
+            x = np.asarray(v, dtype=np.float64)
+            n = np.linalg.norm(x)
+            if np.isfinite(n) and n > 0:
+                out[k] = x / n
+    return out
+
+
+def in_blocks(chunks: DataFrame, queries: DataFrame, keep: Callable[[np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """chunks (vector and others) against queries (query_id, query_vector): what keep(query ids, cosines by query and chunk, chunks) gives for each
+    batch of chunks and block of queries. Blocks are read one after another from a written table, never all at once."""
+    spark = queries.sparkSession
+    own = queries.select("query_id", "query_vector").where("query_vector is not null and size(query_vector) > 0").withColumn("block_", F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 30))))
+    n = own.count()
+    blocks = max(1, -(-2 * n // query_rows)) if n > query_rows else 1
+    out = None
+    for k in range(blocks):
+        block = own.where(F.floor(F.col("block_") * blocks / F.lit(1 << 30)) == k).select("query_id", "query_vector").toArrow().to_pandas()
+        by_width = {int(w): (g.query_id.to_numpy(), unit(g.query_vector.tolist(), int(w))) for w, g in block.groupby(block.query_vector.map(len))}
+        sent = spark.sparkContext.broadcast(by_width)
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for width, (ids, q) in sent.value.items():
+                    yield keep(ids, q @ unit(batch.vector.tolist(), width).T, batch)
+
+        part = chunks.mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def scored(chunks: DataFrame, queries: DataFrame, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """chunks (id, vector) with every query (query_id, query_vector): score. Norms are taken once for each row of either side."""
-    c = chunks.withColumn("v_", doubles("vector")).withColumn("n_", norm("v_"))
-    q = queries.withColumn("q_", doubles("query_vector")).withColumn("m_", norm("q_")).drop("query_vector")
-    blocks = max(1, -(-queries.count() // query_rows))
-    q = q.withColumn("block_", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    c = c.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = c.join(F.broadcast(q) if blocks == 1 else q, "block_")
-    same = (F.size("v_") == F.size("q_")) & (F.col("n_") * F.col("m_") > 0)
-    return both.withColumn("score", F.when(same, dot("v_", "q_") / (F.col("n_") * F.col("m_"))).otherwise(0.0)).drop("v_", "q_", "n_", "m_", "block_")
+    """chunks with every query_id and its score: all pairs, for one question or a small store; searches keep the best (``nearest``)."""
+    fields = [("query_id", queries.schema["query_id"].dataType), *((f.name, f.dataType) for f in chunks.schema.fields)]
+
+    def keep(ids: np.ndarray, s: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([batch.assign(query_id=q, score=s[k]) for k, q in enumerate(ids)]) if len(ids) else batch.assign(query_id=0, score=0.0).iloc[:0]
+
+    return in_blocks(chunks, queries, lambda *x: keep(*x)[[n for n, _ in fields] + ["score"]], ", ".join(f"`{n}` {t.simpleString()}" for n, t in fields) + ", score double", query_rows)
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.1, inclusive: bool = False) -> DataFrame:
+    """query_id, id, score, rank of the k best chunks (id, vector) of each query over the threshold, itself left out; ties by id."""
+
+    def keep(ids: np.ndarray, s: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
+        own = batch.id.to_numpy()
+        s = np.where((s >= threshold if inclusive else s > threshold) & (ids[:, None] != own[None]), s, -np.inf)
+        order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+        at = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
+        ok = np.isfinite(s[at])
+        return pd.DataFrame({"query_id": ids[at[0][ok]], "id": own[at[1][ok]], "score": s[at][ok]})
+
+    return top_k(in_blocks(chunks.select("id", "vector"), queries, keep, "query_id long, id long, score double"), k, -2.0)
+
+
+def nearest_per(chunks: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """query_id, key, id, score: the best chunk (id, key, vector) of each query and key, itself left out; ties by id."""
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def keep(ids: np.ndarray, s: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
+        own, made = batch.id.to_numpy(), []
+        s = np.where(ids[:, None] != own[None], s, -np.inf)
+        for name, rows in batch.groupby(key, sort=False, dropna=False).indices.items():
+            rows = rows[np.argsort(own[rows], kind="stable")]
+            best = rows[s[:, rows].argmax(1)]
+            made.append(pd.DataFrame({"query_id": ids, key: name, "id": own[best], "score": s[np.arange(len(ids)), best]}))
+        got = pd.concat(made) if made else pd.DataFrame({"query_id": [], key: [], "id": [], "score": []})
+        return got[np.isfinite(got.score.to_numpy(dtype=float))]
+
+    return best_per(in_blocks(chunks.select("id", key, "vector"), queries, keep, f"query_id long, {key} {kind}, id long, score double"), key)
+
+
+def hit_modes(chunks: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
+    """query_id, strict and inclusive (chunks over, and at or over, a score of ``least``) and best score, the query itself left out."""
+
+    def keep(ids: np.ndarray, s: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
+        other = ids[:, None] != batch.id.to_numpy()[None]
+        return pd.DataFrame({"query_id": ids, "strict": ((s > least) & other).sum(1), "inclusive": ((s >= least) & other).sum(1), "best": np.where(other, np.maximum(s, 0.0), -1.0).max(1, initial=-1.0)})
+
+    parts = in_blocks(chunks.select("id", "vector"), queries, keep, "query_id long, strict long, inclusive long, best double")
+    return parts.groupBy("query_id").agg(F.sum("strict").alias("strict"), F.sum("inclusive").alias("inclusive"), F.max("best").alias("best")).where("best >= 0")
 
 
 def top_k(hits: DataFrame, k: int = 5, threshold: float = 0.1, inclusive: bool = False, tie: str = "id") -> DataFrame:
@@ -59,12 +138,24 @@ def centroids(vectors: DataFrame, cell: str, column: str = "embedding") -> DataF
 
 
 def nearest_cell(vectors: DataFrame, cells: DataFrame, cell: str, probes: int = 1, column: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The ``probes`` nearest cells of every vector by cosine; cells are few (their number is fixed with the index) and broadcast."""
-    both = vectors.select(key, column).crossJoin(F.broadcast(cells)) if cells.count() <= QUERY_ROWS else None
-    if both is None:
+    """The ``probes`` nearest cells of every vector by cosine; cells are few (their number is fixed with the index), and ranked within the row of a vector."""
+    if cells.count() > QUERY_ROWS:
         raise ValueError("more cells than an index may have")
-    w = Window.partitionBy(key).orderBy(F.desc("sim_"), cell)
-    return both.withColumn("sim_", cosine(column, "centroid")).withColumn("probe", F.row_number().over(w)).where(F.col("probe") <= probes).select(key, cell, "probe", F.col("sim_").alias("similarity"))
+    known = cells.select(cell, "centroid").toArrow().to_pandas().sort_values(cell)  # at most QUERY_ROWS rows
+    kind = {n: vectors.schema[n].dataType.simpleString() for n in (key,)} | {cell: cells.schema[cell].dataType.simpleString()}
+    sent = vectors.sparkSession.sparkContext.broadcast((known[cell].tolist(), {int(w): (g.index.to_numpy(), unit(g.centroid.tolist(), int(w))) for w, g in known.reset_index(drop=True).groupby(known.reset_index(drop=True).centroid.map(len))}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, by_width = sent.value
+        for batch in batches:
+            for width, (at, centres) in by_width.items():
+                own = batch[batch[column].map(lambda v, width=width: v is not None and len(v) == width)]
+                s = unit(own[column].tolist(), width) @ centres.T
+                order = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+                n = order.shape[1]
+                yield pd.DataFrame({key: np.repeat(own[key].to_numpy(), n), cell: [names[at[j]] for j in order.ravel()], "probe": np.tile(np.arange(1, n + 1), len(own)), "similarity": np.take_along_axis(s, order, 1).ravel()})
+
+    return vectors.select(key, column).mapInPandas(run, f"{key} {kind[key]}, {cell} {kind[cell]}, probe int, similarity double")
 
 
 def ivf_shape(n: int) -> tuple[int, int]:

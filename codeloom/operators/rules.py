@@ -1,5 +1,4 @@
-"""Technology rules: tables by category, each rule a name and signals of (type, weight, values). A table is a parameter of detection;
-these are the defaults. Values whose files differ by extension alone are made from the stem and the extensions."""
+"""Technology rules and stacks. A table is a parameter of detection; these are the defaults."""
 
 from __future__ import annotations
 
@@ -7,6 +6,8 @@ from typing import NamedTuple
 
 
 class Rule(NamedTuple):
+    """A technology: signals are (type, value, weight, configuration file of a dependency, whether its name is meant whole)."""
+
     name: str
     category: str
     signals: tuple
@@ -14,103 +15,384 @@ class Rule(NamedTuple):
     excludes: str | None = None
 
 
-def dep(weight: float, *names: str, file: str = "package.json") -> tuple:
-    return tuple(("dep", n, weight, file, True) for n in names)
-
-
-def dep_part(weight: float, part: str, file: str = "package.json") -> tuple:
-    """A dependency whose name has the part."""
-    return (("dep", part, weight, file, False),)
-
-
 def sig(kind: str, weight: float, *values: str) -> tuple:
+    """Signals of one type and weight."""
     return tuple((kind, v, weight, None, True) for v in values)
 
 
-def stem(weight: float, name: str, *extensions: str) -> tuple:
-    return sig("file", weight, *(f"{name}.{e}" for e in extensions))
-
-
-PY = "requirements.txt"
-
-# Names, categories, signals, weights and parents of the rules, in the order of their evaluation.
-FRONTEND = (
-    Rule("React", "frontend", (*dep(1.0, "react"), *dep(0.9, "react-dom"), *sig("import", 0.85, "from 'react'", 'from "react"'), *sig("extension", 0.4, ".jsx", ".tsx"), *sig("pattern", 0.5, "useState", "useEffect"))),
-    Rule("Next.js", "frontend", (*dep(1.0, "next"), *stem(0.85, "next.config", "js", "ts", "mjs"), *sig("dir", 0.7, "pages", "app"), *sig("pattern", 0.6, "getServerSideProps", "getStaticProps")), "React"),
-    Rule("Vue.js", "frontend", (*dep(1.0, "vue"), *sig("extension", 0.85, ".vue"), *sig("pattern", 0.7, "createApp(", "new Vue({"))),
-    Rule("Angular", "frontend", (*dep(1.0, "@angular/core"), *sig("file", 0.9, "angular.json"), *sig("pattern", 0.8, "@Component"), *sig("extension", 0.5, ".component.ts"))),
-    Rule("TypeScript", "language", (*dep(1.0, "typescript"), *sig("file", 0.85, "tsconfig.json"), *sig("extension", 0.6, ".ts"), *sig("extension", 0.5, ".tsx"))),
-    Rule("Tailwind CSS", "frontend", (*dep(1.0, "tailwindcss"), *stem(0.9, "tailwind.config", "js", "ts"), *sig("pattern", 0.6, "@tailwind"), *sig("pattern", 0.5, "@apply "))),
-    Rule("Svelte", "frontend", (*dep(1.0, "svelte"), *sig("extension", 0.9, ".svelte"))),
-    Rule("Redux", "frontend", (*dep(0.9, "redux"), *dep(1.0, "react-redux"), *dep(0.95, "@reduxjs/toolkit"), *sig("import", 0.7, "createSlice"), *sig("dir", 0.45, "store", "redux")), "React"),
-    Rule("React Router", "frontend", (*dep(1.0, "react-router-dom"), *sig("import", 0.65, "BrowserRouter", "createBrowserRouter")), "React"),
-    Rule("Axios", "frontend", (*dep(1.0, "axios"), *sig("import", 0.8, "from 'axios'", 'from "axios"'))),
-    Rule("Vite", "build", (*dep(1.0, "vite"), *stem(0.9, "vite.config", "js", "ts")), excludes="Webpack"),
-    Rule("Webpack", "build", (*dep(1.0, "webpack"), *stem(0.9, "webpack.config", "js", "ts"))),
-)
-BACKEND = (
-    Rule("Node.js", "backend", (*sig("file", 0.85, "package.json"), *sig("pattern", 0.5, "require('fs')"), *sig("pattern", 0.4, "require('path')", "from 'node:"), *sig("pattern", 0.3, "process.exit"))),
-    Rule("Express.js", "backend", (*dep(1.0, "express"), *sig("pattern", 0.85, "require('express')"), *sig("pattern", 0.8, "express()"), *sig("pattern", 0.6, "app.listen("), *sig("pattern", 0.5, "app.get(", "app.post("), *sig("pattern", 0.45, "app.use(")), "Node.js"),
-    Rule("Fastify", "backend", (*dep(1.0, "fastify"), *sig("pattern", 0.8, "require('fastify')"), *sig("pattern", 0.7, "fastify({"))),
-    Rule("NestJS", "backend", (*dep(1.0, "@nestjs/core"), *sig("file", 0.8, "nest-cli.json"), *sig("pattern", 0.75, "@Module"), *sig("pattern", 0.7, "@Controller"))),
-    Rule("Django", "backend", (*dep(1.0, "django", file=PY), *sig("file", 0.9, "manage.py"), *sig("pattern", 0.7, "DJANGO_SETTINGS_MODULE"), *sig("pattern", 0.65, "django.setup"))),
-    Rule("Flask", "backend", (*dep(1.0, "flask", file=PY), *sig("pattern", 0.85, "from flask import"), *sig("pattern", 0.8, "Flask(__name__)"))),
-    Rule("FastAPI", "backend", (*dep(1.0, "fastapi", file=PY), *sig("pattern", 0.85, "from fastapi import"), *sig("pattern", 0.8, "FastAPI()"))),
-    Rule("Spring Boot", "backend", (*dep_part(1.0, "spring-boot-starter", "pom.xml"), *sig("pattern", 0.85, "@SpringBootApplication"), *stem(0.6, "application", "properties", "yml"))),
-    Rule("Go", "language", (*sig("file", 0.95, "go.mod"), *sig("extension", 0.8, ".go"), *sig("pattern", 0.5, "package main"))),
-    Rule("Python", "language", (*sig("extension", 0.8, ".py"), *sig("file", 0.6, "requirements.txt", "pyproject.toml"))),
-    Rule("Java", "language", (*sig("extension", 0.8, ".java"), *sig("file", 0.7, "pom.xml", "build.gradle"))),
-    Rule("GraphQL", "backend", (*dep(0.9, "graphql"), *dep(0.95, "apollo-server"), *sig("extension", 0.85, ".graphql"), *sig("pattern", 0.5, "typeDefs"), *sig("pattern", 0.45, "resolvers"))),
-    Rule("REST API", "backend", (*sig("pattern", 0.5, "app.get(", "app.post(", "router.get(", "router.post("), *sig("pattern", 0.4, ".json({", "res.status("), *sig("dir", 0.35, "routes"), *sig("url", 0.35, "/api/"))),
-)
-DATABASE = (
-    Rule("MongoDB", "database", (*dep(1.0, "mongoose"), *dep(0.95, "mongodb"), *sig("pattern", 0.8, "mongoose.connect("), *sig("pattern", 0.7, "MongoClient("), *sig("pattern", 0.65, "mongodb://", "mongodb+srv://"), *sig("docker", 0.55, "mongo"))),
-    Rule("Mongoose", "database", (*dep(1.0, "mongoose"), *sig("pattern", 0.8, "new mongoose.Schema"), *sig("pattern", 0.75, "mongoose.model("), *sig("dir", 0.4, "models")), "MongoDB"),
-    Rule("PostgreSQL", "database", (*dep(1.0, "pg"), *dep(0.9, "postgres", "pg-promise"), *dep(1.0, "psycopg2", file=PY), *sig("pattern", 0.6, "postgres://", "postgresql://"), *sig("docker", 0.65, "postgres"))),
-    Rule("MySQL", "database", (*dep(1.0, "mysql2"), *dep(0.9, "mysql"), *sig("pattern", 0.6, "mysql://"), *sig("docker", 0.65, "mysql"))),
-    Rule("SQLite", "database", (*dep(0.9, "sqlite3", file=PY), *dep(1.0, "better-sqlite3"), *sig("extension", 0.7, ".sqlite"), *sig("extension", 0.4, ".db"), *sig("pattern", 0.5, "sqlite:"))),
-    Rule("Redis", "database", (*dep(0.9, "redis"), *dep(1.0, "ioredis"), *dep(0.9, "redis", file=PY), *sig("pattern", 0.55, "redis://"), *sig("docker", 0.55, "redis"))),
-    Rule("Prisma", "database", (*dep(1.0, "prisma"), *dep(0.95, "@prisma/client"), *sig("file", 0.95, "schema.prisma"))),
-    Rule("Firebase", "database", (*dep(0.9, "firebase", "firebase-admin"), *sig("file", 0.85, "firebase.json"))),
-)
-AUTHENTICATION = (
-    Rule("JWT", "authentication", (*dep(1.0, "jsonwebtoken"), *dep(0.9, "PyJWT", file=PY), *sig("pattern", 0.8, "jwt.sign(", "jwt.verify("), *sig("pattern", 0.5, "JWT_SECRET"), *sig("pattern", 0.45, "ACCESS_TOKEN"))),
-    Rule("Passport.js", "authentication", (*dep(1.0, "passport"), *sig("pattern", 0.8, "require('passport')"), *sig("pattern", 0.7, "passport.use(", "passport.authenticate(")), "Node.js"),
-    Rule("OAuth 2.0", "authentication", (*dep(0.9, "passport-google-oauth20", "passport-github2"), *sig("pattern", 0.6, "GOOGLE_CLIENT_ID", "GITHUB_CLIENT_ID"), *sig("pattern", 0.55, "/auth/google", "/auth/github"))),
-    Rule("bcrypt", "authentication", (*dep(0.9, "bcrypt", "bcryptjs"), *sig("pattern", 0.7, "bcrypt.hash("), *sig("pattern", 0.65, "bcrypt.compare("))),
-    Rule("NextAuth", "authentication", (*dep(1.0, "next-auth"), *sig("pattern", 0.7, "NextAuth("), *sig("pattern", 0.75, "[...nextauth]"))),
-    Rule("Auth0", "authentication", (*dep(0.95, "@auth0/auth0-react"), *sig("pattern", 0.65, "useAuth0("))),
-)
-DEPLOYMENT = (
-    Rule("Docker", "deployment", (*sig("file", 0.95, "Dockerfile"), *stem(0.9, "docker-compose", "yml", "yaml"), *sig("file", 0.7, ".dockerignore"))),
-    Rule("Kubernetes", "deployment", (*sig("dir", 0.7, "k8s", "kubernetes"), *sig("pattern", 0.8, "kind: Deployment"), *sig("pattern", 0.7, "kind: Service"), *sig("file", 0.8, "Chart.yaml"))),
-    Rule("GitHub Actions", "deployment", sig("dir", 0.95, ".github/workflows")),
-    Rule("GitLab CI", "deployment", sig("file", 0.95, ".gitlab-ci.yml")),
-    Rule("Vercel", "deployment", (*sig("file", 0.9, "vercel.json"), *dep(0.8, "vercel"))),
-    Rule("Netlify", "deployment", sig("file", 0.9, "netlify.toml")),
-    Rule("Heroku", "deployment", sig("file", 0.9, "Procfile")),
-    Rule("NGINX", "deployment", (*sig("file", 0.9, "nginx.conf"), *sig("pattern", 0.6, "FROM nginx"), *sig("dir", 0.5, "nginx"))),
-    Rule("PM2", "deployment", (*dep(0.85, "pm2"), *sig("file", 0.8, "ecosystem.config.js"))),
-)
-CLOUD = (
-    Rule("AWS", "cloud", (*dep(0.85, "aws-sdk"), *dep_part(0.85, "@aws-sdk/"), *sig("pattern", 0.5, "AWS_ACCESS_KEY", "AWS_SECRET"))),
-    Rule("AWS Lambda", "cloud", (*sig("file", 0.7, "serverless.yml"), *sig("pattern", 0.55, "exports.handler")), "AWS"),
-    Rule("AWS S3", "cloud", (*dep(0.95, "@aws-sdk/client-s3"), *sig("pattern", 0.6, "S3Client("), *sig("pattern", 0.4, ".upload(")), "AWS"),
-    Rule("GCP", "cloud", (*dep_part(0.9, "@google-cloud/"), *sig("file", 0.75, "app.yaml"))),
-    Rule("Supabase", "cloud", (*dep(0.95, "@supabase/supabase-js"), *sig("pattern", 0.6, "supabase.from("))),
-    Rule("Cloudflare", "cloud", (*sig("file", 0.9, "wrangler.toml"), *dep(0.85, "wrangler"))),
-)
-TESTING = (
-    Rule("Jest", "testing", (*dep(1.0, "jest"), *stem(0.85, "jest.config", "js", "ts", "json"), *sig("extension", 0.65, ".test.js", ".test.ts"), *sig("extension", 0.6, ".test.jsx", ".test.tsx"), *sig("extension", 0.65, ".spec.js", ".spec.ts"), *sig("dir", 0.5, "__tests__"))),
-    Rule("Vitest", "testing", (*dep(1.0, "vitest"), *stem(0.85, "vitest.config", "ts", "js"), *sig("import", 0.6, "from 'vitest'", 'from "vitest"'))),
-    Rule("Mocha", "testing", (*dep(1.0, "mocha"), *stem(0.7, ".mocharc", "js", "json"))),
-    Rule("Pytest", "testing", (*dep(1.0, "pytest", file=PY), *sig("file", 0.7, "pytest.ini"), *sig("file", 0.6, "conftest.py"), *sig("extension", 0.6, "test_", "_test.py"))),
-    Rule("Cypress", "testing", (*dep(1.0, "cypress"), *stem(0.85, "cypress.config", "js", "ts"), *sig("dir", 0.7, "cypress"))),
-    Rule("Playwright", "testing", (*dep(1.0, "@playwright/test"), *stem(0.85, "playwright.config", "ts", "js"))),
-    Rule("ESLint", "testing", (*dep(0.95, "eslint"), *stem(0.8, ".eslintrc", "js", "json"), *stem(0.8, "eslint.config", "js", "mjs"))),
-    Rule("Prettier", "testing", (*dep(0.9, "prettier"), *sig("file", 0.75, ".prettierrc", ".prettierrc.json", "prettier.config.js"))),
+# Rules in the order of their evaluation, with their signals in order.
+RULES = (
+    Rule("React", "frontend", (
+        ("dep", "react", 1.0, "package.json", True),
+        ("dep", "react-dom", 0.9, "package.json", True),
+        ("import", "from 'react'", 0.85, None, True),
+        ("import", 'from "react"', 0.85, None, True),
+        ("extension", ".jsx", 0.4, None, True),
+        ("extension", ".tsx", 0.4, None, True),
+        ("pattern", "useState", 0.5, None, True),
+        ("pattern", "useEffect", 0.5, None, True),
+    )),
+    Rule("Next.js", "frontend", (
+        ("dep", "next", 1.0, "package.json", True),
+        ("file", "next.config.js", 0.85, None, True),
+        ("file", "next.config.ts", 0.85, None, True),
+        ("file", "next.config.mjs", 0.85, None, True),
+        ("dir", "pages", 0.7, None, True),
+        ("dir", "app", 0.7, None, True),
+        ("pattern", "getServerSideProps", 0.6, None, True),
+        ("pattern", "getStaticProps", 0.6, None, True),
+    ), parent="React"),
+    Rule("Vue.js", "frontend", (
+        ("dep", "vue", 1.0, "package.json", True),
+        ("extension", ".vue", 0.85, None, True),
+        ("pattern", "createApp(", 0.7, None, True),
+        ("pattern", "new Vue({", 0.7, None, True),
+    )),
+    Rule("Angular", "frontend", (
+        ("dep", "@angular/core", 1.0, "package.json", True),
+        ("file", "angular.json", 0.9, None, True),
+        ("pattern", "@Component", 0.8, None, True),
+        ("extension", ".component.ts", 0.5, None, True),
+    )),
+    Rule("TypeScript", "language", (
+        ("dep", "typescript", 1.0, "package.json", True),
+        ("file", "tsconfig.json", 0.85, None, True),
+        ("extension", ".ts", 0.6, None, True),
+        ("extension", ".tsx", 0.5, None, True),
+    )),
+    Rule("Tailwind CSS", "frontend", (
+        ("dep", "tailwindcss", 1.0, "package.json", True),
+        ("file", "tailwind.config.js", 0.9, None, True),
+        ("file", "tailwind.config.ts", 0.9, None, True),
+        ("pattern", "@tailwind", 0.6, None, True),
+        ("pattern", "@apply ", 0.5, None, True),
+    )),
+    Rule("Svelte", "frontend", (
+        ("dep", "svelte", 1.0, "package.json", True),
+        ("extension", ".svelte", 0.9, None, True),
+    )),
+    Rule("Redux", "frontend", (
+        ("dep", "redux", 0.9, "package.json", True),
+        ("dep", "react-redux", 1.0, "package.json", True),
+        ("dep", "@reduxjs/toolkit", 0.95, "package.json", True),
+        ("import", "createSlice", 0.7, None, True),
+        ("dir", "store", 0.45, None, True),
+        ("dir", "redux", 0.45, None, True),
+    ), parent="React"),
+    Rule("React Router", "frontend", (
+        ("dep", "react-router-dom", 1.0, "package.json", True),
+        ("import", "BrowserRouter", 0.65, None, True),
+        ("import", "createBrowserRouter", 0.65, None, True),
+    ), parent="React"),
+    Rule("Axios", "frontend", (
+        ("dep", "axios", 1.0, "package.json", True),
+        ("import", "from 'axios'", 0.8, None, True),
+        ("import", 'from "axios"', 0.8, None, True),
+    )),
+    Rule("Vite", "build", (
+        ("dep", "vite", 1.0, "package.json", True),
+        ("file", "vite.config.js", 0.9, None, True),
+        ("file", "vite.config.ts", 0.9, None, True),
+    ), excludes="Webpack"),
+    Rule("Webpack", "build", (
+        ("dep", "webpack", 1.0, "package.json", True),
+        ("file", "webpack.config.js", 0.9, None, True),
+        ("file", "webpack.config.ts", 0.9, None, True),
+    )),
+    Rule("Node.js", "backend", (
+        ("file", "package.json", 0.85, None, True),
+        ("pattern", "require('fs')", 0.5, None, True),
+        ("pattern", "require('path')", 0.4, None, True),
+        ("pattern", "from 'node:", 0.4, None, True),
+        ("pattern", "process.exit", 0.3, None, True),
+    )),
+    Rule("Express.js", "backend", (
+        ("dep", "express", 1.0, "package.json", True),
+        ("pattern", "require('express')", 0.85, None, True),
+        ("pattern", "express()", 0.8, None, True),
+        ("pattern", "app.listen(", 0.6, None, True),
+        ("pattern", "app.get(", 0.5, None, True),
+        ("pattern", "app.post(", 0.5, None, True),
+        ("pattern", "app.use(", 0.45, None, True),
+    ), parent="Node.js"),
+    Rule("Fastify", "backend", (
+        ("dep", "fastify", 1.0, "package.json", True),
+        ("pattern", "require('fastify')", 0.8, None, True),
+        ("pattern", "fastify({", 0.7, None, True),
+    )),
+    Rule("NestJS", "backend", (
+        ("dep", "@nestjs/core", 1.0, "package.json", True),
+        ("file", "nest-cli.json", 0.8, None, True),
+        ("pattern", "@Module", 0.75, None, True),
+        ("pattern", "@Controller", 0.7, None, True),
+    )),
+    Rule("Django", "backend", (
+        ("dep", "django", 1.0, "requirements.txt", True),
+        ("file", "manage.py", 0.9, None, True),
+        ("pattern", "DJANGO_SETTINGS_MODULE", 0.7, None, True),
+        ("pattern", "django.setup", 0.65, None, True),
+    )),
+    Rule("Flask", "backend", (
+        ("dep", "flask", 1.0, "requirements.txt", True),
+        ("pattern", "from flask import", 0.85, None, True),
+        ("pattern", "Flask(__name__)", 0.8, None, True),
+    )),
+    Rule("FastAPI", "backend", (
+        ("dep", "fastapi", 1.0, "requirements.txt", True),
+        ("pattern", "from fastapi import", 0.85, None, True),
+        ("pattern", "FastAPI()", 0.8, None, True),
+    )),
+    Rule("Spring Boot", "backend", (
+        ("dep", "spring-boot-starter", 1.0, "pom.xml", False),
+        ("pattern", "@SpringBootApplication", 0.85, None, True),
+        ("file", "application.properties", 0.6, None, True),
+        ("file", "application.yml", 0.6, None, True),
+    )),
+    Rule("Go", "language", (
+        ("file", "go.mod", 0.95, None, True),
+        ("extension", ".go", 0.8, None, True),
+        ("pattern", "package main", 0.5, None, True),
+    )),
+    Rule("Python", "language", (
+        ("extension", ".py", 0.8, None, True),
+        ("file", "requirements.txt", 0.6, None, True),
+        ("file", "pyproject.toml", 0.6, None, True),
+    )),
+    Rule("Java", "language", (
+        ("extension", ".java", 0.8, None, True),
+        ("file", "pom.xml", 0.7, None, True),
+        ("file", "build.gradle", 0.7, None, True),
+    )),
+    Rule("GraphQL", "backend", (
+        ("dep", "graphql", 0.9, "package.json", True),
+        ("dep", "apollo-server", 0.95, "package.json", True),
+        ("extension", ".graphql", 0.85, None, True),
+        ("pattern", "typeDefs", 0.5, None, True),
+        ("pattern", "resolvers", 0.45, None, True),
+    )),
+    Rule("REST API", "backend", (
+        ("pattern", "app.get(", 0.5, None, True),
+        ("pattern", "app.post(", 0.5, None, True),
+        ("pattern", "router.get(", 0.5, None, True),
+        ("pattern", "router.post(", 0.5, None, True),
+        ("pattern", ".json({", 0.4, None, True),
+        ("pattern", "res.status(", 0.4, None, True),
+        ("dir", "routes", 0.35, None, True),
+        ("url", "/api/", 0.35, None, True),
+    )),
+    Rule("MongoDB", "database", (
+        ("dep", "mongoose", 1.0, "package.json", True),
+        ("dep", "mongodb", 0.95, "package.json", True),
+        ("pattern", "mongoose.connect(", 0.8, None, True),
+        ("pattern", "MongoClient(", 0.7, None, True),
+        ("pattern", "mongodb://", 0.65, None, True),
+        ("pattern", "mongodb+srv://", 0.65, None, True),
+        ("docker", "mongo", 0.55, None, True),
+    )),
+    Rule("Mongoose", "database", (
+        ("dep", "mongoose", 1.0, "package.json", True),
+        ("pattern", "new mongoose.Schema", 0.8, None, True),
+        ("pattern", "mongoose.model(", 0.75, None, True),
+        ("dir", "models", 0.4, None, True),
+    ), parent="MongoDB"),
+    Rule("PostgreSQL", "database", (
+        ("dep", "pg", 1.0, "package.json", True),
+        ("dep", "postgres", 0.9, "package.json", True),
+        ("dep", "pg-promise", 0.9, "package.json", True),
+        ("dep", "psycopg2", 1.0, "requirements.txt", True),
+        ("pattern", "postgres://", 0.6, None, True),
+        ("pattern", "postgresql://", 0.6, None, True),
+        ("docker", "postgres", 0.65, None, True),
+    )),
+    Rule("MySQL", "database", (
+        ("dep", "mysql2", 1.0, "package.json", True),
+        ("dep", "mysql", 0.9, "package.json", True),
+        ("pattern", "mysql://", 0.6, None, True),
+        ("docker", "mysql", 0.65, None, True),
+    )),
+    Rule("SQLite", "database", (
+        ("dep", "sqlite3", 0.9, "requirements.txt", True),
+        ("dep", "better-sqlite3", 1.0, "package.json", True),
+        ("extension", ".sqlite", 0.7, None, True),
+        ("extension", ".db", 0.4, None, True),
+        ("pattern", "sqlite:", 0.5, None, True),
+    )),
+    Rule("Redis", "database", (
+        ("dep", "redis", 0.9, "package.json", True),
+        ("dep", "ioredis", 1.0, "package.json", True),
+        ("dep", "redis", 0.9, "requirements.txt", True),
+        ("pattern", "redis://", 0.55, None, True),
+        ("docker", "redis", 0.55, None, True),
+    )),
+    Rule("Prisma", "database", (
+        ("dep", "prisma", 1.0, "package.json", True),
+        ("dep", "@prisma/client", 0.95, "package.json", True),
+        ("file", "schema.prisma", 0.95, None, True),
+    )),
+    Rule("Firebase", "database", (
+        ("dep", "firebase", 0.9, "package.json", True),
+        ("dep", "firebase-admin", 0.9, "package.json", True),
+        ("file", "firebase.json", 0.85, None, True),
+    )),
+    Rule("JWT", "authentication", (
+        ("dep", "jsonwebtoken", 1.0, "package.json", True),
+        ("dep", "PyJWT", 0.9, "requirements.txt", True),
+        ("pattern", "jwt.sign(", 0.8, None, True),
+        ("pattern", "jwt.verify(", 0.8, None, True),
+        ("pattern", "JWT_SECRET", 0.5, None, True),
+        ("pattern", "ACCESS_TOKEN", 0.45, None, True),
+    )),
+    Rule("Passport.js", "authentication", (
+        ("dep", "passport", 1.0, "package.json", True),
+        ("pattern", "require('passport')", 0.8, None, True),
+        ("pattern", "passport.use(", 0.7, None, True),
+        ("pattern", "passport.authenticate(", 0.7, None, True),
+    ), parent="Node.js"),
+    Rule("OAuth 2.0", "authentication", (
+        ("dep", "passport-google-oauth20", 0.9, "package.json", True),
+        ("dep", "passport-github2", 0.9, "package.json", True),
+        ("pattern", "GOOGLE_CLIENT_ID", 0.6, None, True),
+        ("pattern", "GITHUB_CLIENT_ID", 0.6, None, True),
+        ("pattern", "/auth/google", 0.55, None, True),
+        ("pattern", "/auth/github", 0.55, None, True),
+    )),
+    Rule("bcrypt", "authentication", (
+        ("dep", "bcrypt", 0.9, "package.json", True),
+        ("dep", "bcryptjs", 0.9, "package.json", True),
+        ("pattern", "bcrypt.hash(", 0.7, None, True),
+        ("pattern", "bcrypt.compare(", 0.65, None, True),
+    )),
+    Rule("NextAuth", "authentication", (
+        ("dep", "next-auth", 1.0, "package.json", True),
+        ("pattern", "NextAuth(", 0.7, None, True),
+        ("pattern", "[...nextauth]", 0.75, None, True),
+    )),
+    Rule("Auth0", "authentication", (
+        ("dep", "@auth0/auth0-react", 0.95, "package.json", True),
+        ("pattern", "useAuth0(", 0.65, None, True),
+    )),
+    Rule("Docker", "deployment", (
+        ("file", "Dockerfile", 0.95, None, True),
+        ("file", "docker-compose.yml", 0.9, None, True),
+        ("file", "docker-compose.yaml", 0.9, None, True),
+        ("file", ".dockerignore", 0.7, None, True),
+    )),
+    Rule("Kubernetes", "deployment", (
+        ("dir", "k8s", 0.7, None, True),
+        ("dir", "kubernetes", 0.7, None, True),
+        ("pattern", "kind: Deployment", 0.8, None, True),
+        ("pattern", "kind: Service", 0.7, None, True),
+        ("file", "Chart.yaml", 0.8, None, True),
+    )),
+    Rule("GitHub Actions", "deployment", (
+        ("dir", ".github/workflows", 0.95, None, True),
+    )),
+    Rule("GitLab CI", "deployment", (
+        ("file", ".gitlab-ci.yml", 0.95, None, True),
+    )),
+    Rule("Vercel", "deployment", (
+        ("file", "vercel.json", 0.9, None, True),
+        ("dep", "vercel", 0.8, "package.json", True),
+    )),
+    Rule("Netlify", "deployment", (
+        ("file", "netlify.toml", 0.9, None, True),
+    )),
+    Rule("Heroku", "deployment", (
+        ("file", "Procfile", 0.9, None, True),
+    )),
+    Rule("NGINX", "deployment", (
+        ("file", "nginx.conf", 0.9, None, True),
+        ("pattern", "FROM nginx", 0.6, None, True),
+        ("dir", "nginx", 0.5, None, True),
+    )),
+    Rule("PM2", "deployment", (
+        ("dep", "pm2", 0.85, "package.json", True),
+        ("file", "ecosystem.config.js", 0.8, None, True),
+    )),
+    Rule("AWS", "cloud", (
+        ("dep", "aws-sdk", 0.85, "package.json", True),
+        ("dep", "@aws-sdk/", 0.85, "package.json", False),
+        ("pattern", "AWS_ACCESS_KEY", 0.5, None, True),
+        ("pattern", "AWS_SECRET", 0.5, None, True),
+    )),
+    Rule("AWS Lambda", "cloud", (
+        ("file", "serverless.yml", 0.7, None, True),
+        ("pattern", "exports.handler", 0.55, None, True),
+    ), parent="AWS"),
+    Rule("AWS S3", "cloud", (
+        ("dep", "@aws-sdk/client-s3", 0.95, "package.json", True),
+        ("pattern", "S3Client(", 0.6, None, True),
+        ("pattern", ".upload(", 0.4, None, True),
+    ), parent="AWS"),
+    Rule("GCP", "cloud", (
+        ("dep", "@google-cloud/", 0.9, "package.json", False),
+        ("file", "app.yaml", 0.75, None, True),
+    )),
+    Rule("Supabase", "cloud", (
+        ("dep", "@supabase/supabase-js", 0.95, "package.json", True),
+        ("pattern", "supabase.from(", 0.6, None, True),
+    )),
+    Rule("Cloudflare", "cloud", (
+        ("file", "wrangler.toml", 0.9, None, True),
+        ("dep", "wrangler", 0.85, "package.json", True),
+    )),
+    Rule("Jest", "testing", (
+        ("dep", "jest", 1.0, "package.json", True),
+        ("file", "jest.config.js", 0.85, None, True),
+        ("file", "jest.config.ts", 0.85, None, True),
+        ("file", "jest.config.json", 0.85, None, True),
+        ("extension", ".test.js", 0.65, None, True),
+        ("extension", ".test.ts", 0.65, None, True),
+        ("extension", ".test.jsx", 0.6, None, True),
+        ("extension", ".test.tsx", 0.6, None, True),
+        ("extension", ".spec.js", 0.65, None, True),
+        ("extension", ".spec.ts", 0.65, None, True),
+        ("dir", "__tests__", 0.5, None, True),
+    )),
+    Rule("Vitest", "testing", (
+        ("dep", "vitest", 1.0, "package.json", True),
+        ("file", "vitest.config.ts", 0.85, None, True),
+        ("file", "vitest.config.js", 0.85, None, True),
+        ("import", "from 'vitest'", 0.6, None, True),
+        ("import", 'from "vitest"', 0.6, None, True),
+    )),
+    Rule("Mocha", "testing", (
+        ("dep", "mocha", 1.0, "package.json", True),
+        ("file", ".mocharc.js", 0.7, None, True),
+        ("file", ".mocharc.json", 0.7, None, True),
+    )),
+    Rule("Pytest", "testing", (
+        ("dep", "pytest", 1.0, "requirements.txt", True),
+        ("file", "pytest.ini", 0.7, None, True),
+        ("file", "conftest.py", 0.6, None, True),
+        ("extension", "test_", 0.6, None, True),
+        ("extension", "_test.py", 0.6, None, True),
+    )),
+    Rule("Cypress", "testing", (
+        ("dep", "cypress", 1.0, "package.json", True),
+        ("file", "cypress.config.js", 0.85, None, True),
+        ("file", "cypress.config.ts", 0.85, None, True),
+        ("dir", "cypress", 0.7, None, True),
+    )),
+    Rule("Playwright", "testing", (
+        ("dep", "@playwright/test", 1.0, "package.json", True),
+        ("file", "playwright.config.ts", 0.85, None, True),
+        ("file", "playwright.config.js", 0.85, None, True),
+    )),
+    Rule("ESLint", "testing", (
+        ("dep", "eslint", 0.95, "package.json", True),
+        ("file", ".eslintrc.js", 0.8, None, True),
+        ("file", ".eslintrc.json", 0.8, None, True),
+        ("file", "eslint.config.js", 0.8, None, True),
+        ("file", "eslint.config.mjs", 0.8, None, True),
+    )),
+    Rule("Prettier", "testing", (
+        ("dep", "prettier", 0.9, "package.json", True),
+        ("file", ".prettierrc", 0.75, None, True),
+        ("file", ".prettierrc.json", 0.75, None, True),
+        ("file", "prettier.config.js", 0.75, None, True),
+    )),
 )
-RULES = (*FRONTEND, *BACKEND, *DATABASE, *AUTHENTICATION, *DEPLOYMENT, *CLOUD, *TESTING)
 
 
 class Stack(NamedTuple):

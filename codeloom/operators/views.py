@@ -43,6 +43,11 @@ def module_view(edges: DataFrame) -> DataFrame:
     return edges.groupBy(P, X.dirname("source").alias("id")).agg(F.count_distinct(X.dirname("target")).alias("n")).select(P, "id", F.concat(F.col("n").cast("string"), F.lit(" deps")).alias("label"))
 
 
+def prefix_counts(routes: DataFrame, path) -> DataFrame:
+    """Routes by the first segment of their path."""
+    return routes.groupBy(F.concat(F.lit("/"), F.split_part(F.regexp_replace(path, "^/", ""), F.lit("/"), F.lit(1))).alias("prefix")).agg(F.count("*").alias("n_routes"))
+
+
 def call_view(steps: DataFrame) -> DataFrame:
     return steps.select(P, F.concat_ws(":", "file", "symbol").alias("id"), F.col("symbol").alias("label"), "phase", "depth")
 
@@ -104,10 +109,10 @@ def tree_text(nodes: DataFrame) -> DataFrame:
     rows = each.groupBy(P, "path", "name", "type", "depth").agg(F.array_sort(F.collect_list(F.struct("i", "p_", "l_"))).alias("c"))
     prefix = F.array_join(F.transform(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))), lambda s: F.when(s["l_"], "    ").otherwise("│   ")), "")
     line = F.concat(prefix, F.when(F.element_at("c", -1)["l_"], "└── ").otherwise("├── "), "name", F.when(F.col("type") == "directory", "/").otherwise(""))
-    return joined(rows.withColumn("o", F.transform("c", lambda s: F.lpad(s["p_"].cast("string"), 6, "0"))), [P], ["o"], line, ".")
+    return joined(rows.withColumn("o", F.transform("c", lambda s: s["p_"])), [P], ["o"], line, ".")
 
 
 def parse_frames(lines: DataFrame, column: str = "line", schema: str = "phase string, user_id long") -> DataFrame:
     """Lines of an event stream: 'data: ' frames as structs; [DONE] ends, other lines are left out."""
-    body = F.substring(F.col(column), 7, 1_000_000)
+    body = F.substr(F.col(column), F.lit(7))
     return lines.where(F.col(column).startswith("data: ") & (body != "[DONE]")).withColumn("event", F.from_json(body, schema))

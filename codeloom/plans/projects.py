@@ -1,14 +1,11 @@
-"""Queries over the sample repository: parsing, detection, graphs, chunks, views and the model. They have no SQL form; the tests hold them
-against results worked out by hand. Those that need no source code read whole tables: code_chunks, file_packs, security_findings and
-environment_variables the documents, parse_structure the pages beside the sample."""
+"""Queries that read the rows of whole tables as files: every document as a Markdown file of its source, every page as an HTML file."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import audit, chunking, detect, graph, knowledge, metrics, ml, parsers, views
+from codeloom.operators import audit, chunking, detect, parsers
 from codeloom.plans.registry import query
-from codeloom.plans.sample import sample_files
 from codeloom.sources.repositories import described
 
 
@@ -19,275 +16,69 @@ def table_files(spark, sf_dir, table, project, key, text, ending):
 
 
 def document_files(spark, sf_dir):
-    return table_files(spark, sf_dir, "documents", F.col("source"), "doc_id", "text", ".md")
+    return table_files(spark, sf_dir, "documents", F.col("source"), "doc_id", F.col("text"), ".md")
 
 
 def page_files(spark, sf_dir):
-    return table_files(spark, sf_dir, "pages", F.lit("pages"), "page_id", "html", ".html")
+    return table_files(spark, sf_dir, "pages", F.lit("pages"), "page_id", F.col("html"), ".html")
 
 
-def parts(spark):
-    files = sample_files(spark)
-    parsed = parsers.parse_files(files)
-    return files, parsed, parsers.symbols(parsed), parsers.imports(parsed), parsers.configs(files)
-
-
-def resolved(spark):
-    files, _, _, imports, _ = parts(spark)
-    return graph.resolve(imports, files)
-
-
-@query("parse_symbols")
-def parse_symbols(spark, sf_dir):
-    return parts(spark)[2].withColumn("params", F.array_join("params", ","))
-
-
-@query("parse_imports")
-def parse_imports(spark, sf_dir):
-    return parts(spark)[3].withColumn("specifiers", F.array_join("specifiers", ","))
-
-
-@query("parse_structure")
+@query("parse_structure", r"""
+with l as (select 'pages/' || page_id || '.html' as file_path, unnest(string_split(html, chr(10))) as line, unnest(range(1, 1 + len(string_split(html, chr(10))))) as n from pages where html is not null)
+select 'pages' as project_id, file_path, 'tag' as "table", 'tag' as kind, unnest(regexp_extract_all(line, '<([a-zA-Z][\w-]*)', 1)) as name, cast(n as int) as line, cast(null as varchar) as detail from l""")
 def parse_structure(spark, sf_dir):
-    parsed = parsers.parse_files(sample_files(spark).unionByName(page_files(spark, sf_dir)))
+    """Tags of every page."""
+    parsed = parsers.parse_files(page_files(spark, sf_dir))
     return parsed.where("table not in ('symbol', 'import')").select("project_id", "file_path", "table", "kind", "name", "line", "detail")
 
 
-@query("parser_rollup")
-def parser_rollup(spark, sf_dir):
-    r = parsers.rollup(parts(spark)[1])
-    return r.select("project_id", *[F.array_join(c, ",").alias(c) for c in r.columns[1:]])
-
-
-@query("config_files")
-def config_files(spark, sf_dir):
-    return parts(spark)[4].select("project_id", "file_path", "file_type", F.array_join(F.array_sort(F.map_keys("dependencies")), ",").alias("dependencies"), F.array_join("keys", ",").alias("keys"), "base_image", "parse_error")
-
-
-@query("project_metrics")
-def project_metrics(spark, sf_dir):
-    """Totals, counts and scores of a repository, from its tables."""
-    files, _, symbols, imports, _ = parts(spark)
-    t = metrics.totals(files, "project_id").join(metrics.symbol_counts(symbols, "project_id"), "project_id", "left")
-    n = files.select("project_id", "file_path").join(symbols.groupBy("project_id", "file_path").agg(F.count("*").alias("n_symbols")), ["project_id", "file_path"], "left").join(
-        imports.groupBy("project_id", F.col("from_file").alias("file_path")).agg(F.count("*").alias("n_imports")), ["project_id", "file_path"], "left").na.fill(0)
-    r = resolved(spark)
-    deps = r.groupBy("project_id").agg(F.count_if(F.col("to_file").isNotNull()).alias("dep_chain_length"))
-    cyc = graph.cycles(graph.local_edges(r)).groupBy("project_id").agg(F.count("*").alias("circular_dep_count"))
-    handlers = audit.X.count_matches("content", metrics.ERROR_HANDLER)
-    rest = files.groupBy("project_id").agg(F.sum(handlers).alias("error_handler_count"))
-    routes = detect.routes(files).groupBy("project_id").agg(F.count("*").alias("route_count"))
-    m = t
-    for part in (metrics.complexity(n, "project_id"), deps, cyc, rest, routes, metrics.folder_depth(files, "project_id")):
-        m = m.join(part, "project_id", "left")
-    m = m.na.fill(0).withColumn("comment_percent", metrics.comment_percent(F.col("total_lines"), F.col("total_loc")))
-    m = m.withColumn("maintainability", metrics.maintainability(F.col("avg_cc"), F.col("total_loc"), F.col("total_files"), F.col("comment_percent")))
-    return m.withColumnsRenamed({"total_files": "file_count", "max_depth": "folder_depth", "function_count": "total_funcs"})
-
-
-@query("difficulty")
-def difficulty(spark, sf_dir):
-    model, _ = ml.train(ml.training_set(spark))
-    got = ml.predict(project_metrics(spark, sf_dir), model)
-    return got.select("project_id", "level", "confidence", "score", "learning_hours", "experience", "size_score", "complexity_score", "architecture_score", "surface_score", "quality_score")
-
-
-@query("dependencies")
-def dependencies(spark, sf_dir):
-    return resolved(spark).select("project_id", "from_file", "source", "kind", "to_file", "to_package", "line")
-
-
-@query("unresolved_imports")
-def unresolved_imports(spark, sf_dir):
-    return graph.unresolved(resolved(spark)).select("project_id", "from_file", "source", "line")
-
-
-@query("project_cycles")
-def project_cycles(spark, sf_dir):
-    return graph.cycles(graph.local_edges(resolved(spark))).select("project_id", F.array_join("cycle", " > ").alias("cycle"))
-
-
-@query("project_layers")
-def project_layers(spark, sf_dir):
-    return graph.layer_nodes(sample_files(spark)).select("project_id", "layer", "label", "file_count", "total_loc", F.array_join("files", ",").alias("files"))
-
-
-@query("project_layer_edges")
-def project_layer_edges(spark, sf_dir):
-    return graph.layer_edges(graph.local_edges(resolved(spark)))
-
-
-def _knowledge(spark):
-    files, _, symbols, _, _ = parts(spark)
-    r = resolved(spark)
-    return graph.knowledge_graph(files, symbols, graph.local_edges(r), r.where("to_package is not null").select("project_id", "from_file", "to_package"), detect.routes(files))
-
-
-@query("knowledge_nodes")
-def knowledge_nodes(spark, sf_dir):
-    return _knowledge(spark)[0]
-
-
-@query("knowledge_edges")
-def knowledge_edges(spark, sf_dir):
-    return _knowledge(spark)[1]
-
-
-@query("call_chain")
-def call_chain(spark, sf_dir):
-    files, _, symbols, _, _ = parts(spark)
-    edges = resolved(spark).select("project_id", "from_file", "to_file", "line")
-    return graph.walk(files, symbols, edges, graph.entry_points(files))
-
-
-@query("controller_flow")
-def controller_flow(spark, sf_dir):
-    files, _, symbols, _, _ = parts(spark)
-    return graph.controller_flow(detect.routes(files), graph.local_edges(resolved(spark)), symbols)
-
-
-@query("request_flow")
-def request_flow(spark, sf_dir):
-    return graph.request_flow(sample_files(spark))
-
-
-@query("flow_kind")
-def flow_kind(spark, sf_dir):
-    files = sample_files(spark)
-    return graph.flow_kind(files, detect.routes(files), detect.operations(files))
-
-
-@query("technologies")
-def technologies(spark, sf_dir):
-    files, _, _, imports, configs = parts(spark)
-    return detect.technologies(files, configs, imports).select("project_id", "name", "category", "confidence", "classification", F.size("evidence").alias("n_evidence"))
-
-
-def _tech(spark):
-    files, _, _, imports, configs = parts(spark)
-    return detect.stacks(detect.technologies(files, configs, imports))
-
-
-@query("tech_stacks")
-def tech_stacks(spark, sf_dir):
-    return _tech(spark)[0]
-
-
-@query("tech_summary")
-def tech_summary(spark, sf_dir):
-    return detect.summary(_tech(spark)[1])
-
-
-@query("tech_report")
-def tech_report(spark, sf_dir):
-    return detect.report_text(_tech(spark)[1])
-
-
-@query("tech_from_configs")
-def tech_from_configs(spark, sf_dir):
-    return detect.from_configs(parts(spark)[4])
-
-
-@query("routes")
-def routes(spark, sf_dir):
-    return detect.routes(sample_files(spark))
-
-
-@query("db_operations")
-def db_operations(spark, sf_dir):
-    return detect.operations(sample_files(spark))
-
-
-@query("environment_variables")
+@query("environment_variables", r"""
+select distinct source as project_id, name, '***referenced***' as value, 'documents/' || doc_id || '.md' as source, 'reference' as detected
+from (select source, doc_id, unnest(regexp_extract_all(text, '\bprocess\.env\.([A-Za-z_]\w*)', 1)) as name from documents) qualify row_number() over (partition by project_id, name order by 'documents/' || doc_id || '.md') = 1""")
 def environment_variables(spark, sf_dir):
     return detect.environment(document_files(spark, sf_dir))
 
 
-@query("middleware")
-def middleware(spark, sf_dir):
-    return detect.middleware(sample_files(spark))
-
-
-@query("authentication")
-def authentication(spark, sf_dir):
-    a = detect.authentication(sample_files(spark))
-    return a.select("project_id", "jwt", "passport", "oauth", "bcrypt", "session", "api_keys", "jwt_expiry", "bcrypt_rounds", F.array_join("middleware", ",").alias("middleware"), F.array_join("files", ",").alias("files"))
-
-
-@query("model_fields")
-def model_fields(spark, sf_dir):
-    return detect.mongoose_models(sample_files(spark))
-
-
-@query("er_relations")
-def er_relations(spark, sf_dir):
-    f = detect.mongoose_models(sample_files(spark))
-    return graph.relationships(f.select("project_id", F.col("model").alias("name")).distinct(), f.select("project_id", "model", F.col("field").alias("name"), "type", "ref"))
-
+_CHUNKS = r"""
+f as (select source as project_id, 'documents/' || doc_id || '.md' as file_path, text as content, string_split(text, chr(10)) as l, cast(ceil(length(text) / cast(3.5 as double)) as bigint) as tok from documents where text <> ''),
+w as (select *, case when tok <= 500 then len(l) else greatest(1, 500 * len(l) // tok) end as w from f),
+p as (select project_id, file_path, content, tok, len(l) as n, w, unnest(range(0, len(l), w)) as i, l from w),
+c as (select project_id, file_path, i, least(i + w, n) - 1 as e, case when tok <= 500 then content else trim(array_to_string(l[i + 1:i + w], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) end as content, tok > 500 as sub from p)"""
 
-@query("external_libraries")
-def external_libraries(spark, sf_dir):
-    lib = detect.external_libraries(parts(spark)[3])
-    return lib.withColumns({"files": F.array_join("files", ","), "specifiers": F.array_join("specifiers", ",")})
 
-
-@query("code_chunks")
+@query("code_chunks", "with " + _CHUNKS + """
+select project_id, file_path, 'Markdown' as language, cast(row_number() over (partition by file_path order by i) - 1 as int) as chunk_no, cast(i as int) as start_line, cast(e as int) as end_line, content, cast(null as varchar) as function_name, cast(null as varchar) as symbol_type,
+ cast(ceil(length(content) / cast(3.5 as double)) as int) as token_count, sub as is_sub_chunk, file_path || ':' || i || ':' || e as chunk_hash from c where content <> ''""")
 def code_chunks(spark, sf_dir):
     return chunking.chunk_files(document_files(spark, sf_dir)).withColumn("chunk_hash", chunking.chunk_hash())
 
 
-@query("file_packs")
-def file_packs(spark, sf_dir):
-    return chunking.pack_files(document_files(spark, sf_dir), "project_id", 200)
-
-
-@query("security_findings")
-def security_findings(spark, sf_dir):
-    return audit.scan(document_files(spark, sf_dir), "project_id", "file_path", audit.SECURITY)
-
-
-@query("performance_findings")
-def performance_findings(spark, sf_dir):
-    return audit.scan(sample_files(spark), "project_id", "file_path", audit.PERFORMANCE)
-
-
-@query("unused_imports")
-def unused_imports(spark, sf_dir):
-    files, _, _, imports, _ = parts(spark)
-    return audit.unused_imports(files, imports)
+@query("embed_texts", "with " + _CHUNKS + """
+select file_path || ':' || i || ':' || e as chunk_hash, sha256('File: ' || file_path || ' (lines ' || (i + 1) || '-' || e || ')' || chr(10) || chr(10) || content) as text_key from c where content <> ''""")
+def embed_texts(spark, sf_dir):
+    chunks = chunking.chunk_files(document_files(spark, sf_dir)).withColumn("chunk_hash", chunking.chunk_hash())
+    return chunks.select("chunk_hash", F.sha2(chunking.embed_text(), 256).alias("text_key"))
 
 
-@query("interview_questions")
-def interview_questions(spark, sf_dir):
-    q = knowledge.generate_questions(_tech(spark)[1].select("project_id", "name"))
-    return q.select("project_id", "category", "difficulty", "question", "technology")
-
-
-@query("tree")
-def tree(spark, sf_dir):
-    return views.tree_nodes(sample_files(spark))
-
-
-@query("tree_text")
-def tree_text(spark, sf_dir):
-    return views.tree_text(views.tree_nodes(sample_files(spark)))
-
-
-@query("dependency_view")
-def dependency_view(spark, sf_dir):
-    return views.dependency_nodes(sample_files(spark), graph.local_edges(resolved(spark)))
+@query("file_packs", """
+with recursive s as (select source as project_id, 'documents/' || doc_id || '.md' as file_path, cast(ceil(length(coalesce(text, '')) / cast(3.5 as double)) as bigint) as t from documents),
+r as (select *, row_number() over (partition by project_id order by file_path) as n from s),
+g as (select project_id, file_path, n, 0 as pack_no, t as size from r where n = 1
+ union all select r.project_id, r.file_path, r.n, case when g.size > 0 and g.size + r.t > 200 then g.pack_no + 1 else g.pack_no end, case when g.size > 0 and g.size + r.t > 200 then r.t else g.size + r.t end from g join r on r.project_id = g.project_id and r.n = g.n + 1)
+select project_id, file_path, pack_no from g""")
+def file_packs(spark, sf_dir):
+    return chunking.pack_files(document_files(spark, sf_dir), "project_id", 200)
 
 
-@query("mermaid_er")
-def mermaid_er(spark, sf_dir):
-    return views.mermaid_er(detect.mongoose_models(sample_files(spark)), er_relations(spark, sf_dir))
+#: The checks in a dialect without lookahead: matches of the first pattern less those of the second.
+_SECURITY = {c.check_id: (c.pattern, None) for c in audit.SECURITY} | {"http_url": (r"['\"]http://", r"['\"]http://(?:localhost|127\.)")}
 
 
-@query("mermaid_sequence")
-def mermaid_sequence(spark, sf_dir):
-    return views.mermaid_sequence(detect.routes(sample_files(spark)), database=True)
+def _found(patterns) -> str:
+    count = lambda p: "len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))"
+    return " union all ".join(f"select source as project_id, 'documents/' || doc_id || '.md' as file_path, '{c.check_id}' as check_id, '{c.severity}' as severity, " + count(patterns[c.check_id][0]) + (" - " + count(patterns[c.check_id][1]) if patterns[c.check_id][1] else "") + " as n from documents" for c in audit.SECURITY)
 
 
-@query("mermaid_flow")
-def mermaid_flow(spark, sf_dir):
-    return views.mermaid_flow(call_chain(spark, sf_dir))
+@query("security_findings", f"select project_id, file_path, check_id, severity, cast(n as int) as n from ({_found(_SECURITY)}) where n > 0")
+def security_findings(spark, sf_dir):
+    return audit.scan(document_files(spark, sf_dir), "project_id", "file_path", audit.SECURITY)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.functions.vectors import cosine, doubles, fit_length
-from codeloom.operators import chat, graph, metrics, relational, retrieval
+from codeloom.functions.vectors import cosine, fit_length
+from codeloom.operators import chat, graph, metrics, relational, retrieval, views
 from codeloom.plans.registry import query
 
 
@@ -94,9 +94,19 @@ def chunk_windows(spark, sf_dir):
 
 
 @query("complexity_decisions", r"""
-select doc_id, cast(1 + len(regexp_extract_all(text, '\b(?:if|for|while|case|catch)\b|&&|\|\|')) as int) as cc from documents""")
+with c as (select doc_id, cast(1 + len(regexp_extract_all(text, '\b(?:if|for|while|case|catch)\b|&&|\|\|')) + len(regexp_extract_all(text || ' ', '\?[^.?]')) as int) as cc from documents)
+select doc_id, cc, case when cc <= 5 then 'low' when cc <= 10 then 'moderate' when cc <= 20 then 'high' when cc <= 50 then 'very high' else 'extreme' end as class from c""")
 def complexity_decisions(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", (X.count_matches("text", r"\b(?:if|for|while|case|catch)\b|&&|\|\|") + 1).alias("cc"))
+    return t(spark, sf_dir, "documents").select("doc_id", metrics.decision_complexity("text").alias("cc")).withColumn("class", metrics.decision_class(F.col("cc")))
+
+
+@query("halstead", r"""
+with x as (select doc_id, regexp_extract_all(text, '(\w+|[^\s\w])') as w, text from documents),
+v as (select doc_id, len(w) * log2(greatest(len(list_distinct(w)), 1)) as volume from x)
+select doc_id, round(volume, 4) as volume, round(171 - 5.2 * ln(greatest(volume, 1)) - 0.23 * 3 - 16.2 * ln(40), 4) as maintainability from v""")
+def halstead(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", metrics.halstead_volume("text").alias("volume"))
+    return d.select("doc_id", F.round("volume", 4).alias("volume"), F.round(metrics.halstead_maintainability(F.col("volume"), F.lit(3), F.lit(40)), 4).alias("maintainability"))
 
 
 @query("folder_depth", """
@@ -124,14 +134,17 @@ def url_parse(spark, sf_dir):
 @query("routes_by_prefix", r"""
 select concat('/', split_part(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '/', 1)) as prefix, count(*) as n_routes from pages group by 1""")
 def routes_by_prefix(spark, sf_dir):
-    return url_parse(spark, sf_dir).groupBy("prefix").agg(F.count("*").alias("n_routes"))
+    return views.prefix_counts(t(spark, sf_dir, "pages"), F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)", 1))
 
 
 @query("html_tags", r"""
-select tag, count(*) as n_tags, count(distinct page_id) as n_pages from (select page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1))) as tag from pages) group by tag""")
+select tag, count(*) as n_tags, count(distinct page_id) as n_pages from (select page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9_-]*)', 1))) as tag from pages) group by tag""")
 def html_tags(spark, sf_dir):
-    tags = t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9-]*)"), F.lit(1))).alias("tag"))
-    return tags.groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n_tags"), F.count_distinct("page_id").alias("n_pages"))
+    from codeloom.operators.parsers import parse_files
+    from codeloom.plans.projects import page_files
+
+    tags = parse_files(page_files(spark, sf_dir)).where("table = 'tag'")
+    return tags.groupBy(F.lower("name").alias("tag")).agg(F.count("*").alias("n_tags"), F.count_distinct("file_path").alias("n_pages"))
 
 
 @query("html_assets", r"""
@@ -143,9 +156,24 @@ def html_assets(spark, sf_dir):
 
 
 @query("scraped_resources", r"""
-select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, cast(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as int) as n_links from pages""")
+with p as (select page_id, url, html, regexp_extract(url, '^https?://([^/?#]+)', 1) as host from pages), k as (select * from p qualify row_number() over (partition by host order by page_id) <= 3)
+select page_id, host as technology, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, cast(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as int) as n_links from k""")
 def scraped_resources(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("n_links"))
+    from codeloom.sources.repositories import page_facts, scrape_targets
+
+    p = t(spark, sf_dir, "pages").select("page_id", "html", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("technology"))
+    wanted = scrape_targets(p.select("technology", F.col("page_id").alias("rank")))
+    return page_facts(wanted.withColumnRenamed("rank", "page_id").join(p.drop("technology"), "page_id")).select("page_id", "technology", "title", "n_links")
+
+
+@query("scrape_batches", r"""
+with h as (select distinct regexp_extract(url, '^https?://([^/?#]+)', 1) as host from pages) select cast(ceil(count(*) / 5.0) as bigint) as n_batches, cast(least(5, count(*)) as bigint) as largest from h""")
+def scrape_batches(spark, sf_dir):
+    from codeloom.sources.repositories import scrape_targets
+
+    p = t(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("technology"), F.col("page_id").alias("rank"))
+    each = scrape_targets(p).groupBy("batch").agg(F.count_distinct("technology").alias("n"))
+    return each.agg(F.count("*").alias("n_batches"), F.max("n").alias("largest"))
 
 
 _LAYER_SQL = "case " + " ".join(f"when regexp_matches(p, '{pat}') then '{name}'" for name, pat in X.LAYERS) + " else 'other' end"
@@ -153,12 +181,12 @@ _PHASE_SQL = "case " + " ".join(f"when regexp_matches(lower(p), '{pat}') then '{
 
 
 @query("layer_of_path", f"""
-with u as (select doc_id, concat(split_part(replace(text, '.', ''), ' ', 2), '/', source, case doc_id % 7 when 0 then '/services/' when 1 then '/models/' when 2 then '/pages/' when 3 then '/utils/' when 4 then '/config/' when 5 then '/tests/' else '/x/' end, 'f', doc_id, '.js') as p from documents)
-select doc_id, {_LAYER_SQL} as layer, {_PHASE_SQL} as phase from u""")
+with u as (select doc_id, text, concat('x/', source, case doc_id % 7 when 0 then '/services/' when 1 then '/models/' when 2 then '/pages/' when 3 then '/utils/' when 4 then '/config/' when 5 then '/tests/' else '/x/' end, 'f', doc_id, '.js') as p from documents)
+select doc_id, {_LAYER_SQL} as layer, {_PHASE_SQL.replace('lower(p)', "lower(p || ' ' || text)")} as phase from u""")
 def layer_of_path(spark, sf_dir):
     folder = F.element_at(F.array(*map(F.lit, ("/services/", "/models/", "/pages/", "/utils/", "/config/", "/tests/", "/x/"))), (F.col("doc_id") % 7 + 1).cast("int"))
-    p = F.concat(F.split_part(F.replace("text", F.lit("."), F.lit("")), F.lit(" "), F.lit(2)), F.lit("/"), "source", folder, F.lit("f"), F.col("doc_id").cast("string"), F.lit(".js"))
-    return t(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", X.layer("p").alias("layer"), X.phase("p").alias("phase"))
+    p = F.concat(F.lit("x/"), "source", folder, F.lit("f"), F.col("doc_id").cast("string"), F.lit(".js"))
+    return t(spark, sf_dir, "documents").select("doc_id", "text", p.alias("p")).select("doc_id", X.layer("p").alias("layer"), X.phase(F.concat_ws(" ", "p", "text")).alias("phase"))
 
 
 @query("diagram_labels", r"""select page_id, regexp_replace(url, '[^a-zA-Z0-9_]', '_', 'g') as id, regexp_replace(replace(url, '"', chr(39)), '[\[\]{}()<>|]', ' ', 'g') as label from pages""")
@@ -168,42 +196,28 @@ def diagram_labels(spark, sf_dir):
 
 # -- vectors ---------------------------------------------------------------------------------------------------------
 
-_COS = """with q as (select vec_id, label, cast(embedding as double[]) as v from embeddings where vec_id < 5),
+#: Queries of a search: the rows whose id is divisible by 20, against all others.
+_COS = """with q as (select vec_id, label, cast(embedding as double[]) as v from embeddings where vec_id % 20 = 0),
 c as (select vec_id, label, cast(embedding as double[]) as v from embeddings),
 s as (select q.vec_id as query_id, c.vec_id as id, c.label, list_cosine_similarity(q.v, c.v) as score from q, c where q.vec_id <> c.vec_id)"""
 
 
-def _hits(spark, sf_dir, asked="vec_id < 5"):
-    """Scores of the rows that ``asked`` chooses as queries with all other rows; the default is that of _COS."""
+def _search(spark, sf_dir):
+    """(chunks, queries) of the embeddings."""
     e = t(spark, sf_dir, "embeddings")
-    q = e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return retrieval.scored(e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), q).where("id <> query_id")
+    return e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query("topk_similar", _COS + """
 select query_id, id, cast(rank as int) as rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s where score > 0.1) where rank <= 5""")
 def topk_similar(spark, sf_dir):
-    return retrieval.top_k(_hits(spark, sf_dir), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.nearest(*_search(spark, sf_dir), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("topk_per_label", _COS + """
 select query_id, label, id, round(score, 6) as score from (select *, row_number() over (partition by query_id, label order by score desc, id) as rn from s) where rn = 1""")
 def topk_per_label(spark, sf_dir):
-    return retrieval.best_per(_hits(spark, sf_dir), "label").select("query_id", "label", "id", F.round("score", 6).alias("score"))
-
-
-#: Queries of the whole job: the rows whose id is divisible by 20, at every table size. No SQL: all pairs are too many for it on whole tables.
-_ASKED = "vec_id % 20 = 0"
-
-
-@query("topk_similar_whole")
-def topk_similar_whole(spark, sf_dir):
-    return retrieval.top_k(_hits(spark, sf_dir, _ASKED), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
-
-
-@query("topk_per_label_whole")
-def topk_per_label_whole(spark, sf_dir):
-    return retrieval.best_per(_hits(spark, sf_dir, _ASKED), "label").select("query_id", "label", "id", F.round("score", 6).alias("score"))
+    return retrieval.nearest_per(*_search(spark, sf_dir), "label").select("query_id", "label", "id", F.round("score", 6).alias("score"))
 
 
 @query("zero_vector_quality", """
@@ -241,17 +255,7 @@ def cell_index(spark, sf_dir):
 
 @query("hit_filter_modes", _COS + """select query_id, count(*) filter (where score > 0.3) as strict, count(*) filter (where score >= 0.3) as inclusive, round(max(greatest(0, 1 - (1 - score))), 6) as best from s group by query_id""")
 def hit_filter_modes(spark, sf_dir):
-    return _modes(_hits(spark, sf_dir))
-
-
-@query("hit_filter_modes_whole")
-def hit_filter_modes_whole(spark, sf_dir):
-    return _modes(_hits(spark, sf_dir, _ASKED))
-
-
-def _modes(hits: DataFrame) -> DataFrame:
-    s = F.col("score")
-    return hits.groupBy("query_id").agg(F.count_if(s > 0.3).alias("strict"), F.count_if(s >= 0.3).alias("inclusive"), F.round(F.max(F.greatest(F.lit(0.0), 1 - (1 - s))), 6).alias("best"))
+    return retrieval.hit_modes(*_search(spark, sf_dir)).withColumn("best", F.round("best", 6))
 
 
 # -- conversations ---------------------------------------------------------------------------------------------------
@@ -296,10 +300,10 @@ def context_budget(spark, sf_dir):
 
 
 @query("session_caps", """
-with s as (select conv_id, conv_id % 7 as owner, count(*) as message_count, max(turn) as last_turn from conversations group by conv_id)
+with s as (select conv_id, conv_id % 3 as owner, count(*) as message_count, max(turn) as last_turn from conversations group by conv_id)
 select owner, conv_id, message_count from s qualify row_number() over (partition by owner order by last_turn * 1000000 + conv_id desc) > 20""")
 def session_caps(spark, sf_dir):
-    s = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("m_")).withColumn("owner", F.col("conv_id") % 7).withColumn("updated_at", F.col("m_") * 1000000 + F.col("conv_id"))
+    s = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("m_")).withColumn("owner", F.col("conv_id") % 3).withColumn("updated_at", F.col("m_") * 1000000 + F.col("conv_id"))
     return chat.evicted(s, ["owner"]).select("owner", "conv_id", "message_count")
 
 
@@ -312,15 +316,19 @@ def session_choice(spark, sf_dir):
 
 
 @query("file_refs", r"""
-select doc_id, unnest(list_distinct(regexp_extract_all('see ' || replace(lower(split_part(text, ' ', 1)), '.', '') || ' in `src/' || source || '/m' || doc_id || '.py`', '`([^`]+\.(?:js|jsx|ts|tsx|py|java|go|rs|cpp|c|h|css|html|json|yaml|yml))`', 1))) as file_path from documents""")
+with s as (select doc_id, replace(text, '`', '') || ' see `src/' || source || '/m' || doc_id || '.py` and file:docs/' || doc_id || '.md' as said from documents)
+select doc_id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(said, 'file:([^\s`"]+)', 1), regexp_extract_all(said, '`([^`]+\.(?:js|jsx|ts|tsx|py|java|go|rs|cpp|c|h|css|html|json|yaml|yml))`', 1)), regexp_extract_all(said, '\b(src/[\w/.-]+\.(?:js|jsx|ts|tsx|py|java))\b', 1)))) as file_path from s""")
 def file_refs(spark, sf_dir):
-    said = F.concat(F.lit("see "), F.replace(F.lower(F.split_part("text", F.lit(" "), F.lit(1))), F.lit("."), F.lit("")), F.lit(" in `src/"), "source", F.lit("/m"), F.col("doc_id").cast("string"), F.lit(".py`"))
+    """File names anywhere in whole texts, each followed by two that are there for sure."""
+    d = F.col("doc_id").cast("string")
+    said = F.concat(F.replace("text", F.lit("`"), F.lit("")), F.lit(" see `src/"), "source", F.lit("/m"), d, F.lit(".py` and file:docs/"), d, F.lit(".md"))
     return t(spark, sf_dir, "documents").select("doc_id", F.explode(X.file_references(said)).alias("file_path"))
 
 
-@query("file_refs_whole")
-def file_refs_whole(spark, sf_dir):
-    """File names anywhere in the documents."""
+@query("document_file_refs", r"""
+select doc_id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(text, 'file:([^\s`"]+)', 1), regexp_extract_all(text, '`([^`]+\.(?:js|jsx|ts|tsx|py|java|go|rs|cpp|c|h|css|html|json|yaml|yml))`', 1)), regexp_extract_all(text, '\b(src/[\w/.-]+\.(?:js|jsx|ts|tsx|py|java))\b', 1)))) as file_path from documents""")
+def document_file_refs(spark, sf_dir):
+    """File names that the documents name by themselves."""
     return t(spark, sf_dir, "documents").select("doc_id", F.explode(X.file_references("text")).alias("file_path"))
 
 
@@ -335,8 +343,7 @@ def answer_cache(spark, sf_dir):
 
 @query("token_stream", """select conv_id, turn, string_agg(role, '|') over (partition by conv_id order by turn rows between unbounded preceding and current row) as so_far from conversations""")
 def token_stream(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("role").over(w), "|").alias("so_far"))
+    return chat.token_stream(t(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", "|").select("conv_id", "turn", "so_far")
 
 
 # -- events ----------------------------------------------------------------------------------------------------------
@@ -400,7 +407,13 @@ def props_variant(spark, sf_dir):
     return t(spark, sf_dir, "events").groupBy(F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("breaker_state")
+@query("breaker_state", """
+with recursive e as (select user_id, event_id, ts, event_type = 'error' as failed, row_number() over (partition by user_id order by ts, event_id) as n from events),
+r as (select user_id, event_id, n, case when failed then 1 else 0 end as fails, timestamp '1900-01-01' as until, 'closed' as state from e where n = 1
+ union all select e.user_id, e.event_id, e.n, case when e.ts < r.until then r.fails when not e.failed or r.fails + 1 >= 5 then 0 else r.fails + 1 end,
+  case when e.ts >= r.until and e.failed and r.fails + 1 >= 5 then e.ts + interval '30 seconds' else r.until end, case when e.ts < r.until then 'open' when e.failed and r.fails + 1 >= 5 then 'opened' else 'closed' end
+ from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+select user_id, event_id, state from r""")
 def breaker_state(spark, sf_dir):
     from codeloom.streaming.breaker import replay
 
@@ -433,7 +446,7 @@ def paginate(spark, sf_dir):
 
 @query("page_count", "select count(*) as n_rows, cast(ceil(count(*) / 10.0) as bigint) as n_pages from orders")
 def page_count(spark, sf_dir):
-    return t(spark, sf_dir, "orders").agg(F.count("*").alias("n_rows")).withColumn("n_pages", F.ceil(F.col("n_rows") / 10.0))
+    return relational.page_count(t(spark, sf_dir, "orders"), 10)
 
 
 @query("upsert_rows", "select c_custkey, c_acctbal, 'new' as origin from customer where c_custkey % 3 = 0 union all select c_custkey, c_acctbal, 'old' from customer where c_custkey % 3 <> 0")
@@ -442,10 +455,15 @@ def upsert_rows(spark, sf_dir):
     return relational.upsert(c.withColumn("origin", F.lit("old")), c.where("c_custkey % 3 = 0").withColumn("origin", F.lit("new")), ["c_custkey"])
 
 
-@query("cascade_delete", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+@query("cascade_delete", """select 'orders' as name, o_orderkey as id, o_custkey as project_id from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')
+ union all select 'customer', c_custkey, c_custkey from customer where c_mktsegment <> 'BUILDING'""")
 def cascade_delete(spark, sf_dir):
-    gone = t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return t(spark, sf_dir, "orders").join(gone, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    from codeloom.sources.sinks import cascade_delete as delete
+
+    c = t(spark, sf_dir, "customer")
+    tables = {"orders": t(spark, sf_dir, "orders").select(F.lit("orders").alias("name"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id")), "customer": c.select(F.lit("customer").alias("name"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("project_id"))}
+    left = delete(tables, c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("project_id")))
+    return left["orders"].unionByName(left["customer"]).select("name", "id", "project_id")
 
 
 @query("ownership", "select o_orderkey, case when o_custkey is null then 'missing' when o_custkey % 10 = 1 then 'ok' else 'forbidden' end as access from orders")
@@ -459,17 +477,9 @@ def node_search(spark, sf_dir):
 
 
 @query("incident_edges", """
-with n as (select c_custkey from customer where c_mktsegment = 'MACHINERY'), e as (select distinct o_custkey as source, o_orderkey % 1000 as target from orders)
-select source, target from e where source in (select c_custkey from n) or target in (select c_custkey from n)""")
-def incident_edges(spark, sf_dir):
-    e = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 1000).alias("target"))
-    return relational.incident(e, t(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'"), "c_custkey", "source", "target")
-
-
-@query("incident_edges_whole", """
 with n as (select c_custkey from customer where c_mktsegment = 'MACHINERY'), e as (select distinct o_custkey as source, o_orderkey as target from orders)
 select source, target from e where source in (select c_custkey from n) or target in (select c_custkey from n)""")
-def incident_edges_whole(spark, sf_dir):
+def incident_edges(spark, sf_dir):
     return relational.incident(_order_edges(spark, sf_dir), t(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'"), "c_custkey", "source", "target")
 
 
@@ -486,12 +496,14 @@ def element_match(spark, sf_dir):
 
 @query("category_counts", "select event_type, count(*) as n, count(distinct user_id) as n_users from events group by event_type")
 def category_counts(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+    return relational.counts(t(spark, sf_dir, "events"), "event_type", "user_id").select("event_type", "n", F.col("n_distinct").alias("n_users"))
 
 
-@query("fallback_filter", "select doc_id from documents")
+@query("fallback_filter", "select doc_id, 'none' as wanted from documents union all select doc_id, 'fr' from documents where lang = 'fr'")
 def fallback_filter(spark, sf_dir):
-    return relational.or_all(t(spark, sf_dir, "documents"), F.col("lang") == "none").select("doc_id")
+    d = t(spark, sf_dir, "documents")
+    some = lambda lang: relational.or_all(d, F.col("lang") == lang).select("doc_id", F.lit(lang).alias("wanted"))
+    return some("none").unionByName(some("fr"))
 
 
 @query("first_wins", "select doc_id, source from documents qualify row_number() over (partition by lower(text[1:40]) order by doc_id) = 1")
@@ -555,50 +567,43 @@ def relationship_graph(spark, sf_dir):
 
 
 @query("layer_graph", """
-with e as (select c_mktsegment as source_layer, o_orderpriority as target_layer, c_custkey, o_orderkey from orders join customer on c_custkey = o_custkey)
-select source_layer, target_layer, count(*) as edge_count, count(distinct c_custkey) as n_sources from e group by 1, 2""")
+with e as (select distinct cast(c_nationkey as varchar) as project_id, case c_mktsegment when 'BUILDING' then 'services' when 'MACHINERY' then 'models' else 'utils' end || '/c' || c_custkey || '.js' as source, 'routes/o' || o_orderkey || '.js' as target, case c_mktsegment when 'BUILDING' then 'service' when 'MACHINERY' then 'model' else 'util' end as source_layer from orders join customer on c_custkey = o_custkey)
+select project_id, source_layer, 'route' as target_layer, count(*) as edge_count, count(distinct (source, target)) as file_pairs from e group by 1, 2""")
 def layer_graph(spark, sf_dir):
-    e = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
-    return e.groupBy(F.col("c_mktsegment").alias("source_layer"), F.col("o_orderpriority").alias("target_layer")).agg(F.count("*").alias("edge_count"), F.count_distinct("o_custkey").alias("n_sources"))
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.col("c_nationkey").cast("string").alias("project_id"))
+    folder = F.when(F.col("c_mktsegment") == "BUILDING", "services").when(F.col("c_mktsegment") == "MACHINERY", "models").otherwise("utils")
+    e = t(spark, sf_dir, "orders").join(c, "o_custkey").select("project_id", F.concat(folder, F.lit("/c"), F.col("o_custkey").cast("string"), F.lit(".js")).alias("source"), F.concat(F.lit("routes/o"), F.col("o_orderkey").cast("string"), F.lit(".js")).alias("target"))
+    return graph.layer_edges(e)
 
 
-@query("disconnected", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("disconnected", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
 def disconnected(spark, sf_dir):
-    e = t(spark, sf_dir, "orders").select("o_custkey", (F.lit(-1) * F.col("o_orderkey") - 1).alias("target"))
+    e = t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey", (F.lit(-1) * F.col("o_orderkey") - 1).alias("target"))
     return graph.disconnected(t(spark, sf_dir, "customer").select("c_custkey"), e, "c_custkey", "o_custkey", "target")
 
 
 @query("recursive_reach", """
-with recursive e as (select distinct o_custkey as source, (o_custkey * 7 + 3) % 1500 as target from orders where o_custkey % 5 = 0 or o_custkey % 3 = 0),
-r as (select cast(0 as bigint) as project_id, cast(30 as bigint) as node, 0 as depth union select r.project_id, e.target, r.depth + 1 from r join e on e.source = r.node where r.depth < 6)
-select node, cast(min(depth) as int) as depth from r group by node""")
-def recursive_reach(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").where("o_custkey % 5 = 0 or o_custkey % 3 = 0").select(F.lit(0).alias("project_id"), F.col("o_custkey").alias("source"), ((F.col("o_custkey") * 7 + 3) % 1500).alias("target")).distinct()
-    roots = spark.createDataFrame([(0, 30)], "project_id int, root long")
-    return graph.reach(o, roots, depth=6).select("node", "depth")
-
-
-@query("recursive_reach_whole", """
 with recursive e as (select distinct o_custkey as source, o_orderkey as target from orders),
 r as (select cast(30 as bigint) as node, 0 as depth union select e.target, r.depth + 1 from r join e on e.source = r.node where r.depth < 6)
 select node, cast(min(depth) as int) as depth from r group by node""")
-def recursive_reach_whole(spark, sf_dir):
+def recursive_reach(spark, sf_dir):
     roots = spark.createDataFrame([(0, 30)], "project_id int, root long")
     return graph.reach(_order_edges(spark, sf_dir).withColumn("project_id", F.lit(0)), roots, depth=6).select("node", "depth")
 
 
 @query("cycles", """
-with recursive e as (select distinct o_custkey % 40 as source, (o_custkey % 40 * 3 + 1) % 40 as target from orders),
-r as (select source as root, target as node, 1 as n, cast(source as varchar) as p, source as low from e union all select r.root, e.target, r.n + 1, r.p || ' > ' || r.node, least(r.low, r.node) from r join e on e.source = r.node where r.node <> r.root and r.n < 45)
-select distinct p || ' > ' || root as cycle from r where node = root and low = root""")
+with c as (select c_nationkey as project_id, 'c' || lpad(cast(c_custkey as varchar), 9, '0') as name from customer)
+select project_id, string_agg(name, ' > ' order by name) || ' > ' || min(name) as cycle from c group by project_id""")
 def cycles(spark, sf_dir):
-    e = t(spark, sf_dir, "orders").select(F.lit(1).alias("project_id"), F.lpad((F.col("o_custkey") % 40).cast("string"), 2, "0").alias("source"), F.lpad(((F.col("o_custkey") % 40 * 3 + 1) % 40).cast("string"), 2, "0").alias("target")).distinct()
-    found = graph.cycles(e).select(graph.canonical_cycle("cycle").alias("cycle")).distinct()
-    return found.select(F.array_join(F.transform(F.split("cycle", " > "), lambda x: x.cast("int").cast("string")), " > ").alias("cycle"))
+    """Customers of a nation in a ring: each leads to the next, the last to the first."""
+    w = Window.partitionBy("project_id").orderBy("source")
+    c = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project_id"), F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("source"))
+    e = c.withColumn("target", F.coalesce(F.lead("source").over(w), F.min("source").over(Window.partitionBy("project_id"))))
+    return graph.cycles(e).select("project_id", graph.canonical_cycle("cycle").alias("cycle"))
 
 
-@query("cycles_whole")
-def cycles_whole(spark, sf_dir):
+@query("order_cycles")
+def order_cycles(spark, sf_dir):
     """Cycles that the back edges of a depth-first walk close; all simple cycles of this graph are too many for recursive SQL."""
     key = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
     found = graph.cycles(_order_edges(spark, sf_dir).select(F.lit(1).alias("project_id"), key("source").alias("source"), key("target").alias("target")))
@@ -608,19 +613,8 @@ def cycles_whole(spark, sf_dir):
 
 @query("library_rollup", r"""
 with w as (select doc_id, source, lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) as lib from documents)
-select lib, count(*) as usage_count, count(distinct doc_id) as n_files, count(distinct source) as n_specifiers, lib in ('the', 'of') as is_dev from w where length(lib) <= 4 group by lib""")
-def library_rollup(spark, sf_dir):
-    from codeloom.operators.detect import library_usage
-
-    d = t(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"), F.lit(1))).alias("w"))
-    own = d.select(F.lower("w").alias("lib"), "doc_id", "source").where("length(lib) <= 4")
-    return library_usage(own, "lib", "doc_id", "source", ("the", "of")).withColumnRenamed("name", "lib")
-
-
-@query("library_rollup_whole", r"""
-with w as (select doc_id, source, lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) as lib from documents)
 select lib, count(*) as usage_count, count(distinct doc_id) as n_files, count(distinct source) as n_specifiers, lib in ('the', 'of') as is_dev from w group by lib""")
-def library_rollup_whole(spark, sf_dir):
+def library_rollup(spark, sf_dir):
     """Every word of the documents, of whatever length."""
     from codeloom.operators.detect import library_usage
 
@@ -664,10 +658,10 @@ def severity_summary(spark, sf_dir):
     return summary(scan(t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id", checks))
 
 
-@query("dashboard", "select count(*) filter (where quality = 1) as completed, sum(n_chars) as total_chars, count(distinct source) as n_projects, count(distinct lang) as n_technologies from documents left join labels on labels.doc_id = documents.doc_id".replace("sum(n_chars)", "cast(sum(n_chars) as bigint)"))
+@query("dashboard", "select count(*) filter (where quality = 1) as completed, cast(sum(n_chars) as bigint) as total_size, count(distinct source) as n_projects, count(distinct lang) as n_technologies from documents left join labels on labels.doc_id = documents.doc_id")
 def dashboard(spark, sf_dir):
     d = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.agg(F.count_if(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("completed"), F.sum("n_chars").alias("total_chars"), F.count_distinct("source").alias("n_projects"), F.count_distinct("lang").alias("n_technologies"))
+    return metrics.dashboard(d, F.col("quality") == 1, "n_chars", "source", "lang")
 
 
 @query("difficulty_overview", """
@@ -676,7 +670,7 @@ select level, count(*) as n_projects, floor(avg(score) * 10 + 0.5) / 10 as avg_s
 def difficulty_overview(spark, sf_dir):
     d = t(spark, sf_dir, "documents").groupBy("source").agg((F.sum("n_chars").cast("double") / 100000).alias("score"))
     level = F.when(F.col("score") < 0.5, "Beginner").when(F.col("score") < 1, "Intermediate").when(F.col("score") < 2, "Advanced").otherwise("Expert")
-    return d.groupBy(level.alias("level")).agg(F.count("*").alias("n_projects"), X.round_half_up(F.avg("score"), 1).alias("avg_score"))
+    return metrics.difficulty_overview(d.withColumn("level", level))
 
 
 @query("password_strength", r"""
@@ -709,14 +703,6 @@ def repo_urls(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", parse_repo_url(url).alias("u")).select("doc_id", "u.provider", "u.owner", "u.repo").where("provider <> 'other'")
 
 
-@query("mermaid_layers", """
-with l as (select c_mktsegment as layer, c_name from customer), r as (select layer, c_name, row_number() over (partition by layer order by c_name) as k, count(*) over (partition by layer) as n from l)
-select layer, string_agg(c_name, ', ' order by k) filter (where k <= 5) || case when max(n) > 5 then ' +' || (max(n) - 5) || ' more' else '' end as label from r group by layer""")
-def mermaid_layers(spark, sf_dir):
-    from codeloom.operators.views import capped_label
-
-    return t(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("layer")).agg(F.array_sort(F.collect_list("c_name")).alias("files")).select("layer", capped_label("files", 5, ", ").alias("label"))
-
 
 @query("first_names", """
 with s as (select o_orderpriority as kind, o_orderkey, row_number() over (partition by o_orderpriority order by o_orderkey) as k, count(*) over (partition by o_orderpriority) as n from orders)

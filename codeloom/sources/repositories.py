@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
@@ -182,9 +182,18 @@ def embedding_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scrape_targets(names: DataFrame, per_name: int = 3, batch: int = 5) -> DataFrame:
-    """names (technology, rank, url): the first urls of each technology, with the batch in which they are fetched."""
+    """names (technology, rank and more): the first of each technology, with the batch in which they are fetched, ``batch`` technologies in each."""
     from codeloom.operators.relational import first_n
 
     kept = first_n(names, ["technology"], ["rank"], per_name)
-    order = names.select("technology").distinct().withColumn("bucket_", F.pmod(F.xxhash64("technology"), F.lit(1 << 20)))
-    return kept.join(order, "technology").withColumn("batch", F.floor(F.col("bucket_") / F.lit(batch))).drop("bucket_")
+    # places without one sort of all: within buckets of hashes, after the sizes of the buckets before
+    each = names.select("technology").distinct().withColumn("bucket_", F.pmod(F.xxhash64("technology"), F.lit(64)))
+    before = each.groupBy("bucket_").agg(F.count("*").alias("n_")).withColumn("before_", F.sum("n_").over(Window.orderBy("bucket_")) - F.col("n_")).drop("n_")
+    place = F.row_number().over(Window.partitionBy("bucket_").orderBy("technology")) - 1
+    order = each.withColumn("place_", place).join(F.broadcast(before), "bucket_").select("technology", F.floor((F.col("before_") + F.col("place_")) / F.lit(batch)).alias("batch"))
+    return kept.join(order, "technology")
+
+
+def page_facts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with the title and the number of links of their html."""
+    return pages.withColumn("title", F.regexp_extract(html, "<title>([^<]*)</title>", 1)).withColumn("n_links", F.size(F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))))

@@ -33,9 +33,9 @@ def test_searches_ask_every_twentieth_row(spark, tables):
         labels |= {(q, x): next(i for i in others if label[i] == x) for x in set(label)}
         modes[q] = (sum(s[q, i] > 0.3 for i in others), sum(s[q, i] >= 0.3 for i in others), pytest.approx(s[q, others[0]], abs=2e-6))
     run = lambda name: registry.QUERIES[name](spark, at).collect()
-    assert {(r.query_id, r["rank"]): (r.id, r.score) for r in run("topk_similar_whole")} == best
-    assert {(r.query_id, r.label): r.id for r in run("topk_per_label_whole")} == labels
-    assert {r.query_id: (r.strict, r.inclusive, r.best) for r in run("hit_filter_modes_whole")} == modes
+    assert {(r.query_id, r["rank"]): (r.id, r.score) for r in run("topk_similar")} == best
+    assert {(r.query_id, r.label): r.id for r in run("topk_per_label")} == labels
+    assert {r.query_id: (r.strict, r.inclusive, r.best) for r in run("hit_filter_modes")} == modes
 
 
 def test_graphs_of_whole_orders(spark, tables):
@@ -43,18 +43,18 @@ def test_graphs_of_whole_orders(spark, tables):
     edges = [(30, 2001), (2001, 7004), (30, 41), (41, 81), (81, 30), (40, 80), (80, 40), (3, 5000), (3, 5000)]
     at = tables(orders=(edges, "o_custkey long, o_orderkey long"), customer=([(7004, "MACHINERY"), (3, "MACHINERY"), (30, "BUILDING")], "c_custkey long, c_mktsegment string"))
     run = lambda name: registry.QUERIES[name](spark, at).collect()
-    assert sorted((r.node, r.depth) for r in run("recursive_reach_whole")) == [(30, 0), (41, 1), (81, 2), (2001, 1), (7004, 2)]
-    assert sorted(r.cycle for r in run("cycles_whole")) == ["30 > 41 > 81 > 30", "40 > 80 > 40"]
-    assert sorted((r.source, r.target) for r in run("incident_edges_whole")) == [(3, 5000), (2001, 7004)]
+    assert sorted((r.node, r.depth) for r in run("recursive_reach")) == [(30, 0), (41, 1), (81, 2), (2001, 1), (7004, 2)]
+    assert sorted(r.cycle for r in run("order_cycles")) == ["30 > 41 > 81 > 30", "40 > 80 > 40"]
+    assert sorted((r.source, r.target) for r in run("incident_edges")) == [(3, 5000), (2001, 7004)]
 
 
 def test_words_and_references_of_whole_texts(spark, tables):
     texts = ["Of libraries: the Libraries of a house", "first words, then `lib/a.py` and file:docs/b.md\nat the end src/c/d.ts, `lib/a.py` again", "nothing", None]
     at = tables(documents=([(i, x, f"s{i % 2}") for i, x in enumerate(texts)], "doc_id long, text string, source string"))
     run = lambda name: registry.QUERIES[name](spark, at).collect()
-    words = {r.lib: (r.usage_count, r.n_files, r.n_specifiers, r.is_dev) for r in run("library_rollup_whole")}
+    words = {r.lib: (r.usage_count, r.n_files, r.n_specifiers, r.is_dev) for r in run("library_rollup")}
     assert words["libraries"] == (2, 1, 1, False) and words["nothing"] == (1, 1, 1, False) and words["the"] == (2, 2, 2, True) and words["house"] == (1, 1, 1, False)
-    assert sorted((r.doc_id, r.file_path) for r in run("file_refs_whole")) == [(1, "docs/b.md"), (1, "lib/a.py"), (1, "src/c/d.ts")]
+    assert sorted((r.doc_id, r.file_path) for r in run("document_file_refs")) == [(1, "docs/b.md"), (1, "lib/a.py"), (1, "src/c/d.ts")]
 
 
 def test_project_queries_read_whole_tables(spark, tables):
