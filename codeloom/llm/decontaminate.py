@@ -1,10 +1,10 @@
 """Benchmark decontamination: a prefix-filtered join of benchmark windows with whole documents, in DataFrame functions only.
 
 A benchmark item gives its windows of ``WINDOW`` consecutive words (an item of fewer, but not none, is one window). The tokens
-of a window are its word shingles of ``SHINGLE`` words. A window occurs only where all of its tokens do, so one necessary
-token suffices as its prefix, and the rarest is taken: all shingles of the benchmark are counted in the whole corpus
-first. Then each text's shingles meet the prefix tokens, and the token's place in the window bounds where the window may
-start and end. These candidates, numbers alone, are gathered by text (a text is named by 128 bits of hash, so copies share
+of a window are its word shingles of ``SHINGLE`` words. A window occurs only where all of its tokens do, so the ``PREFIX`` rarest are
+taken as its prefix: all shingles of the benchmark are counted in the whole corpus first. Then each text's shingles meet the
+prefix tokens, the token's place in the window bounds where the window may start and end, and a start that not all tokens of the
+prefix agree on is left. These candidates, numbers alone, are gathered by text (a text is named by 128 bits of hash, so copies share
 theirs), meet their text once, and the words at each are compared with the window's own inside that one row. No row of
 a position carries the text, so work and memory grow in proportion to the text's length.
 
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import lower_ascii, saved, table
 
 WINDOW, SHINGLE = 13, 3
-#: Bytes of a table that is broadcast, at most (as text, which is no less than in memory).
-BROADCAST_BYTES = 32 << 20
+#: Rarest tokens of a window that a place must have before words are compared.
+PREFIX = 2
+#: Bytes of a table that is broadcast, at most, as text.
+BROADCAST_BYTES = 16 << 20
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -94,11 +96,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, size: int
     known = small(saved(every.select("k_", "h").distinct(), "shingles"), broadcast_bytes)
     counts = positions(docs, sizes).select("k_", "h").join(known, ["k_", "h"], "left_semi").groupBy("k_", "h").agg(F.count("*").alias("c_"))
     order = F.struct(F.coalesce("c_", F.lit(0)).alias("c"), F.col("h").alias("h"), F.col("offset_").alias("o"))
-    prefix = saved(every.join(counts, ["k_", "h"], "left").groupBy("window_id", "len_", "k_").agg(F.min(order).alias("p"))
-                   .select("window_id", "len_", "k_", F.col("p.h").alias("h"), F.col("p.o").alias("offset_")), "prefix")
+    rarest = every.join(counts, ["k_", "h"], "left").groupBy("window_id", "len_", "k_").agg(F.slice(F.array_sort(F.collect_list(order)), 1, PREFIX).alias("p"))
+    prefix = saved(rarest.select("window_id", "len_", "k_", F.expr("shiftleft(1, size(p)) - 1").alias("all_"), F.posexplode("p").alias("i_", "p"))
+                   .select("window_id", "len_", "k_", "all_", F.expr("shiftleft(1, i_)").alias("bit_"), F.col("p.h").alias("h"), F.col("p.o").alias("offset_")), "prefix")
     start = F.col("pos_") - F.col("offset_")
     near = (positions(docs, sizes).join(small(prefix, broadcast_bytes), ["k_", "h"]).where((start >= 0) & (start + F.col("len_") <= F.col("n_")))
-            .groupBy(*KEY, "window_id").agg(F.collect_set(start).alias("starts")))
+            .groupBy(*KEY, "window_id", "all_", start.alias("start_")).agg(F.bit_or("bit_").alias("bits_")).where("bits_ = all_")
+            .groupBy(*KEY, "window_id").agg(F.collect_list("start_").alias("starts")))
     asked = saved(near.join(small(win, broadcast_bytes), "window_id").groupBy(*KEY).agg(F.collect_list(F.struct("window_id", "window", "len_", "starts")).alias("asked")), "candidates")
     texts = docs.select(*text_keys(F.col("text")), "text").join(small(asked, broadcast_bytes), KEY).select(*KEY, words(F.col("text")).alias("w"), "asked")
 
