@@ -15,7 +15,8 @@ Within a tree a node's entries are first bounded with the stored parent distance
 that no distance is computed for those that cannot hold one of the k best; the rest are visited nearest bound first. Leaf
 scores are exact integers. The k best of a query in each tree are merged by a partial top-k aggregation.
 
-Where vectors have no clusters (equal directions in many dimensions) every ball reaches every query, and all distances are computed.
+Where vectors have no clusters (equal directions in many dimensions) every ball reaches every query, and all distances are computed; where a
+query's bound leaves out less than half of a tree, the tree is scanned in one product.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither do empty ones; a query
 meets vectors of its own number of components only; rows that repeat a vec_id are candidates each, all but those
@@ -51,13 +52,22 @@ def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
 
 
 class Node:
-    """A page. Leaf: ids and integer vectors. Inner: children with covering radii. Both: distance of each entry to the
-    page's own routing vector."""
+    """A page. Leaf: a span of the tree's vectors. Inner: children with covering radii, and the span of all below. Both: distance of each
+    entry to the page's own routing vector."""
 
-    __slots__ = ("children", "ids", "parent", "points", "radius", "vectors")
+    __slots__ = ("children", "parent", "points", "radius", "span")
 
-    def __init__(self, points, parent, ids=None, vectors=None, radius=None, children=None):
-        self.points, self.parent, self.ids, self.vectors, self.radius, self.children = points, parent, ids, vectors, radius, children
+    def __init__(self, points, parent, span, radius=None, children=None):
+        self.points, self.parent, self.span, self.radius, self.children = points, parent, span, radius, children
+
+
+class Tree:
+    """A root page, its routing vector, and all ids and vectors in the order of the leaves."""
+
+    __slots__ = ("centre", "ids", "root", "vectors")
+
+    def __init__(self, root: Node, centre: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.root, self.centre, self.ids, self.vectors = root, centre, ids, vectors
 
 
 def lifted(v: np.ndarray, most: float) -> np.ndarray:
@@ -70,18 +80,18 @@ def exact(most: float) -> bool:
     return most < 2.0 ** 52
 
 
-def build(ids: np.ndarray, vectors: np.ndarray, most: float, page: int = PAGE) -> Node:
+def build(ids: np.ndarray, vectors: np.ndarray, most: float, page: int = PAGE) -> Tree:
     """Bulk load: entries go to the nearest of up to ``page`` routing vectors, recursively, until they fit a page."""
-    points = lifted(vectors, most)
-    if exact(most):
-        vectors = vectors.astype(np.float64)
+    points, order = lifted(vectors, most), []
 
     def node(rows: np.ndarray, centre: np.ndarray) -> Node:
+        start = sum(map(len, order))
         if len(rows) <= page:
-            return Node(None, np.linalg.norm(points[rows] - centre, axis=1), ids[rows], vectors[rows])
+            order.append(rows)
+            return Node(None, np.linalg.norm(points[rows] - centre, axis=1), (start, start + len(rows)))
         seeds = rows[np.linspace(0, len(rows) - 1, min(page, -(-2 * len(rows) // page))).astype(int)]
         heads = np.unique(points[seeds], axis=0)
-        near = ((heads * heads).sum(1)[None] - 2 * points[rows] @ heads.T).argmin(1)
+        near = nearest(points[rows], heads)
         parts = [rows[near == k] for k in range(len(heads))]
         if max(map(len, parts)) > 0.9 * len(rows):  # repeated vectors: halve by order
             parts = np.array_split(rows, min(page, -(-len(rows) // page)))
@@ -89,22 +99,29 @@ def build(ids: np.ndarray, vectors: np.ndarray, most: float, page: int = PAGE) -
         kept = [k for k, x in enumerate(parts) if len(x)]
         heads, parts = heads[kept], [parts[k] for k in kept]
         radius = np.array([np.linalg.norm(points[x] - h, axis=1).max() for x, h in zip(parts, heads, strict=True)])
-        return Node(heads, np.linalg.norm(heads - centre, axis=1), radius=radius, children=[node(x, h) for x, h in zip(parts, heads, strict=True)])
+        below = [node(x, h) for x, h in zip(parts, heads, strict=True)]
+        return Node(heads, np.linalg.norm(heads - centre, axis=1), (start, start + len(rows)), radius, below)
 
-    return node(np.arange(len(ids)), points.mean(0))
+    centre = points.mean(0)
+    root = node(np.arange(len(ids)), centre)
+    rows = np.concatenate(order)
+    return Tree(root, centre, ids[rows], vectors[rows].astype(np.float64) if exact(most) else vectors[rows])
 
 
-def search(root: Node, centre: np.ndarray, query_id: int, q: np.ndarray, most: float, k: int, floor: int | None = None) -> tuple[list[tuple[int, int]], int]:
+def search(tree: Tree, query_id: int, q: np.ndarray, most: float, k: int, floor: int | None = None) -> tuple[list[tuple[int, int]], int]:
     """(the k best (score, vec_id) of a tree that score at least ``floor``, distances computed). A bound is loosened by the
-    rounding of its distances, so none is lost."""
+    rounding of its distances, so none is lost.
+
+    Where the bounds leave out less than half of the tree, the rest of it is scanned at once, page order being of no use.
+    """
     x = np.append(q.astype(np.float64), 0.0)
     q = x[:-1].copy() if exact(most) else q
     norm = float((x * x).sum()) + most
     slack = 1e-7 * (1.0 + norm ** 0.5)
     best: list[tuple[int, int]] = []  # heap of (score, -vec_id)
     reach = float("inf") if floor is None else max(norm - 2.0 * floor, 0.0) ** 0.5 + slack
-    queue = [(0.0, 0, root, float(np.linalg.norm(x - centre)))]
-    n, looked = 0, 1
+    queue = [(0.0, 0, tree.root, float(np.linalg.norm(x - tree.centre)))]
+    n, looked, asked = 0, 1, False
     while queue:
         bound, _, node, d = heapq.heappop(queue)
         if bound > reach:
@@ -115,8 +132,9 @@ def search(root: Node, centre: np.ndarray, query_id: int, q: np.ndarray, most: f
             continue
         looked += len(rows)
         if node.children is None:
-            scores = (node.vectors if len(rows) == len(low) else node.vectors[rows]) @ q
-            ids = node.ids[rows]
+            a, b = node.span
+            scores = (tree.vectors[a:b] if len(rows) == len(low) else tree.vectors[a + rows]) @ q
+            ids = tree.ids[a + rows]
             if len(best) == k:
                 near = np.flatnonzero((scores > best[0][0]) | ((scores == best[0][0]) & (ids < -best[0][1])))
             else:
@@ -132,6 +150,15 @@ def search(root: Node, centre: np.ndarray, query_id: int, q: np.ndarray, most: f
                 if (least := max(bound, dj - float(node.radius[j]))) <= reach:
                     n += 1
                     heapq.heappush(queue, (least, n, node.children[j], dj))
+        if not asked and reach < float("inf") and queue:
+            asked = True
+            if 2 * sum(e[2].span[1] - e[2].span[0] for e in queue if e[0] <= reach) >= len(tree.ids):
+                scores = np.where(tree.ids == query_id, -np.inf, tree.vectors @ q) if exact(most) else tree.vectors @ q
+                ok = np.flatnonzero(tree.ids != query_id)
+                least = max(-np.inf if floor is None else floor, np.partition(scores[ok], len(ok) - k)[len(ok) - k] if len(ok) > k else -np.inf)
+                ok = ok[scores[ok] >= least]
+                ok = ok[np.lexsort((tree.ids[ok], -scores[ok]))][:k]
+                return [(int(scores[r]), int(tree.ids[r])) for r in ok], looked + len(tree.ids)
     return sorted(((s, -i) for s, i in best), key=lambda t: (-t[0], t[1])), looked
 
 
@@ -210,9 +237,9 @@ def index(vectors: DataFrame, scale: float = 256.0, tree: int = TREE, page: int
         made = []
         for (n, _, _, most), part in groups(batches, ["n_", "pivot", "salt_", "most"]):
             ids, v = stacked(part.sort_values("vec_id", kind="stable"))
-            points = lifted(v, most)
-            centre = points.mean(0)
-            made.append((n, most, kept(folder, (build(ids, v, most, page), centre)), centre, float(np.linalg.norm(points - centre, axis=1).max())))
+            made_tree = build(ids, v, most, page)
+            far = float(np.linalg.norm(lifted(v, most) - made_tree.centre, axis=1).max())
+            made.append((n, most, kept(folder, made_tree), made_tree.centre, far))
         yield pd.DataFrame(made, columns=["n_", "most", "tree", "centre", "radius"])
 
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,7 +307,7 @@ def searched(queries: DataFrame, trees: DataFrame, k: int, block: int) -> DataFr
             ids, v = stacked(part)
             hits, looked, floors = [], [], []
             for i, q in zip(ids.tolist(), v, strict=True):
-                best, m = search(*tree, i, q, most, k)
+                best, m = search(tree, i, q, most, k)
                 hits += [(i, j, s) for s, j in best]
                 looked.append((i, m))
                 floors.append(best[-1][0] if len(best) == k else None)
@@ -307,7 +334,7 @@ def searched(queries: DataFrame, trees: DataFrame, k: int, block: int) -> DataFr
                     last, tree = name, loaded(name)
                 hits, looked = [], []
                 for i, q, floor in zip(*loaded(block_name), strict=True):
-                    best, m = search(*tree, int(i), q, most, k, floor)
+                    best, m = search(tree, int(i), q, most, k, floor)
                     hits += [(int(i), j, s) for s, j in best]
                     looked.append((int(i), m))
                 yield rows_of(hits, looked, [])
@@ -315,9 +342,9 @@ def searched(queries: DataFrame, trees: DataFrame, k: int, block: int) -> DataFr
     at_home = saved(queries.join(F.broadcast(trees), "n_").select("n_", "most", "directory", F.monotonically_increasing_id().alias("row_"), "vec_id", "v")
                     .mapInPandas(home, "n_ int, most double, directory string, row_ long, vec_id long, v array<long>, tree string"), "homes")
     keys = ["n_", "tree", "salt_"]
-    one = saved(spread(at_home, ["n_", "tree"], 4 * block).repartition(*keys).sortWithinPartitions(*keys).select("n_", "most", "directory", "tree", "salt_", "vec_id", "v").mapInPandas(first, found), "first-round")
+    one = saved(spread(at_home, ["n_", "tree"], 4 * block).repartition(max(8, min(10_000, -(-at_home.count() // 64))), *keys).sortWithinPartitions(*keys).select("n_", "most", "directory", "tree", "salt_", "vec_id", "v").mapInPandas(first, found), "first-round")
     needed = saved(one.where("block is not null").select("most", "directory", "tree", "block").repartition("block").mapInPandas(meet, "tree string, most double, block string"), "needed")
-    two = needed.repartition("tree", "block").sortWithinPartitions("tree", "block").mapInPandas(second, found)
+    two = needed.repartition(max(1, min(10_000, needed.count())), "tree", "block").sortWithinPartitions("tree", "block").mapInPandas(second, found)
     return one.where("block is null").unionByName(two).select("query_id", "vec_id", "score", "looked")
 
 
