@@ -37,7 +37,7 @@ from codeloom.llm.hashing import mix, shingle_set, word_hashes
 
 SIZE, PERCENT = 3, 90
 #: Token counts that are broadcast; classes of a bucket that one task takes together; tokens of the prefix by which hot buckets are split.
-ORDERED, BUCKET, EXTRA = 6_000_000, 1_000, 2
+ORDERED, BUCKET, EXTRA = 6_000_000, 300, 2
 #: Bits a candidate class has in the filter of them, and bits of the filter at most (64 MB are broadcast).
 CLASS_BITS, FILTER_BITS = 16, 1 << 29
 TOGETHER = 2_000_000
