@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-import zlib
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.session import own_dir, remove
 
+#: Bytes of sampled texts that come to the driver, at most.
+SAMPLE_BYTES = 32 << 20
+
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -83,18 +84,24 @@ def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int) -> pd.DataFrame:
-    """Texts and labels of at most ``rows`` training documents, on the driver.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int, most: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """doc_id, label_, text of at most ``rows`` training documents with at most ``most`` bytes of text together, on the driver.
 
-    The labels are sampled first, so the side that is broadcast holds no more than ``rows`` rows
-    whatever the input; rows of the held-out remainder and null labels never leave the executors.
+    The labels are sampled first, so the side that is broadcast holds no more than ``rows`` rows whatever the input; rows of the held-out
+    remainder and null labels or ids never leave the executors. In order of the id's hash a document is taken where its text still
+    fits. Of rows that repeat a doc_id the smallest text counts, of labels the largest.
     """
     picked = sample_by_hash(
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), mod) != held))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label_")), "doc_id", rows)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    return got.toPandas().drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
-
-
-def held_out_flag(ids: pd.Series, mod: int, held: int) -> np.ndarray:
-    return np.array([x is not None and x == x and zlib.crc32(str(int(x)).encode()) % mod == held for x in ids], dtype=bool)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = saved(own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label_").agg(F.min("text").alias("text")), "labelled")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().to_pandas().sort_values(["h", "doc_id"])
+    left, chosen = most, []
+    for doc_id, n in zip(sizes.doc_id.tolist(), sizes.n.tolist(), strict=True):
+        if n <= left:
+            left -= n
+            chosen.append((doc_id,))
+    if len(chosen) < len(sizes):
+        texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
+    return texts.toArrow().to_pandas().sort_values("doc_id").reset_index(drop=True)

@@ -2,9 +2,9 @@
 
 A text is its counts of byte trigrams, hashed into ``WIDTH`` cells, square-rooted and scaled to length 1. A linear SVM
 per family (one against the rest) decides the family; within it, one linear SVM per pair of languages votes. Families are
-known by language code; a language of no listed family is a family of its own. Training reads at most ``ROWS`` documents
-of each of at most ``LANGUAGES`` languages (the most frequent), those with the smallest id hash; scoring reads every whole
-text in one pass without a shuffle.
+known by language code; a language of no listed family is a family of its own. Training takes about ``ROWS`` documents of
+each language, fewer where there are many languages so that about ``SAMPLE`` are taken together, but at least one of every language: none
+is left out. Their features, not their texts, come to the driver. Scoring reads every whole text in one pass without a shuffle.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; with no training row every text is ``und``;
 rows that repeat a doc_id are predicted each; a null doc_id is not held out; columns beside doc_id, text, lang are ignored.
@@ -21,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import crc_mod, held_out_flag, table
+from codeloom.llm.common import crc_mod, table, with_split
 
 MOD, HELD = 4, 2
-WIDTH, ROWS, LANGUAGES = 4_096, 400, 256
+#: Cells of a text; training documents of a language, and of all (those with the smallest id hash).
+WIDTH, ROWS, SAMPLE = 4_096, 400, 16_384
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi", "romance": "fr es it pt ro ca gl oc la", "slavic": "ru uk be bg mk sr hr bs sl cs sk pl",
     "uralic": "fi et hu", "turkic": "tr az kk ky uz tt", "indo-aryan": "hi bn ur mr ne gu pa si", "semitic": "ar he am mt", "cjk": "zh ja ko",
@@ -43,13 +44,14 @@ def features(text: str, width: int = WIDTH) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, steps: int = 100) -> np.ndarray:
     """Linear SVM (squared hinge, classes weighted alike) by accelerated gradient descent; weights with the constant last."""
     n = len(y)
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * n
+    y = y.astype(np.float32)
+    share = (np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * n).astype(np.float32)
     z = np.hstack([x, np.ones((n, 1), dtype=np.float32)])
     w = v = np.zeros(z.shape[1], dtype=np.float32)
     rate = 1.0 / (1.0 + 4.0 * c * float(share.max()))
     for k in range(steps):
-        gap = np.maximum(0.0, 1.0 - y * (z @ v))
-        grad = v - (2.0 * c / n) * (z.T @ (share * y * gap)).astype(np.float32)
+        gap = np.maximum(np.float32(0), np.float32(1) - y * (z @ v))
+        grad = v - np.float32(2.0 * c / n) * (z.T @ (share * y * gap))
         new = v - np.float32(rate) * grad
         v = new + np.float32(k / (k + 3.0)) * (new - w)
         w = new
@@ -83,11 +85,12 @@ class Model:
         return best, float(sure / (1.0 + np.exp(-4.0 * odds[best] / (len(names) - 1))))
 
 
-def train(texts: list[str], langs: list[str]) -> Model:
+def train(x: np.ndarray, langs: list[str]) -> Model:
+    """x: features of a text in every row."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((0, WIDTH + 1)), {}, {})
-    x, y = np.stack([features(t) for t in texts]), np.array(langs)
+    y = np.array(langs)
     kin = np.array([FAMILY.get(n, n) for n in langs])
     families = sorted(set(kin))
     members = {f: [n for n in names if FAMILY.get(n, n) == f] for f in families}
@@ -96,16 +99,30 @@ def train(texts: list[str], langs: list[str]) -> Model:
     return Model(families, w, members, pairs)
 
 
-def fit(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> Model:
-    """Learns from about ``rows`` documents of each language, never from held-out ones."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), MOD) != HELD))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not counts:
+def fit(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> Model:
+    """Learns from about ``rows`` documents of each language, never from held-out ones; rows that repeat a doc_id and language count once."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = own.where("lang is not null and text is not null and doc_id is not null").where(crc_mod(F.col("doc_id"), MOD) != HELD)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).toArrow().to_pandas()
+    if not len(counts):
         return Model([], np.zeros((0, WIDTH + 1)), {}, {})
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["n"])))])
-    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    got = picked.select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id")).limit(2 * rows * len(counts)).toPandas().sort_values(["doc_id", "lang"])
-    return train(got.text.tolist(), got.lang.tolist())
+    each = max(1, min(rows, sample // len(counts)))
+    ends = [(lang, max(int(min(1.0, each / n) * (1 << 40)), first + 1)) for lang, n, first in zip(counts.lang, counts.n.tolist(), counts["first"].tolist(), strict=True)]
+    limits = docs.sparkSession.createDataFrame(ends, "lang string, end_ long")  # a row a language
+    picked = usable.join(F.broadcast(limits), "lang").where(place < F.col("end_")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [features(t) for t in batch.text]
+            cells = [np.flatnonzero(f) for f in made]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "lang": batch.lang, "cells": [c.astype("<u2").tobytes() for c in cells], "values": [f[c].astype("<f4").tobytes() for f, c in zip(made, cells, strict=True)]})
+
+    got = picked.mapInPandas(encode, "doc_id long, lang string, cells binary, values binary").toArrow().to_pandas().sort_values(["doc_id", "lang"])
+    x = np.zeros((len(got), WIDTH), dtype=np.float32)
+    for k, (c, v) in enumerate(zip(got.cells, got["values"], strict=True)):
+        x[k, np.frombuffer(c, "<u2")] = np.frombuffer(v, "<f4")
+    return train(x, got.lang.tolist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -115,9 +132,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         own = sent.value
         for batch in batches:
             found = [own.predict(x) for x in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "held_out": held_out_flag(batch.doc_id, MOD, HELD), "lang_pred": [x for x, _ in found], "score": np.array([s for _, s in found], dtype=np.float64)})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "held_out": batch.held_out, "lang_pred": [x for x, _ in found], "score": np.array([s for _, s in found], dtype=np.float64)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return (with_split(docs, MOD, HELD).mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double")
+            .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def known(docs: DataFrame, model: Model) -> DataFrame:
@@ -127,7 +145,7 @@ def known(docs: DataFrame, model: Model) -> DataFrame:
     def passes(texts: pd.Series) -> pd.Series:
         return pd.Series([sent.value.predict(x)[0] != "und" for x in texts], dtype=bool)
 
-    return docs.where(F.pandas_udf(passes, "boolean")(F.col("text").cast("string")))
+    return docs.where(F.pandas_udf(passes, "boolean")(docs["text"].cast("string")))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

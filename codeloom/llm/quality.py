@@ -3,8 +3,8 @@
 Every passage (``PASSAGE`` bytes of the whole text, cut at any place) becomes the share of each pair of character classes in
 it, plus its size and its repetition; a dense layer encodes it, gated attention (tanh and sigmoid branches) gives it a weight
 among the document's passages, and the weighted sum of encodings is scored by a logistic unit. All weights are learned from
-document labels, of at most ``SAMPLE`` training documents (those with the smallest id hash), with Adam in numpy on
-the driver. Scoring reads every whole text in one pass without a shuffle.
+document labels, of at most ``SAMPLE`` training documents (those with the smallest id hash) of at most ``SAMPLE_BYTES`` (common.py)
+together, with Adam in numpy on the driver, which so holds about two bytes of features for one of text, a few times over. Scoring reads every whole text in one pass without a shuffle.
 
 Defined results: null and empty texts are one empty passage; without training labels of both kinds every score is 0.5 and
 every prediction 1; rows that repeat a doc_id are scored each; a null doc_id is not held out; columns beside doc_id and text are ignored.
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import held_out_flag, labelled, table
+from codeloom.llm.common import labelled, table, with_split
 
 MOD, HELD, THRESHOLD, SAMPLE = 3, 1, 0.5, 4_000
 PASSAGE = 512
@@ -82,6 +82,20 @@ class Model:
         z = np.add.reduceat(att[:, None] * h, starts, axis=0)
         return {"h": h, "t": t, "g": g, "att": att, "z": z, "out": sigmoid(z @ p["c"] + p["c0"])}
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, bag: np.ndarray, y: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the logistic loss of all bags, weighted by share, by every weight."""
+        p, f = self.p, self.forward(x, starts, bag)
+        d = share * (f["out"] - y)  # of the loss by the logit
+        dz = d[:, None] * p["c"]
+        dh = f["att"][:, None] * dz[bag]
+        datt = (f["h"] * dz[bag]).sum(1)
+        de = f["att"] * (datt - np.add.reduceat(f["att"] * datt, starts)[bag])
+        dt, dg = de[:, None] * p["a"] * f["g"], de[:, None] * p["a"] * f["t"]
+        dt, dg = dt * (1 - f["t"] ** 2), dg * f["g"] * (1 - f["g"])
+        dh += dt @ p["v"].T + dg @ p["u"].T
+        dpre = dh * (1 - f["h"] ** 2)
+        return {"w": x.T @ dpre, "b": dpre.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         if not bags:
             return np.zeros(0)
@@ -107,17 +121,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 1
     model, m, s = Model(mean, spread, p), {k: 0.0 for k in p}, {k: 0.0 for k in p}
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
     for step in range(1, steps + 1):
-        f = model.forward(x, starts, bag)
-        d = share * (f["out"] - y)  # of the loss by the logit
-        dz = d[:, None] * p["c"]
-        dh = f["att"][:, None] * dz[bag]
-        datt = (f["h"] * dz[bag]).sum(1)
-        de = f["att"] * (datt - np.add.reduceat(f["att"] * datt, starts)[bag])
-        dt, dg = de[:, None] * p["a"] * f["g"], de[:, None] * p["a"] * f["t"]
-        dt, dg = dt * (1 - f["t"] ** 2), dg * f["g"] * (1 - f["g"])
-        dh += dt @ p["v"].T + dg @ p["u"].T
-        dpre = dh * (1 - f["h"] ** 2)
-        grads = {"w": x.T @ dpre, "b": dpre.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+        grads = model.gradients(x, starts, bag, y, share)
         for k in p:
             grad = grads[k] + decay * p[k] * (k not in ("b", "c0"))
             m[k] = 0.9 * m[k] + 0.1 * grad
@@ -160,9 +164,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                     parts.append(own.score(bags))
                     bags, held = [], 0
             scores = np.concatenate([*parts, own.score(bags)])
-            yield pd.DataFrame({"doc_id": batch.doc_id, "held_out": held_out_flag(batch.doc_id, MOD, HELD), "score": scores, "predicted": (scores >= threshold).astype("i4")})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "held_out": batch.held_out, "score": scores, "predicted": (scores >= threshold).astype("i4")})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return (with_split(docs, MOD, HELD).mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int")
+            .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ into plain letters, one character for one. Terms are whole words or word beginni
 of label 1 among training documents that have the term; a match counts at word boundaries only and not inside an exception phrase.
 The sum of weights, as it is and per words of the text, goes through a logistic curve fitted on the same documents.
 
-The lexicon is learned from at most ``SAMPLE`` labelled training documents (those with the smallest id hash); scoring
-reads every whole text in one pass without a shuffle. Memory of a task is the lexicon and one Arrow batch.
+The lexicon is learned from at most ``SAMPLE`` labelled training documents (those with the smallest id hash) of at most
+``SAMPLE_BYTES`` (common.py) together; scoring reads every whole text in one pass without a shuffle, in time proportional to its length.
+Memory of a task is the lexicon and one Arrow batch.
 
 Defined results: null and empty texts have no match and the score of such a text; without any training label of either
 kind the base lexicon alone decides; rows that repeat a doc_id are scored each; a null doc_id is not held out; columns beside
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import held_out_flag, labelled, table
+from codeloom.llm.common import labelled, table, with_split
 
 #: Labelled documents that a lexicon is learned from, at most.
 SAMPLE = 4_000
@@ -101,7 +102,16 @@ class Lexicon:
                 spared.append((start, end + 1))
             elif start not in hits or hits[start][0] < end + 1:
                 hits[start] = (end + 1, weight)
-        return [(s, e, w) for s, (e, w) in hits.items() if not any(a <= s and e <= b for a, b in spared)]
+        # in order of start, the farthest end of the phrases begun so far tells whether one holds the match
+        out, far, k = [], 0, 0
+        spared.sort()
+        for s in sorted(hits):
+            while k < len(spared) and spared[k][0] <= s:
+                far = max(far, spared[k][1])
+                k += 1
+            if hits[s][0] > far:
+                out.append((s, *hits[s]))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         """(log of 1 + weights, log of 1 + weights per 100 words)."""
@@ -174,16 +184,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_matches of every row of docs."""
+    """doc_id, held_out, score, predicted of every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the terms of the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for batch in batches:
             scores = np.array([own.score(x) for x in batch.text], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": batch.doc_id, "held_out": held_out_flag(batch.doc_id, MOD, HELD), "score": scores, "predicted": (scores >= threshold).astype("i4")})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "held_out": batch.held_out, "score": scores, "predicted": (scores >= threshold).astype("i4")})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return (with_split(docs, MOD, HELD).mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int")
+            .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,7 +204,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     def passes(texts: pd.Series) -> pd.Series:
         return pd.Series([sent.value.score(x) < threshold for x in texts], dtype=bool)
 
-    return docs.where(F.pandas_udf(passes, "boolean")(F.col("text").cast("string")))
+    return docs.where(F.pandas_udf(passes, "boolean")(docs["text"].cast("string")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
