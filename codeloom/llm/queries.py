@@ -22,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard": jaccard.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op7_topk": mtree.ORACLE,
+    "op8_warc": warc.ORACLE,
 }

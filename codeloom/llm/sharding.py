@@ -6,7 +6,7 @@ leaves or joins, most slots keep their shard. The table (``SLOTS`` rows, whateve
 shard is the one of its slot, the hash of its id modulo the size: constant time, no shuffle, no state.
 
 Defined results: a null doc_id is placed as the text 'null'; rows that repeat a doc_id go to the same shard; texts do not matter; an empty table gives no
-rows; columns beside doc_id are ignored; no shards, or fewer slots than shards, or a size that is not prime, is an error.
+rows; other columns are kept, but for a ``slot`` or ``shard_id`` of the input, which the result's replace; no shards, or fewer slots than shards, or a size that is not prime, is an error.
 """
 
 from __future__ import annotations
@@ -48,10 +48,10 @@ def names(n: int) -> list[str]:
 
 
 def place(docs: DataFrame, shards: list[str], size: int = SLOTS) -> DataFrame:
-    """docs with slot and shard_id."""
+    """docs with slot and shard_id, in place of columns of these names."""
     slots = docs.sparkSession.createDataFrame(list(enumerate(lookup(shards, size))), "slot long, shard_id int")
     key = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, 8)
-    return docs.withColumn("slot", F.conv(key, 16, 10).cast("long") % size).join(F.broadcast(slots), "slot")
+    return docs.drop("slot", "shard_id").withColumn("slot", F.conv(key, 16, 10).cast("long") % size).join(F.broadcast(slots), "slot")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +59,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-with s as (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 8) as bigint) % {SLOTS} as slot from documents)
-select doc_id, slot, cast({lookup(names(SHARDS))}[slot + 1] as int) as shard_id from s"""
+with recursive shard as (
+  select i, cast(cast('0x' || substr(md5('offset:' || name), 1, 16) as ubigint) % {SLOTS} as bigint) as off,
+         cast(cast('0x' || substr(md5('skip:' || name), 1, 16) as ubigint) % {SLOTS - 1} as bigint) + 1 as skip
+  from (select i, 'shard-' || lpad(cast(i as varchar), 5, '0') as name from range({SHARDS}) t(i))),
+fill as (
+  select 0 as step, list_transform(range({SLOTS}), lambda x: cast(-1 as int)) as slots
+  union all
+  select step + 1, list_concat(list_concat(slots[1:at], [cast(step % {SHARDS} as int)]), slots[at + 2:])
+  from (select step, slots, (off + skip * list_filter(range({SLOTS}), lambda j: slots[(off + j * skip) % {SLOTS} + 1] = -1)[1]) % {SLOTS} as at
+        from fill join shard on i = step % {SHARDS} where step < {SLOTS})),
+s as (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 8) as bigint) % {SLOTS} as slot from documents)
+select doc_id, slot, slots[slot + 1] as shard_id from s, (select slots from fill where step = {SLOTS})"""

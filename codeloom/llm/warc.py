@@ -26,6 +26,8 @@ from codeloom.llm.common import fresh_path, opened, saved, table
 
 CRLF = b"\r\n"
 READ = 1 << 20
+#: Bytes of the table of revisits that is broadcast, at most, and of one of its rows (two numbers and 40 digits).
+BROADCAST_BYTES, REVISIT_BYTES = 32 << 20, 128
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -100,16 +102,18 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the page that holds an equal payload, null for responses.
 
     Digests are computed in the JVM and pre-aggregated per payload, so a payload that a third of the pages share
-    is one row per task in the shuffle; html itself is joined by the unique page_id, not by payload.
+    is one row per task in the shuffle. Revisits are sent to the pages where they have at most BROADCAST_BYTES; beyond that html is joined by
+    the unique page_id, not by payload. Pages without an id take no part in the join.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = pages.select("page_id", F.sha1(body).alias("sha_"), F.octet_length(body).alias("n_"))
     shared = (keyed.where((F.col("n_") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha_", "n_")
               .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c_")).where("c_ > 1").drop("c_"))
-    revisits = (keyed.join(shared, ["sha_", "n_"]).where("page_id <> refers_to")
-                .select("page_id", "sha_", "refers_to").distinct())
-    return (pages.select("page_id", "url", "html", F.sha1(body).alias("sha_"))
-            .join(revisits, ["page_id", "sha_"], "left").select("page_id", "url", "html", "refers_to"))
+    revisits = saved(keyed.join(shared, ["sha_", "n_"]).where("page_id <> refers_to").select("page_id", "sha_", "refers_to").distinct(), "revisits")
+    rows = pages.select("page_id", "url", "html", F.sha1(body).alias("sha_"))
+    few = revisits.count() * REVISIT_BYTES <= BROADCAST_BYTES
+    named = rows.where("page_id is not null").join(F.broadcast(revisits) if few else revisits, ["page_id", "sha_"], "left")
+    return named.select("page_id", "url", "html", "refers_to").unionByName(rows.where("page_id is null").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archives(records: DataFrame, folder: str, roll_bytes: int = 1 << 30) -> DataFrame:
@@ -174,3 +178,15 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> Dat
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages"), 0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a SHA-1 by its hexadecimal digits: 160 bits, five at a time.
+ORACLE = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h)) as n, sha1(h) as x from p),
+bits as (select *, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(x, i, 1))]), '') as b from d),
+coded as (select page_id, n, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda j: case when substr(b, 5 * k + j + 1, 1) = '1' then [16, 8, 4, 2, 1][j + 1] else 0 end))::int, 1)), '') as s from bits),
+best as (select s, n, max(page_id) as top from coded group by s, n)
+select page_id, cast(n as bigint) as payload_bytes, s as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+from coded join best using (s, n)"""
