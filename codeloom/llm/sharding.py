@@ -66,8 +66,8 @@ with recursive shard as (
 fill as (
   select 0 as step, list_transform(range({SLOTS}), lambda x: cast(-1 as int)) as slots
   union all
-  select step + 1, list_concat(list_concat(slots[1:at], [cast(step % {SHARDS} as int)]), slots[at + 2:])
-  from (select step, slots, (off + skip * list_filter(range({SLOTS}), lambda j: slots[(off + j * skip) % {SLOTS} + 1] = -1)[1]) % {SLOTS} as at
+  select step + 1, list_concat(list_concat(list_slice(slots, 1, pos), [cast(step % {SHARDS} as int)]), list_slice(slots, pos + 2, {SLOTS}))
+  from (select step, slots, (off + skip * list_filter(range({SLOTS}), lambda j: slots[(off + j * skip) % {SLOTS} + 1] = -1)[1]) % {SLOTS} as pos
         from fill join shard on i = step % {SHARDS} where step < {SLOTS})),
 s as (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 8) as bigint) % {SLOTS} as slot from documents)
 select doc_id, slot, slots[slot + 1] as shard_id from s, (select slots from fill where step = {SLOTS})"""
