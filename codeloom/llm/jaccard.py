@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import saved, table
+from codeloom.llm.common import saved, small_batches, table
 from codeloom.llm.graphs import components
 from codeloom.llm.hashing import mix, shingle_set, word_hashes
 
@@ -40,7 +40,7 @@ SIZE, PERCENT = 3, 90
 ORDERED, BUCKET, EXTRA = 6_000_000, 300, 2
 #: Bits a candidate class has in the filter of them, and bits of the filter at most (64 MB are broadcast).
 CLASS_BITS, FILTER_BITS = 16, 1 << 29
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 SEEN = 1_000_000
 
 
@@ -429,15 +429,18 @@ def members_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bucket
     """doc_id, t_ (hash of the text), n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows, counts = classes(docs, size, percent, parts)
-    docs = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = spark.sparkContext.broadcast(rarity(counts, ordered))
-    first = prefixes(docs, order, size, percent)
-    tokens = first.select("node", F.explode(F.slice("tokens", 1, F.col("p"))).alias("h"))
-    leaders = tokens.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last_")).where("leader <> last_").drop("last_")
-    members = saved(tokens.join(leaders, "h").select("leader", "node").distinct(), "members")
-    sets = saved(candidate_sets(docs, members.select("node").distinct(), order, size), "sets")
-    roots = components(bucket_links(members, sets, first, percent, bucket, parts))
+    with small_batches(spark, 500):  # a task's Python holds few whole texts or sets at a time
+        rows, counts = classes(docs, size, percent, parts)
+        docs = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text"))
+        order = spark.sparkContext.broadcast(rarity(counts, ordered))
+        first = prefixes(docs, order, size, percent)
+        tokens = first.select("node", F.explode(F.slice("tokens", 1, F.col("p"))).alias("h"))
+        leaders = tokens.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last_")).where("leader <> last_").drop("last_")
+        members = saved(tokens.join(leaders, "h").select("leader", "node").distinct(), "members")
+        sets = saved(candidate_sets(docs, members.select("node").distinct(), order, size), "sets")
+        links = bucket_links(members, sets, first, percent, bucket, parts)
+        order.unpersist()
+        roots = components(links)
     kinds = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = kinds.join(roots, "node", "left")
     whole = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("all_"))
