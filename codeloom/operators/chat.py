@@ -19,6 +19,11 @@ def last_n(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return rows.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("rn_")
 
 
+def session_messages(sessions: DataFrame, messages: DataFrame, keys: list[str], order: str, n: int = HISTORY) -> DataFrame:
+    """The last n messages of every session that is there, with the columns of both."""
+    return sessions.join(last_n(messages, keys, order, n), keys)
+
+
 def follow_ups(messages: DataFrame, session: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", history: int = HISTORY, turns: int = TURNS) -> DataFrame:
     """User messages with prior (messages before, at most ``history``), is_follow_up and the query to search with: a follow-up gets the
     last user turns of its history appended."""

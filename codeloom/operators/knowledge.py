@@ -39,6 +39,45 @@ ALIASES = {"React": ("React Router", "react-router-dom", "react-router"), "Expre
            "bcrypt": ("bcryptjs",), "Tailwind": ("Tailwind CSS", "tailwindcss"), "Vite": (), "Axios": (), "Zod": (), "Docker": (), "GitHub Actions": ()}
 
 
+#: Our own catalogue: name, category, where its documentation begins, concepts to learn.
+CATALOGUE = (
+    ("JavaScript", "language", "https://developer.mozilla.org/docs/Web/JavaScript", "closures,promises,modules"), ("TypeScript", "language", "https://www.typescriptlang.org/docs/", "types,generics,inference"),
+    ("Python", "language", "https://docs.python.org/3/", "iterators,generators,modules"), ("Java", "language", "https://dev.java/learn/", "classes,generics,streams"), ("Go", "language", "https://go.dev/doc/", "goroutines,channels,interfaces"),
+    ("React", "frontend", "https://react.dev/learn", "components,state,effects"), ("Next.js", "frontend", "https://nextjs.org/docs", "routing,rendering,data fetching"), ("Vue.js", "frontend", "https://vuejs.org/guide/", "components,reactivity"),
+    ("Angular", "frontend", "https://angular.dev/overview", "components,dependency injection"), ("Svelte", "frontend", "https://svelte.dev/docs", "components,reactivity"), ("Redux", "frontend", "https://redux.js.org/introduction/getting-started", "state,reducers"),
+    ("React Router", "frontend", "https://reactrouter.com/home", "routing"), ("Axios", "frontend", "https://axios-http.com/docs/intro", "http,interceptors"), ("Tailwind CSS", "frontend", "https://tailwindcss.com/docs", "styles,responsive design"),
+    ("Vite", "build", "https://vite.dev/guide/", "modules,bundling"), ("Webpack", "build", "https://webpack.js.org/concepts/", "bundling,loaders"),
+    ("Node.js", "backend", "https://nodejs.org/docs/latest/api/", "event loop,streams,modules"), ("Express.js", "backend", "https://expressjs.com/", "routing,middleware,http"), ("Fastify", "backend", "https://fastify.dev/docs/latest/", "routing,schemas"),
+    ("NestJS", "backend", "https://docs.nestjs.com/", "modules,dependency injection"), ("Django", "backend", "https://docs.djangoproject.com/", "models,views,middleware"), ("Flask", "backend", "https://flask.palletsprojects.com/", "routing,contexts"),
+    ("FastAPI", "backend", "https://fastapi.tiangolo.com/", "routing,types,dependency injection"), ("Spring Boot", "backend", "https://docs.spring.io/spring-boot/", "dependency injection,configuration"), ("GraphQL", "backend", "https://graphql.org/learn/", "schemas,queries"),
+    ("REST API", "backend", "https://developer.mozilla.org/docs/Glossary/REST", "http,idempotence"), ("MongoDB", "database", "https://www.mongodb.com/docs/", "documents,indexes,aggregation"), ("Mongoose", "database", "https://mongoosejs.com/docs/", "schemas,documents,queries"),
+    ("PostgreSQL", "database", "https://www.postgresql.org/docs/", "indexes,transactions,queries"), ("MySQL", "database", "https://dev.mysql.com/doc/", "indexes,transactions"), ("SQLite", "database", "https://www.sqlite.org/docs.html", "transactions,queries"),
+    ("Redis", "database", "https://redis.io/docs/", "caching,data structures"), ("Prisma", "database", "https://www.prisma.io/docs", "schemas,migrations"), ("JWT", "authentication", "https://datatracker.ietf.org/doc/html/rfc7519", "tokens,signatures"),
+    ("Passport.js", "authentication", "https://www.passportjs.org/docs/", "sessions,strategies"), ("Docker", "deployment", "https://docs.docker.com/", "images,layers,containers"), ("GitHub Actions", "deployment", "https://docs.github.com/actions", "ci,workflows"),
+    ("Kubernetes", "deployment", "https://kubernetes.io/docs/", "containers,scheduling"), ("NGINX", "deployment", "https://nginx.org/en/docs/", "proxies,caching"), ("Jest", "testing", "https://jestjs.io/docs/getting-started", "tests,mocks"),
+    ("Vitest", "testing", "https://vitest.dev/guide/", "tests,mocks"), ("Pytest", "testing", "https://docs.pytest.org/", "tests,fixtures"), ("ESLint", "testing", "https://eslint.org/docs/latest/", "static analysis"),
+)
+#: Other names under which resources are known.
+RESOURCE_ALIASES = {
+    "React": ("react.js", "reactjs"), "Vue.js": ("vue", "vuejs"), "Next.js": ("next", "nextjs"), "Node.js": ("node", "nodejs"), "Express.js": ("express", "expressjs"), "MongoDB": ("mongo",), "PostgreSQL": ("postgres", "pg"), "JavaScript": ("js", "es6"),
+    "TypeScript": ("ts",), "Python": ("py",), "Go": ("golang",), "Tailwind CSS": ("tailwind", "tailwindcss"), "JWT": ("jsonwebtoken", "json web token"), "Passport.js": ("passport",), "Kubernetes": ("k8s",), "Spring Boot": ("spring",), "REST API": ("rest",),
+}
+
+
+def catalogue_rows(spark, rows=CATALOGUE) -> DataFrame:
+    return spark.createDataFrame([(n, c, u, k.split(",")) for n, c, u, k in rows], "name string, category string, url string, concepts array<string>")
+
+
+def resource_alias_rows(spark, aliases=RESOURCE_ALIASES) -> DataFrame:
+    return spark.createDataFrame([(a, n) for n, others in aliases.items() for a in others], "alias string, name string")
+
+
+def shuffled(questions: DataFrame, key: str = "project_id", seed: int = 42) -> DataFrame:
+    """questions with place, their order in a pool that is mixed by a seed: by a hash of seed and question, the same at every run."""
+    mixed = F.xxhash64(F.lit(seed), F.col("question"))
+    return questions.withColumn("place", F.row_number().over(Window.partitionBy(key, "category").orderBy(mixed, "question")))
+
+
 def question_rows(spark, questions=QUESTIONS, tech=TECH_QUESTIONS, fallback=FALLBACK) -> DataFrame:
     rows = [(c, d, q, k.split(","), None, CATEGORIES.index(c), i, False) for i, (c, d, q, k) in enumerate(questions)]
     rows += [("tech-stack", d, q, k.split(","), t, len(CATEGORIES), i, False) for i, (t, d, q, k) in enumerate(tech)]

@@ -22,6 +22,7 @@ FIELDS = [x.split()[0] for x in ROWS.split(", ")]
 
 _ID = r"[A-Za-z_$][\w$]*"
 JAVASCRIPT = [
+    ("symbol", "generator", rf"^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?P<async>async\s+)?function\s*\*\s*(?P<name>{_ID})\s*\((?P<params>[^)]*)\)"),
     ("symbol", "function", rf"^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?P<async>async\s+)?function\s*\*?\s*(?P<name>{_ID})\s*\((?P<params>[^)]*)\)"),
     ("symbol", "arrow_function", rf"^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?:const|let|var)\s+(?P<name>{_ID})\s*=\s*(?P<async>async\s*)?(?:\((?P<params>[^)]*)\)|{_ID})\s*=>"),
     ("symbol", "class", rf"^[ \t]*(?P<export>export\s+(?:default\s+)?)?class\s+(?P<name>{_ID})(?:\s+extends\s+(?P<extends>[\w.$]+))?"),
@@ -43,6 +44,8 @@ JAVA = [
     ("symbol", "interface", r"^[ \t]*(?P<export>public\s+)?interface\s+(?P<name>\w+)(?:\s+extends\s+(?P<extends>\w+))?"),
     ("symbol", "method", r"^[ \t]*(?P<export>public\s+)?(?:(?:private|protected|static|abstract|final|synchronized)\s+)*(?!return\b|new\b|else\b)[\w<>\[\], ?]+\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?:throws\s+[\w, .]+)?\s*\{"),
     ("import", "import", r"^[ \t]*import\s+(?:static\s+)?(?P<source>[\w.*]+)\s*;"),
+    ("annotation", "annotation", r"^[ \t]*@(?P<name>\w+)(?:\s*\((?P<detail>[^)\n]*)\))?"),
+    ("field", "field", r"^[ \t]+(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\], ?]+?\s+(?P<name>\w+)\s*(?:=[^;]*)?;"),
 ]
 CPP = [
     ("symbol", "class", r"^[ \t]*(?:class|struct)\s+(?P<name>\w+)(?:\s*:\s*(?:public|protected|private)\s+(?P<extends>\w+))?\s*\{"),
@@ -118,9 +121,11 @@ def python_rows(content: str) -> list[tuple]:
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             args = [a.arg for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]]
+            out += [("decorator", "decorator", ast.unparse(d.func if isinstance(d, ast.Call) else d), d.lineno, None, None, None, None, None, None, ", ".join(map(ast.unparse, d.args)) if isinstance(d, ast.Call) else None) for d in node.decorator_list]
             out.append(("symbol", "method" if id(node) in inside else "function", node.name, node.lineno, None, None, inside.get(id(node)), args, isinstance(node, ast.AsyncFunctionDef), not node.name.startswith("_"), None))
         elif isinstance(node, ast.ClassDef):
             out.append(("symbol", "class", node.name, node.lineno, None, None, ", ".join(map(ast.unparse, node.bases)) or None, None, False, not node.name.startswith("_"), None))
+            out += [("field", "field", t.id, f.lineno, None, None, node.name, None, None, None, None) for f in node.body for t in (f.targets if isinstance(f, ast.Assign) else [f.target] if isinstance(f, ast.AnnAssign) else []) if isinstance(t, ast.Name)]
         elif isinstance(node, ast.ImportFrom):
             out.append(("import", "from_import", None, node.lineno, "." * node.level + (node.module or ""), [a.name for a in node.names], None, None, None, None, None))
         elif isinstance(node, ast.Import):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.operators import answers, reports
+from codeloom.operators import answers, knowledge, reports
 from codeloom.plans import sources
 from codeloom.plans.registry import ORACLES, query
-from codeloom.plans.synthetic import D, source_files
+from codeloom.plans.synthetic import D, source_files, values
 
 _SUMMARY = "case " + " ".join(f"when regexp_matches(file_path, '{pattern}') then '{name}'" for name, pattern in X.SUMMARY_LAYERS) + " end"
 _KINDS = "kinds as (select project_id, kind, count(*) as n, string_agg(name, ', ' order by file_path, line, name) filter (where p <= 20) as names, string_agg(name, ', ' order by file_path, line, name) filter (where p <= 5) as five from (select *, row_number() over (partition by project_id, kind order by file_path, line, name) as p from sym) group by 1, 2)"
@@ -82,3 +82,43 @@ def prompt_budgets(spark, sf_dir):
     chunks = e.join(read("documents"), F.col("doc_id") == F.col("vec_id")).select(F.col("vec_id").alias("id"), F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.lit("Markdown").alias("language"), F.col("text").alias("content"), F.col("embedding").alias("vector"))
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("What is close to "), F.col("vec_id").cast("string"), F.lit("?")).alias("question"), F.col("embedding").alias("query_vector"))
     return answers.ask(asked, chunks).where("sources is not null").select("query_id", "chunk_tokens")
+
+
+_CATALOGUE = values([(n, c, u, len(k.split(","))) for n, c, u, k in knowledge.CATALOGUE], "cname, category, url, n_concepts", "cat")
+_ALIASES = values([(a, n) for n, o in knowledge.RESOURCE_ALIASES.items() for a in o], "alias, aname", "al")
+
+
+@query("learning_resources", sources.ctes(D, sources.IMP, sources.TECH, sources.STACK) + f"""select distinct project_id, coalesce(cname, aname, r2.name) as name, cat.category, url, cast(n_concepts as int) as n_concepts
+ from r2 left join {_ALIASES} on alias = lower(r2.name) left join {_CATALOGUE} on lower(cname) = lower(coalesce(aname, r2.name))""")
+def learning_resources(spark, sf_dir):
+    got = knowledge.learning_resources(sources._tech(spark, sf_dir)[1].select("project_id", "name"), knowledge.catalogue_rows(spark), knowledge.resource_alias_rows(spark))
+    return got.select("project_id", "name", "category", "url", F.size("concepts").alias("n_concepts")).withColumn("n_concepts", F.when(F.col("n_concepts") >= 0, F.col("n_concepts")))
+
+
+@query("not_collected", sources.ctes(D, sources.IMP, sources.TECH, sources.STACK) + f"select project_id, name from r2 where lower(name) not in (select lower(cname) from {_CATALOGUE} where category = 'frontend')")
+def not_collected(spark, sf_dir):
+    own = sources._tech(spark, sf_dir)[1].select("project_id", "name")
+    known = own.join(F.broadcast(knowledge.catalogue_rows(spark).where("category = 'frontend'").select(F.lower("name").alias("l_"))), F.lower("name") == F.col("l_")).select("project_id", F.upper("name").alias("name"))
+    return knowledge.not_collected(own, known)
+
+
+@query("imported_resources", f"""with w as (select distinct doc_id % 4 as project_id, (list_value('reactjs', 'K8S', 'golang', 'Redis', 'odd thing', 'Postgres'))[1 + doc_id % 6] as said from documents)
+select project_id, coalesce(cname, aname, said) as name, cname is not null as known, url from w left join {_ALIASES} on alias = lower(said) left join {_CATALOGUE} on lower(cname) = lower(coalesce(aname, said))""")
+def imported_resources(spark, sf_dir):
+    """Technologies as people write them, under their canonical names."""
+    said = F.element_at(F.array(*map(F.lit, ("reactjs", "K8S", "golang", "Redis", "odd thing", "Postgres"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 4).alias("project_id"), said.alias("name")).distinct()
+    got = knowledge.learning_resources(d, knowledge.catalogue_rows(spark), knowledge.resource_alias_rows(spark))
+    return got.select("project_id", "name", F.col("url").isNotNull().alias("known"), "url")
+
+
+@query("session_history", """
+with s as (select conv_id, min(turn) as first_turn from conversations where role = 'user' group by 1), m as (select c.* from conversations c join s using (conv_id) qualify row_number() over (partition by c.conv_id order by turn desc) <= 10)
+select conv_id, first_turn, count(*) as n_messages, cast(max(turn) as bigint) as last_turn from m join s using (conv_id) group by 1, 2""")
+def session_history(spark, sf_dir):
+    """Sessions that a user began, with what is left of their messages."""
+    from codeloom.operators import chat
+
+    m = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    s = m.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
+    return chat.session_messages(s, m, ["conv_id"], "turn").groupBy("conv_id", "first_turn").agg(F.count("*").alias("n_messages"), F.max("turn").alias("last_turn"))

@@ -56,13 +56,14 @@ ROUTE = "route as (" + spec_sql(ROUTES, "method, path, line, family", "k, projec
 STRUCTURE = [
     (0, "export", "named", "list{k}", 7, None), (1, "export", "named", "s{k}", 4, None), (2, "export", "named", "M{k}", 7, None), (3, "export", "named", "a{k}", 2, None), (4, "export", "named", "b{k}", 3, None),
     (5, "export", "default", "C{k}", 2, None), (5, "hook", "hook", "useState", 3, None), (5, "hook", "hook", "useEffect", 4, None), (5, "child", "component", "Panel{k}", 5, None),
+    (6, "decorator", "decorator", "app.route", 7, "'/things/{k}'"), (6, "decorator", "decorator", "app.get", 10, "'/ping{k}'"), (7, "annotation", "annotation", "RequestMapping", 4, '"/api{k}"'), (7, "annotation", "annotation", "GetMapping", 6, '"/books"'),
     (12, "at_rule", "at_rule", "media", 1, None), (12, "selector", "selector", "body", 2, None), (12, "selector", "selector", ".card{k}, .tile", 4, None),
     (12, "declaration", "declaration", "color", 2, "black"), (12, "declaration", "declaration", "margin", 5, "0"),
     *((13, "tag", "tag", n, line, None) for n, line in (("html", 2), ("head", 2), ("link", 2), ("script", 2), ("body", 3), ("img", 3), ("p", 3))),
     (151, "export", "named", "authenticate", 6, None), (151, "export", "named", "sign{k}", 10, None),
 ]
 _STR = "tbl, kind, name, line, detail"
-STR = "str as (" + spec_sql(STRUCTURE, _STR, f"project_id, file_path, {_STR}", ("name",)) + ")"
+STR = "str as (" + spec_sql(STRUCTURE, _STR, f"project_id, file_path, {_STR}", ("name", "detail")) + ")"
 
 #: Code lines of each kind (a C++ include and a CSS block comment count as comments).
 LOC = {0: 9, 1: 13, 2: 7, 3: 2, 4: 3, 5: 6, 6: 12, 7: 10, 8: 5, 9: 6, 10: 11, 11: 10, 12: 6, 13: 3, 140: 1, 141: 2, 142: 2, 150: 2, 151: 10, 152: 5}
