@@ -40,7 +40,7 @@ SIZE, PERCENT = 3, 90
 ORDERED, BUCKET, EXTRA = 6_000_000, 300, 2
 #: Bits a candidate class has in the filter of them, and bits of the filter at most (64 MB are broadcast).
 CLASS_BITS, FILTER_BITS = 16, 1 << 29
-TOGETHER = 1_000_000
+TOGETHER = 500_000
 SEEN = 1_000_000
 
 
