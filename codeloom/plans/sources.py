@@ -187,8 +187,8 @@ def project_layer_edges(spark, sf_dir):
 
 
 def _knowledge(spark, sf_dir):
-    files, _, symbols, _, _ = parts(spark, sf_dir)
-    r = resolved(spark, sf_dir)
+    files, _, symbols, imports, _ = parts(spark, sf_dir)
+    r = graph.resolve(imports, files)
     return graph.knowledge_graph(files, symbols, graph.local_edges(r), r.where("to_package is not null").select("project_id", "from_file", "to_package"), detect.routes(files))
 
 
@@ -222,8 +222,8 @@ def knowledge_view(spark, sf_dir):
  n as (select s.project_id, cast(row_number() over (partition by s.project_id order by depth, line) as int) as step, file, name as symbol, kind, line, depth from s join sym on sym.project_id = s.project_id and sym.file_path = file and exported)
  select *, case when depth = 0 then 'request' else 'service' end as phase, symbol || '() - ' || kind || ' in ' || string_split(file, '/')[-1] as description from n""")
 def call_chain(spark, sf_dir):
-    files, _, symbols, _, _ = parts(spark, sf_dir)
-    edges = resolved(spark, sf_dir).select("project_id", "from_file", "to_file", "line")
+    files, _, symbols, imports, _ = parts(spark, sf_dir)
+    edges = graph.resolve(imports, files).select("project_id", "from_file", "to_file", "line")
     return graph.walk(files, symbols, edges, graph.entry_points(files))
 
 
@@ -240,8 +240,8 @@ def reached_files(spark, sf_dir):
  select r.project_id, cast(route_no as int) as route_no, method, path, file, target, name as symbol, sym.line as s_line from r join edge on edge.project_id = r.project_id and source = file
  left join sym on sym.project_id = r.project_id and sym.file_path = target qualify row_number() over (partition by r.project_id, route_no, target order by sym.line) <= 5""")
 def controller_flow(spark, sf_dir):
-    files, _, symbols, _, _ = parts(spark, sf_dir)
-    return graph.controller_flow(detect.routes(files), graph.local_edges(resolved(spark, sf_dir)), symbols)
+    files, _, symbols, imports, _ = parts(spark, sf_dir)
+    return graph.controller_flow(detect.routes(files), graph.local_edges(graph.resolve(imports, files)), symbols)
 
 
 @query("request_flow", ctes(D) + """, s as (select distinct project_id, 0 as stage_no, 'request' as phase, null as file from d union all select distinct project_id, 6, 'response', null from d
@@ -272,7 +272,7 @@ def project_facts(spark, sf_dir):
     t = metrics.totals(files, "project_id").join(metrics.symbol_counts(symbols, "project_id"), "project_id", "left")
     n = files.select("project_id", "file_path").join(symbols.groupBy("project_id", "file_path").agg(F.count("*").alias("n_symbols")), ["project_id", "file_path"], "left").join(
         imports.groupBy("project_id", F.col("from_file").alias("file_path")).agg(F.count("*").alias("n_imports")), ["project_id", "file_path"], "left").na.fill(0)
-    r = resolved(spark, sf_dir)
+    r = graph.resolve(imports, files)
     deps = r.groupBy("project_id").agg(F.count_if(F.col("to_file").isNotNull()).alias("dep_chain_length"))
     cyc = graph.cycles(graph.local_edges(r)).groupBy("project_id").agg(F.count("*").alias("circular_dep_count"))
     rest = files.groupBy("project_id").agg(F.sum(audit.X.count_matches("content", metrics.ERROR_HANDLER)).alias("error_handler_count"))
