@@ -70,12 +70,15 @@ KEY = ["t1_", "t2_"]
 
 
 def positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """KEY, n_ (words of the text) with pos_, h, k_ of every shingle of each text."""
+    """KEY, n_ (words of the text) with pos_, h, k_ of every shingle of each text.
+
+    The number of words is a field of what is exploded: a column beside the explode would keep the array of words on every row.
+    """
     texts = docs.select(*text_keys(F.col("text")), words(F.col("text")).alias("w"))
     made = None
     for k in sizes:
-        hashes = F.transform("w", lambda _, i: shingle(F.col("w"), i, k))  # noqa: B023  expanded at once
-        own = texts.select(*KEY, F.size("w").alias("n_"), F.posexplode(hashes).alias("pos_", "h")).withColumn("k_", F.lit(k))
+        hashes = F.transform("w", lambda _, i: F.struct(shingle(F.col("w"), i, k).alias("h"), F.size("w").alias("n_")))  # noqa: B023  expanded at once
+        own = texts.select(*KEY, F.posexplode(hashes).alias("pos_", "s_")).select(*KEY, "s_.n_", "pos_", "s_.h", F.lit(k).alias("k_"))
         made = own if made is None else made.unionByName(own)
     return made
 
