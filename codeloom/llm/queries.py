@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import decontaminate, jaccard, language, language_model, mtree, packing, quality, sharding, toxicity, warc
+from codeloom.llm import centroids, decontaminate, jaccard, language, language_model, mtree, packing, quality, sharding, spelling, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_centroids": centroids.op12_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +25,6 @@ ORACLES: dict[str, str] = {
     "op5_sharding": sharding.ORACLE,
     "op7_topk": mtree.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op11_spelling": spelling.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 }
