@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import centroids, decontaminate, jaccard, language, language_model, mtree, packing, quality, sharding, spelling, toxicity, warc
+from codeloom.llm import centroids, decontaminate, extraction, jaccard, language, language_model, mtree, packing, quality, sharding, spelling, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_spelling": spelling.op11_spelling,
     "op12_centroids": centroids.op12_centroids,
+    "op13_html_extraction": extraction.op13_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
