@@ -8,8 +8,9 @@ prefix agree on is left. These candidates, numbers alone, are gathered by text (
 theirs), meet their text once, and the words at each are compared with the window's own inside that one row. No row of
 a position carries the text, so work and memory grow in proportion to the text's length.
 
-The benchmark's shingles and windows, and the candidates, are broadcast up to ``BROADCAST_BYTES``, measured first; beyond that the
-joins are by shuffle on hashes (split by AQE where one is hot). Counts are summed per task before their shuffle.
+The benchmark's shingles and windows are broadcast up to ``BROADCAST_BYTES``, measured first; beyond that the joins are by shuffle on
+hashes (split by AQE where one is hot). A bitmap of the texts that have candidates, of at most 16 MiB, is broadcast: only those texts are
+shuffled, copies as one, to meet their candidates. Counts are summed per task before their shuffle.
 
 Defined results: a null text has no words; an item without words or with a null id has no window; equal windows of several
 items count for each; rows that repeat a doc_id are judged each by its own text, also by ``clean``; a null doc_id keeps its row;
@@ -28,6 +29,8 @@ WINDOW, SHINGLE = 13, 3
 PREFIX = 2
 #: Bytes of a table that is broadcast, at most, as text.
 BROADCAST_BYTES = 16 << 20
+#: Bits of the bitmap of texts with candidates, at most (16 MiB), and of one of its rows.
+MARK_BITS, MARK_BLOCK = 1 << 27, 1 << 15
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -89,6 +92,18 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def marked(texts: DataFrame, keys: DataFrame, most: int = MARK_BITS) -> DataFrame:
+    """The rows of texts whose key may be one of keys: a bitmap of key hashes, 16 bits a key and ``most`` at most, is broadcast, so that
+    texts without a candidate stay where they were read. What the bitmap lets through by chance goes in the join that follows."""
+    bits = min(most, max(MARK_BLOCK, 1 << (16 * keys.count() - 1).bit_length()))
+    at = lambda: F.pmod(F.col("t1_"), F.lit(bits))
+    maps = keys.select(at().alias("b_")).groupBy((F.col("b_") / MARK_BLOCK).cast("long").alias("block_")).agg(F.bitmap_construct_agg(F.col("b_") % MARK_BLOCK).alias("map_"))
+    own = texts.withColumn("b_", at() % MARK_BLOCK).withColumn("block_", ((at() - F.col("b_")) / MARK_BLOCK).cast("long"))
+    byte = F.conv(F.hex(F.substr("map_", (F.col("b_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftleft(1, cast(b_ % 8 as int))")
+    return own.join(F.broadcast(maps), "block_").where(byte.bitwiseAND(bit) != 0).select(*texts.columns)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, size: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(occurrences: KEY, found (array of start_, len_, window_id) of every text with any; membership: window_id, item_id), both saved."""
     owned = saved(windows(benchmark, window), "item-windows")
@@ -107,14 +122,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, size: int
             .groupBy(*KEY, "window_id", "all_", start.alias("start_")).agg(F.bit_or("bit_").alias("bits_")).where("bits_ = all_")
             .groupBy(*KEY, "window_id").agg(F.collect_list("start_").alias("starts")))
     asked = saved(near.join(small(win, broadcast_bytes), "window_id").groupBy(*KEY).agg(F.collect_list(F.struct("window_id", "window", "len_", "starts")).alias("asked")), "candidates")
-    texts = docs.select(*text_keys(F.col("text")), "text").join(small(asked, broadcast_bytes), KEY).select(*KEY, words(F.col("text")).alias("w"), "asked")
+    few = marked(docs.select(*text_keys(F.col("text")), "text"), asked).groupBy(*KEY).agg(F.first("text").alias("text"))
+    texts = few.join(asked, KEY).select(*KEY, words(F.col("text")).alias("w"), "asked")
 
     def same(x):
         got = F.filter(x["starts"], lambda s: F.slice(F.col("w"), s + 1, x["len_"]) == x["window"])
         return F.transform(got, lambda s: F.struct(s.alias("start_"), x["len_"].alias("len_"), x["window_id"].alias("window_id")))
 
     found = texts.select(*KEY, F.flatten(F.transform("asked", same)).alias("found")).where(F.size("found") > 0)
-    return saved(found.groupBy(*KEY).agg(F.first("found").alias("found")), "hits"), member
+    return saved(found, "hits"), member
 
 
 def covered(found) -> object:
