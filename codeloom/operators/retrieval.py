@@ -1,7 +1,8 @@
 """Vector retrieval: exact k nearest by cosine, per-file ranking, cells of an inverted index, re-ranking, caches.
 
-A stated set of queries meets all chunks in blocks: at most ``QUERY_ROWS`` queries are sent to the tasks at once, a task multiplies them with
-one Arrow batch of chunks and keeps what the operator asks for (the k best, the best of a label, counts), so no row is made for a pair.
+A stated set of queries meets all chunks in blocks: queries are written to the shared folder, ``QUERY_ROWS`` a file at most, a task reads one file after
+another, multiplies it with ``CHUNK_ROWS`` chunks and keeps what the operator asks for (the k best, the best of a label, counts). No row is made for
+a pair, and neither the driver nor a task ever holds more than a block of queries.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.vectors import doubles
+from codeloom.session import stored
 
-#: Query rows that one block holds, about, and that may be broadcast.
-QUERY_ROWS = 4_096
+#: Query rows that one block holds, about, and chunks that meet a block at once.
+QUERY_ROWS, CHUNK_ROWS = 4_096, 16_384
 
 
 def unit(vectors: list, width: int) -> np.ndarray:
@@ -31,27 +33,46 @@ def unit(vectors: list, width: int) -> np.ndarray:
     return out
 
 
+def gathered(batches: Iterator[pd.DataFrame], rows: int = CHUNK_ROWS) -> Iterator[pd.DataFrame]:
+    """Batches put together until they have ``rows`` rows, so that blocks are read once for many chunks."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def read_block(uri: str) -> pd.DataFrame:
+    """One file of the shared folder, by whatever store its scheme names."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return pq.read_table(path, filesystem=store, columns=["query_id", "query_vector"]).to_pandas()
+
+
 def in_blocks(chunks: DataFrame, queries: DataFrame, keep: Callable[[np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """chunks (vector and others) against queries (query_id, query_vector): what keep(query ids, cosines by query and chunk, chunks) gives for each
-    batch of chunks and block of queries. Blocks are read one after another from a written table, never all at once."""
-    spark = queries.sparkSession
-    own = queries.select("query_id", "query_vector").where("query_vector is not null and size(query_vector) > 0").withColumn("block_", F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 30))))
-    n = own.count()
-    blocks = max(1, -(-2 * n // query_rows)) if n > query_rows else 1
-    out = None
-    for k in range(blocks):
-        block = own.where(F.floor(F.col("block_") * blocks / F.lit(1 << 30)) == k).select("query_id", "query_vector").toArrow().to_pandas()
-        by_width = {int(w): (g.query_id.to_numpy(), unit(g.query_vector.tolist(), int(w))) for w, g in block.groupby(block.query_vector.map(len))}
-        sent = spark.sparkContext.broadcast(by_width)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for width, (ids, q) in sent.value.items():
-                    yield keep(ids, q @ unit(batch.vector.tolist(), width).T, batch)
-
-        part = chunks.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """chunks (vector and others) against queries (query_id, query_vector): what keep(query ids, cosines by query and chunk, chunks) gives for some thousand
+    chunks and a block of queries. The driver sees the names of the files only."""
+    own = stored(queries.select("query_id", "query_vector").where("query_vector is not null and size(query_vector) > 0"), "queries")
+    parts = max(1, -(-own.count() // query_rows))
+    files = stored(own.repartition(parts) if parts > 1 else own.coalesce(1), "query-blocks").inputFiles()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, pd.DataFrame] = {}
+        for batch in gathered(batches):
+            for file in files:
+                if file not in last:
+                    last = {file: read_block(file)}
+                block = last[file]
+                for width, g in block.groupby(block.query_vector.map(len)):
+                    yield keep(g.query_id.to_numpy(), unit(g.query_vector.tolist(), int(width)) @ unit(batch.vector.tolist(), int(width)).T, batch)
+
+    return chunks.mapInPandas(run, schema)
 
 
 def scored(chunks: DataFrame, queries: DataFrame, query_rows: int = QUERY_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.functions.vectors import cosine, fit_length
-from codeloom.operators import chat, graph, metrics, relational, retrieval, views
+from codeloom.operators import chat, graph, index, metrics, relational, retrieval, views
 from codeloom.plans.registry import query
 
 
@@ -214,6 +214,20 @@ def topk_similar(spark, sf_dir):
     return retrieval.nearest(*_search(spark, sf_dir), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("ivf_search")
+def ivf_search(spark, sf_dir):
+    """Learned cells in three sub-indexes; a vector's label stands for the language of its chunk. Recall is measured by a test."""
+    chunks, queries = _search(spark, sf_dir)
+    language = F.element_at(F.array(F.lit("JavaScript"), F.lit("Markdown"), F.lit("YAML")), (F.pmod("label", F.lit(3)) + 1).cast("int"))
+    return index.ivf_search(chunks.withColumn("kind", retrieval.sub_index(language)), queries).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("hash_search")
+def hash_search(spark, sf_dir):
+    """Hash tables of random hyperplanes with several probes each. Recall is measured by a test."""
+    return index.hash_search(*_search(spark, sf_dir)).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("topk_per_label", _COS + """
 select query_id, label, id, round(score, 6) as score from (select *, row_number() over (partition by query_id, label order by score desc, id) as rn from s) where rn = 1""")
 def topk_per_label(spark, sf_dir):
