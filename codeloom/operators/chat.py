@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.operators.prefixes import prefix_sums
 
 #: Messages of history, messages of a session, sessions of a project, earlier user turns in a rewritten question.
 HISTORY, MESSAGES, SESSIONS, TURNS = 10, 50, 20, 3
@@ -47,12 +48,13 @@ def history_budget(messages: DataFrame, session: str, order: str, role: str = "r
 
 
 def pack_chunks(chunks: DataFrame, key: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """Chunks in order while they fit; the first that does not comes truncated to the tokens left, all later ones are dropped."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = chunks.withColumn("running", F.sum(tokens).over(w)).withColumn("before_", F.col("running") - F.col(tokens))
-    over = F.count_if(F.col("running") > budget).over(w)
-    kept = total.withColumn("n_over_", over).where((F.col("n_over_") == 0) | ((F.col("n_over_") == 1) & (F.col("running") > budget)))
-    return kept.withColumn("truncated", F.col("running") > budget).withColumn("tokens_used", F.when(F.col("truncated"), F.lit(budget) - F.col("before_")).otherwise(F.col(tokens))).drop("before_", "n_over_")
+    """Chunks in order while they fit; the first that does not comes truncated to the tokens left, all later ones are dropped.
+
+    What stands in front of a chunk decides alone, and its sum is made of blocks of a key, so a key of any size is spread over tasks.
+    """
+    total = prefix_sums(chunks, key, order, {"before_": F.col(tokens)}).where(F.col("before_") <= budget).withColumn("running", F.col("before_") + F.col(tokens))
+    over = F.col("running") > budget
+    return total.withColumn("truncated", over).withColumn("tokens_used", F.when(over, F.lit(budget) - F.col("before_")).otherwise(F.col(tokens))).drop("before_")
 
 
 def token_stream(tokens: DataFrame, keys: list[str], order: str, token: str, between: str = "") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.session import cut
+from codeloom.session import cut, stored
 
 #: Extensions tried for an import, in order, first on the path itself and then on its index file.
 EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".py", ".java", ".cpp", ".c", ".h")
@@ -77,6 +77,76 @@ def cycles(edges: DataFrame, key: str = "project_id") -> DataFrame:
     return edges.select(key, "source", "target").groupBy(key).applyInPandas(walk, f"{key} {kind}, cycle array<string>")
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges (a, b) without those that no cycle can take: from a node that nothing leads to, or to one that leads nowhere."""
+    n = edges.count()
+    while n:
+        edges = cut(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        left = edges.count()
+        if left == n:
+            break
+        n = left
+    return edges
+
+
+def coloured(edges: DataFrame) -> DataFrame:
+    """node, colour of every end of edges (a, b): the largest node that leads to it, itself included."""
+    colour = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("colour", F.col("node")))
+    while True:
+        best = edges.join(colour, edges["a"] == colour["node"]).groupBy("b").agg(F.max("colour").alias("most"))
+        colour = cut(colour.join(best, colour["node"] == best["b"], "left").select("node", F.greatest("colour", "most").alias("colour"), (F.col("most") > F.col("colour")).alias("moved")))
+        if colour.where("moved").isEmpty():
+            return colour.select("node", "colour")
+        colour = colour.select("node", "colour")
+
+
+def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """node, component (its smallest node), size of every node that lies on a cycle; edges are of one graph of any size.
+
+    Edges that no cycle can take are trimmed. Every node left takes the largest node that leads to it as its colour (forward); what leads back to that node
+    through nodes of its colour is its component (backward). Components and edges between colours go, and the rest starts again. All
+    steps are joins over edge tables: no node's neighbours and no component are gathered. Rounds follow the longest way inside a component.
+    Null ends are no edges, repeated edges are one, a loop makes a component of one node, no edges give no rows.
+    """
+    all_edges = stored(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct(), "edges")
+    loops = all_edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    left, found = all_edges.where("a <> b"), None
+    while True:
+        left = trimmed(left)
+        if left.isEmpty():
+            break
+        colour = coloured(left)
+        at = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))  # noqa: B023, E731  used at once
+        inside = cut(left.join(at("a"), "a").join(at("b"), "b").where("a_colour = b_colour").select("a", "b", F.col("a_colour").alias("root")))
+        got = front = cut(colour.where("node = colour").select("node", F.col("colour").alias("root")))
+        while True:
+            step = inside.join(front.select(F.col("node").alias("b"), "root"), ["b", "root"]).select(F.col("a").alias("node"), "root").distinct()
+            front = cut(step.join(got, ["node", "root"], "left_anti"))
+            if front.isEmpty():
+                break
+            got = got.unionByName(front)
+        got = cut(got)
+        found = got if found is None else found.unionByName(got)
+        gone = lambda end: got.select(F.col("node").alias(end))  # noqa: B023, E731
+        left = cut(inside.select("a", "b").join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti"))
+    if found is None:
+        return loops.select("node", F.col("root").alias("component"), F.lit(1).cast("long").alias("size"))
+    several = found.groupBy("root").agg(F.count("*").alias("size"), F.min("node").alias("component")).where("size > 1")
+    named = found.join(several, "root").select("node", "component", "size")
+    return named.unionByName(loops.join(named, "node", "left_anti").select("node", F.col("root").alias("component"), F.lit(1).cast("long").alias("size")))
+
+
+def cycles_of_components(edges: DataFrame) -> DataFrame:
+    """component, cycle (array, closed): what ``cycles`` finds inside of each strong component of one graph (source, target), all others being on none.
+
+    A walk in order of name needs one component's edges together; components are independent and spread over tasks.
+    """
+    own = stored(strong_components(edges), "components")
+    at = lambda end: own.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    inside = edges.select("source", "target").distinct().join(at("source"), "source").join(at("target"), "target").where("source_component = target_component")
+    return cycles(inside.select(F.col("source_component").alias("component"), "source", "target"), "component")
+
+
 def canonical_cycle(cycle: str = "cycle"):
     """The cycle as it reads from its smallest member, as text."""
     body = F.slice(F.col(cycle), 1, F.size(cycle) - 1)

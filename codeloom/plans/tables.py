@@ -618,13 +618,23 @@ def cycles(spark, sf_dir):
 
 @query("order_cycles")
 def order_cycles(spark, sf_dir):
-    """Cycles that the back edges of a depth-first walk close; all simple cycles of this graph are too many for recursive SQL."""
+    """Cycles that the back edges of a depth-first walk close inside each strong component; all simple cycles of this graph are too many for recursive SQL."""
     key = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
-    found = graph.cycles(_order_edges(spark, sf_dir).select(F.lit(1).alias("project_id"), key("source").alias("source"), key("target").alias("target")))
+    found = graph.cycles_of_components(_order_edges(spark, sf_dir).select(key("source").alias("source"), key("target").alias("target")))
     found = found.select(graph.canonical_cycle("cycle").alias("cycle")).distinct()
     return found.select(F.array_join(F.transform(F.split("cycle", " > "), lambda x: x.cast("long").cast("string")), " > ").alias("cycle"))
 
 
+@query("order_components", """
+with recursive e as (select distinct o_custkey as s, o_orderkey as t from orders), f as (select * from e where t in (select s from e)),
+r as (select s, t from f union select r.s, f.t from r join f on r.t = f.s),
+c as (select a.s as node, min(a.t) as component from r a join r b on a.s = b.t and a.t = b.s group by a.s)
+select node, component, count(*) over (partition by component) as size from c""")
+def order_components(spark, sf_dir):
+    """Nodes on a cycle of the whole graph of orders, by strong component."""
+    return graph.strong_components(_order_edges(spark, sf_dir))
+
+
 @query("library_rollup", r"""
 with w as (select doc_id, source, lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) as lib from documents)
 select lib, count(*) as usage_count, count(distinct doc_id) as n_files, count(distinct source) as n_specifiers, lib in ('the', 'of') as is_dev from w group by lib""")
