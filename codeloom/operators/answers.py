@@ -14,6 +14,7 @@ from codeloom.operators import chat, retrieval
 
 _FENCE = re.compile(r"```[a-zA-Z]*\s*(.*?)(?:```|\Z)", re.DOTALL)
 _PARTS = re.compile(r'"(?:[^"\\]|\\.)*"|[^"]+')
+_QUOTED = re.compile(r"""\"(?:[^"\\]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^"']+|["']""")
 CLOSERS = {"{": "}", "[": "]"}
 
 
@@ -44,18 +45,19 @@ def balanced(text: str) -> str | None:
 
 
 def repaired(text: str) -> str:
-    """Quotes bare keys and drops commas before a closing bracket, outside of strings."""
+    """Turns single quotes into double ones, quotes bare keys and drops commas before a closing bracket, outside of strings."""
+    double = lambda x: '"' + x[1:-1].replace("\\'", "'").replace('"', '\\"') + '"'
+    text = "".join(double(x) if x[0] == "'" and len(x) > 1 else x for x in (m[0] for m in _QUOTED.finditer(text)))
     parts = [m[0] for m in _PARTS.finditer(text)]
     plain = lambda x: re.sub(r",(\s*[}\]])", r"\1", re.sub(r"([{,]\s*)([A-Za-z_]\w*)(\s*:)", r'\1"\2"\3', x))
     return "".join(x if x.startswith('"') else plain(x) for x in parts)
 
 
 def salvaged(text: str | None) -> str | None:
-    """The JSON of a model's text: fenced or among words, cut off, with bare keys or commas too many; None where there is none."""
+    """The JSON of a model's text: in the first fence that has any, else among words; cut off, with single quotes, bare keys or commas too many; None where there is none."""
     if text is None:
         return None
-    fenced = _FENCE.search(text)
-    for source in ([fenced[1]] if fenced else []) + [text]:
+    for source in [m[1] for m in _FENCE.finditer(text)] + [text]:
         body = balanced(source)
         for made in (source.strip(), body, repaired(body) if body else None):
             try:
@@ -79,16 +81,16 @@ def model_json(rows: DataFrame, text: str) -> DataFrame:
 
 
 #: What the types of a schema are called by the engine.
-TYPES = {"number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "string": "^STRING", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
+TYPES = {"number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "string": "^STRING", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^(OBJECT|VOID)"}
 
 
 def schema_errors(text: Column | str, fields: dict[str, str]) -> Column:
-    """What JSON lacks of required fields (name to type): 'no JSON', or 'name missing' and 'name not type' in order."""
+    """What JSON lacks of required fields (name to type): 'no JSON', or 'name missing' and 'name not type' in order; a null field is there, as an object."""
     v = F.try_parse_json(text)
 
     def error(name: str, kind: str) -> Column:
         field = F.try_variant_get(v, f"$.{name}", "variant")
-        return F.when(field.isNull() | F.is_variant_null(field), f"{name} missing").when(~F.schema_of_variant(field).rlike(TYPES[kind]), f"{name} not {kind}")
+        return F.when(field.isNull(), f"{name} missing").when(~F.schema_of_variant(field).rlike(TYPES[kind]), f"{name} not {kind}")
 
     return F.when(v.isNull(), F.array(F.lit("no JSON"))).otherwise(F.array_compact(F.array(*[error(n, k) for n, k in fields.items()])))
 

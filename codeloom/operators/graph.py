@@ -14,6 +14,9 @@ from codeloom.session import cut, stored
 #: Extensions tried for an import, in order, first on the path itself and then on its index file.
 EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".py", ".java", ".cpp", ".c", ".h")
 
+#: Edges that one task walks, at most.
+WALKED_EDGES = 100_000
+
 
 def resolve(imports: DataFrame, files: DataFrame, key: str = "project_id") -> DataFrame:
     """imports (key, from_file, source, language, line) with kind, to_file (local) and to_package.
@@ -77,10 +80,10 @@ def cycles(edges: DataFrame, key: str = "project_id") -> DataFrame:
     return edges.select(key, "source", "target").groupBy(key).applyInPandas(walk, f"{key} {kind}, cycle array<string>")
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """edges (a, b) without those that no cycle can take: from a node that nothing leads to, or to one that leads nowhere."""
+def trimmed(edges: DataFrame, enough: int = 0) -> DataFrame:
+    """edges (a, b) without those that no cycle can take: from a node that nothing leads to, or to one that leads nowhere; or ``enough`` edges at most."""
     n = edges.count()
-    while n:
+    while n > enough:
         edges = cut(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
         left = edges.count()
         if left == n:
@@ -100,20 +103,66 @@ def coloured(edges: DataFrame) -> DataFrame:
         colour = colour.select("node", "colour")
 
 
-def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+def walked_components(edges: pd.DataFrame) -> pd.DataFrame:
+    """node, root of edges (a, b) in memory: a depth-first walk with low links, without recursion."""
+    out: dict = {}
+    for a, b in zip(edges.a.tolist(), edges.b.tolist(), strict=True):
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    seen, low, held, stack, rows = {}, {}, set(), [], []
+    for start in out:
+        if start in seen:
+            continue
+        work = [(start, iter(out[start]))]
+        seen[start] = low[start] = len(seen)
+        stack.append(start)
+        held.add(start)
+        while work:
+            node, ahead = work[-1]
+            for nxt in ahead:
+                if nxt not in seen:
+                    seen[nxt] = low[nxt] = len(seen)
+                    stack.append(nxt)
+                    held.add(nxt)
+                    work.append((nxt, iter(out[nxt])))
+                    break
+                if nxt in held:
+                    low[node] = min(low[node], seen[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == seen[node]:
+                    while True:
+                        member = stack.pop()
+                        held.discard(member)
+                        rows.append((member, node))
+                        if member == node:
+                            break
+    return pd.DataFrame(rows, columns=["node", "root"])
+
+
+def strong_components(edges: DataFrame, source: str = "source", target: str = "target", walked: int = WALKED_EDGES) -> DataFrame:
     """node, component (its smallest node), size of every node that lies on a cycle; edges are of one graph of any size.
 
     Edges that no cycle can take are trimmed. Every node left takes the largest node that leads to it as its colour (forward); what leads back to that node
     through nodes of its colour is its component (backward). Components and edges between colours go, and the rest starts again. All
-    steps are joins over edge tables: no node's neighbours and no component are gathered. Rounds follow the longest way inside a component.
+    steps are joins over edge tables: no node's neighbours and no component are gathered. Rounds follow the longest way inside a component. Once no more
+    than ``walked`` edges are left, one task walks them, which saves the rounds of small rests and gives the same components.
     Null ends are no edges, repeated edges are one, a loop makes a component of one node, no edges give no rows.
     """
     all_edges = stored(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct(), "edges")
     loops = all_edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     left, found = all_edges.where("a <> b"), None
     while True:
-        left = trimmed(left)
-        if left.isEmpty():
+        left = trimmed(left, walked)
+        n = left.count()
+        if n <= walked:
+            if n:
+                kind = left.schema["a"].dataType.simpleString()
+                got = left.withColumn("all_", F.lit(0)).groupBy("all_").applyInPandas(lambda pdf: walked_components(pdf[["a", "b"]]), f"node {kind}, root {kind}")
+                got = stored(got, "walked")
+                found = got if found is None else found.unionByName(got)
             break
         colour = coloured(left)
         at = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))  # noqa: B023, E731  used at once

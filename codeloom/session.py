@@ -68,11 +68,8 @@ def release(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as files in the shared checkpoint folder, without its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df as files in the shared folder, without its lineage; computed once, where a checkpoint of an uncached table would compute it twice."""
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

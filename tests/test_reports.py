@@ -8,7 +8,8 @@ from codeloom.operators.answers import salvaged
 
 @pytest.mark.parametrize(("said", "want"), [
     ("{a: 1,}", '{"a": 1}'), ('```json\n{"a": 1,}\n```', '{"a": 1}'), ('x {"a": [1, 2', '{"a": [1, 2]}'), ("no", None), ('{"t": "a, ]", b: [1,],}', '{"t": "a, ]", "b": [1]}'),
-    ('{"a": "b, }', '{"a": "b, }"}'), (None, None), ('{"a": 1, "b":', '{"a": 1, "b": null}'), ("", None), ("[1, 2] and [3]", "[1, 2]"), ("}{", None),
+    ('{"a": "b, }', '{"a": "b, }"}'), (None, None), ('{"a": 1, "b":', '{"a": 1, "b": null}'), ("", None), ("[1, 2] and [3]", "[1, 2]"), ("}{", "{}"),
+    ("{'a': 1, 'b': 'it\\'s \"x\"'}", '{"a": 1, "b": "it\'s \\"x\\""}'), ('{"a": "it\'s"}', '{"a": "it\'s"}'), ("code ```js\nlet x = 1;\n``` then ```json\n{a: 2}\n```", '{"a": 2}'), ("```\nno\n``` [1,]", "[1]"),
 ])
 def test_salvage(said, want):
     assert salvaged(said) == want
@@ -17,7 +18,7 @@ def test_salvage(said, want):
 def test_schema_errors(spark):
     rows = spark.createDataFrame([('{"a": 1, "b": [2]}',), ('{"a": "1"}',), ('{"a": null, "b": {}}',), ("x",), (None,)], "j string")
     got = [list(r.e) for r in rows.select(answers.schema_errors("j", {"a": "number", "b": "array"}).alias("e")).collect()]
-    assert got == [[], ["a not number", "b missing"], ["a missing", "b not array"], ["no JSON"], ["no JSON"]]
+    assert got == [[], ["a not number", "b missing"], ["a not number", "b not array"], ["no JSON"], ["no JSON"]]
 
 
 def test_questions_are_answered_from_the_nearest_chunks(spark):

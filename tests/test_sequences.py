@@ -74,12 +74,12 @@ def brute_components(edges):
     return {n: (min(m | {n}), len(m | {n})) for n, m in own.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_strong_components(spark, seed):
+@pytest.mark.parametrize(("seed", "walked"), [(1, 0), (2, 0), (1, 20), (2, 10_000), (3, 10_000)])
+def test_strong_components(spark, seed, walked):
     rng = random.Random(seed)
     edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(55)] + [(100, 101), (101, 102), (102, 100), (102, 103), (200, 200)]
     df = spark.createDataFrame([*edges, (None, 3), (3, None), (100, 101)], "source long, target long")
-    assert {r.node: (r.component, r.size) for r in graph.strong_components(df).collect()} == brute_components(edges)
+    assert {r.node: (r.component, r.size) for r in graph.strong_components(df, walked=walked).collect()} == brute_components(edges)
 
 
 def test_no_cycles_and_loops(spark):
