@@ -3,7 +3,7 @@
 Both place every vector under codes and let a query probe some of them; ``probe`` does the search. Codes are dealt to slots, a slot's rows are
 split into parts of ``PART_ROWS`` and its queries into parts of ``PART_QUERIES``, and every pair of parts is one small group: rows are copied to each part of
 the other side, so a crowded code is spread over tasks and never gathered. Inside a group each code's rows are multiplied with its queries and only
-the k best of a query are kept; a vector found under several codes counts once. Scores are exact cosines.
+the k best of a query in the group are kept; a vector found under several codes counts once. Scores are exact cosines.
 
 Defined results: null, empty, zero and non-finite vectors, and those of another width than ``width``, are not found and find nothing; a query never
 finds its own id; ties go to the smaller id; rows that repeat an id count as one hit; an empty table gives no rows; other columns are ignored.
@@ -24,8 +24,8 @@ from codeloom.session import stored
 
 #: Rows of vectors and of queries in one group, about.
 PART_ROWS, PART_QUERIES = 4_096, 2_048
-#: Codes of one slot.
-SLOT = 64
+#: Slots that codes are dealt to: a query leaves its k best in each, so their number does not grow with the codes.
+SLOTS = 16
 #: Vectors that cells are learned from, at most; cells of a sub-index, at most; nearest cells that keep a vector; rounds of learning.
 SAMPLE, MOST_CELLS, COPIES, ROUNDS = 20_000, 4_096, 4, 8
 #: Hash tables, hyperplanes of each, and buckets that a query probes in each, the likeliest first.
@@ -68,7 +68,10 @@ def probe(placed: DataFrame, asked: DataFrame, k: int, threshold: float, rows: i
                     r = np.repeat(np.arange(len(of)), order.shape[1]), order.ravel()
                     ok = np.isfinite(s[r])
                     found.append(pd.DataFrame({"query_id": asks[of][r[0][ok]], "id": own[at][r[1][ok]], "score": s[r][ok]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        if not found:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        best = pd.concat(found).drop_duplicates(["query_id", "id"]).sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
+        return best.groupby("query_id").head(k)
 
     key = ["slot_", "part_", "query_part_"]
     hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query_id long, id long, score double")
@@ -139,15 +142,15 @@ def ivf_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: flo
                 code = first[kind] + (np.argpartition(-(q @ c.T), probes - 1, axis=1)[:, :probes] if probes < len(c) else np.broadcast_to(np.arange(len(c)), (len(q), len(c))))
                 yield pd.DataFrame({"codes_": list(code), "query_id": batch.query_id, "query_vector": list(q)})
 
-    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(F.floor(F.col("code_") / SLOT).alias("slot_"), "code_", "id", "vector")
+    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(F.pmod("code_", F.lit(SLOTS)).alias("slot_"), "code_", "id", "vector")
     return probe(placed, _dealt(valid(queries, "query_vector", width), ask), k, threshold)
 
 
 def _dealt(queries: DataFrame, ask) -> DataFrame:
     """Rows of probed codes (codes_, query_id, query_vector), one for every slot that they lie in."""
     rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector")).mapInPandas(ask, "codes_ array<long>, query_id long, query_vector array<double>")
-    each = rows.withColumn("slot_", F.explode(F.array_distinct(F.transform("codes_", lambda c: F.floor(c / SLOT)))))
-    return each.select("slot_", F.expr(f"filter(codes_, c -> floor(c / {SLOT}) = slot_)").alias("codes_"), "query_id", "query_vector")
+    each = rows.withColumn("slot_", F.explode(F.array_distinct(F.transform("codes_", lambda c: F.pmod(c, F.lit(SLOTS))))))
+    return each.select("slot_", F.expr(f"filter(codes_, c -> pmod(c, {SLOTS}) = slot_)").alias("codes_"), "query_id", "query_vector")
 
 
 def planes(width: int, tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -192,5 +195,5 @@ def hash_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: fl
                 yield pd.DataFrame({"codes_": list((t << bits) + code), "query_id": batch.query_id, "query_vector": list(q)})
 
     own = valid(chunks, "vector", width).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(F.floor(F.col("code_") / SLOT).alias("slot_"), "code_", "id", "vector")
+    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(F.pmod("code_", F.lit(SLOTS)).alias("slot_"), "code_", "id", "vector")
     return probe(placed, _dealt(valid(queries, "query_vector", width), ask), k, threshold)
