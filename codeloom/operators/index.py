@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.retrieval import ivf_shape, top_k, unit
@@ -24,8 +24,8 @@ from codeloom.session import stored
 
 #: Rows of vectors and of queries in one group, about.
 PART_ROWS, PART_QUERIES = 4_096, 2_048
-#: Slots that codes are dealt to: a query leaves its k best in each, so their number does not grow with the codes.
-SLOTS = 16
+#: Slots that cells are dealt to: a query leaves its k best in each, so their number does not grow with the cells. Buckets of a hash table that make a slot.
+SLOTS, BUCKETS = 16, 64
 #: Vectors that cells are learned from, at most; cells of a sub-index, at most; nearest cells that keep a vector; rounds of learning.
 SAMPLE, MOST_CELLS, COPIES, ROUNDS = 20_000, 4_096, 4, 8
 #: Hash tables, hyperplanes of each, and buckets that a query probes in each, the likeliest first.
@@ -142,15 +142,24 @@ def ivf_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: flo
                 code = first[kind] + (np.argpartition(-(q @ c.T), probes - 1, axis=1)[:, :probes] if probes < len(c) else np.broadcast_to(np.arange(len(c)), (len(q), len(c))))
                 yield pd.DataFrame({"codes_": list(code), "query_id": batch.query_id, "query_vector": list(q)})
 
-    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(F.pmod("code_", F.lit(SLOTS)).alias("slot_"), "code_", "id", "vector")
-    return probe(placed, _dealt(valid(queries, "query_vector", width), ask), k, threshold)
+    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(by_cell(F.col("code_")).alias("slot_"), "code_", "id", "vector")
+    return probe(placed, _dealt(valid(queries, "query_vector", width), ask, by_cell), k, threshold)
 
 
-def _dealt(queries: DataFrame, ask) -> DataFrame:
+def by_cell(code: Column) -> Column:
+    return F.pmod(code, F.lit(SLOTS))
+
+
+def by_table(code: Column) -> Column:
+    """A slot has buckets of one table only, as a query probes every table."""
+    return F.floor(code / BUCKETS)
+
+
+def _dealt(queries: DataFrame, ask, slot) -> DataFrame:
     """Rows of probed codes (codes_, query_id, query_vector), one for every slot that they lie in."""
     rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector")).mapInPandas(ask, "codes_ array<long>, query_id long, query_vector array<double>")
-    each = rows.withColumn("slot_", F.explode(F.array_distinct(F.transform("codes_", lambda c: F.pmod(c, F.lit(SLOTS))))))
-    return each.select("slot_", F.expr(f"filter(codes_, c -> pmod(c, {SLOTS}) = slot_)").alias("codes_"), "query_id", "query_vector")
+    each = rows.withColumn("slot_", F.explode(F.array_distinct(F.transform("codes_", slot))))
+    return each.select("slot_", F.filter("codes_", lambda c: slot(c) == F.col("slot_")).alias("codes_"), "query_id", "query_vector")
 
 
 def planes(width: int, tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -195,5 +204,5 @@ def hash_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: fl
                 yield pd.DataFrame({"codes_": list((t << bits) + code), "query_id": batch.query_id, "query_vector": list(q)})
 
     own = valid(chunks, "vector", width).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(F.pmod("code_", F.lit(SLOTS)).alias("slot_"), "code_", "id", "vector")
-    return probe(placed, _dealt(valid(queries, "query_vector", width), ask), k, threshold)
+    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(by_table(F.col("code_")).alias("slot_"), "code_", "id", "vector")
+    return probe(placed, _dealt(valid(queries, "query_vector", width), ask, by_table), k, threshold)
