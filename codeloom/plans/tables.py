@@ -451,6 +451,19 @@ def event_stream_frames(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", frames(F.struct(F.col("event_type").alias("phase"), "user_id")).alias("frame"))
 
 
+@query("chunked_events", """
+select user_id, 2 * (row_number() over (partition by user_id order by event_id) - 1) as line, event_type as phase from events""")
+def chunked_events(spark, sf_dir):
+    """Every user's events as a stream of frames, cut anywhere, put together again and read."""
+    from codeloom.streaming.progress import frames, lines
+
+    text = t(spark, sf_dir, "events").select("user_id", "event_id", frames(F.struct(F.col("event_type").alias("phase"), "user_id")).alias("f"))
+    at = (F.col("event_id") * 7 % (F.length("f") + 1)).cast("int")
+    pieces = F.posexplode(F.array(F.substr("f", F.lit(1), at), F.substr("f", at + 1)))
+    chunks = text.select("user_id", "event_id", pieces.alias("i", "chunk")).select("user_id", (F.col("event_id") * 2 + F.col("i")).alias("seq"), "chunk")
+    return views.parse_frames(lines(chunks, "user_id", "seq", "chunk"), "text").select("user_id", "line", F.col("event.phase").alias("phase"))
+
+
 # -- relational shapes -----------------------------------------------------------------------------------------------
 
 @query("paginate", "select o_orderkey, o_custkey, o_totalprice from orders order by o_orderdate desc, o_orderkey limit 50 offset 100")

@@ -129,3 +129,48 @@ def test_limits(spark):
     e = events(spark)
     assert rows(limits.excess(e, "user_id", "ts", "event_id", "15 minutes", 2), "event_id") == {2}
     assert rows(progress.throttled(e, "user_id", ["ts"], 2), "event_id", "n") == {(1, 2), (3, 4), (5, 2)}
+
+
+def test_lines_of_chunks_cut_anywhere(spark, tmp_path):
+    """The same lines however a text is cut, as a table and as a stream that waits for the rest of a line."""
+    import random
+
+    rng = random.Random(4)
+    said = {k: "".join(f"data: {{\"phase\": \"p{i}é\"}}\n\n" for i in range(12)) + "no end" for k in ("a", "b")}
+    chunks = []
+    for k, text in said.items():
+        cuts = sorted({0, len(text), *(rng.randrange(len(text)) for _ in range(30))})
+        chunks += [(k, n, text[i:j]) for n, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))] + [(k, 1_000, None), (k, 1_001, "")]
+    df = spark.createDataFrame(chunks, "k string, seq long, chunk string")
+    want = {(k, i, x) for k, text in said.items() for i, x in enumerate(text.split("\n")[:-1])}
+    assert rows(progress.lines(df, "k", "seq", "chunk"), "k", "line", "text") == want
+    for b in range(3):  # chunks of a key in order over three files
+        own = [c for c in chunks if min(c[1] // 11, 2) == b]
+        spark.createDataFrame(own, df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/chunks")
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/chunks")
+    assert rows(drained(streams.lines(s, "k", "seq", "chunk"), "append"), "k", "line", "text") == want
+    assert progress.lines(df.limit(0), "k", "seq", "chunk").collect() == []
+
+
+def test_cache_stream_equals_batch(spark, tmp_path):
+    """Entries that the stream ends are those that are not live at the watermark, over shuffled and late puts."""
+    import datetime as dt
+    import random
+
+    rng, start = random.Random(6), dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    puts = [(f"k{rng.randrange(40)}", f"v{i}", start + dt.timedelta(seconds=rng.randrange(7_000))) for i in range(200)]
+    puts = sorted(puts, key=lambda p: p[2].timestamp() + rng.randrange(500))  # late by less than the watermark allows
+    schema = "key string, value string, ts timestamp"
+    for n in range(0, 200, 50):
+        spark.createDataFrame(puts[n:n + 50], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/puts")
+    spark.createDataFrame([("end", "x", start + dt.timedelta(seconds=8_000))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/puts")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/puts")
+    got = {(r.key, r.value) for r in drained(streams.expiries(s, "key", "value", "ts", 1_800), "append").collect()}
+    df = spark.createDataFrame(puts, schema)
+    now = F.lit(start + dt.timedelta(seconds=8_000 - 600))
+    live = rows(limits.live(df, "ts", "1800 seconds", now), "key")
+    last = {}
+    for k, v, t in puts:
+        last[k] = max(last.get(k, (t, v)), (t, v))
+    assert {(k, v) for k, (t, v) in last.items() if k not in live} <= got
+    assert {k for k, _ in got} - {k for k in last if k not in live} <= live  # ended once before a later put
