@@ -1,7 +1,10 @@
-"""Structure of source files: tables of patterns by language, read line by line without a grammar.
+"""Structure of source files: tables of patterns by language, read over code without its comments, and scopes by brackets.
 
 Every language is a list of (table, kind, pattern). A pattern's named groups are the fields of a row; its line comes from where it begins. One pass
 over a file gives all of its rows; the tables are then views on them. Python sources go through the standard library's own parser first.
+
+A match that begins inside a string is none. ``owner`` is the class that a method, field or nested class stands in, the component or function that a hook
+or child element stands in; ``implements`` lists a class's interfaces. A file cut anywhere gives the rows of what is there.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.operators import scopes
 from codeloom.operators.chunking import split_depth0
 
-ROWS = "table string, kind string, name string, line int, source string, specifiers array<string>, extends string, params array<string>, is_async boolean, exported boolean, detail string"
+ROWS = "table string, kind string, name string, line int, source string, specifiers array<string>, extends string, params array<string>, is_async boolean, exported boolean, detail string, owner string, implements array<string>"
 FIELDS = [x.split()[0] for x in ROWS.split(", ")]
 
 _ID = r"[A-Za-z_$][\w$]*"
@@ -103,6 +107,12 @@ def patterns(language: str | None) -> list:
     return _COMPILED[key]
 
 
+def family(language: str | None) -> str | None:
+    """The lexer of a language; none where text is read as it is."""
+    lang = (language or "").lower()
+    return lang if lang in scopes.FAMILIES else "javascript" if "javascript" in lang or "typescript" in lang else "c++" if lang in ("c", "c/c++ header") else None
+
+
 def specifiers(what: str | None) -> list[str]:
     """Names that an import clause binds: default, namespace, named (as they are called in their module)."""
     if not what:
@@ -114,6 +124,10 @@ def specifiers(what: str | None) -> list[str]:
     return [x for x in out if x]
 
 
+#: Calls that set up a web framework.
+FRAMEWORKS = ("Flask", "FastAPI", "Django")
+
+
 def python_rows(content: str) -> list[tuple]:
     """Rows from Python's own parser; raises SyntaxError where it cannot read the source."""
     tree, out = ast.parse(content), []
@@ -121,18 +135,75 @@ def python_rows(content: str) -> list[tuple]:
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             args = [a.arg for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]]
-            out += [("decorator", "decorator", ast.unparse(d.func if isinstance(d, ast.Call) else d), d.lineno, None, None, None, None, None, None, ", ".join(map(ast.unparse, d.args)) if isinstance(d, ast.Call) else None) for d in node.decorator_list]
-            out.append(("symbol", "method" if id(node) in inside else "function", node.name, node.lineno, None, None, inside.get(id(node)), args, isinstance(node, ast.AsyncFunctionDef), not node.name.startswith("_"), None))
+            out += [("decorator", "decorator", ast.unparse(d.func if isinstance(d, ast.Call) else d), d.lineno, None, None, None, None, None, None, ", ".join(map(ast.unparse, d.args)) if isinstance(d, ast.Call) else None, inside.get(id(node)), None) for d in node.decorator_list]
+            out.append(("symbol", "method" if id(node) in inside else "function", node.name, node.lineno, None, None, inside.get(id(node)), args, isinstance(node, ast.AsyncFunctionDef), not node.name.startswith("_"), None, inside.get(id(node)), None))
         elif isinstance(node, ast.ClassDef):
-            out.append(("symbol", "class", node.name, node.lineno, None, None, ", ".join(map(ast.unparse, node.bases)) or None, None, False, not node.name.startswith("_"), None))
-            out += [("field", "field", t.id, f.lineno, None, None, node.name, None, None, None, None) for f in node.body for t in (f.targets if isinstance(f, ast.Assign) else [f.target] if isinstance(f, ast.AnnAssign) else []) if isinstance(t, ast.Name)]
+            out.append(("symbol", "class", node.name, node.lineno, None, None, ", ".join(map(ast.unparse, node.bases)) or None, None, False, not node.name.startswith("_"), None, inside.get(id(node)), None))
+            out += [("field", "field", t.id, f.lineno, None, None, node.name, None, None, None, None, node.name, None) for f in node.body for t in (f.targets if isinstance(f, ast.Assign) else [f.target] if isinstance(f, ast.AnnAssign) else []) if isinstance(t, ast.Name)]
         elif isinstance(node, ast.ImportFrom):
-            out.append(("import", "from_import", None, node.lineno, "." * node.level + (node.module or ""), [a.name for a in node.names], None, None, None, None, None))
+            out.append(("import", "from_import", None, node.lineno, "." * node.level + (node.module or ""), [a.name for a in node.names], *[None] * 7))
         elif isinstance(node, ast.Import):
-            out += [("import", "import", None, node.lineno, a.name, [a.name], None, None, None, None, None) for a in node.names]
+            out += [("import", "import", None, node.lineno, a.name, [a.name], *[None] * 7) for a in node.names]
+        elif isinstance(node, ast.Call) and (name := ast.unparse(node.func)) in FRAMEWORKS:
+            out.append(("framework", "web_framework", name, node.lineno, *[None] * 9))
     return sorted(out, key=lambda r: r[3])
 
 
+def parameters(text: str | None, language: str | None) -> list[str] | None:
+    """Names of a parameter list; an empty list is None but in languages that put the type first."""
+    if text is not None and language in ("Java", "C++", "C#", "C"):
+        return [x.split()[-1].lstrip("*&") for x in split_depth0(text)]
+    return [re.split(r"[\s:=]", x.strip())[0] for x in split_depth0(text)] if text else None
+
+
+def owned(rows: list[tuple], code: str, bare: str, kin: str, language: str | None, line_of) -> list[tuple]:
+    """Rows (place first) with owner and implements, and the members of classes that the patterns by line did not see."""
+    closes = scopes.pairs(bare)
+    bodies, classes, named = {}, [], []
+    for place, table, kind, name, *_ in rows:
+        if table != "symbol" or not name or kin == "python" or kind == "type":
+            continue
+        body = scopes.extent(bare, place[1] - (bare[place[1] - 1:place[1]] == "{"), closes, arrow=kind == "arrow_function")
+        if body:
+            bodies[place] = body
+            (classes if kind in ("class", "interface", "trait") else named).append((*body, name))
+    in_class, in_function = scopes.Owners(classes), scopes.Owners(named)
+    out, known = [], {(r[4], r[3]) for r in rows if r[1] in ("symbol", "field")}
+    for place, table, kind, name, line, source, spec, extends, *rest in rows:
+        owner = implements = None
+        if table in ("hook", "child"):
+            owner = in_function.of(place[0])
+        elif kin == "go" and kind == "method":
+            owner = extends
+        elif table == "field" or table == "symbol" and kind in ("method", "class", "function" if kin == "c++" else "class"):
+            owner = in_class.of(place[0])
+        if table == "symbol" and kind in ("class", "interface") and place in bodies:
+            head = re.search(r"\bimplements\s+([\w\s,.<>$\\]+)", bare[place[0]:bodies[place][0]])
+            implements = split_depth0(head[1]) if head else None
+        out.append((place[0], (table, kind, name, line, source, spec, extends, *rest, owner, implements)))
+    for start, end, name in classes if kin in scopes.MEMBERS else []:
+        inside, methods = scopes.hollow(bare, start, closes), []
+        method, field = scopes.MEMBERS[kin]
+        for m in method.finditer(inside):
+            line, own, at = line_of(start + 1 + m.start("name")), m["name"], start + 1 + m.start("at")
+            if (line, own) not in known and own not in NO_METHODS:
+                mods = m["mods"].split()
+                methods.append((start + 1 + m.start(), ("symbol", "function" if kin == "c++" else "method", own, line, None, None, None, parameters(code[at + 1:closes[at]], language), "async" in mods, "public" in mods, None, name, None)))
+                known.add((line, own))
+        for m in field.finditer(inside):
+            line, own = line_of(start + 1 + m.start("name")), m["name"]
+            if (line, own) not in known and own not in NO_METHODS:
+                value = re.match(r"[^;\n]*", code[start + 1 + m.end():])[0].strip()[:50] if m["end"] == "=" else None
+                methods.append((start + 1 + m.start(), ("field", "field", own, line, None, None, None, None, None, None, value, name, None)))
+                known.add((line, own))
+        out += methods
+    return [r for _, r in sorted(out, key=lambda x: x[0])] if len(out) > len(rows) else [r for _, r in out]
+
+
+#: Words before a parenthesis or a line's end that name no member.
+NO_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "else", "do", "try", "get", "set", "static", "async"}
+
+
 def parse(content: str | None, language: str | None, path: str = "") -> list[tuple]:
     """Rows of ROWS for one file; a file of a known language without any row gives an error row."""
     if not content:
@@ -143,36 +214,40 @@ def parse(content: str | None, language: str | None, path: str = "") -> list[tup
             return python_rows(content)
         except (SyntaxError, ValueError):
             pass
+    kin = family(language)
+    code, bare = scopes.layers(content, kin) if kin else (content, content)
     breaks, rows, seen = [m.start() for m in re.finditer("\n", content)], [], set()
     from bisect import bisect_left
 
     for table, kind, pattern in known:
-        for m in pattern.finditer(content):
+        for m in pattern.finditer(code):
             g = m.groupdict()
-            line = bisect_left(breaks, m.start() + len(m[0]) - len(m[0].lstrip())) + 1
+            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            if bare[start:start + 1] == scopes.HOLE:
+                continue
+            line = bisect_left(breaks, start) + 1
             name = g.get("name")
             if table == "symbol":
                 if (line, name) in seen:
                     continue
                 seen.add((line, name))
-            params = [re.split(r"[\s:=]", x.strip())[0] for x in split_depth0(g["params"])] if g.get("params") else None
-            if g.get("params") is not None and (language in ("Java", "C++", "C#", "C")):
-                params = [x.split()[-1].lstrip("*&") for x in split_depth0(g["params"])]
-            rows.append((table, kind, name, line, g.get("source"), specifiers(g.get("what")) if table == "import" else None, g.get("extends"), params, bool(g.get("async")) if table == "symbol" else None, bool(g.get("export")) if table == "symbol" else None, g.get("detail")))
+            params = parameters(g.get("params"), language)
+            rows.append(((start, m.end()), table, kind, name, line, g.get("source"), specifiers(g.get("what")) if table == "import" else None, g.get("extends"), params, bool(g.get("async")) if table == "symbol" else None, bool(g.get("export")) if table == "symbol" else None, g.get("detail")))
+    rows = owned(rows, code, bare, kin, language, lambda at: bisect_left(breaks, at) + 1) if kin else [(*r[1:], None, None) for r in rows]
     if known in (None, []):
         return []
     exports = {r[2] for r in rows if r[0] == "export" and r[2]}
-    listed = {x.strip().split(":")[0].strip() for m in re.finditer(r"(?:module\.exports\s*=|export)\s*\{([^}]*)\}", content) for x in m[1].split(",")}
+    listed = {x.strip().split(":")[0].strip() for m in re.finditer(r"(?:module\.exports\s*=|export)\s*\{([^}]*)\}", code) for x in m[1].split(",")}
     jsx = (language or "").endswith("(React)")
     made = []
     for r in rows:
         if r[0] == "symbol":
-            r = (*r[:9], bool(r[9] or r[2] in exports or r[2] in listed), r[10])
+            r = (*r[:9], bool(r[9] or (r[2] in exports or r[2] in listed) and r[1] != "method"), *r[10:])
             if jsx and r[1] in ("function", "arrow_function") and r[2][:1].isupper():
                 made.append((r[0], "component", *r[2:]))
         made.append(r)
     if not any(r[0] in ("symbol", "import", "tag", "selector") for r in made):
-        made.append(("error", "warning", None, 1, None, None, None, None, None, None, f"nothing found in a file of {language}"))
+        made.append(("error", "warning", None, 1, None, None, None, None, None, None, f"nothing found in a file of {language}", None, None))
     return made
 
 
@@ -189,7 +264,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
-    return parsed.where("table = 'symbol'").select("project_id", "file_path", "language", "name", "kind", "line", "extends", "params", "is_async", "exported")
+    return parsed.where("table = 'symbol'").select("project_id", "file_path", "language", "name", "kind", "line", "extends", "params", "is_async", "exported", "owner", "implements")
 
 
 def imports(parsed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from codeloom.operators import audit, chunking, detect, graph, knowledge, metric
 from codeloom.operators.rules import CATEGORIES, RULES, STACKS
 from codeloom.plans.registry import query
 from codeloom.plans.synthetic import D, literal, source_files, spec_sql, values
+from codeloom.session import stored
 
 # -- what the templates show -----------------------------------------------------------------------------------------
 
@@ -56,7 +57,7 @@ ROUTE = "route as (" + spec_sql(ROUTES, "method, path, line, family", "k, projec
 STRUCTURE = [
     (0, "export", "named", "list{k}", 7, None), (1, "export", "named", "s{k}", 4, None), (2, "export", "named", "M{k}", 7, None), (3, "export", "named", "a{k}", 2, None), (4, "export", "named", "b{k}", 3, None),
     (5, "export", "default", "C{k}", 2, None), (5, "hook", "hook", "useState", 3, None), (5, "hook", "hook", "useEffect", 4, None), (5, "child", "component", "Panel{k}", 5, None),
-    (6, "decorator", "decorator", "app.route", 7, "'/things/{k}'"), (6, "decorator", "decorator", "app.get", 10, "'/ping{k}'"), (7, "annotation", "annotation", "RequestMapping", 4, '"/api{k}"'), (7, "annotation", "annotation", "GetMapping", 6, '"/books"'),
+    (6, "framework", "web_framework", "Flask", 3, None), (6, "decorator", "decorator", "app.route", 7, "'/things/{k}'"), (6, "decorator", "decorator", "app.get", 10, "'/ping{k}'"), (7, "annotation", "annotation", "RequestMapping", 4, '"/api{k}"'), (7, "annotation", "annotation", "GetMapping", 6, '"/books"'),
     (12, "at_rule", "at_rule", "media", 1, None), (12, "selector", "selector", "body", 2, None), (12, "selector", "selector", ".card{k}, .tile", 4, None),
     (12, "declaration", "declaration", "color", 2, "black"), (12, "declaration", "declaration", "margin", 5, "0"),
     *((13, "tag", "tag", n, line, None) for n, line in (("html", 2), ("head", 2), ("link", 2), ("script", 2), ("body", 3), ("img", 3), ("p", 3))),
@@ -77,9 +78,11 @@ def ctes(*names: str) -> str:
     return "with " + ",\n".join(names) + "\n"
 
 
-def parts(spark, sf_dir):
+def parts(spark, sf_dir, once: bool = True):
+    """Files, all rows of the parsers, symbols, imports, configurations; with ``once`` the parsers' rows are a table, however often a query reads them."""
     files = source_files(spark, sf_dir)
     parsed = parsers.parse_files(files)
+    parsed = stored(parsed, "parsed") if once else parsed
     return files, parsed, parsers.symbols(parsed), parsers.imports(parsed), parsers.configs(files)
 
 
@@ -92,17 +95,17 @@ def resolved(spark, sf_dir):
 
 @query("parse_symbols", ctes(D, SYM) + f"select project_id, file_path, language, {_SYM} from sym")
 def parse_symbols(spark, sf_dir):
-    return parts(spark, sf_dir)[2].withColumn("params", F.array_join("params", ","))
+    return parts(spark, sf_dir, once=False)[2].drop("owner", "implements").withColumn("params", F.array_join("params", ","))
 
 
 @query("parse_imports", ctes(D, IMP) + "select project_id, file_path as from_file, language, source, ikind as kind, specifiers, line from imp")
 def parse_imports(spark, sf_dir):
-    return parts(spark, sf_dir)[3].withColumn("specifiers", F.array_join("specifiers", ","))
+    return parts(spark, sf_dir, once=False)[3].withColumn("specifiers", F.array_join("specifiers", ","))
 
 
 @query("source_structure", ctes(D, STR) + 'select project_id, file_path, tbl as "table", kind, name, line, detail from str')
 def source_structure(spark, sf_dir):
-    return parts(spark, sf_dir)[1].where("table not in ('symbol', 'import')").select("project_id", "file_path", "table", "kind", "name", "line", "detail")
+    return parts(spark, sf_dir, once=False)[1].where("table not in ('symbol', 'import')").select("project_id", "file_path", "table", "kind", "name", "line", "detail")
 
 
 _NAMES = lambda table, test: f"coalesce((select string_agg(distinct name, ',' order by name) from {table} x where x.project_id = p.project_id and {test}), '')"
@@ -112,7 +115,7 @@ _NAMES = lambda table, test: f"coalesce((select string_agg(distinct name, ',' or
  {_NAMES('str', "tbl = 'selector'")} as selectors, {_NAMES('str', "tbl = 'at_rule'")} as at_rules, '' as namespaces from (select distinct project_id from (select project_id from str union all select project_id from sym
  union all select project_id from d where c in (1, 2, 3, 4, 6, 7, 8, 9, 10, 11))) p""")
 def parser_rollup(spark, sf_dir):
-    r = parsers.rollup(parts(spark, sf_dir)[1])
+    r = parsers.rollup(parts(spark, sf_dir, once=False)[1])
     return r.select("project_id", *[F.array_join(c, ",").alias(c) for c in r.columns[1:]])
 
 
@@ -121,7 +124,7 @@ _CONFIGS = [(140, "package.json", "express,jsonwebtoken,mongoose,react,react-dom
 
 @query("config_files", ctes(D) + spec_sql(_CONFIGS, "file_type, dependencies, keys, base_image", "project_id, file_path, file_type, dependencies, keys, base_image, cast(null as varchar) as parse_error", ("keys",)))
 def config_files(spark, sf_dir):
-    return parts(spark, sf_dir)[4].select("project_id", "file_path", "file_type", F.array_join(F.array_sort(F.map_keys("dependencies")), ",").alias("dependencies"), F.array_join("keys", ",").alias("keys"), "base_image", "parse_error")
+    return parts(spark, sf_dir, once=False)[4].select("project_id", "file_path", "file_type", F.array_join(F.array_sort(F.map_keys("dependencies")), ",").alias("dependencies"), F.array_join("keys", ",").alias("keys"), "base_image", "parse_error")
 
 
 @query("file_languages", ctes(D) + "select language, count(*) as n_files, count(distinct project_id) as n_projects from d group by language")
@@ -474,7 +477,7 @@ def tech_report(spark, sf_dir):
 
 @query("tech_from_configs", ctes(D) + f"select distinct project_id, name from ({spec_sql([(140, x) for x in ('Express.js', 'Mongoose', 'React', 'Vite')] + [(141, 'Flask'), (141, 'Pandas'), (142, 'Node.js')], 'name', 'project_id, name')})")
 def tech_from_configs(spark, sf_dir):
-    return detect.from_configs(parts(spark, sf_dir)[4])
+    return detect.from_configs(parts(spark, sf_dir, once=False)[4])
 
 
 @query("interview_questions", ctes(D, IMP, TECH, STACK) + f""", q as (select project_id, part, ord, category, difficulty, question, null as technology, fb from (select distinct project_id from r2), {values([(q[0], q[1], q[2], knowledge.CATEGORIES.index(q[0]), i, False) for i, q in enumerate(knowledge.QUESTIONS)] + [(q[0], q[1], q[2], len(knowledge.CATEGORIES) + 1, i, True) for i, q in enumerate(knowledge.FALLBACK)], 'category, difficulty, question, part, ord, fb', 'bank')}
