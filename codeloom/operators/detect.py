@@ -55,16 +55,19 @@ def matched_signals(files: DataFrame, configs: DataFrame, imports: DataFrame, si
     return every.groupBy(*key).agg(F.min("file_path").alias("file"))
 
 
-def technologies(files: DataFrame, configs: DataFrame, imports: DataFrame, rules: tuple[Rule, ...] = RULES, import_mode: str = "source") -> DataFrame:
+def technologies(files: DataFrame, configs: DataFrame, imports: DataFrame, rules: tuple[Rule, ...] = RULES, import_mode: str = "source", weak_factor: float = 1.0) -> DataFrame:
     """project_id, name, category, rule_no, confidence, classification, evidence (at most 5): matched weight over all weight; a tenth
-    after an exclusive rule; a fifth more under a parent of 0.5 or above; classes are given before rounding."""
+    after an exclusive rule; a fifth more under a parent of 0.5 or above; classes are given before rounding. ``weak_factor`` (0.7, say; 1 is off) lowers a score
+    that signals of less than 0.5 alone make."""
     spark = files.sparkSession
     signals = signal_rows(spark, rules)
     hit = matched_signals(files, configs, imports, signals, import_mode).join(F.broadcast(signals), ["rule_no", "signal_no"])
     total = {k: sum(s[2] for s in r.signals) for k, r in enumerate(rules)}
     meta = spark.createDataFrame([(k, r.name, r.category, float(total[k]), r.parent, r.excludes) for k, r in enumerate(rules)], "rule_no int, name string, category string, total double, parent string, excludes string")
     ev = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("signal_no", "type", "value", "file"))), 1, 5), lambda s: F.struct(s["type"].alias("signal"), s["value"].alias("value"), s["file"].alias("file")))
-    got = hit.groupBy(P, "rule_no").agg(F.sum("weight").alias("matched"), ev.alias("evidence")).join(F.broadcast(meta), "rule_no").withColumn("score", F.col("matched") / F.col("total"))
+    got = hit.groupBy(P, "rule_no").agg(F.sum("weight").alias("matched"), F.max("weight").alias("strongest"), ev.alias("evidence")).join(F.broadcast(meta), "rule_no").withColumn("score", F.col("matched") / F.col("total"))
+    if weak_factor != 1.0:
+        got = got.withColumn("score", F.when(F.col("strongest") < 0.5, F.col("score") * weak_factor).otherwise(F.col("score")))
     # a rule sees only what comes before it: exclusion first, then parents, whose own parents come earlier still
     seen = got.select(P, F.col("name").alias("excludes"), F.lit(True).alias("x_"), F.col("rule_no").alias("xr_")).where(X.confidence_class("score") != "speculative")
     got = got.join(seen, [P, "excludes"], "left").withColumn("score", F.when(F.coalesce(F.col("x_") & (F.col("xr_") < F.col("rule_no")), F.lit(False)), F.col("score") * 0.1).otherwise(F.col("score"))).drop("x_", "xr_")
@@ -75,6 +78,22 @@ def technologies(files: DataFrame, configs: DataFrame, imports: DataFrame, rules
     return out.select(P, "name", "category", "rule_no", F.least(F.lit(1.0), X.round_half_up("score", 2)).alias("confidence"), "classification", "evidence")
 
 
+def near_ties(tech: DataFrame, within: float = 0.1, exclusive: set[tuple[str, str]] | None = None) -> DataFrame:
+    """project_id, category, name, other, gap: technologies of a category whose confidences are at most ``within`` apart, each pair once by name.
+
+    ``exclusive`` keeps the pairs of names that rule each other out, either way round: those are conflicts. Confidences are hundredths, so the band
+    is compared in whole numbers; a project and category hold at most one row a rule. Null projects, categories and confidences pair with nothing.
+    """
+    cents = lambda c: F.round(F.col(c) * 100).cast("int")
+    a = tech.select(P, "category", "name", cents("confidence").alias("c_"))
+    b = tech.select(P, "category", F.col("name").alias("other"), cents("confidence").alias("d_"))
+    out = a.join(b, [P, "category"]).where((F.col("name") < F.col("other")) & (F.abs(F.col("c_") - F.col("d_")) <= round(within * 100)))
+    if exclusive is not None:
+        pairs = [sorted(p) for p in exclusive]
+        out = out.where(F.struct("name", "other").isin(*[F.struct(F.lit(x).alias("name"), F.lit(y).alias("other")) for x, y in pairs]) if pairs else F.lit(False))
+    return out.select(P, "category", "name", "other", (F.abs(F.col("c_") - F.col("d_")) / 100).alias("gap"))
+
+
 def _levels(rules: tuple[Rule, ...]) -> list[list[int]]:
     """Rules with a parent, those of rules without parents first."""
     parents, names = {r.name: r.parent for r in rules}, [r.name for r in rules]

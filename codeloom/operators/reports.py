@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.operators.chunking import pack_files
+from codeloom.session import stored
 
 P = "project_id"
 #: Names and files that a summary lists of each kind.
@@ -44,3 +46,26 @@ def diagrams(**texts: DataFrame) -> DataFrame:
         own = rows.select(P, F.lit(name).alias("diagram"), "text")
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def codebase_summary(files: DataFrame, most: int = 5_000, fan: int = 16, largest: int = 5) -> DataFrame:
+    """project_id, n_packs, n_files, n_tokens, summary: files packed to ``most`` tokens, packs summarised, then ``fan`` summaries at a time until one is left.
+
+    The stand-in for a model keeps what merges without loss: totals, and the largest files (ties by path). No group holds more than a pack or ``fan``
+    summaries of bounded size, whatever a project's size; rounds follow the logarithm of the number of packs. A null text has no tokens; a null
+    project is one of its own; no files give no rows.
+    """
+    sized = files.select(P, "file_path", F.coalesce(X.estimate_tokens("content"), F.lit(0)).cast("long").alias("t_"))
+    packs = pack_files(files, P, most).select(F.col(P).alias("p_"), F.col("file_path").alias("f_"), F.col("pack_no").cast("long").alias("node"))
+    own = sized.join(packs, sized[P].eqNullSafe(packs["p_"]) & (sized["file_path"] == packs["f_"])).select(P, "node", "file_path", "t_")
+    first = Window.partitionBy(P, "node").orderBy(F.desc("t_"), "file_path")
+    entry = F.struct(F.negative("t_").alias("less"), F.col("file_path").alias("path"))
+    nodes = own.withColumn("r_", F.row_number().over(first)).groupBy(P, "node").agg(F.lit(1).cast("long").alias("n_packs"), F.count("*").alias("n_files"), F.sum("t_").alias("n_tokens"), F.array_sort(F.collect_list(F.when(F.col("r_") <= largest, entry))).alias("top"))
+    nodes = stored(nodes, "pack-summaries")
+    left = (nodes.agg(F.max("node")).first()[0] or 0) + 1
+    while left > 1:
+        merged = nodes.groupBy(P, F.floor(F.col("node") / fan).alias("node"))
+        nodes = merged.agg(*[F.sum(c).alias(c) for c in ("n_packs", "n_files", "n_tokens")], F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, largest).alias("top"))
+        left = -(-left // fan)
+    listed = F.array_join(F.transform("top", lambda x: F.concat(x["path"], F.lit(" ("), F.negative(x["less"]).cast("string"), F.lit(")"))), ", ")
+    return nodes.select(P, "n_packs", "n_files", "n_tokens", F.concat(F.col("n_files").cast("string"), F.lit(" files, "), F.col("n_tokens").cast("string"), F.lit(" tokens; largest: "), listed).alias("summary"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import audit, chunking, detect, parsers
-from codeloom.plans.registry import query
+from codeloom.operators import audit, chunking, detect, parsers, reports
+from codeloom.plans.registry import ORACLES, query
 from codeloom.sources.repositories import described
 
 
@@ -82,3 +82,14 @@ def _found(patterns) -> str:
 @query("security_findings", f"select project_id, file_path, check_id, severity, cast(n as int) as n from ({_found(_SECURITY)}) where n > 0")
 def security_findings(spark, sf_dir):
     return audit.scan(document_files(spark, sf_dir), "project_id", "file_path", audit.SECURITY)
+
+
+@query("codebase_summary", f"""
+with packs as ({ORACLES["file_packs"].replace("200", "5000")}),
+t as (select source as project_id, 'documents/' || doc_id || '.md' as file_path, cast(ceil(length(coalesce(text, '')) / cast(3.5 as double)) as bigint) as n from documents),
+r as (select *, row_number() over (partition by project_id order by n desc, file_path) as k from t)
+select project_id, (select count(distinct pack_no) from packs p where p.project_id = r.project_id) as n_packs, count(*) as n_files, cast(sum(n) as bigint) as n_tokens,
+ count(*) || ' files, ' || cast(sum(n) as bigint) || ' tokens; largest: ' || string_agg(file_path || ' (' || n || ')', ', ' order by k) filter (where k <= 5) as summary from r group by project_id""")
+def codebase_summary(spark, sf_dir):
+    """Every source of the documents summarised over packs of 5,000 tokens."""
+    return reports.codebase_summary(document_files(spark, sf_dir))

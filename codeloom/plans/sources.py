@@ -440,6 +440,12 @@ def technologies(spark, sf_dir):
     return _detected(spark, sf_dir).select("project_id", "name", "category", "confidence", "classification", F.size("evidence").alias("n_evidence"))
 
 
+@query("tech_near_ties", ctes(D, IMP, TECH) + """select a.project_id, a.category, a.name, b.name as other, abs(cast(round(a.confidence * 100) as int) - cast(round(b.confidence * 100) as int)) / cast(100 as double) as gap
+ from tech a join tech b on a.project_id = b.project_id and a.category = b.category and a.name < b.name and abs(cast(round(a.confidence * 100) as int) - cast(round(b.confidence * 100) as int)) <= 10""")
+def tech_near_ties(spark, sf_dir):
+    return detect.near_ties(_detected(spark, sf_dir))
+
+
 @query("tech_stacks", ctes(D, IMP, TECH, STACK) + "select project_id, stack as name, stack_no, case when n >= n_required then 'full' else 'partial' end as match_type, floor(n / cast(n_required as double) * 100 + 0.5) / 100 as confidence from st")
 def tech_stacks(spark, sf_dir):
     return _tech(spark, sf_dir)[0]
