@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.operators import answers, knowledge, reports
+from codeloom.operators import answers, contexts, detect, graph, knowledge, reports
 from codeloom.plans import sources
 from codeloom.plans.registry import ORACLES, query
-from codeloom.plans.synthetic import D, source_files, values
+from codeloom.plans.synthetic import D, source_files, spec_sql, values
+from codeloom.session import stored
 
 _SUMMARY = "case " + " ".join(f"when regexp_matches(file_path, '{pattern}') then '{name}'" for name, pattern in X.SUMMARY_LAYERS) + " end"
 _KINDS = "kinds as (select project_id, kind, count(*) as n, string_agg(name, ', ' order by file_path, line, name) filter (where p <= 20) as names, string_agg(name, ', ' order by file_path, line, name) filter (where p <= 5) as five from (select *, row_number() over (partition by project_id, kind order by file_path, line, name) as p from sym) group by 1, 2)"
@@ -122,3 +123,54 @@ def session_history(spark, sf_dir):
     m = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     s = m.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
     return chat.session_messages(s, m, ["conv_id"], "turn").groupBy("conv_id", "first_turn").agg(F.count("*").alias("n_messages"), F.max("turn").alias("last_turn"))
+
+
+#: Tokens of a context in the query; smaller than the default, so that sections are dropped.
+_BUDGET = 600
+_BASE = "string_split(file, '/')[-1]"
+_PLAN = values([(c, s, t, most, p, k) for c, own in contexts.CONTEXTS.items() for k, (s, t, most, p) in enumerate(own)], "context, section, title, most, priority, shown", "plan")
+_METRIC_LINES = " union all ".join(f"select project_id, 'metrics', '{k:03}', '- {label}: ' || {c} from m" for k, (c, label) in enumerate(contexts.METRICS.items()))
+_AT = "file || '/' || lpad(cast(line as varchar), 9, '0')"
+_AUTH_TEST = " or ".join(f"contains(lower(path), '{x}')" for x in contexts.AUTH_PATHS)
+_CONTEXTS = sources._FACTS + f""", {sources.TECH}, {sources.STACK}, {sources.FIELD}, {sources.REL},
+ ms as (select project_id, model, count(*) as n, string_agg('  - ' || field || ': ' || type || coalesce(' → ref: ' || ref, '') || case when required then ' [required]' else '' end, chr(10) order by field) as f from field group by 1, 2),
+ mw as ({spec_sql(sources._MIDDLEWARE, 'type, name, path', 'project_id, type, name, file_path as file', ('name', 'path'))}),
+ env as (select project_id, name, detected from ({spec_sql(sources._ENV, 'name, n, value, detected', 'project_id, name, n, file_path as source, detected', ('name',))}) qualify row_number() over (partition by project_id, name order by source, n) = 1),
+ lib as (select project_id, string_split(source, '/')[1] as name, count(*) as n, count(distinct file_path) as n_files from imp where not starts_with(source, '.') group by 1, 2),
+ au as (select project_id, bool_or(c = 151) as jwt from d group by 1),
+ said(project_id, section, place, line) as ({_METRIC_LINES}
+  union all select project_id, 'scope', '', '- Files: ' || file_count || ' | Code lines: ' || total_loc from m
+  union all select project_id, 'technologies', category, '- ' || category || ': ' || string_agg(name, ', ' order by confidence desc, rule_no) from r2 group by project_id, category
+  union all select project_id, 'layers', layer, '- ' || layer || ': ' || count(*) || ' files' from (select project_id, {sources.LAYER} as layer from d) group by project_id, layer
+  union all select project_id, 'endpoints', {_AT}, '- ' || method || ' ' || path || ' (' || {_BASE} || ')' from route
+  union all select project_id, 'plain_endpoints', {_AT}, '- ' || method || ' ' || path from route where not contains(path, ':')
+  union all select project_id, 'auth_endpoints', {_AT}, '- ' || method || ' ' || path from route where {_AUTH_TEST}
+  union all select project_id, 'crud_endpoints', {_AT}, '- ' || method || ' ' || path from route where list_has_any(string_split(method, ','), {list(contexts.CRUD)})
+  union all select project_id, 'models', model, '- ' || model || ' (' || n || ' fields)' || chr(10) || f from ms
+  union all select project_id, 'model_names', model, '- ' || model || ': ' || n || ' fields' from ms
+  union all select project_id, 'relations', from_model || '/' || field, '- ' || from_model || ' ' || kind || ' → ' || to_model || ' (via ' || field || ')' from rel
+  union all select project_id, 'authentication', n, line from (select project_id, unnest([{{'n': '0', 'line': '- JWT: ' || case when jwt then 'Yes' else 'No' end}}, {{'n': '1', 'line': '- OAuth: No'}}, {{'n': '2', 'line': '- Passport: No'}}, {{'n': '3', 'line': '- bcrypt: No'}},
+    {{'n': '4', 'line': case when jwt then '- JWT expiry: 15m' end}}, {{'n': '5', 'line': case when jwt then '- Middleware: authenticate' end}}], recursive := true) from au) where line is not null
+  union all select project_id, 'auth_files', file_path, '- ' || file_path from d where c = 151
+  union all select project_id, 'dependencies', n, line from (select project_id, unnest([{{'n': '0', 'line': '- Imports: ' || count(*)}}, {{'n': '1', 'line': '- Local: ' || count(to_file)}}, {{'n': '2', 'line': '- Unresolved: ' || count(*) filter (where class = 'local' and to_file is null)}}], recursive := true) from dep group by project_id)
+  union all select project_id, 'libraries', lpad(cast(1000000000000 - n as varchar), 13, '0') || name, '- ' || name || ': used ' || n || ' times in ' || n_files || ' files' from lib
+  union all select project_id, 'middleware', file || '/' || type || '/' || name, '- ' || name || ' (' || type || ') in ' || {_BASE} from mw
+  union all select project_id, 'environment', name, '- ' || name || case when detected = 'file' then '' else ' [referenced]' end from env),
+ placed as (select *, row_number() over (partition by project_id, section order by place, line) as r, count(*) over (partition by project_id, section) as n from said),
+ body as (select project_id, context, priority, shown, '## ' || title || chr(10) || string_agg(line, chr(10) order by r) || case when any_value(n) > most then chr(10) || '  +' || any_value(n) - most || ' more' else '' end as body
+  from placed join {_PLAN} using (section) where r <= most group by project_id, context, section, title, most, priority, shown),
+ cost as (select *, cast(ceil(length(body) / 3.5) as bigint) as t from body), run as (select *, sum(t) over (partition by project_id, context order by priority, shown rows unbounded preceding) as s from cost)
+ select project_id, context, count(*) filter (where s <= {_BUDGET}) as n_sections, count(*) filter (where s > {_BUDGET}) as n_dropped, cast(coalesce(sum(t) filter (where s <= {_BUDGET}), 0) as bigint) as n_tokens,
+  coalesce(string_agg(body, chr(10) || chr(10) order by shown) filter (where s <= {_BUDGET}), '') as text from run group by 1, 2"""
+
+
+@query("report_contexts", _CONTEXTS)
+def report_contexts(spark, sf_dir):
+    own = sources.parts(spark, sf_dir)
+    files, _, symbols, imports, configs = own
+    resolved = stored(graph.resolve(imports, files), "resolved")
+    fields = detect.mongoose_models(files)
+    relations = graph.relationships(fields.select("project_id", F.col("model").alias("name")).distinct(), fields.select("project_id", "model", F.col("field").alias("name"), "type", "ref"))
+    tech = detect.by_category(detect.stacks(detect.technologies(files, configs, imports))[1])
+    lines = contexts.sections(sources.project_facts(spark, sf_dir, own), tech, graph.layer_nodes(files), detect.routes(files), fields, relations, detect.authentication(files), resolved, detect.external_libraries(imports), detect.middleware(files), detect.environment(files))
+    return contexts.report_contexts(stored(lines, "context-lines"), _BUDGET)

@@ -269,9 +269,9 @@ def phase_summary(spark, sf_dir):
 
 # -- metrics ---------------------------------------------------------------------------------------------------------
 
-def project_facts(spark, sf_dir):
-    """Totals, counts and scores of a repository, from its tables."""
-    files, _, symbols, imports, _ = parts(spark, sf_dir)
+def project_facts(spark, sf_dir, own=None):
+    """Totals, counts and scores of a repository, from its tables (``own``, where a query has them)."""
+    files, _, symbols, imports, _ = own or parts(spark, sf_dir)
     t = metrics.totals(files, "project_id").join(metrics.symbol_counts(symbols, "project_id"), "project_id", "left")
     n = files.select("project_id", "file_path").join(symbols.groupBy("project_id", "file_path").agg(F.count("*").alias("n_symbols")), ["project_id", "file_path"], "left").join(
         imports.groupBy("project_id", F.col("from_file").alias("file_path")).agg(F.count("*").alias("n_imports")), ["project_id", "file_path"], "left").na.fill(0)
