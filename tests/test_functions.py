@@ -103,11 +103,25 @@ def test_features_default(spark):
 
 
 def test_difficulty_model(spark):
-    model, found = ml.train(ml.training_set(spark), trees=20)
+    model, found = ml.train(ml.training_set(spark))
     assert found["test_accuracy"] > 0.95
     assert abs(sum(v for k, v in found.items() if k.startswith("importance_")) - 1) < 1e-6
     got = ml.predict(spark.createDataFrame([(100, 5), (45_000, 450)], "total_loc int, file_count int"), model).collect()
     assert all(1 <= r.score <= 10 and abs(sum(r.probabilities) - 1) < 1e-6 for r in got)
+    plain = [{n: (ends[k][0] + ends[k][1]) / 2 for n, (*ends, _) in ml.CLASS_RANGES.items()} for k in range(4)]
+    seen = ml.predict(spark.createDataFrame(plain).withColumn("at", F.monotonically_increasing_id()), model).orderBy("at").collect()
+    assert [r.level for r in seen] == ["Beginner", "Intermediate", "Advanced", "Expert"] and all(r.confidence > 0.6 for r in seen)
+
+
+def test_training_rows_stay_in_their_ranges(spark):
+    rows = ml.training_set(spark).collect()
+    assert [sum(r.label == k for r in rows) for k in range(4)] == list(ml.ROWS)
+    for name, (*ends, places) in ml.CLASS_RANGES.items():
+        for k, (low, high) in enumerate(ends):
+            own = [r[name] for r in rows if r.label == k]
+            assert low <= min(own) and max(own) <= high and all(x == round(x, places) for x in own)
+            if not places and high - low < 20:
+                assert {low, high} <= set(own)
 
 
 def test_password_and_checks(spark):
