@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from codeloom.plans import projects, reports, scoped, sources, tables  # noqa: F401
+    from codeloom.plans import ingest, projects, reports, scoped, sources, tables  # noqa: F401
