@@ -174,17 +174,24 @@ def bloom(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 class Filters:
-    """Bloom filters of some buckets, side by side; a bucket without one has no entry."""
+    """Bloom filters of some buckets, side by side; a bucket without one has no entry.
 
-    def __init__(self, buckets: int, parts: dict[int, bytes]):
+    parts: of a bucket its bytes, or their number and the name of their file. Files are read one after another into their place, so that
+    memory is that of all filters and one file.
+    """
+
+    def __init__(self, buckets: int, parts: dict[int, bytes | tuple[int, str]]):
         self.step = np.uint64(step_of(buckets))
         self.sizes = np.zeros(buckets, dtype=np.uint64)
         self.at = np.zeros(buckets, dtype=np.uint64)
+        size = {k: x[0] if isinstance(x, tuple) else len(x) for k, x in parts.items()}
+        self.bits = np.empty(sum(size.values()), dtype=np.uint8)
         at = 0
         for k in sorted(parts):
-            self.sizes[k], self.at[k] = 8 * len(parts[k]), at
-            at += 8 * len(parts[k])
-        self.bits = np.frombuffer(b"".join(parts[k] for k in sorted(parts)), dtype=np.uint8)
+            own = read(parts[k][1]) if isinstance(parts[k], tuple) else parts[k]
+            self.sizes[k], self.at[k] = 8 * size[k], 8 * at
+            self.bits[at:at + size[k]] = np.frombuffer(own, dtype=np.uint8)
+            at += size[k]
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
         return np.minimum(keys // self.step, np.uint64(len(self.sizes) - 1)).astype(np.int64)
@@ -213,11 +220,11 @@ def read(name: str) -> bytes:
 _held: dict[str, dict[int, Filters]] = {}
 
 
-def worker_filters(names: list[tuple[int, int, str]], buckets: int) -> dict[int, Filters]:
+def worker_filters(names: list[tuple[int, int, str, int]], buckets: int) -> dict[int, Filters]:
     key = names[0][2] if names else ""
     if key not in _held:
         _held.clear()
-        _held[key] = {kind: Filters(buckets, {b: read(name) for k, b, name in names if k == kind}) for kind in (WORD, PAIR)}
+        _held[key] = {kind: Filters(buckets, {b: (size, name) for k, b, name, size in names if k == kind}) for kind in (WORD, PAIR)}
     return _held[key]
 
 
@@ -258,7 +265,7 @@ def level_rows(rows: pd.DataFrame, held: list[np.ndarray], word: np.ndarray, pai
         "tail": [x.view(np.int64) for x in np.split(t[rest], np.searchsorted(rest, edges))]})
 
 
-def levels_by_worker(docs: DataFrame, names: list[tuple[int, int, str]], buckets: int, head) -> DataFrame:
+def levels_by_worker(docs: DataFrame, names: list[tuple[int, int, str, int]], buckets: int, head) -> DataFrame:
     """LEVEL_ROWS where every worker holds all filters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -398,7 +405,7 @@ def score_documents(docs: DataFrame, max_bytes: int = MAX_BYTES, head: int = HEA
     names = grams.select("kind", "bucket", "name")
     with small_batches(spark):
         if sum(r["bytes"] for r in totals.values()) <= max_bytes:
-            made = levels_by_worker(numbered, [tuple(r) for r in names.orderBy("kind", "bucket").collect()], buckets, heads)  # no more names than filters of max_bytes
+            made = levels_by_worker(numbered, [tuple(r) for r in grams.select("kind", "bucket", "name", "bytes").orderBy("kind", "bucket").collect()], buckets, heads)  # no more names than filters of max_bytes
         else:
             made = levels_by_bucket(numbered, names, buckets, heads)
         levels = saved(made, "levels")

@@ -50,3 +50,13 @@ def test_no_documents_and_none_to_learn_from(spark):
     assert language_model.score_documents(docs(spark, []), max_bytes=0).count() == 0
     got = language_model.score_documents(docs(spark, [(3, "only held out")]), max_bytes=0).collect()  # crc32 of '3' leaves 1
     assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.held_out) for r in got] in ([(3, 4, 0, 0, True)], [(3, 4, 4, 4, False)])
+
+
+def test_filters_of_files_equal_those_of_bytes(monkeypatch):
+    lm = language_model
+    keys = np.unique(np.random.default_rng(2).integers(0, 2 ** 63, 900, dtype=np.uint64) * np.uint64(2))
+    at, q = lm.Filters(8, {}).bucket(keys), np.arange(len(keys)) % 9 + 1
+    parts = {int(b): lm.bloom(keys[at == b], q[at == b]).tobytes() for b in set(at) if b != 3}
+    monkeypatch.setattr(lm, "read", lambda name: parts[int(name)])
+    files = lm.Filters(8, {b: (len(x), str(b)) for b, x in parts.items()})
+    assert (files.levels(keys) == lm.Filters(8, parts).levels(keys)).all() and (files.levels(keys)[at != 3] >= q[at != 3]).all() and (files.levels(keys)[at == 3] == 0).all()
