@@ -246,3 +246,17 @@ def test_relational(spark):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert rows(relational.upsert(f, new, ["k"]), "k", "v") == {(1, "a"), (2, "c"), (3, "d")}
     assert relational.or_all(f, F.col("k") > 9).count() == 2 and relational.or_all(f, F.col("k") > 1).count() == 1
+
+
+def test_imports_meet_files_without_a_broadcast(spark, tmp_path):
+    """What an import finds grows with the files; a guess from compressed files had it broadcast, and the driver ran out of memory at 1 GB."""
+    named = ["a.js", "a.jsx", "a/index.js", "lib/b", "lib/b.ts", "index.js", ".js", "lib/x.h", "lib/x.c", "y/index.py"]
+    own = spark.createDataFrame([("p", f) for f in named] + [("p", "a.js")], "project_id string, file_path string")
+    said = ["./a", "../a", "./b", "./x", "./index", "../y", "./gone", "react", "fs"]
+    imports = spark.createDataFrame([("p", "lib/m.js", s, "JavaScript", k) for k, s in enumerate(said)], "project_id string, from_file string, source string, language string, line int")
+    own.write.parquet(f"{tmp_path}/files")
+    imports.write.parquet(f"{tmp_path}/imports")
+    got = graph.resolve(spark.read.parquet(f"{tmp_path}/imports"), spark.read.parquet(f"{tmp_path}/files"))
+    assert {r.source: r.to_file for r in got.collect()} == {"./a": None, "../a": "a.js", "./b": "lib/b", "./x": "lib/x.c", "./index": None, "../y": "y/index.py", "./gone": None, "react": None, "fs": None}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
