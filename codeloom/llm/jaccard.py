@@ -6,7 +6,9 @@
    count (of all documents), ties by value. The order is the same everywhere, so sets that link share one of their
    first n - ceil(t n) + 1 tokens; at most ``ORDERED`` counts are broadcast, which changes the order but not the result.
 3. The smallest class with a prefix token leads it; the bucket of a leader holds all classes that it leads by any token. Both ends of a
-   link have a token in common and so meet in its leader's bucket. No pairs are made.
+   link have a token in common and so meet in its leader's bucket. No pairs are made. A member of a bucket that is not split stays there
+   only if the size and the sketch of another allow a link: a sketch has the parity of the tokens in each of ``SKETCH`` bits, so where
+   sketches differ in more bits than two sets that link differ in tokens, they don't link. Sets that meet by chance go before any is sent.
 4. In its bucket a class walks a prefix tree of the sets before it, in the same order everywhere with frequent tokens first: edges hold
    runs of tokens, an overlap counted on the way down is shared by all sets below, and a subtree is left when the tokens that remain
    on either side, or the sizes below, cannot reach the threshold, or when all below are linked with the class already.
@@ -40,6 +42,8 @@ SIZE, PERCENT = 3, 90
 ORDERED, BUCKET, EXTRA = 6_000_000, 300, 2
 #: Bits a candidate class has in the filter of them, and bits of the filter at most (64 MB are broadcast).
 CLASS_BITS, FILTER_BITS = 16, 1 << 29
+#: Bits of a class's sketch.
+SKETCH = 256
 TOGETHER = 500_000
 SEEN = 1_000_000
 
@@ -61,6 +65,20 @@ def needed(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """Parity of the number of tokens in each of SKETCH bits, as whole numbers: two sketches differ in as many bits as their sets differ in tokens, at most."""
+    bits = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
+
+
+def may_link(a, b, percent: int = PERCENT):
+    """Whether sizes and sketches of two classes (structs of node, n, sketch) allow a link."""
+    both = a["n"] + b["n"]
+    apart = both - 2 * F.ceil(percent * both / F.lit(100 + percent))
+    differ = sum((F.bit_count(a["sketch"][k].bitwiseXOR(b["sketch"][k])) for k in range(SKETCH // 64)), F.lit(0))
+    return (a["node"] != b["node"]) & (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (differ <= apart)
+
+
 def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[object, np.ndarray]]:
     for batch in batches:
         for row, text in zip(batch.row_ if "row_" in batch else batch.doc_id, batch.text, strict=True):
@@ -168,24 +186,35 @@ def frequencies(tokens: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.
 
 
 def prefixes(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
-    """node, p (size of its prefix), all_ (its prefix with EXTRA tokens more does not have 1 + EXTRA of every overlap), tokens (the prefix and
-    EXTRA more) of every class, once for each task that meets it; saved."""
+    """node, n (size), p (size of its prefix), all_ (its prefix with EXTRA tokens more does not have 1 + EXTRA of every overlap), tokens (the prefix and
+    EXTRA more), sketch of every class, once for each task that meets it; saved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        new, made, columns = _New(), [], ["node", "p", "all_", "tokens"]
+        new, made, columns = _New(), [], ["node", "n", "p", "all_", "tokens", "sketch"]
         for _, tokens in _sets(batches, size):
             if not len(tokens) or not new(node := class_id(tokens)):
                 continue
+            drawn = sketch(tokens)
             tokens = tokens[np.argsort(frequencies(tokens, order.value), kind="stable")]
             p = prefix_size(len(tokens), percent)
-            made.append((node, p, len(tokens) - p < EXTRA, tokens[:p + EXTRA].view(np.int64)))
+            made.append((node, len(tokens), p, len(tokens) - p < EXTRA, tokens[:p + EXTRA].view(np.int64), drawn))
             if len(made) >= 5_000:
                 yield pd.DataFrame(made, columns=columns)
                 made = []
         if made:
             yield pd.DataFrame(made, columns=columns)
 
-    return saved(docs.select("doc_id", "text").mapInPandas(run, "node long, p int, all_ boolean, tokens array<long>"), "prefixes")
+    return saved(docs.select("doc_id", "text").mapInPandas(run, "node long, n long, p int, all_ boolean, tokens array<long>, sketch array<long>"), "prefixes")
+
+
+def near_members(members: DataFrame, first: DataFrame, percent: int, bucket: int) -> DataFrame:
+    """members (leader, node) without those of whose bucket no other may link with them; buckets of more than ``bucket`` classes stay whole."""
+    sized = members.join(members.groupBy("leader").agg(F.count("*").alias("k")).where("k > 1"), "leader")
+    small = sized.where(F.col("k") <= bucket).select("leader", "node")
+    drawn = first.select("node", "n", "sketch").join(small.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    met = small.join(drawn, "node").groupBy("leader").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("all_"))
+    near = met.select("leader", F.explode(F.filter("all_", lambda a: F.exists("all_", lambda b: may_link(a, b, percent)))).alias("x")).select("leader", F.col("x.node").alias("node"))
+    return near.unionByName(sized.where(F.col("k") > bucket).select("leader", "node"))
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -437,6 +466,7 @@ def members_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bucket
         tokens = first.select("node", F.explode(F.slice("tokens", 1, F.col("p"))).alias("h"))
         leaders = tokens.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last_")).where("leader <> last_").drop("last_")
         members = saved(tokens.join(leaders, "h").select("leader", "node").distinct(), "members")
+        members = saved(near_members(members, first, percent, bucket), "near-members")
         sets = saved(candidate_sets(docs, members.select("node").distinct(), order, size), "sets")
         links = bucket_links(members, sets, first, percent, bucket, parts)
         order.unpersist()
