@@ -278,6 +278,32 @@ def levels_by_worker(docs: DataFrame, names: list[tuple[int, int, str, int]], bu
     return docs.mapInPandas(run, LEVEL_ROWS)
 
 
+def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ordered by bucket, a bucket's filter before the n-grams that ask it, which are probed together: with many buckets a chunk asks few of each."""
+    at, filt = None, None
+
+    def answered(asked: list[tuple]) -> list[tuple]:
+        keys = [np.frombuffer(x[3], "<u8") for x in asked]
+        every = np.concatenate(keys)
+        own = (filt.levels(every) if at == asked[0][1:3] else np.zeros(len(every))).astype(np.uint8)
+        return [(*x[:3], part.tobytes()) for x, part in zip(asked, np.split(own, np.cumsum([len(k) for k in keys])[:-1]), strict=True)]
+
+    for batch in batches:
+        found, asked, size = [], [], 0
+        for chunk, kind, bucket, keys, name in zip(batch["chunk"], batch["kind"], batch["bucket"], batch["keys"], batch["name"], strict=True):
+            if asked and (asked[0][1:3] != (kind, bucket) or size >= TOGETHER):
+                found += answered(asked)
+                asked, size = [], 0
+            if isinstance(name, str):
+                at, filt = (kind, bucket), Filters(1, {0: read(name)})
+            else:
+                asked.append((chunk, kind, bucket, keys))
+                size += len(keys) // 8
+        if asked:
+            found += answered(asked)
+        yield pd.DataFrame(found, columns=["chunk", "kind", "bucket", "levels"])
+
+
 def levels_by_bucket(docs: DataFrame, names: DataFrame, buckets: int, head) -> DataFrame:
     """LEVEL_ROWS where filters stay apart: n-grams go to the task of their bucket and levels come back to their chunk."""
     spark = docs.sparkSession
@@ -291,19 +317,6 @@ def levels_by_bucket(docs: DataFrame, names: DataFrame, buckets: int, head) -> D
             yield pd.concat([rows.assign(chunk=chunk, kind=0, bucket=-1, keys=None), pd.DataFrame(asked, columns=["chunk", "kind", "bucket", "keys"]).assign(row_=-1, doc_id=None, held_out=False, text=None)])[
                 ["chunk", "kind", "bucket", "keys", "row_", "doc_id", "held_out", "text"]]
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Ordered by bucket, a bucket's filter before the n-grams that ask it."""
-        at, filt = None, None
-        for batch in batches:
-            found = []
-            for chunk, kind, bucket, keys, name in zip(batch["chunk"], batch["kind"], batch["bucket"], batch["keys"], batch["name"], strict=True):
-                if isinstance(name, str):
-                    at, filt = (kind, bucket), Filters(1, {0: read(name)})
-                else:
-                    k = np.frombuffer(keys, "<u8")
-                    found.append((chunk, kind, bucket, (filt.levels(k) if at == (kind, bucket) else np.zeros(len(k))).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(found, columns=["chunk", "kind", "bucket", "levels"])
-
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Ordered by chunk, its documents before the levels of its n-grams."""
         last, rows, got = None, [], {WORD: [], PAIR: []}
