@@ -96,6 +96,14 @@ def test_layers_and_knowledge_graph(files):
     assert len(ids) == n.count()
 
 
+def test_a_walk_is_computed_once(files):
+    """Projects without a step are found by the steps of the others, which are not walked again for that."""
+    symbols = parsers.symbols(parsers.parse_files(files))
+    steps = graph.walk(files, symbols, resolved(files).select("project_id", "from_file", "to_file", "line"), graph.entry_points(files))
+    assert steps._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") == 0
+    assert rows(steps, "project_id") == {"shelf", "tiny"}
+
+
 def test_walk_and_flows(files):
     symbols = parsers.symbols(parsers.parse_files(files))
     edges = resolved(files).select("project_id", "from_file", "to_file", "line")
