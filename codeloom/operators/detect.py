@@ -12,6 +12,7 @@ from codeloom.functions import text as X
 from codeloom.operators.chunking import closing_brace, split_depth0
 from codeloom.operators.relational import first_n, first_wins
 from codeloom.operators.rules import CATEGORIES, RULES, STACKS, Rule
+from codeloom.session import stored
 
 P = "project_id"
 
@@ -65,15 +66,17 @@ def technologies(files: DataFrame, configs: DataFrame, imports: DataFrame, rules
     total = {k: sum(s[2] for s in r.signals) for k, r in enumerate(rules)}
     meta = spark.createDataFrame([(k, r.name, r.category, float(total[k]), r.parent, r.excludes) for k, r in enumerate(rules)], "rule_no int, name string, category string, total double, parent string, excludes string")
     ev = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("signal_no", "type", "value", "file"))), 1, 5), lambda s: F.struct(s["type"].alias("signal"), s["value"].alias("value"), s["file"].alias("file")))
-    got = hit.groupBy(P, "rule_no").agg(F.sum("weight").alias("matched"), F.max("weight").alias("strongest"), ev.alias("evidence")).join(F.broadcast(meta), "rule_no").withColumn("score", F.col("matched") / F.col("total"))
+    got = hit.groupBy(P, "rule_no").agg(F.sum("weight").alias("matched"), F.max("weight").alias("strongest"), ev.alias("evidence"))
+    # what follows meets itself several times: files are searched once; sizes guessed from compressed files are too small, so those joins are merges
+    got = stored(got, "matched").join(F.broadcast(meta), "rule_no").withColumn("score", F.col("matched") / F.col("total"))
     if weak_factor != 1.0:
         got = got.withColumn("score", F.when(F.col("strongest") < 0.5, F.col("score") * weak_factor).otherwise(F.col("score")))
     # a rule sees only what comes before it: exclusion first, then parents, whose own parents come earlier still
     seen = got.select(P, F.col("name").alias("excludes"), F.lit(True).alias("x_"), F.col("rule_no").alias("xr_")).where(X.confidence_class("score") != "speculative")
-    got = got.join(seen, [P, "excludes"], "left").withColumn("score", F.when(F.coalesce(F.col("x_") & (F.col("xr_") < F.col("rule_no")), F.lit(False)), F.col("score") * 0.1).otherwise(F.col("score"))).drop("x_", "xr_")
+    got = got.join(seen.hint("merge"), [P, "excludes"], "left").withColumn("score", F.when(F.coalesce(F.col("x_") & (F.col("xr_") < F.col("rule_no")), F.lit(False)), F.col("score") * 0.1).otherwise(F.col("score"))).drop("x_", "xr_")
     for level in _levels(rules):
         parent = got.where(X.confidence_class("score") != "speculative").select(P, F.col("name").alias("parent"), X.round_half_up("score", 2).alias("p_"), F.col("rule_no").alias("pr_"))
-        got = got.join(parent, [P, "parent"], "left").withColumn("score", F.when(F.col("rule_no").isin(*level) & F.coalesce((F.col("p_") >= 0.5) & (F.col("pr_") < F.col("rule_no")), F.lit(False)), F.least(F.lit(1.0), F.col("score") * 1.2)).otherwise(F.col("score"))).drop("p_", "pr_")
+        got = got.join(parent.hint("merge"), [P, "parent"], "left").withColumn("score", F.when(F.col("rule_no").isin(*level) & F.coalesce((F.col("p_") >= 0.5) & (F.col("pr_") < F.col("rule_no")), F.lit(False)), F.least(F.lit(1.0), F.col("score") * 1.2)).otherwise(F.col("score"))).drop("p_", "pr_")
     out = got.withColumn("classification", X.confidence_class("score")).where("classification <> 'speculative'")
     return out.select(P, "name", "category", "rule_no", F.least(F.lit(1.0), X.round_half_up("score", 2)).alias("confidence"), "classification", "evidence")
 
@@ -87,7 +90,7 @@ def near_ties(tech: DataFrame, within: float = 0.1, exclusive: set[tuple[str, st
     cents = lambda c: F.round(F.col(c) * 100).cast("int")
     a = tech.select(P, "category", "name", cents("confidence").alias("c_"))
     b = tech.select(P, "category", F.col("name").alias("other"), cents("confidence").alias("d_"))
-    out = a.join(b, [P, "category"]).where((F.col("name") < F.col("other")) & (F.abs(F.col("c_") - F.col("d_")) <= round(within * 100)))
+    out = a.join(b.hint("merge"), [P, "category"]).where((F.col("name") < F.col("other")) & (F.abs(F.col("c_") - F.col("d_")) <= round(within * 100)))
     if exclusive is not None:
         pairs = [sorted(p) for p in exclusive]
         out = out.where(F.struct("name", "other").isin(*[F.struct(F.lit(x).alias("name"), F.lit(y).alias("other")) for x, y in pairs]) if pairs else F.lit(False))
@@ -110,7 +113,7 @@ def stacks(tech: DataFrame, table: tuple = STACKS) -> tuple[DataFrame, DataFrame
     found = have.join(need, "name").groupBy(P, "stack", "stack_no", "n_required", "least", "bonus").agg(F.count("*").alias("k")).where("k >= least")
     full = found.where("k >= n_required")
     plus = full.select(P, "stack", "bonus").join(need.drop("bonus"), "stack").groupBy(P, "name").agg(F.sum("bonus").alias("plus_"))
-    raised = tech.join(plus, [P, "name"], "left").withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + F.coalesce("plus_", F.lit(0.0)))).withColumn("classification", X.confidence_class("confidence")).drop("plus_")
+    raised = tech.join(plus.hint("merge"), [P, "name"], "left").withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + F.coalesce("plus_", F.lit(0.0)))).withColumn("classification", X.confidence_class("confidence")).drop("plus_")
     return found.select(P, F.col("stack").alias("name"), "stack_no", F.when(F.col("k") >= F.col("n_required"), "full").otherwise("partial").alias("match_type"), X.round_half_up(F.col("k") / F.col("n_required"), 2).alias("confidence")), raised
 
 
