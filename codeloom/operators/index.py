@@ -2,8 +2,9 @@
 
 Both place every vector under codes and let a query probe some of them; ``probe`` does the search. Codes are dealt to slots, a slot's rows are
 split into parts of ``PART_ROWS`` and its queries into parts of ``PART_QUERIES``, and every pair of parts is one small group: rows are copied to each part of
-the other side, so a crowded code is spread over tasks and never gathered. Inside a group each code's rows are multiplied with its queries and only
-the k best of a query in the group are kept; a vector found under several codes counts once. Scores are exact cosines.
+the other side, so a crowded code is spread over tasks and never gathered. Inside a group each code's rows are multiplied with its queries, ``CELLS`` products
+at once, and only the k best of a query in the group are kept; a vector found under several codes counts once. Scores are exact cosines. Vectors are sent as they
+came, floats as floats, and scaled in the group.
 
 Defined results: null, empty, zero and non-finite vectors, and those of another width than ``width``, are not found and find nothing; a query never
 finds its own id; ties go to the smaller id; rows that repeat an id count as one hit; an empty table gives no rows; other columns are ignored.
@@ -19,11 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.retrieval import ivf_shape, top_k, unit
+from codeloom.operators.retrieval import CELLS, ivf_shape, top_k, unit
 from codeloom.session import stored
 
 #: Rows of vectors and of queries in one group, about.
-PART_ROWS, PART_QUERIES = 4_096, 2_048
+PART_ROWS, PART_QUERIES = 16_384, 4_096
 #: Slots that cells are dealt to: a query leaves its k best in each, so their number does not grow with the cells. Buckets of a hash table that make a slot.
 SLOTS, BUCKETS = 16, 64
 #: Vectors that cells are learned from, at most; cells of a sub-index, at most; nearest cells that keep a vector; rounds of learning.
@@ -38,6 +39,11 @@ def valid(rows: DataFrame, column: str, width: int) -> DataFrame:
     return rows.where((F.size(x) == width) & F.forall(x, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))) & F.exists(x, lambda c: c != 0))
 
 
+def sent_as(rows: DataFrame, column: str) -> str:
+    """The type that a column of vectors is sent as: floats stay floats, all others are doubles."""
+    return "array<float>" if rows.schema[column].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def parts_of(counts: DataFrame, n: str, rows: int, name: str) -> DataFrame:
     return counts.select("slot_", F.ceil(F.col(n) / rows).cast("int").alias(name))
 
@@ -55,19 +61,22 @@ def probe(placed: DataFrame, asked: DataFrame, k: int, threshold: float, rows: i
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(a) and len(b):
-            x, q = np.stack(a.vector.to_numpy()), np.stack(b.query_vector.to_numpy())
+            width = len(a.vector.iloc[0])
+            x, q = unit(a.vector.tolist(), width), unit(b.query_vector.tolist(), width)
             own, asks = a.id.to_numpy(), b.query_id.to_numpy()
             place = np.repeat(np.arange(len(b)), b.codes_.map(len))
             by = pd.Series(place).groupby(np.concatenate(b.codes_.to_numpy())).indices
             for code, at in a.groupby("code_").indices.items():
                 if code in by:
-                    of = place[by[code]]
-                    s = q[of] @ x[at].T
-                    s = np.where((s > threshold) & (asks[of][:, None] != own[at][None]), s, -np.inf)
-                    order = np.lexsort((np.broadcast_to(own[at], s.shape), -s), axis=1)[:, :k]
-                    r = np.repeat(np.arange(len(of)), order.shape[1]), order.ravel()
-                    ok = np.isfinite(s[r])
-                    found.append(pd.DataFrame({"query_id": asks[of][r[0][ok]], "id": own[at][r[1][ok]], "score": s[r][ok]}))
+                    step = max(1, CELLS // len(at))
+                    for i in range(0, len(by[code]), step):
+                        of = place[by[code][i:i + step]]
+                        s = q[of] @ x[at].T
+                        s = np.where((s > threshold) & (asks[of][:, None] != own[at][None]), s, -np.inf)
+                        order = np.lexsort((np.broadcast_to(own[at], s.shape), -s), axis=1)[:, :k]
+                        r = np.repeat(np.arange(len(of)), order.shape[1]), order.ravel()
+                        ok = np.isfinite(s[r])
+                        found.append(pd.DataFrame({"query_id": asks[of][r[0][ok]], "id": own[at][r[1][ok]], "score": s[r][ok]}))
         if not found:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         best = pd.concat(found).drop_duplicates(["query_id", "id"]).sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
@@ -120,7 +129,7 @@ def ivf_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: flo
     A sub-index of up to 500 vectors is one cell. Above, it has 4 sqrt(n) cells, at most ``MOST_CELLS``, and a query probes an eighth of them. Every vector is kept in
     its ``copies`` nearest cells: one alone misses a third of the neighbours of vectors that have no clusters.
     """
-    own = valid(chunks, "vector", width).select(F.col("id").cast("long").alias("id"), "kind", F.col("vector").cast("array<double>").alias("vector"))
+    own = valid(chunks, "vector", width).select(F.col("id").cast("long").alias("id"), "kind", F.col("vector").cast(sent_as(chunks, "vector")).alias("vector"))
     if kinds is not None:
         own = own.where(F.col("kind").isin(kinds))
     cells = cells_by_kind(own, width, sample)
@@ -133,16 +142,16 @@ def ivf_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: flo
                 c, x = cells[kind][0], unit(rows.vector.tolist(), width)
                 n = min(copies, len(c))
                 code = first[kind] + (np.argpartition(-(x @ c.T), n - 1, axis=1)[:, :n] if n < len(c) else np.broadcast_to(np.arange(n), (len(x), n)))
-                yield pd.DataFrame({"code_": code.ravel(), "id": np.repeat(rows.id.to_numpy(), n), "vector": [v for v in x for _ in range(n)]})
+                yield pd.DataFrame({"code_": code.ravel(), "id": np.repeat(rows.id.to_numpy(), n), "vector": [v for v in rows.vector for _ in range(n)]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             q = unit(batch.query_vector.tolist(), width)
             for kind, (c, probes) in cells.items():
                 code = first[kind] + (np.argpartition(-(q @ c.T), probes - 1, axis=1)[:, :probes] if probes < len(c) else np.broadcast_to(np.arange(len(c)), (len(q), len(c))))
-                yield pd.DataFrame({"codes_": list(code), "query_id": batch.query_id, "query_vector": list(q)})
+                yield pd.DataFrame({"codes_": list(code), "query_id": batch.query_id, "query_vector": batch.query_vector})
 
-    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(by_cell(F.col("code_")).alias("slot_"), "code_", "id", "vector")
+    placed = own.mapInPandas(place, f"code_ long, id long, vector {sent_as(chunks, 'vector')}").select(by_cell(F.col("code_")).alias("slot_"), "code_", "id", "vector")
     return probe(placed, _dealt(valid(queries, "query_vector", width), ask, by_cell), k, threshold)
 
 
@@ -157,7 +166,8 @@ def by_table(code: Column) -> Column:
 
 def _dealt(queries: DataFrame, ask, slot) -> DataFrame:
     """Rows of probed codes (codes_, query_id, query_vector), one for every slot that they lie in."""
-    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector")).mapInPandas(ask, "codes_ array<long>, query_id long, query_vector array<double>")
+    kind = sent_as(queries, "query_vector")
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast(kind).alias("query_vector")).mapInPandas(ask, f"codes_ array<long>, query_id long, query_vector {kind}")
     each = rows.withColumn("slot_", F.explode(F.array_distinct(F.transform("codes_", slot))))
     return each.select("slot_", F.filter("codes_", lambda c: slot(c) == F.col("slot_")).alias("codes_"), "query_id", "query_vector")
 
@@ -191,7 +201,7 @@ def hash_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: fl
         for batch in batches:
             x = unit(batch.vector.tolist(), width)
             for t in range(tables):
-                yield pd.DataFrame({"code_": (t << bits) + ((x @ h[t] > 0) * weight).sum(1), "id": batch.id, "vector": list(x)})
+                yield pd.DataFrame({"code_": (t << bits) + ((x @ h[t] > 0) * weight).sum(1), "id": batch.id, "vector": batch.vector})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = min(probes, len(masks))
@@ -201,8 +211,8 @@ def hash_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: fl
                 m = q @ h[t]
                 best = np.argsort((m ** 2) @ masks.T, axis=1, kind="stable")[:, :n]
                 code = (((m > 0)[:, None] ^ masks[best]) * weight).sum(2)
-                yield pd.DataFrame({"codes_": list((t << bits) + code), "query_id": batch.query_id, "query_vector": list(q)})
+                yield pd.DataFrame({"codes_": list((t << bits) + code), "query_id": batch.query_id, "query_vector": batch.query_vector})
 
-    own = valid(chunks, "vector", width).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    placed = own.mapInPandas(place, "code_ long, id long, vector array<double>").select(by_table(F.col("code_")).alias("slot_"), "code_", "id", "vector")
+    own = valid(chunks, "vector", width).select(F.col("id").cast("long").alias("id"), F.col("vector").cast(sent_as(chunks, "vector")).alias("vector"))
+    placed = own.mapInPandas(place, f"code_ long, id long, vector {sent_as(chunks, 'vector')}").select(by_table(F.col("code_")).alias("slot_"), "code_", "id", "vector")
     return probe(placed, _dealt(valid(queries, "query_vector", width), ask, by_table), k, threshold)

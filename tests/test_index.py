@@ -109,3 +109,15 @@ def test_blocks_of_queries_come_from_files(spark, vectors):
         got = retrieval.in_blocks(chunks.select("id", "vector"), queries, lambda ids, s, batch: __import__("pandas").DataFrame({"query_id": ids, "n": (s > 2).sum(1)}), "query_id long, n long", rows)
         assert {r.query_id for r in got.collect()} == set(want)
     assert found(retrieval.nearest(chunks, queries)) == want
+
+
+@pytest.mark.parametrize("name", ["ivf_search", "hash_search"])
+def test_floats_are_sent_as_floats(spark, vectors, monkeypatch, name):
+    """What is dealt to groups is as wide as the input's vectors; scaled doubles took twice the room."""
+    chunks, queries = frames(spark, vectors)
+    want = found(getattr(index, name)(chunks, queries, width=8))
+    kinds, sent = [], index.probe
+    monkeypatch.setattr(index, "probe", lambda placed, asked, *x: kinds.append((placed.schema["vector"].dataType.simpleString(), asked.schema["query_vector"].dataType.simpleString())) or sent(placed, asked, *x))
+    got = found(getattr(index, name)(chunks.withColumn("vector", F.col("vector").cast("array<float>")), queries.withColumn("query_vector", F.col("query_vector").cast("array<float>")), width=8))
+    assert kinds == [("array<float>", "array<float>")]
+    assert sum(got[q] == want[q] for q in want) >= 0.9 * len(want)
