@@ -194,7 +194,7 @@ def routes(files: DataFrame, per_family: int = 50, most: int = 100) -> DataFrame
     every = found("express", lang.rlike("JavaScript|TypeScript"), 1, 2).unionByName(found("python", lang == "Python", 1, 2)).unionByName(found("flask", lang == "Python", 2, 1))
     java = found("spring", lang == "Java", 1, 2).unionByName(found("spring_request", lang == "Java", 2, 1))
     base = files.where("language = 'Java'").select(P, F.col("file_path").alias("file"), F.regexp_extract("content", r"@RequestMapping\s*\(\s*['\"]([^'\"]+)['\"]", 1).alias("b_"))
-    java = java.join(base, [P, "file"], "left").withColumn("path", F.concat(F.coalesce("b_", F.lit("")), "path")).select(every.columns)
+    java = java.join(base.hint("merge"), [P, "file"], "left").withColumn("path", F.concat(F.coalesce("b_", F.lit("")), "path")).select(every.columns)
     every = every.unionByName(java).withColumn("fam_no", F.when(F.col("family") == "express", 0).when(F.col("family") == "python", 1).otherwise(2))
     capped = first_n(every, [P, "family"], ["file", "line", "k_"], per_family)
     return first_n(capped, [P], ["fam_no", "file", "line", "k_"], most).drop("fam_no", "k_")
