@@ -42,8 +42,8 @@ SIZE, PERCENT = 3, 90
 ORDERED, BUCKET, EXTRA = 6_000_000, 300, 2
 #: Bits a candidate class has in the filter of them, and bits of the filter at most (64 MB are broadcast).
 CLASS_BITS, FILTER_BITS = 16, 1 << 29
-#: Bits of a class's sketch.
-SKETCH = 256
+#: Bits of a class's sketch. Sets by chance differ in half of them; those of n tokens that link differ in about n / 10 tokens, so sets of up to 4,000 tokens are told apart.
+SKETCH = 1_024
 TOGETHER = 500_000
 SEEN = 1_000_000
 

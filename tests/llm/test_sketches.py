@@ -29,3 +29,14 @@ def test_sketches_never_part_more_than_sets():
         b = np.unique(np.append(a[n // 10:], rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)))
         apart = sum((x ^ y).bit_count() for x, y in zip(np.array(jaccard.sketch(a)).view("<u8").tolist(), np.array(jaccard.sketch(b)).view("<u8").tolist(), strict=True))
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_long_chance_members_leave_their_buckets(spark):
+    """Sketches of 256 bits told no sets of more than 1,200 tokens apart, which carry half of all tokens: long sets were sent to each other's buckets (op4)."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (2000, 2010, 2020, 4000, 4010)]
+    sets.append(np.sort(np.append(sets[0][40:], rng.integers(0, 1 << 63, 40, dtype=np.uint64))))
+    assert 100 * len(np.intersect1d(sets[0], sets[5])) >= 90 * len(np.union1d(sets[0], sets[5]))
+    first = spark.createDataFrame([(k, len(s), jaccard.sketch(s)) for k, s in enumerate(sets)], "node long, n long, sketch array<long>")
+    members = spark.createDataFrame([(0, k) for k in range(len(sets))], "leader long, node long")
+    assert {r.node for r in jaccard.near_members(members, first, 90, 300).collect()} == {0, 5}
