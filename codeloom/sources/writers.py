@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,20 +48,20 @@ def write_archives(files: DataFrame, folder: str, top: str = "top") -> DataFrame
 
 
 def write_pages(rows: DataFrame, folder: str, page: str = "page") -> DataFrame:
-    """page, n of the files ``<page>.json`` written when the result is computed: each page's rows (of a listing's fields, in order of id) as a JSON array."""
+    """page, n of the files ``<page>.json`` written when the result is computed: each page's rows (of a listing's fields, in order of id) as a JSON array.
 
-    def run(batches):
+    A page's number and rows are counted by Spark; a task's Python turns one body after another into a file and holds no second copy of a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
             for number, body in zip(batch[page], batch["body"], strict=True):
-                data = json.loads(body)
-                _placed(f"{folder}/{number}.json", lambda f, body=body: f.write(body.encode()))
-                done.append((number, len(data)))
-            yield pd.DataFrame(done, columns=["page", "n"])
+                _placed(f"{folder}/{number.as_py()}.json", lambda f, body=body: f.write(body.as_buffer()))
+            yield batch.select([page, "n"])
 
     fields = [c for c in rows.columns if c != page]
     body = F.to_json(F.array_sort(F.collect_list(F.struct("id", *[c for c in fields if c != "id"]))))
-    return rows.groupBy(page).agg(body.alias("body")).mapInPandas(run, "page long, n long")
+    return rows.groupBy(F.col(page).cast("long").alias(page)).agg(F.count("*").alias("n"), body.alias("body")).mapInArrow(run, f"{page} long, n long")
 
 
 def numbered(rows: DataFrame, key: str, buckets: int = 64) -> DataFrame:

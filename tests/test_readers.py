@@ -78,3 +78,17 @@ def test_listing_of_any_length(spark, tmp_path, n, total):
 
 def test_numbered_gives_every_place_once(spark):
     assert sorted(r.place_ for r in writers.numbered(spark.range(500), "id").collect()) == list(range(500))
+
+
+def test_pages_are_written_without_copies_of_a_batch(spark, tmp_path):
+    """Bodies of whole batches went through pandas, so a worker held each of them several times."""
+    import json
+
+    from codeloom.sources import writers
+
+    rows = spark.range(25).selectExpr("id", "concat('repo', id, ' ü') as name", "cast(id div 10 as int) + 1 as page")
+    made = writers.write_pages(rows, str(tmp_path / "pages"))
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert sorted((r.page, r.n) for r in made.collect()) == [(1, 10), (2, 10), (3, 5)]
+    assert json.loads((tmp_path / "pages" / "3.json").read_text()) == [{"id": k, "name": f"repo{k} ü"} for k in range(20, 25)]
