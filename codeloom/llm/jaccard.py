@@ -9,6 +9,8 @@
    link have a token in common and so meet in its leader's bucket. No pairs are made. A member of a bucket that is not split stays there
    only if the size and the sketch of another allow a link: a sketch has the parity of the tokens in each of ``SKETCH`` bits, so where
    sketches differ in more bits than two sets that link differ in tokens, they don't link. Sets that meet by chance go before any is sent.
+   Classes that sizes and sketches allow to link, in any bucket that is not split, form groups; a group of up to ``BUCKET`` classes is one
+   bucket, so a set that is a member of many goes out once. Larger groups keep their buckets.
 4. In its bucket a class walks a prefix tree of the sets before it, in the same order everywhere with frequent tokens first: edges hold
    runs of tokens, an overlap counted on the way down is shared by all sets below, and a subtree is left when the tokens that remain
    on either side, or the sizes below, cannot reach the threshold, or when all below are linked with the class already.
@@ -44,6 +46,8 @@ ORDERED, BUCKET, EXTRA = 6_000_000, 300, 2
 CLASS_BITS, FILTER_BITS = 16, 1 << 29
 #: Bits of a class's sketch. Sets by chance differ in half of them; those of n tokens that link differ in about n / 10 tokens, so sets of up to 4,000 tokens are told apart.
 SKETCH = 1_024
+#: Bits of the filter of candidates that a fingerprint has, as shifts of it.
+SHIFTS = (0, 16, 32)
 TOGETHER = 500_000
 SEEN = 1_000_000
 
@@ -65,12 +69,17 @@ def needed(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def sketch(tokens: np.ndarray) -> list[int]:
-    """Parity of the number of tokens in each of SKETCH bits, as whole numbers: two sketches differ in as many bits as their sets differ in tokens, at most."""
-    bits = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+def sketch(tokens: np.ndarray, size: int = SKETCH) -> list[int]:
+    """Parity of the number of tokens in each of ``size`` bits, as whole numbers: two sketches differ in as many bits as their sets differ in tokens, at most."""
+    bits = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
 
 
+def wide(tokens: np.ndarray) -> list[int] | None:
+    """Sketch of a set that SKETCH bits are too few for: a bit for every two to four tokens, a power of two."""
+    return sketch(tokens, 1 << (len(tokens) // 4 - 1).bit_length()) if len(tokens) > 4 * SKETCH else None
+
+
 def may_link(a, b, percent: int = PERCENT):
     """Whether sizes and sketches of two classes (structs of node, n, sketch) allow a link."""
     both = a["n"] + b["n"]
@@ -187,52 +196,105 @@ def frequencies(tokens: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.
 
 def prefixes(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
     """node, n (size), p (size of its prefix), all_ (its prefix with EXTRA tokens more does not have 1 + EXTRA of every overlap), tokens (the prefix and
-    EXTRA more), sketch of every class, once for each task that meets it; saved."""
+    EXTRA more), sketch, wide of every class, once for each task that meets it; saved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        new, made, columns = _New(), [], ["node", "n", "p", "all_", "tokens", "sketch"]
+        new, made, columns = _New(), [], ["node", "n", "p", "all_", "tokens", "sketch", "wide"]
         for _, tokens in _sets(batches, size):
             if not len(tokens) or not new(node := class_id(tokens)):
                 continue
-            drawn = sketch(tokens)
+            drawn = sketch(tokens), wide(tokens)
             tokens = tokens[np.argsort(frequencies(tokens, order.value), kind="stable")]
             p = prefix_size(len(tokens), percent)
-            made.append((node, len(tokens), p, len(tokens) - p < EXTRA, tokens[:p + EXTRA].view(np.int64), drawn))
+            made.append((node, len(tokens), p, len(tokens) - p < EXTRA, tokens[:p + EXTRA].view(np.int64), *drawn))
             if len(made) >= 5_000:
                 yield pd.DataFrame(made, columns=columns)
                 made = []
         if made:
             yield pd.DataFrame(made, columns=columns)
 
-    return saved(docs.select("doc_id", "text").mapInPandas(run, "node long, n long, p int, all_ boolean, tokens array<long>, sketch array<long>"), "prefixes")
+    return saved(docs.select("doc_id", "text").mapInPandas(run, "node long, n long, p int, all_ boolean, tokens array<long>, sketch array<long>, wide array<long>"), "prefixes")
 
 
-def near_members(members: DataFrame, first: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """members (leader, node) without those of whose bucket no other may link with them; buckets of more than ``bucket`` classes stay whole."""
+def _near(members: DataFrame, first: DataFrame, percent: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(leader, node and what first knows of its size and sketches, a bucket's rows together, of buckets that are not split; leader, node of the others)."""
     sized = members.join(members.groupBy("leader").agg(F.count("*").alias("k")).where("k > 1"), "leader")
     small = sized.where(F.col("k") <= bucket).select("leader", "node")
-    drawn = first.select("node", "n", "sketch").join(small.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    met = small.join(drawn, "node").groupBy("leader").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("all_"))
-    near = met.select("leader", F.explode(F.filter("all_", lambda a: F.exists("all_", lambda b: may_link(a, b, percent)))).alias("x")).select("leader", F.col("x.node").alias("node"))
-    return near.unionByName(sized.where(F.col("k") > bucket).select("leader", "node"))
+    known = ["node", *[c for c in ("n", "sketch", "wide") if c in first.columns]]
+    drawn = first.select(*known).join(small.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    met = small.join(drawn, "node").groupBy("leader").agg(F.collect_list(F.struct(*known)).alias("all_"))
+    near = met.select("leader", F.explode(F.filter("all_", lambda a: F.exists("all_", lambda b: may_link(a, b, percent)))).alias("x")).select("leader", "x.*")
+    return near, sized.where(F.col("k") > bucket).select("leader", "node")
+
+
+def near_members(members: DataFrame, first: DataFrame, percent: int, bucket: int) -> DataFrame:
+    """members (leader, node) without those of whose bucket no other may link with them; buckets of more than ``bucket`` classes stay whole."""
+    near, hot = _near(members, first, percent, bucket)
+    return near.select("leader", "node").unionByName(hot)
+
+
+def linkable(n: np.ndarray, sketches: list, wides: list, percent: int) -> np.ndarray:
+    """Which pairs of sets sizes and sketches allow to link; long sets by the wider sketch that both have."""
+    both = n[:, None] + n[None]
+    apart = both - 2 * -(-percent * both // (100 + percent))
+    words = [np.asarray(x if y is None else y, dtype=np.int64) for x, y in zip(sketches, wides, strict=True)]
+    widths = np.array([len(x) for x in words])
+    may = 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths >= width)
+        # a sketch of more bits is folded to one of fewer
+        folded = np.stack([np.bitwise_xor.reduce(words[k].reshape(-1, width)) for k in at])
+        close = np.stack([np.bitwise_count((row ^ folded).view(np.uint64)).sum(1) for row in folded]) <= apart[np.ix_(at, at)]
+        may[np.ix_(at, at)] &= close | (np.minimum(widths[at][:, None], widths[at][None]) != width)
+    return may
+
+
+def near_groups(members: DataFrame, first: DataFrame, percent: int, bucket: int) -> DataFrame:
+    """leader, node of groups instead of buckets: classes of the buckets that are not split, joined where sizes and sketches allow a link, their smallest
+    class as the leader. Groups of more than ``bucket`` classes keep the rows of their buckets, and split buckets stay whole."""
+    near, hot = _near(members, first, percent, bucket)
+    near = saved(near, "near")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = []
+        for _, g in _groups(batches, ["leader"]):
+            may, root = linkable(g.n.to_numpy(), g.sketch.tolist(), g.wide.tolist(), percent), np.arange(len(g))
+            np.fill_diagonal(may, True)
+            while (low := np.where(may, root[None], len(g)).min(1)).tolist() != root.tolist():
+                root = low
+            nodes = g.node.to_numpy()
+            made.append(pd.DataFrame({"a": nodes[root], "b": nodes})[root != np.arange(len(g))])
+            if len(made) >= 1_000:
+                yield pd.concat(made)
+                made = []
+        if made:
+            yield pd.concat(made)
+
+    edges = saved(near.repartition("leader").sortWithinPartitions("leader").mapInPandas(run, "a long, b long"), "near-edges")
+    roots = components(edges)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("k"))
+    named = saved(roots.join(sizes, "root").select("node", F.when(F.col("k") <= bucket, F.col("root")).alias("leader")), "near-groups")
+    large = near.select("leader", "node").join(named.where("leader is null").select("node"), "node", "left_semi").select("leader", "node")
+    return named.where("leader is not null").select("leader", "node").unionByName(large).unionByName(hot).distinct()
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for every node's fingerprint, modulo the size, which follows the number of nodes; a false hit costs a set that no bucket asks for."""
+    """Bits for every node's fingerprint, by its shifts modulo the size, which follows the number of nodes; a false hit costs a set that no bucket asks for."""
     size = 1 << 15
     n = nodes.count()
     while size < min(CLASS_BITS * n, FILTER_BITS):
         size *= 2
-    at = F.pmod(F.col("node"), F.lit(size)) + 1
+    at = F.col("at") + 1
     made = np.zeros(size // 8, dtype=np.uint8)
-    parts = nodes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    each = nodes.select(F.explode(F.array(*[F.pmod(F.shiftright("node", s), F.lit(size)) for s in SHIFTS])).alias("at"))
+    parts = each.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     for r in parts.toLocalIterator():  # at most FILTER_BITS bits, 4 KiB a row
         made[(r["k"] - 1) * 4096:r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return made
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, order, size: int) -> DataFrame:
-    """node, tokens (binary, sorted), q (binary, classes of their counts) of classes that share a prefix token with another."""
+    """node, tokens (binary, sorted), q (binary, classes of their counts) of the classes of nodes, with the other columns of nodes."""
     sent = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,8 +302,8 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, order, size: int) -> DataF
         for _, tokens in _sets(batches, size):
             if not len(tokens):
                 continue
-            at = (node := class_id(tokens)) % (8 * len(bits))
-            if bits[at >> 3] >> (at & 7) & 1 and new(node):
+            node = class_id(tokens)
+            if all(bits[at >> 3] >> (at & 7) & 1 for at in ((node >> s) % (8 * len(bits)) for s in SHIFTS)) and new(node):
                 made.append((node, tokens.tobytes(), frequencies(tokens, order.value).tobytes()))
                 held += len(tokens)
                 if held >= TOGETHER:
@@ -251,7 +313,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, order, size: int) -> DataF
             yield pd.DataFrame(made, columns=["node", "tokens", "q"])
 
     sets = docs.select("doc_id", "text").mapInPandas(run, "node long, tokens binary, q binary")
-    return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return sets.join(nodes, "node").dropDuplicates(["node"])
 
 
 class _Tree:
@@ -384,7 +446,7 @@ def _unpacked(g: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def bucket_links(members: DataFrame, sets: DataFrame, first: DataFrame, percent: int, bucket: int, parts: int) -> DataFrame:
-    """Links a, b found in the buckets of members (leader, node)."""
+    """Links a, b found in the buckets of members (leader, node); sets say whether a class is in a split bucket (hot)."""
     sizes = members.groupBy("leader").agg(F.count("*").alias("k"))
     hot = saved(sizes.where(F.col("k") > bucket).select("leader", F.ceil(F.col("k") / bucket).cast("int").alias("blocks")), "hot-buckets")
     many = members.join(sizes.where("k > 1").select("leader"), "leader", "left_semi").join(hot, "leader", "left").select("leader", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
@@ -414,8 +476,9 @@ def bucket_links(members: DataFrame, sets: DataFrame, first: DataFrame, percent:
         return links
     apart = found.where("block is not null").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("block").alias("home"), "blocks")
     visits = further_blocks(dealt.where("blocks > 1").select("leader", "node", "block"), apart, first)
-    probes = visits.join(sets, "node").select("leader", "block", "node", "tokens", "q", F.lit(True).alias("probe"))
-    hosts = (full.where("blocks > 1").join(visits.select("leader", "block").distinct(), ["leader", "block"], "left_semi")
+    split = sets.where("hot")
+    probes = visits.join(split, "node").select("leader", "block", "node", "tokens", "q", F.lit(True).alias("probe"))
+    hosts = (dealt.where("blocks > 1").join(split, "node").join(visits.select("leader", "block").distinct(), ["leader", "block"], "left_semi")
              .select("leader", "block", "node", "tokens", "q", F.lit(False).alias("probe")))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -435,7 +498,9 @@ def bucket_links(members: DataFrame, sets: DataFrame, first: DataFrame, percent:
 def further_blocks(dealt: DataFrame, apart: DataFrame, first: DataFrame) -> DataFrame:
     """leader, node, block: the blocks of its bucket, besides its home, that a class apart from the leader shares a token with, the EXTRA most frequent tokens
     of the bucket set aside; all other blocks where its set is too small for that."""
-    prefix = first.select("node", "all_", "tokens").dropDuplicates(["node"])
+    nodes = dealt.select("node").distinct()
+    own = first.select("node", "all_", "tokens").join(F.broadcast(nodes) if nodes.count() <= 500_000 else nodes, "node", "left_semi")
+    prefix = own.dropDuplicates(["node"])
     each = saved(dealt.join(prefix, "node").select("leader", "node", "block", "all_", F.explode("tokens").alias("h")), "hot-tokens")
     counts = each.groupBy("leader", "h").agg(F.count_distinct("node").alias("c"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("c"), "h"))).where(F.col("r") <= EXTRA).select("leader", "h")
@@ -466,8 +531,10 @@ def members_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bucket
         tokens = first.select("node", F.explode(F.slice("tokens", 1, F.col("p"))).alias("h"))
         leaders = tokens.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last_")).where("leader <> last_").drop("last_")
         members = saved(tokens.join(leaders, "h").select("leader", "node").distinct(), "members")
-        members = saved(near_members(members, first, percent, bucket), "near-members")
-        sets = saved(candidate_sets(docs, members.select("node").distinct(), order, size), "sets")
+        members = saved(near_groups(members, first, percent, bucket), "near-members")
+        sizes = members.groupBy("leader").agg(F.count("*").alias("k"))
+        nodes = saved(members.join(sizes, "leader").groupBy("node").agg(F.max(F.col("k") > bucket).alias("hot")), "candidates")
+        sets = saved(candidate_sets(docs, nodes, order, size), "sets")
         links = bucket_links(members, sets, first, percent, bucket, parts)
         order.unpersist()
         roots = components(links)

@@ -40,3 +40,29 @@ def test_long_chance_members_leave_their_buckets(spark):
     first = spark.createDataFrame([(k, len(s), jaccard.sketch(s)) for k, s in enumerate(sets)], "node long, n long, sketch array<long>")
     members = spark.createDataFrame([(0, k) for k in range(len(sets))], "leader long, node long")
     assert {r.node for r in jaccard.near_members(members, first, 90, 300).collect()} == {0, 5}
+
+
+def test_sets_of_many_buckets_go_out_once(spark):
+    """A class led by several others was sent whole to each of their buckets, so what was sent grew faster than the corpus (op4)."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    base = [np.unique(draw(200)) for _ in range(3)]
+    # 0 to 4 are near copies, 5 and 6 too, 7 meets them by chance
+    sets = [np.sort(np.append(base[0][k:], draw(k))) for k in range(5)] + [base[1], np.sort(np.append(base[1][5:], draw(5))), base[2]]
+    first = spark.createDataFrame([(k, len(s), jaccard.sketch(s), jaccard.wide(s)) for k, s in enumerate(sets)], "node long, n long, sketch array<long>, wide array<long>")
+    members = spark.createDataFrame([(a, b) for a in range(5) for b in range(a, 5)] + [(0, k) for k in (5, 6, 7)] + [(5, 6), (5, 7), (5, 5)], "leader long, node long")
+    assert jaccard.near_members(members, first, 90, 300).count() > 8
+    assert sorted(map(tuple, jaccard.near_groups(members, first, 90, 300).collect())) == [(0, k) for k in range(5)] + [(5, 5), (5, 6)]
+    # a group of more classes than a bucket keeps its buckets, a split bucket stays whole
+    assert {(r.leader, r.node) for r in jaccard.near_groups(members, first, 90, 4).collect()} >= {(0, k) for k in range(8)} | {(1, k) for k in range(1, 5)} | {(5, 5), (5, 6)}
+
+
+def test_long_sets_have_wider_sketches():
+    """Sketches of 1,024 bits tell no sets of more than 4,000 tokens apart: a chance group of 343 long sets held a fifth of all tokens sent (op4)."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets = [np.unique(draw(n)) for n in (4500, 5000, 6000, 6100, 9000, 9100, 20_000, 20_100, 3900, 4200)]
+    sets += [np.unique(np.append(s[len(s) // 50:], draw(len(s) // 50))) for s in sets]
+    may = jaccard.linkable(np.array([len(s) for s in sets]), [jaccard.sketch(s) for s in sets], [jaccard.wide(s) for s in sets], 90)
+    linked = np.array([[100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    assert (may == linked).all() and linked.sum() == 40
