@@ -9,8 +9,8 @@
    link have a token in common and so meet in its leader's bucket. No pairs are made. A member of a bucket that is not split stays there
    only if the size and the sketch of another allow a link: a sketch has the parity of the tokens in each of ``SKETCH`` bits, so where
    sketches differ in more bits than two sets that link differ in tokens, they don't link. Sets that meet by chance go before any is sent.
-   Classes that sizes and sketches allow to link, in any bucket that is not split, form groups; a group of up to ``BUCKET`` classes is one
-   bucket, so a set that is a member of many goes out once. Larger groups keep their buckets.
+   Classes that sizes and sketches allow to link, in buckets that are not split, form groups; a group of up to ``BUCKET`` classes is one
+   bucket, so a set that is a member of many mostly goes out once. Larger groups keep their buckets.
 4. In its bucket a class walks a prefix tree of the sets before it, in the same order everywhere with frequent tokens first: edges hold
    runs of tokens, an overlap counted on the way down is shared by all sets below, and a subtree is left when the tokens that remain
    on either side, or the sizes below, cannot reach the threshold, or when all below are linked with the class already.
@@ -250,32 +250,33 @@ def linkable(n: np.ndarray, sketches: list, wides: list, percent: int) -> np.nda
 
 
 def near_groups(members: DataFrame, first: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """leader, node of groups instead of buckets: classes of the buckets that are not split, joined where sizes and sketches allow a link, their smallest
-    class as the leader. Groups of more than ``bucket`` classes keep the rows of their buckets, and split buckets stay whole."""
+    """leader, node of groups instead of buckets. The classes of a bucket that is not split fall into parts that sizes and sketches allow to link inside. A class
+    takes the smallest of its parts' names, a part the smallest of its classes, and parts of one name are one group. As a part stays together, no link is lost.
+    Parts of groups of more than ``bucket`` classes keep the rows of their buckets, and split buckets stay whole."""
     near, hot = _near(members, first, percent, bucket)
-    near = saved(near, "near")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = []
-        for _, g in _groups(batches, ["leader"]):
-            may, root = linkable(g.n.to_numpy(), g.sketch.tolist(), g.wide.tolist(), percent), np.arange(len(g))
+        for (leader,), g in _groups(batches, ["leader"]):
+            may, nodes = linkable(g.n.to_numpy(), g.sketch.tolist(), g.wide.tolist(), percent), g.node.to_numpy()
             np.fill_diagonal(may, True)
-            while (low := np.where(may, root[None], len(g)).min(1)).tolist() != root.tolist():
-                root = low
-            nodes = g.node.to_numpy()
-            made.append(pd.DataFrame({"a": nodes[root], "b": nodes})[root != np.arange(len(g))])
+            name, most = nodes, np.iinfo(np.int64).max
+            while (low := np.where(may, name[None], most).min(1)).tolist() != name.tolist():
+                name = low
+            made.append(pd.DataFrame({"leader": leader, "part": name, "node": nodes})[may.sum(1) > 1])
             if len(made) >= 1_000:
                 yield pd.concat(made)
                 made = []
         if made:
             yield pd.concat(made)
 
-    edges = saved(near.repartition("leader").sortWithinPartitions("leader").mapInPandas(run, "a long, b long"), "near-edges")
-    roots = components(edges)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("k"))
-    named = saved(roots.join(sizes, "root").select("node", F.when(F.col("k") <= bucket, F.col("root")).alias("leader")), "near-groups")
-    large = near.select("leader", "node").join(named.where("leader is null").select("node"), "node", "left_semi").select("leader", "node")
-    return named.where("leader is not null").select("leader", "node").unionByName(large).unionByName(hot).distinct()
+    parts = saved(near.mapInPandas(run, "leader long, part long, node long"), "near-parts")
+    least = parts.join(parts.groupBy("node").agg(F.min("part").alias("least")), "node").groupBy("leader", "part").agg(F.min("least").alias("least"))
+    named = saved(parts.join(least, ["leader", "part"]), "near-groups")
+    sizes = named.groupBy("least").agg(F.count_distinct("node").alias("k"))
+    # a name of its own, so that a group is never taken for a bucket
+    group = F.when(F.col("k") <= bucket, F.xxhash64(F.lit("group"), "least")).otherwise(F.col("leader"))
+    return named.join(sizes, "least").select(group.alias("leader"), "node").unionByName(hot).distinct()
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
